@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vialens.llm import media, quality, sharding, simhash, token_output
+from vialens.llm import media, quality, sharding, simhash, substrings, token_output
 from vialens.llm.common import fresh_path
 
 
@@ -24,6 +24,12 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_digests(token_output.read_tokens(spark, path))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of 35-word windows that start anywhere else."""
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and the least doc_id that links of at most 2 bits reach."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, most=2)
@@ -49,5 +55,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", crc.cast("long").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_output, op7_simhash, op8_quality_rules, op9_media_columns, op10_sharding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_output, op4_substring_dedup, op7_simhash, op8_quality_rules, op9_media_columns, op10_sharding)}
 ORACLES: dict[str, str] = {}
