@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vialens.llm import media, quality, sharding, simhash, substrings, token_output
+from vialens.llm import lines, media, mixing, packing, quality, sharding, simhash, substrings, token_output
 from vialens.llm.common import fresh_path
 
 
@@ -15,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in bins of 2,048 words, no bin with two documents of one source or of one text."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's ids, written as ORC in doc_id order and read back: doc_id, start, n_tokens, ids_crc32."""
     import public_tokenizers
@@ -24,12 +29,24 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_digests(token_output.read_tokens(spark, path))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document a mix with source weights 1, 2, 3, repeating, takes."""
+    found = mixing.mix(table(spark, sf_dir, "documents"), weights=(1, 2, 3))
+    return found.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the words of 35-word windows that start anywhere else."""
     found = substrings.remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that over 1% of its source's documents, and 5 at least, contain."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text", F.length("text").alias("chars_before"))
+    return lines.drop_boilerplate(docs).select("doc_id", "source", "text", (F.col("chars_before") - F.length("text")).cast("long").alias("chars_dropped"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and the least doc_id that links of at most 2 bits reach."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, most=2)
@@ -55,5 +72,20 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", crc.cast("long").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_output, op4_substring_dedup, op7_simhash, op8_quality_rules, op9_media_columns, op10_sharding)}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_token_output, op3_mixing, op4_substring_dedup, op6_line_dedup, op7_simhash, op8_quality_rules, op9_media_columns, op10_sharding)}
+ORACLES: dict[str, str] = {
+    "op6_line_dedup": r"""
+with l as (
+  select doc_id, source, i, line, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') as k
+  from (select doc_id, source, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i
+        from documents where text is not null)),
+t as (select source, count(*) as total from documents group by source),
+c as (select source, k, count(distinct doc_id) as pages from l where k <> '' group by source, k),
+b as (select c.source, k from c join t on c.source is not distinct from t.source where pages >= 5 and pages / total > 0.01),
+kept as (
+  select l.doc_id, string_agg(line, chr(10) order by i) filter (where b.k is null) as text
+  from l left join b on l.source is not distinct from b.source and l.k = b.k group by l.doc_id)
+select d.doc_id, d.source, case when d.text is null then null else coalesce(kept.text, '') end as text,
+       cast(length(d.text) - length(coalesce(kept.text, '')) as bigint) as chars_dropped
+from documents d left join kept using (doc_id)""",
+}
