@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vialens.llm import lines, media, mixing, packing, quality, sharding, simhash, substrings, token_output
+from vialens.llm import html_text, lines, media, mixing, packing, quality, sharding, simhash, substrings, token_output
 from vialens.llm.common import fresh_path
 
 
@@ -41,6 +41,11 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that over 1% of its source's documents, and 5 at least, contain."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text", F.length("text").alias("chars_before"))
@@ -72,7 +77,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", crc.cast("long").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_token_output, op3_mixing, op4_substring_dedup, op6_line_dedup, op7_simhash, op8_quality_rules, op9_media_columns, op10_sharding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_token_output, op3_mixing, op4_substring_dedup, op5_html_extraction, op6_line_dedup, op7_simhash, op8_quality_rules, op9_media_columns, op10_sharding)}
 ORACLES: dict[str, str] = {
     "op6_line_dedup": r"""
 with l as (
