@@ -109,3 +109,14 @@ def _settle(placed: DataFrame, rounds: int = 6, close: float = 0.001) -> DataFra
         moved = placed.join(best, F.col("ordinal") == F.col("o"), "left")
         placed = moved.select(*((F.col("copies") + F.coalesce("move", F.lit(0))).alias(c) if c == "copies" else c for c in placed.columns))
     return placed.withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
+
+
+def apply_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """``docs`` as the mix takes it: each row as often as ``mix`` says, with all its columns; equal rows share their copies."""
+    names = docs.columns
+    taken = mix(docs, weights).groupBy("row_key").agg(F.sum("copies").cast("int").alias("__n"), F.count("*").alias("__rows"))
+    taken = written(taken.where("__n > 0"), "taken")
+    keyed = docs.withColumn("row_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text"))
+    if taken.where("__rows > 1").limit(1).count():
+        keyed = keyed.dropDuplicates(["row_key"])
+    return keyed.join(taken, "row_key").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*names)

@@ -222,3 +222,72 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, most: int = 2, hot:
 
 def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+def _marks(docs: DataFrame) -> DataFrame:
+    """``row_key, class, fp`` of each row: a hash of its lower-cased words in turn, and the fingerprint of its distinct words."""
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1000):
+                b, classes, fps = batch.slice(k, 1000), [], []
+                for t in b.column("text").to_pylist():
+                    words = (t or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+                    classes.append(xxhash.xxh64_intdigest(b" ".join(words), 7))
+                    fps.append(fingerprint(np.asarray([xxhash.xxh64_intdigest(w, 42) for w in set(words)], np.uint64)))
+                yield pa.RecordBatch.from_arrays([b.column("row_key"), pa.array(np.asarray(classes, np.uint64).view(np.int64)), pa.array(fps, pa.int64())], names=["row_key", "class", "fp"])
+
+    return docs.select("row_key", "text").mapInArrow(marked, "row_key bigint, class bigint, fp bigint")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b: classes) whose sets of word shingles have a Jaccard similarity of ``similarity`` or more."""
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            last, mine, ok = None, np.zeros(0), []
+            for a, x, y in zip(b.column("a").to_pylist(), b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
+                if a != last:
+                    last, mine = a, np.unique(shingle_hashes(x, shingle_words))
+                other = np.unique(shingle_hashes(y, shingle_words))
+                both = len(np.intersect1d(mine, other, assume_unique=True))
+                ok.append(both >= similarity * max(1, len(mine) + len(other) - both))
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(ok, pa.bool_())), b.column("b").filter(pa.array(ok, pa.bool_()))], names=["a", "b"])
+
+    wide = pairs.join(texts.select(F.col("class").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("class").alias("b"), F.col("text").alias("y")), "b")
+    return wide.select("a", "b", "x", "y").mapInArrow(alike, "a bigint, b bigint")
+
+
+def one_of_each_group(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, most: int = 7) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: that with the least doc_id (null last).
+
+    Candidates are texts whose fingerprints of distinct words differ in ``most`` bits at most, found by the generalised
+    pigeonhole; they are verified by the Jaccard similarity of their sets of ``shingle_words``-word shingles. Groups are the
+    components of verified links; texts with equal lower-cased words are one class from the start. Null texts and texts
+    without words form one group; of repeated rows one stays; all columns are kept; an empty table stays empty.
+    """
+    names = docs.columns
+    keyed = docs.withColumn("row_key", F.xxhash64(*names))
+    marks = written(_marks(keyed).join(keyed.select("row_key", F.col("doc_id").cast("long").alias("id")).distinct(), "row_key"), "marks")
+    classes = written(marks.groupBy("class").agg(F.first("fp").alias("fp"), F.min("row_key").alias("row_key")), "classes")
+    pairs = written(_near_pairs(classes.select("class", "fp"), most), "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes, "class").select("class", "row_key")
+    texts = keyed.select("row_key", "text").join(wanted, "row_key").groupBy("class").agg(F.first("text").alias("text"))
+    nodes = components(_verified(pairs, texts, shingle_words, similarity))
+    named = marks.join(nodes, marks["class"] == nodes["node"], "left").withColumn("root", F.coalesce("root", "class"))
+    best = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row_key")).alias("m"), F.count("*").alias("n"))
+    stay = written(best.select(F.col("m.row_key").alias("row_key")), "stay")
+    out = keyed.join(stay, "row_key", "left_semi")
+    if marks.groupBy("row_key").count().where("count > 1").limit(1).count():
+        out = out.dropDuplicates(["row_key"])
+    return out.select(*names)
+
+
+def _near_pairs(classes: DataFrame, most: int) -> DataFrame:
+    """Pairs (a < b) of classes whose fingerprints differ in at most ``most`` bits."""
+    parts = plan_parts(classes.select("fp"), most)
+    put = lambda masks: F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseXOR(F.lit(m)).bitwiseAND(F.lit(p.mask)).alias("v")) for k, p in enumerate(parts) for m in masks(p))))
+    stored = classes.select("class", "fp", put(lambda p: [0]).alias("x")).select("class", "fp", "x.*").alias("s")
+    probes = classes.select("class", "fp", put(lambda p: _flips(p.bits, p.most)).alias("x")).select("class", "fp", "x.*").alias("p")
+    near = stored.join(probes, ["k", "v"]).where("s.class < p.class").where(F.bit_count(F.expr("s.fp ^ p.fp")) <= most)
+    return near.select(F.col("s.class").alias("a"), F.col("p.class").alias("b")).distinct()
