@@ -1,10 +1,6 @@
-"""The catalogue of queries and of the SQL that states the same results."""
+"""All queries of the library: importing the modules registers them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from vialens.plans import boards, fleet, matching, schedule, spatial, tables  # noqa: F401
+from vialens.plans.registry import ORACLES, QUERIES  # noqa: F401
