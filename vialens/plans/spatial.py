@@ -1 +1,197 @@
-"""Queries."""
+"""Queries on places: passes along shapes, tiles, nearest stops, yards and their cells."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from vialens.functions import geo
+from vialens.operators import graph, spatial
+from vialens.plans import fixture
+from vialens.plans.fixture import FX, LATEST_SQL, SHAPES_SQL
+from vialens.plans.registry import ORACLES, query, table
+
+GOOD = LATEST_SQL.split("latest as")[0].rstrip().rstrip(",")
+PASSES_SQL = FX + "," + GOOD + "," + SHAPES_SQL + """,
+sg as (select shape_id, i as seg, x as ax, y as ay, lead(x) over w as bx, cum as cum0, lead(cum) over w as cum1 from pts window w as (partition by shape_id order by i)),
+tt as (select event_id, shape_id, seg, cum0, cum1, ax, bx, ay, g.x, g.y, greatest(0.0, least(1.0, ((g.x - ax) * (bx - ax)) / ((bx - ax) * (bx - ax)))) as tau from good g join sg on bx is not null and abs(g.y - ay) <= 200 and g.x between least(ax, bx) - 200 and greatest(ax, bx) + 200),
+dd as (select *, sqrt(power(x - (ax + tau * (bx - ax)), 2) + power(y - ay, 2)) as dist, cum0 + tau * (cum1 - cum0) as along from tt),
+near as (select *, seg - row_number() over (partition by event_id, shape_id order by seg) as run from dd where dist <= 200),
+ps as (select event_id, shape_id, cast(min(seg) as int) as first_seg, cast(max(seg) as int) as last_seg, first(along order by dist, seg) as along, min(dist) as dist from near group by event_id, shape_id, run)"""
+
+
+def all_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segs = spatial.segments(fixture.points(spark), ["shape_id"])
+    return spatial.passes(fixture.good_fixes(fixture.fixes(spark, sf_dir)), segs, "event_id", "shape_id")
+
+
+@query(PASSES_SQL + " select event_id, shape_id, first_seg, last_seg, round(along, 2) + 0 as along, round(dist, 2) + 0 as dist from ps")
+def pass_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place along any shape within 200 m of a fix."""
+    return all_passes(spark, sf_dir).select("event_id", "shape_id", "first_seg", "last_seg", (F.round("along", 2) + 0).alias("along"), (F.round("dist", 2) + 0).alias("dist"))
+
+
+@query(PASSES_SQL + " select event_id, shape_id, round(dist, 2) + 0 as dist, cast(rn as int) as place from (select *, row_number() over (partition by event_id order by round(dist, 2), shape_id, first_seg) as rn from ps) where rn <= 4")
+def nearest4_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = all_passes(spark, sf_dir).withColumn("dist", F.round("dist", 2) + 0)
+    place = F.row_number().over(Window.partitionBy("event_id").orderBy("dist", "shape_id", "first_seg"))
+    return rows.withColumn("place", place).where("place <= 4").select("event_id", "shape_id", "dist", "place")
+
+
+@query(FX + "," + LATEST_SQL + "," + SHAPES_SQL + """ select vehicle, stop_id, round(d, 2) as metres from (select vehicle, stop_id, d, row_number() over (partition by vehicle order by round(d, 2), stop_id) as rn
+  from (select distinct vehicle, stop_id, 12742000.0 * asin(sqrt(power(sin(radians((s.y / 111194.92664455873 + -22.9) - lat) / 2), 2) + cos(radians(lat)) * cos(radians(s.y / 111194.92664455873 + -22.9)) * power(sin(radians((s.x / 102431.14359791845 + -43.4) - lon) / 2), 2))) as d from latest, stp s where direction = 0)) where rn = 1""")
+def haversine_nearest_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest stop of each vehicle; stops are a dimension of some thousand rows, so they are broadcast and minima taken."""
+    stops = fixture.stops(spark).where("direction = 0").select("stop_id", geo.lat_of(F.col("y")).alias("slat"), geo.lon_of(F.col("x")).alias("slon"))
+    d = F.round(geo.haversine(F.col("lat"), F.col("lon"), F.col("slat"), F.col("slon")), 2)
+    rows = fixture.latest(fixture.fixes(spark, sf_dir)).join(F.broadcast(stops))
+    return rows.groupBy("vehicle").agg(F.min(F.struct(d.alias("d"), "stop_id")).alias("m")).select("vehicle", F.col("m.stop_id").alias("stop_id"), F.col("m.d").alias("metres"))
+
+
+@query(FX + "," + GOOD + """, c as (select floor(x / 60) as cx, floor(y / 60) as cy, count(distinct vehicle) as buses from good where vehicle >= 'V032' group by 1, 2)
+  select cast(cx as bigint) as cx, cast(cy as bigint) as cy, buses from c where buses >= 1""")
+def garage_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct standing buses a 60 m cell."""
+    rows = fixture.good_fixes(fixture.fixes(spark, sf_dir)).where("vehicle >= 'V032'")
+    return rows.groupBy(F.floor(F.col("x") / 60).alias("cx"), F.floor(F.col("y") / 60).alias("cy")).agg(F.countDistinct("vehicle").alias("buses"))
+
+
+@query("with recursive " + FX.removeprefix("with ") + "," + GOOD + """, c as (select cast(floor(x / 60) as bigint) as cx, cast(floor(y / 60) as bigint) as cy, vehicle from good group by all having count(*) >= 2),
+  n as (select distinct cx, cy, (cx + 100000) * 1000000 + cy + 100000 as node from c), e as (select a.node as a, b.node as b from n a join n b on abs(a.cx - b.cx) <= 1 and abs(a.cy - b.cy) <= 1),
+  reach(node, root) as (select node, node from n union select e.b, reach.root from reach join e on e.a = reach.node), k as (select node, min(root) as root from reach group by node)
+  select root, count(distinct n.node) as cells, count(distinct vehicle) as buses, min(c.cx) as x0, max(c.cx) as x1, min(c.cy) as y0, max(c.cy) as y1, case when count(distinct vehicle) >= 40 then 'garage' when count(distinct vehicle) >= 8 and max(c.cx) - min(c.cx) <= 20 then 'yard' else 'road' end as verdict
+  from k join n using (node) join c on c.cx = n.cx and c.cy = n.cy group by root""")
+def garage_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of touching cells where a bus was seen twice or more: cells, distinct buses, bounds and a verdict."""
+    rows = fixture.good_fixes(fixture.fixes(spark, sf_dir)).groupBy(F.floor(F.col("x") / 60).alias("cx"), F.floor(F.col("y") / 60).alias("cy"), "vehicle").count().where("count >= 2")
+    rows = rows.withColumn("node", (F.col("cx") + 100000) * 1000000 + F.col("cy") + 100000).select("node", "cx", "cy", "vehicle")
+    cells = rows.select("node", "cx", "cy").distinct()
+    near = cells.withColumn("d", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))))
+    near = near.select(F.col("node").alias("a"), (F.col("node") + F.col("d.i") * 1000000 + F.col("d.j")).alias("node"))
+    edges = near.join(cells.select("node"), "node").select("a", F.col("node").alias("b"))
+    named = rows.join(graph.components(cells.select("node"), edges), "node")
+    out = named.groupBy("root").agg(F.countDistinct("node").alias("cells"), F.countDistinct("vehicle").alias("buses"), F.min("cx").alias("x0"), F.max("cx").alias("x1"), F.min("cy").alias("y0"), F.max("cy").alias("y1"))
+    return out.withColumn("verdict", F.when(F.col("buses") >= 40, "garage").when((F.col("buses") >= 8) & (F.col("x1") - F.col("x0") <= 20), "yard").otherwise("road"))
+
+
+@query(FX + "," + GOOD + """, b as (select *, x between 5850 and 6150 and y between -30 and 270 as inside from good) select vehicle, count(*) filter (where inside) as inside, count(*) as n from b group by vehicle""")
+def in_garage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = spark.createDataFrame([(5850.0, -30.0, 6150.0, 270.0)], "x0 double, y0 double, x1 double, y1 double").agg(F.collect_list(F.struct("x0", "y0", "x1", "y1")).alias("boxes"))
+    rows = fixture.good_fixes(fixture.fixes(spark, sf_dir)).join(F.broadcast(boxes))
+    hit = F.exists("boxes", lambda b: F.col("x").between(b["x0"], b["x1"]) & F.col("y").between(b["y0"], b["y1"]))
+    return rows.groupBy("vehicle").agg(F.count_if(hit).alias("inside"), F.count("*").alias("n"))
+
+
+@query(FX + "," + GOOD + "," + SHAPES_SQL + """, sg as (select shape_id, route_ix, unnest([x, x - 50, x + 50]) as sx, y from pts),
+  cells as (select distinct route_ix, cast(floor(sx / 100) as bigint) + dx as cx, cast(floor(y / 100) as bigint) + dy as cy from sg, (values (-1), (0), (1)) a(dx), (values (-1), (0), (1)) b(dy))
+  select coalesce(service, '') as service, route_ix, count(*) as n from (select distinct event_id, service, route_ix from good g join cells on cells.cx = floor(g.x / 100) and cells.cy = floor(g.y / 100) where abs(g.y - route_ix * 1500) <= 60 and g.x between -60 and 12060) group by all""")
+def alias_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each service code is seen within 60 m of each route's road."""
+    segs = spatial.segments(fixture.points(spark), ["shape_id", "route_ix"])
+    rows = fixture.good_fixes(fixture.fixes(spark, sf_dir)).select("event_id", "service", "x", "y")
+    met = spatial.near_segments(rows, segs, 60.0).select("event_id", "service", "route_ix").distinct()
+    return met.groupBy(F.coalesce("service", F.lit("")).alias("service"), "route_ix").agg(F.count("*").alias("n"))
+
+
+@query("""with p as (select l_orderkey, l_linenumber, l_quantity as x, l_extendedprice / 1000 as y from lineitem), r as (select l_orderkey, list(x order by l_linenumber, x, y) as xs, list(y order by l_linenumber, x, y) as ys, count(*) as n from p group by l_orderkey having count(*) >= 3)
+  select l_orderkey, round(list_sum(list_transform(range(1, n + 1), lambda i: xs[i] * ys[i % n + 1] - xs[i % n + 1] * ys[i])) / 2, 3) + 0 as area from r""")
+def ring_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signed areas of rings, here of each order's lines as points."""
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y")))).alias("p")).where(F.size("p") >= 3)
+    return rows.select("l_orderkey", (F.round(geo.ring_area(F.col("p")), 3) + 0).alias("area"))
+
+
+@query(FX + " select event_id, round(degrees(atan(sinh(pi() * (1 - 2 * ((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2))))), 6) as lat from fx")
+def mercator_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latitude to a Mercator tile's share and back."""
+    r = F.radians("lat")
+    share = (1.0 - F.log(F.tan(r) + 1.0 / F.cos(r)) / F.pi()) / 2.0
+    return fixture.fixes(spark, sf_dir).select("event_id", F.round(F.degrees(F.atan(F.sinh(F.pi() * (1.0 - 2.0 * share)))), 6).alias("lat"))
+
+
+@query(FX + "," + LATEST_SQL + "," + SHAPES_SQL + """, o as (select vehicle, shape_id, s.direction, greatest(0.0, least(12000.0, case when direction = 0 then latest.x else 12000.0 - latest.x end)) as along from latest join shp s on s.route_ix = cast(substr(vehicle, 2) as int) % 4),
+  nxt as (select o.*, (select min(ord) from stp where stp.shape_id = o.shape_id and stp.dist > o.along - 5) as first_ord from o)
+  select vehicle, shape_id, stop_id, cast(ord - first_ord as int) as stops_away, round(dist - along, 2) as metres, round(0.7 * greatest(dist - along, 0) / v, 2) as eta_lo, round(1.4 * greatest(dist - along, 0) / v + 30, 2) as eta_hi
+  from (select nxt.*, ord, stop_id, dist, greatest(8.0 / 3.6, least(40.0 / 3.6, exp(-greatest(dist - along, 0) / 1500.0) * 7.5 + (1 - exp(-greatest(dist - along, 0) / 1500.0)) * 6.0)) as v from nxt join stp using (shape_id) where ord >= first_ord and ord < first_ord + 25 and dist - along <= 8000)""")
+def arrivals_ahead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stops ahead of each vehicle on its road, either way: at most 25 and 8,000 m, with a range of seconds."""
+    return _ahead(spark, sf_dir)
+
+
+def _ahead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fixture.latest(fixture.fixes(spark, sf_dir)).withColumn("road", F.substring("vehicle", 2, 9).cast("int") % 4)
+    shapes = fixture.stops(spark).groupBy("route_ix", "shape_id", "direction").agg(F.array_sort(F.collect_list(F.struct("ord", "dist", "stop_id"))).alias("stops"))
+    on = rows.join(F.broadcast(shapes), F.col("road") == F.col("route_ix"))
+    along = F.greatest(F.lit(0.0), F.least(F.lit(12000.0), F.when(F.col("direction") == 0, F.col("x")).otherwise(12000.0 - F.col("x"))))
+    on = on.withColumn("along", along)
+    nxt = F.slice(F.filter("stops", lambda s: s["dist"] > F.col("along") - 5), 1, 25)
+    out = on.select("vehicle", "shape_id", "direction", "route_ix", "along", F.posexplode(F.filter(nxt, lambda s: s["dist"] - F.col("along") <= 8000)).alias("stops_away", "s"))
+    metres = F.col("s.dist") - F.col("along")
+    lo, hi = geo.eta_bounds(metres, F.lit(7.5), F.lit(None).cast("double"), F.lit(6.0))
+    return out.select("vehicle", "shape_id", F.col("s.stop_id").alias("stop_id"), "stops_away", F.round(metres, 2).alias("metres"), F.round(lo, 2).alias("eta_lo"), F.round(hi, 2).alias("eta_hi"))
+
+
+@query("select stop_id, shape_id, vehicle, metres, cast(rn as int) as place from (select *, row_number() over (partition by stop_id, shape_id order by metres, vehicle) as rn from (" + ORACLES["arrivals_ahead"] + ")) where rn <= 3")
+def arrivals_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next three vehicles of each stop and direction."""
+    place = F.row_number().over(Window.partitionBy("stop_id", "shape_id").orderBy("metres", "vehicle"))
+    return _ahead(spark, sf_dir).withColumn("place", place).where("place <= 3").select("stop_id", "shape_id", "vehicle", "metres", "place")
+
+
+@query("select stop_id, vehicle, eta_lo, eta_hi from (" + ORACLES["arrivals_ahead"] + ") where stop_id = 'p1_6' order by (eta_lo + eta_hi) / 2, vehicle")
+def stop_board(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What comes to one stop, soonest first."""
+    return _ahead(spark, sf_dir).where("stop_id = 'p1_6'").select("stop_id", "vehicle", "eta_lo", "eta_hi").orderBy((F.col("eta_lo") + F.col("eta_hi")) / 2, "vehicle")
+
+
+@query("select vehicle, shape_id, first(stop_id order by stops_away) as stop_id, count(*) as ahead from (" + ORACLES["arrivals_ahead"] + ") group by vehicle, shape_id")
+def next_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ahead(spark, sf_dir).groupBy("vehicle", "shape_id").agg(F.min_by("stop_id", "stops_away").alias("stop_id"), F.count("*").alias("ahead"))
+
+
+@query(FX + "," + GOOD + """, m as (select vehicle, service, sqrt(power(x - lag(x) over w, 2) + power(y - lag(y) over w, 2)) / (t - lag(t) over w) as v from good window w as (partition by vehicle order by t, event_id)),
+  l as (select service, vehicle, round(max(v) filter (where v <= 27), 3) as v from m group by all having max(v) filter (where v <= 27) is not null)
+  select service, count(*) as n, list_sort(list(v))[count(*) // 2 + 1] as median from l group by service having count(*) >= 3""")
+def line_upper_median_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The upper median of a line's vehicle speeds, with three vehicles at least; a line's vehicles fit in an array."""
+    w = Window.partitionBy("vehicle").orderBy("t", "event_id")
+    rows = fixture.good_fixes(fixture.fixes(spark, sf_dir))
+    v = F.sqrt(F.pow(F.col("x") - F.lag("x").over(w), 2) + F.pow(F.col("y") - F.lag("y").over(w), 2))
+    rows = rows.select("vehicle", "service", F.try_divide(v, F.col("t") - F.lag("t").over(w)).alias("v")).where("v <= 27")
+    fast = rows.groupBy("service", "vehicle").agg(F.round(F.max("v"), 3).alias("v"))
+    line = fast.groupBy("service").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("v")).alias("vs")).where("n >= 3")
+    return line.select("service", "n", F.get("vs", F.floor(F.col("n") / 2).cast("int")).alias("median"))
+
+
+@query(FX + "," + GOOD + """, j as (select event_id, (event_id * 37) % 12000 as a, (event_id * 91) % 12000 as b, event_id % 2 = 0 as circular from fx)
+  select event_id, cast(case when not circular then b - a when (b - a) % 12000 > 6000 then (b - a) % 12000 - 12000 when (b - a) % 12000 < -6000 then (b - a) % 12000 + 12000 else (b - a) % 12000 end as double) as delta from j""")
+def loop_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") * 37 % 12000).cast("double").alias("a"), (F.col("event_id") * 91 % 12000).cast("double").alias("b"))
+    return rows.select("event_id", geo.loop_delta(F.col("a"), F.col("b"), F.lit(12000.0), F.col("event_id") % 2 == 0).alias("delta"))
+
+
+@query("with " + SHAPES_SQL.strip() + """, e as (select event_id, (event_id * 53) % 12300 - 100 as raw from events), a as (select *, greatest(0, least(12000, raw)) as along from e)
+  select event_id, shape_id, round(cast(case when direction = 0 then along else 12000 - along end as double), 3) as x, case when direction = 0 then 90.0 else 270.0 end as bearing from a, shp where route_ix = 0""")
+def shape_point_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The point and bearing at a distance along a shape: an equi join on the 50 m segment that holds it."""
+    at = table(spark, sf_dir, "events").select("event_id", F.greatest(F.lit(0), F.least(F.lit(12000), F.col("event_id") * 53 % 12300 - 100)).cast("double").alias("along"))
+    at = at.withColumn("seg", F.least(F.lit(239), F.floor(F.col("along") / 50)).cast("int"))
+    segs = spatial.segments(fixture.points(spark).where("route_ix = 0"), ["shape_id"])
+    rows = at.join(F.broadcast(segs), "seg")
+    share = (F.col("along") - F.col("cum0")) / (F.col("cum1") - F.col("cum0"))
+    return rows.select("event_id", "shape_id", F.round(F.col("ax") + share * (F.col("bx") - F.col("ax")), 3).alias("x"), geo.bearing(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")).alias("bearing"))
+
+
+@query("with " + SHAPES_SQL.strip() + ", " + FX.removeprefix("with ") + "," + LATEST_SQL + """ , ends as (select shape_id, x, y from pts where i in (0, 240))
+  select vehicle, round(min(sqrt(power(e.x - l.x, 2) + power(e.y - l.y, 2))), 2) as metres from latest l, ends e group by vehicle""")
+def nearest_route_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ends = fixture.points(spark).where("i in (0, 240)").select(F.col("x").alias("ex"), F.col("y").alias("ey"))
+    rows = fixture.latest(fixture.fixes(spark, sf_dir)).join(F.broadcast(ends))
+    return rows.groupBy("vehicle").agg(F.round(F.min(geo.distance(F.col("x"), F.col("y"), F.col("ex"), F.col("ey"))), 2).alias("metres"))
+
+
+@query("with " + SHAPES_SQL.strip() + """ , g as (select distinct route_ix, cast(floor(x / 100) as bigint) as cx, cast(floor(y / 100) as bigint) as cy from pts) select route_ix, count(*) as cells, min(cx) as x0, max(cx) as x1 from g group by route_ix""")
+def grid_rasterise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fixture.points(spark).select("route_ix", F.floor(F.col("x") / 100).alias("cx"), F.floor(F.col("y") / 100).alias("cy")).distinct()
+    return rows.groupBy("route_ix").agg(F.count("*").alias("cells"), F.min("cx").alias("x0"), F.max("cx").alias("x1"))
