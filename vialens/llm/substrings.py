@@ -18,6 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vialens.llm.common import written
+
 WINDOW, GRAM = 35, 8
 _KEPT_WORDS = 400_000
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -117,7 +119,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, hot: int = 100_000, ch
             yield pa.RecordBatch.from_arrays([flat(grams), flat(counts), flat(keys)], names=["gram", "n", "row_key"])
 
     indexed = docs.select("row_key", "text").mapInArrow(index, "gram bigint, n bigint, row_key bigint")
-    repeated = indexed.groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram", (F.col("n") > hot).alias("hot"))
+    repeated = written(indexed.groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram", (F.col("n") > hot).alias("hot")), "grams")
     mine = indexed.select("gram", "row_key").join(repeated, "gram").groupBy("row_key").agg(F.collect_set("gram").alias("grams"), F.collect_set(F.when(F.col("hot"), F.col("gram"))).alias("hot_grams"))
     found = docs.join(mine, "row_key")
 
@@ -137,7 +139,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, hot: int = 100_000, ch
                     rows = []
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
 
-    leaves = found.select("row_key", "text", "grams", "hot_grams").mapInArrow(suffixes, "gram bigint, hot boolean, row_key bigint, place int, back int, words binary")
+    # all columns of docs are read, so that the shuffle of docs is the same as that of the join which takes the spans up
+    leaves = found.select(*docs.columns, "grams", "hot_grams").mapInArrow(suffixes, "gram bigint, hot boolean, row_key bigint, place int, back int, words binary")
     dealt = leaves.repartition(F.col("gram"), F.when(F.col("hot"), F.xxhash64("row_key", "place"))).sortWithinPartitions("hot", "gram")
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,6 +184,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, hot: int = 100_000, ch
         yield (extended if held and held[-1][1] else built)(held)
 
     spans = dealt.mapInArrow(trees, "row_key bigint, first int, after int, deep binary")
+    if repeated.where("hot").isEmpty():
+        return spans.select("row_key", "first", "after")
+    spans = written(spans, "spans")
     done = spans.where("deep is null").select("row_key", "first", "after")
     deep = spans.where("deep is not null")
     twice = deep.groupBy("deep").count().where("count > 1").select("deep")
