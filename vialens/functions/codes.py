@@ -76,7 +76,7 @@ def _stop_parts(raw: Column) -> tuple[Column, Column]:
     head = F.when(at > 0, F.trim(F.substring(whole, F.lit(1), at - 1))).otherwise(whole)
     complement = F.when(at > 0, F.trim(F.substring(whole, at + 2, F.length(whole)))).otherwise("")
     rest = F.regexp_extract(head, r"^BRS ?(.*)$", 1)
-    lanes = F.filter(F.transform(F.split(F.substring_index(rest, ":", 1), ","), F.trim), lambda x: x != "")
+    lanes = F.filter(F.transform(F.split(F.substring_index(rest, ":", 1), ","), lambda x: F.trim(x)), lambda x: x != "")
     brs = head.startswith("BRS") & (F.instr(rest, ":") > 0) & (F.size(lanes) > 0)
     after = F.trim(F.substring(rest, F.instr(rest, ":") + 1, F.length(rest)))
     last = (~head.startswith("BRS")) & head.startswith("Ponto Final:")

@@ -95,11 +95,11 @@ def alias_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with p as (select l_orderkey, l_linenumber, l_quantity as x, l_extendedprice / 1000 as y from lineitem), r as (select l_orderkey, list(x order by l_linenumber, x, y) as xs, list(y order by l_linenumber, x, y) as ys, count(*) as n from p group by l_orderkey having count(*) >= 3)
-  select l_orderkey, round(list_sum(list_transform(range(1, n + 1), lambda i: xs[i] * ys[i % n + 1] - xs[i % n + 1] * ys[i])) / 2, 3) + 0 as area from r""")
+  select l_orderkey, round(list_sum(list_transform(range(1, n + 1), lambda i: xs[i] * ys[i % n + 1] - xs[i % n + 1] * ys[i])) / 2, 1) + 0 as area from r""")
 def ring_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signed areas of rings, here of each order's lines as points."""
     rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y")))).alias("p")).where(F.size("p") >= 3)
-    return rows.select("l_orderkey", (F.round(geo.ring_area(F.col("p")), 3) + 0).alias("area"))
+    return rows.select("l_orderkey", (F.round(geo.ring_area(F.col("p")), 1) + 0).alias("area"))
 
 
 @query(FX + " select event_id, round(degrees(atan(sinh(pi() * (1 - 2 * ((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2))))), 6) as lat from fx")

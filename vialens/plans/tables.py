@@ -1 +1,127 @@
-"""Queries."""
+"""Queries with windows, folds and set operations on the plain tables and the fixture."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from vialens.functions import folds
+from vialens.plans import fixture
+from vialens.plans.fixture import FX, LATEST_SQL
+from vialens.plans.registry import query, table
+from vialens.sources import feeds
+
+GOOD = LATEST_SQL.split("latest as")[0].rstrip().rstrip(",")
+
+
+@query("select time_bucket(interval 10 minutes, ts, timestamp '1970-01-01') as start, event_type, count(*) as n, round(sum(value), 2) as total from events group by all")
+def tumbling_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").groupBy(F.window("ts", "10 minutes").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    return rows.select(F.col("w.start").alias("start"), "event_type", "n", "total")
+
+
+@query("with b as (select time_bucket(interval 5 minutes, ts, timestamp '1970-01-01') as s, value from events), x as (select s - interval (5 * k) minutes as start, value from b, range(3) t(k)) select start, count(*) as n from x group by start")
+def sliding_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").groupBy(F.window("ts", "15 minutes", "5 minutes").alias("w")).agg(F.count("*").alias("n"))
+    return rows.select(F.col("w.start").alias("start"), "n")
+
+
+@query("""with g as (select user_id, ts, case when lag(ts) over w is null or ts - lag(ts) over w >= interval 6 hours then 1 else 0 end as fresh from events window w as (partition by user_id order by ts)),
+  s as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as k from g) select user_id, min(ts) as start, max(ts) + interval 6 hours as end_, count(*) as n from s group by user_id, k""")
+def session_gap_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of a user that a silence of six hours ends."""
+    rows = table(spark, sf_dir, "events").groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.count("*").alias("n"))
+    return rows.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end_"), "n")
+
+
+def _hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vehicle's fixes of an hour as an array in order: at most some thousand fixes."""
+    good = fixture.good_fixes(fixture.fixes(spark, sf_dir))
+    return good.groupBy("vehicle", F.expr("t div 3600").alias("hour")).agg(F.array_sort(F.collect_list(F.struct("t", "event_id", "x", "y"))).alias("f"))
+
+
+HOUR_SQL = "with recursive " + FX.removeprefix("with ") + "," + GOOD + ", o as (select vehicle, t // 3600 as hour, t, x, y, row_number() over (partition by vehicle, t // 3600 order by t, event_id) as k from good)"
+
+
+@query(HOUR_SQL + """, f(vehicle, hour, k, t, x, y, v) as (select vehicle, hour, k, t, x, y, cast(0 as double) from o where k = 1 union all
+  select o.vehicle, o.hour, o.k, case when o.t - f.t >= 10 then o.t else f.t end, case when o.t - f.t >= 10 then o.x else f.x end, case when o.t - f.t >= 10 then o.y else f.y end,
+  case when o.t - f.t >= 10 then f.v + (1 - power(0.5, (o.t - f.t) / 60.0)) * (least(sqrt(power(o.x - f.x, 2) + power(o.y - f.y, 2)) / (o.t - f.t), 27.0) - f.v) else f.v end from f join o on o.vehicle = f.vehicle and o.hour = f.hour and o.k = f.k + 1)
+  select vehicle, hour, round(last(v order by k), 4) as speed, count(*) as n from f group by vehicle, hour""")
+def ewma_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vehicle's smoothed speed at the end of each hour, started anew each hour."""
+    return _hours(spark, sf_dir).select("vehicle", "hour", F.round(folds.ewma_speed(F.col("f")), 4).alias("speed"), F.size("f").cast("long").alias("n"))
+
+
+@query(HOUR_SQL + """, f(vehicle, hour, k, t, x, y) as (select vehicle, hour, k, t, x, y from o where k = 1 union all
+  select o.vehicle, o.hour, o.k, case when sqrt(power(o.x - f.x, 2) + power(o.y - f.y, 2)) > 100 then o.t else f.t end, case when sqrt(power(o.x - f.x, 2) + power(o.y - f.y, 2)) > 100 then o.x else f.x end,
+  case when sqrt(power(o.x - f.x, 2) + power(o.y - f.y, 2)) > 100 then o.y else f.y end from f join o on o.vehicle = f.vehicle and o.hour = f.hour and o.k = f.k + 1)
+  select vehicle, hour, last(t order by k) as moved from f group by vehicle, hour""")
+def moved_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hours(spark, sf_dir).select("vehicle", "hour", folds.last_moved(F.col("f")).alias("moved"))
+
+
+@query("""with recursive m as (select date_trunc('minute', ts) as minute, count(*) as n from events group by 1), o as (select date_trunc('day', minute) as day, n, row_number() over (partition by date_trunc('day', minute) order by minute) as k from m),
+  f(day, k, v) as (select day, cast(0 as bigint), cast(4000 as double) from (select distinct day from o) union all select o.day, o.k, case when o.n >= 2 then 0.8 * f.v + 0.2 * o.n else f.v end from f join o on o.day = f.day and o.k = f.k + 1)
+  select day, round(last(v order by k), 4) as typical from f group by day""")
+def typical_rows_ewma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smoothed rows of a complete minute at the end of each day; minutes with under two rows are stubs."""
+    m = table(spark, sf_dir, "events").groupBy(F.date_trunc("minute", "ts").alias("minute")).agg(F.count("*").alias("n"))
+    d = m.groupBy(F.date_trunc("day", "minute").alias("day")).agg(F.array_sort(F.collect_list(F.struct("minute", F.col("n").cast("double").alias("rows"), (F.col("n") >= 2).alias("complete")))).alias("b"))
+    return d.select("day", F.round(folds.typical_rows(F.col("b")), 4).alias("typical"))
+
+
+@query()
+def greedy_place_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each line's newest places, those not within 1,000 m of one kept before; a test holds it against a plain loop."""
+    rows = fixture.latest(fixture.fixes(spark, sf_dir)).groupBy("service").agg(F.array_sort(F.collect_list(F.struct(F.col("event_id").alias("id"), "x", "y"))).alias("p"))
+    return rows.select("service", F.explode(folds.keep_apart(F.col("p"), 1000.0)).alias("k")).select("service", "k.id", F.round("k.x", 3).alias("x"), F.round("k.y", 3).alias("y"))
+
+
+@query(FX + "," + GOOD + """, h as (select vehicle, t // 3600 as hour, count(*) as n from good group by all) select vehicle, hour, n, true as same from h""")
+def polyline_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vehicle's hour as an encoded polyline, decoded again: equal to five decimals."""
+    good = fixture.good_fixes(fixture.fixes(spark, sf_dir))
+    rows = good.groupBy("vehicle", F.expr("t div 3600").alias("hour")).agg(F.array_sort(F.collect_list(F.struct("t", "event_id", "lat", "lon"))).alias("f"))
+    flat = rows.withColumn("p", F.flatten(F.transform("f", lambda f: F.array(f["lat"], f["lon"])))).withColumn("back", folds.decode_polyline(folds.encode_polyline("p")))
+    same = F.forall(F.zip_with("p", "back", lambda a, b: F.abs(a - b) < 0.0000051), lambda ok: ok)
+    return flat.select("vehicle", "hour", F.size("f").cast("long").alias("n"), same.alias("same"))
+
+
+@query("select c_custkey, c_mktsegment from customer where c_custkey in (select o_custkey from orders where o_orderstatus = 'F')")
+def used_shapes_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    used = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, sf_dir, "customer").join(used, "c_custkey", "left_semi").select("c_custkey", "c_mktsegment")
+
+
+@query("select n_name, coalesce(n, 0) as suppliers, coalesce(top, '') as top from nation left join (select s_nationkey, count(*) as n, string_agg(s_name, ',' order by s_name) filter (where rn <= 3) as top from (select *, row_number() over (partition by s_nationkey order by s_acctbal desc, s_suppkey) as rn from supplier) group by s_nationkey) on s_nationkey = n_nationkey")
+def dense_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every nation with its count of suppliers and the three with the largest balance."""
+    w = Window.partitionBy("s_nationkey").orderBy(F.desc("s_acctbal"), "s_suppkey")
+    s = table(spark, sf_dir, "supplier")
+    top = s.withColumn("rn", F.row_number().over(w)).where("rn <= 3").groupBy("s_nationkey").agg(F.array_join(F.array_sort(F.collect_list("s_name")), ",").alias("top"))
+    n = s.groupBy("s_nationkey").agg(F.count("*").alias("suppliers")).join(top, "s_nationkey")
+    j = table(spark, sf_dir, "nation").join(F.broadcast(n), F.col("n_nationkey") == F.col("s_nationkey"), "left")
+    return j.select("n_name", F.coalesce("suppliers", F.lit(0)).alias("suppliers"), F.coalesce("top", F.lit("")).alias("top"))
+
+
+@query("select event_id, event_type, cast(props->>'k' as bigint) as k from events")
+def json_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+INGEST_SQL = FX + """, w as (select event_id, vehicle, vendor, t, seen_at, lat, lon, service, heading, sentido from fx where event_id % 13 <> 0 and event_id % 17 <> 0)"""
+
+
+@query(INGEST_SQL + " select vehicle, vendor, t, round(lat, 6) as lat, round(lon, 6) as lon, case when heading > 0 and heading <= 360 then heading end as heading, service, sentido as dir, event_id % 5 = 0 or vendor = 'sonda' as brt from w")
+def ingest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixes written as pages of the aggregator's JSON and parsed back: rows without id or place go, blanks become null."""
+    fx = fixture.fixes(spark, sf_dir)
+    row = F.struct(
+        F.when(F.col("event_id") % 13 == 0, " ").otherwise(F.col("vehicle")).alias("id_veiculo"), F.initcap("vendor").alias("fornecedor"), F.when(F.col("event_id") % 5 == 0, "BRT").otherwise("onibus").alias("modo"), F.coalesce("service", F.lit("")).alias("servico"),
+        F.upper(F.coalesce("sentido", F.lit(""))).alias("sentido"), F.when(F.col("event_id") % 17 != 0, F.round("lat", 6)).alias("latitude"), F.round("lon", 6).alias("longitude"), F.coalesce("heading", F.lit(0.0)).alias("direcao"),
+        F.date_format(F.timestamp_seconds("t"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("datetime"), F.date_format(F.timestamp_seconds("seen_at"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("datetime_servidor"),
+    )
+    page = fx.groupBy(F.expr("event_id div 500").alias("page")).agg(F.to_json(F.struct(F.lit("2027-01-15T08:00:00Z").alias("minuto_utc"), F.collect_list(row).alias("data"))).alias("value"))
+    rows = feeds.fixes_of_pages(page.select("value"))
+    return rows.select("vehicle", "vendor", "t", "lat", "lon", "heading", "service", "dir", "brt")
