@@ -85,6 +85,7 @@ class Vehicle:
         d = json.loads(text)
         d["beam"], d["fixed"] = [Hyp(*h) for h in d["beam"]], Hyp(*d["fixed"]) if d["fixed"] else None
         d["units"] = {k: tuple(v) for k, v in d["units"].items()}
+        d |= {k: tuple(d[k]) if d[k] else None for k in ("sampled", "moved")}
         return cls(**d)
 
     def dump(self) -> str:

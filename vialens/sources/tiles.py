@@ -161,7 +161,7 @@ def tile_features(archives: DataFrame) -> DataFrame:
                 rows = []
                 for z, x, y, tile in archive_tiles(bytes(c)):
                     for f in features(tile):
-                        rows.append({"z": z, "x": x, "y": y, **f, "props": list(f["props"].items()), "parts": [[{"x": a, "y": o} for a, o in p] for p in f["parts"]]})
+                        rows.append({"z": z, "x": x, "y": y, **f, "parts": [[{"x": a, "y": o} for a, o in p] for p in f["parts"]]})
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in ("z", "x", "y", "layer", "geom_type", "extent", "props", "parts")])
 
     return archives.select("content").mapInPandas(decode, FEATURE)
