@@ -93,21 +93,46 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     return _settle(placed)
 
 
-def _settle(placed: DataFrame, rounds: int = 6, close: float = 0.001) -> DataFrame:
-    """Moves one document a source and round by a copy, the one whose size comes closest to what the source's words miss,
-    until all sources are ``close`` or the rounds are over."""
+def _misses(placed: DataFrame) -> tuple[DataFrame, float]:
+    """``m`` (source) and ``miss``, the words that the target has more than the mix takes; and the largest share of a target."""
+    over = placed.groupBy("source", "target").agg(F.sum(F.col("copies") * F.col("size")).alias("got"))
+    miss = written(over.select(F.col("source").alias("m"), (F.col("target") - F.col("got")).alias("miss"), "target"), "misses")
+    return small(miss.drop("target")), miss.where("target > 0").agg(F.max(F.abs("miss") / F.col("target"))).first()[0] or 0.0
+
+
+def _room() -> Column:
+    """Whether a document can be moved by a copy towards its source's target without passing it."""
+    free = F.when(F.col("miss") > 0, F.col("copies") < MOST).otherwise(F.col("copies") > 0)
+    return free & (F.col("size") > 0) & (F.col("size") <= F.abs("miss"))
+
+
+def _settle(placed: DataFrame, rounds: int = 4, close: float = 0.001) -> DataFrame:
+    """Brings each source's words closer to its target where one long document was rounded: first many documents move by a
+    copy at an equal rate, rounded along the order again; then single ones, those whose sizes come closest to what is missed."""
+    names = placed.columns
+    for _ in range(rounds):
+        miss, worst = _misses(placed)
+        if worst <= 10 * close:
+            break
+        met = placed.join(miss, F.col("source").eqNullSafe(F.col("m")))
+        able = small(written(met.where(_room()).groupBy("source").agg(F.sum("size").alias("able")), "able")).withColumnRenamed("source", "a")
+        met = met.join(able, F.col("source").eqNullSafe(F.col("a")), "left")
+        rate = F.when(_room(), F.least(F.lit(1.0), F.abs("miss") / F.col("able"))).otherwise(0.0)
+        met = met.select(*names, F.signum("miss").cast("int").alias("move"), F.floor(rate * UNIT).cast("long").alias("rate"))
+        met = ordered_prefix(met, ["ordinal"], ["rate"], "bulk")
+        moved = F.col("copies") + F.col("move") * F.expr(f"((rate_before + rate) div {UNIT} - rate_before div {UNIT})")
+        placed = written(met.select(*(moved.cast("int").alias(c) if c == "copies" else c for c in names)), "placed")
     for _ in range(rounds):
-        over = placed.groupBy("source", "target").agg(F.sum(F.col("copies") * F.col("size")).alias("got"))
-        miss = written(over.select(F.col("source").alias("m"), (F.col("target") - F.col("got")).alias("miss"), "target"), "misses")
-        if (miss.where("target > 0").agg(F.max(F.abs("miss") / F.col("target"))).first()[0] or 0.0) <= close:
+        miss, worst = _misses(placed)
+        if worst <= close:
             break
-        room = F.when(F.col("miss") > 0, F.col("copies") < MOST).otherwise(F.col("copies") > 0)
         left = F.abs(F.abs("miss") - F.col("size"))
-        tried = placed.join(small(miss.drop("target")), F.col("source").eqNullSafe(F.col("m"))).where(room & (left < F.abs("miss")))
+        free = F.when(F.col("miss") > 0, F.col("copies") < MOST).otherwise(F.col("copies") > 0)
+        tried = placed.join(miss, F.col("source").eqNullSafe(F.col("m"))).where(free & (left < F.abs("miss")))
         best = tried.groupBy("source").agg(F.min(F.struct(left.alias("left"), "ordinal", F.signum("miss").cast("int").alias("move"))).alias("b"))
         best = small(written(best.select(F.col("b.ordinal").alias("o"), F.col("b.move").alias("move")), "moves"))
         moved = placed.join(best, F.col("ordinal") == F.col("o"), "left")
-        placed = moved.select(*((F.col("copies") + F.coalesce("move", F.lit(0))).alias(c) if c == "copies" else c for c in placed.columns))
+        placed = moved.select(*((F.col("copies") + F.coalesce("move", F.lit(0))).alias(c) if c == "copies" else c for c in names))
     return placed.withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
 
 
