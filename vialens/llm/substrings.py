@@ -118,7 +118,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, hot: int = 100_000, ch
             flat = lambda xs: pa.array(np.concatenate([np.zeros(0, np.int64), *xs]).astype(np.int64))
             yield pa.RecordBatch.from_arrays([flat(grams), flat(counts), flat(keys)], names=["gram", "n", "row_key"])
 
-    indexed = docs.select("row_key", "text").mapInArrow(index, "gram bigint, n bigint, row_key bigint")
+    indexed = written(docs.select("row_key", "text").mapInArrow(index, "gram bigint, n bigint, row_key bigint"), "index")  # read twice
     repeated = written(indexed.groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram", (F.col("n") > hot).alias("hot")), "grams")
     mine = indexed.select("gram", "row_key").join(repeated, "gram").groupBy("row_key").agg(F.collect_set("gram").alias("grams"), F.collect_set(F.when(F.col("hot"), F.col("gram"))).alias("hot_grams"))
     found = docs.join(mine, "row_key")
@@ -189,7 +189,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, hot: int = 100_000, ch
     spans = written(spans, "spans")
     done = spans.where("deep is null").select("row_key", "first", "after")
     deep = spans.where("deep is not null")
-    twice = deep.groupBy("deep").count().where("count > 1").select("deep")
+    twice = written(deep.groupBy("deep").count().where("count > 1").select("deep"), "twice")  # as a table, so that the join's hot windows are split
     return done.union(deep.join(twice, "deep").select("row_key", "first", "after"))
 
 
@@ -220,4 +220,3 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, hot: int = 100_000) ->
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([r[0] for r in out], pa.binary()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.int64())], names=["doc_id", "kept", "n_words", "n_removed"])
 
     return joined.mapInArrow(cut, "doc_id bigint, kept binary, n_words bigint, n_removed bigint")
-
