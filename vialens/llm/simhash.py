@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vialens.llm.common import written
+from vialens.llm.common import small, written
 from vialens.llm.components import components
 
 BITS = 64
@@ -224,20 +225,41 @@ def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def _marks(docs: DataFrame) -> DataFrame:
-    """``row_key, class, fp`` of each row: a hash of its lower-cased words in turn, and the fingerprint of its distinct words."""
+#: Odd multipliers of the 128 orders of shingles that a sketch takes the least of.
+_ORDERS = np.random.default_rng(128).integers(0, 1 << 31, 128, np.uint32) * np.uint32(2) + np.uint32(1)
+
+
+def sketch(hashes: np.ndarray) -> tuple[int, int]:
+    """128 bits, each from the least hash of a set in an order of its own: sets of Jaccard similarity J agree in (1 + J) / 2 of them."""
+    h, least = (hashes >> np.uint64(32)).astype(np.uint32), np.full(len(_ORDERS), 0xFFFFFFFF, np.uint32)
+    for k in range(0, len(h), 1024):
+        least = np.minimum(least, (h[k : k + 1024, None] * _ORDERS).min(0))
+    return tuple(np.packbits((least >> np.uint32(6)).astype(np.uint8) & 1).view(">i8").tolist())
+
+
+def most_apart(similarity: float, deviations: float = 3.5) -> int:
+    """Differing bits of two sketches at most, by their mean and ``deviations`` standard deviations at the least similarity."""
+    n, p = len(_ORDERS), (1 - similarity) / 2
+    return int(n * p + deviations * (n * p * (1 - p)) ** 0.5) + 1
+
+
+def _marks(docs: DataFrame, shingle_words: int) -> DataFrame:
+    """``row_key, class, fp, s0, s1`` of each row: a hash of its lower-cased words in turn, the fingerprint of its distinct words
+    and the sketch of its shingles."""
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
-                b, classes, fps = batch.slice(k, 1000), [], []
+                b, classes, fps, sketches = batch.slice(k, 1000), [], [], []
                 for t in b.column("text").to_pylist():
                     words = (t or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
                     classes.append(xxhash.xxh64_intdigest(b" ".join(words), 7))
                     fps.append(fingerprint(np.asarray([xxhash.xxh64_intdigest(w, 42) for w in set(words)], np.uint64)))
-                yield pa.RecordBatch.from_arrays([b.column("row_key"), pa.array(np.asarray(classes, np.uint64).view(np.int64)), pa.array(fps, pa.int64())], names=["row_key", "class", "fp"])
+                    sketches.append(sketch(shingle_hashes(t, shingle_words)))
+                columns = [pa.array(np.asarray(classes, np.uint64).view(np.int64)), pa.array(fps, pa.int64()), *(pa.array([x[j] for x in sketches], pa.int64()) for j in range(2))]
+                yield pa.RecordBatch.from_arrays([b.column("row_key"), *columns], names=["row_key", "class", "fp", "s0", "s1"])
 
-    return docs.select("row_key", "text").mapInArrow(marked, "row_key bigint, class bigint, fp bigint")
+    return docs.select("row_key", "text").mapInArrow(marked, "row_key bigint, class bigint, fp bigint, s0 bigint, s1 bigint")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
@@ -254,7 +276,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle_words: int, similarity
                 ok.append(both >= similarity * max(1, len(mine) + len(other) - both))
             yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(ok, pa.bool_())), b.column("b").filter(pa.array(ok, pa.bool_()))], names=["a", "b"])
 
-    wide = pairs.join(texts.select(F.col("class").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("class").alias("b"), F.col("text").alias("y")), "b")
+    # b first: its text goes to a's, so that the text of a group's leader isn't sent again for every member
+    wide = pairs.join(texts.select(F.col("class").alias("b"), F.col("text").alias("y")), "b").join(texts.select(F.col("class").alias("a"), F.col("text").alias("x")), "a")
     return wide.select("a", "b", "x", "y").mapInArrow(alike, "a bigint, b bigint")
 
 
@@ -262,20 +285,30 @@ def one_of_each_group(docs: DataFrame, shingle_words: int = 5, similarity: float
     """``docs`` with one row of each group of near-duplicates: that with the least doc_id (null last).
 
     Candidates are texts whose fingerprints of distinct words differ in ``most`` bits at most, found by the generalised
-    pigeonhole; they are verified by the Jaccard similarity of their sets of ``shingle_words``-word shingles. Groups are the
-    components of verified links; texts with equal lower-cased words are one class from the start. Null texts and texts
-    without words form one group; of repeated rows one stays; all columns are kept; an empty table stays empty.
+    pigeonhole, and whose sketches of shingles don't rule the similarity out; they are verified by the Jaccard similarity of
+    their sets of ``shingle_words``-word shingles. Texts with equal lower-cased words are one class from the start. First each
+    class is held against the closest leader of a crowded key, so that a large group becomes one component by a link a member;
+    then all candidates in different components are probed and verified. Groups are the components of verified links.
+    Null texts and texts without words form one group; of repeated rows one stays; all columns are kept; an empty table stays empty.
     """
     names = docs.columns
     keyed = docs.withColumn("row_key", F.xxhash64(*names))
-    marks = written(_marks(keyed).join(keyed.select("row_key", F.col("doc_id").cast("long").alias("id")).distinct(), "row_key"), "marks")
-    classes = written(marks.groupBy("class").agg(F.first("fp").alias("fp"), F.min("row_key").alias("row_key")), "classes")
-    pairs = written(_near_pairs(classes.select("class", "fp"), most), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes, "class").select("class", "row_key")
-    texts = keyed.select("row_key", "text").join(wanted, "row_key").groupBy("class").agg(F.first("text").alias("text"))
-    nodes = components(_verified(pairs, texts, shingle_words, similarity))
+    marks = written(_marks(keyed, shingle_words).join(keyed.select("row_key", F.col("doc_id").cast("long").alias("id")).distinct(), "row_key"), "marks")
+    classes = written(marks.groupBy("class").agg(F.min(F.struct("row_key", "fp", "s0", "s1")).alias("m")).select("class", "m.*"), "classes")
+    parts, apart = plan_parts(classes.select("fp"), most), most_apart(similarity)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs, "pairs")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes, "class").select("class", "row_key")
+        texts = keyed.select("row_key", "text").dropDuplicates(["row_key"]).join(wanted, "row_key").select("class", "text")
+        return written(_verified(pairs, texts, shingle_words, similarity), "links")
+
+    led = verified(_leader_pairs(classes, parts, most, apart))
+    roots = components(led)
+    rooted = classes.join(roots, classes["class"] == roots["node"], "left").select("class", "fp", "s0", "s1", F.coalesce("root", "class").alias("root"))
+    nodes = components(led.union(verified(_pairs_across(written(rooted, "rooted"), parts, most, apart))))
     named = marks.join(nodes, marks["class"] == nodes["node"], "left").withColumn("root", F.coalesce("root", "class"))
-    best = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row_key")).alias("m"), F.count("*").alias("n"))
+    best = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row_key")).alias("m"))
     stay = written(best.select(F.col("m.row_key").alias("row_key")), "stay")
     out = keyed.join(stay, "row_key", "left_semi")
     if marks.groupBy("row_key").count().where("count > 1").limit(1).count():
@@ -283,11 +316,39 @@ def one_of_each_group(docs: DataFrame, shingle_words: int = 5, similarity: float
     return out.select(*names)
 
 
-def _near_pairs(classes: DataFrame, most: int) -> DataFrame:
-    """Pairs (a < b) of classes whose fingerprints differ in at most ``most`` bits."""
-    parts = plan_parts(classes.select("fp"), most)
-    put = lambda masks: F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseXOR(F.lit(m)).bitwiseAND(F.lit(p.mask)).alias("v")) for k, p in enumerate(parts) for m in masks(p))))
-    stored = classes.select("class", "fp", put(lambda p: [0]).alias("x")).select("class", "fp", "x.*").alias("s")
-    probes = classes.select("class", "fp", put(lambda p: _flips(p.bits, p.most)).alias("x")).select("class", "fp", "x.*").alias("p")
-    near = stored.join(probes, ["k", "v"]).where("s.class < p.class").where(F.bit_count(F.expr("s.fp ^ p.fp")) <= most)
+def _alike(most: int, apart: int) -> Column:
+    """Whether rows s and p are candidates, by their fingerprints and sketches."""
+    return (F.bit_count(F.expr("s.fp ^ p.fp")) <= most) & (F.bit_count(F.expr("s.s0 ^ p.s0")) + F.bit_count(F.expr("s.s1 ^ p.s1")) <= apart)
+
+
+def _at_parts(classes: DataFrame, parts: list[Part], masks: Callable[[Part], list[int]]) -> DataFrame:
+    """``classes`` once for each part and each of its masks, with the key ``k, v``: the part's bits, flipped by the mask."""
+    keys = [F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseXOR(F.lit(m)).bitwiseAND(F.lit(p.mask)).alias("v")) for k, p in enumerate(parts) for m in masks(p)]
+    return classes.select("*", F.explode(F.array(*keys)).alias("x")).select(*classes.columns, "x.*")
+
+
+def _leader_pairs(classes: DataFrame, parts: list[Part], most: int, apart: int, crowd: int = 8) -> DataFrame:
+    """Pairs of a leader ``a`` and a class ``b``, one a class at most: of the leaders of all keys that it probes, the candidate with
+    the closest sketch. A key with ``crowd`` classes or more has a leader, the one closest to the majority of their sketches' bits,
+    so that of copies edited at random the text they stem from leads, if it is there."""
+    held = _at_parts(classes, parts, lambda p: [0])
+    bits = [(c, j, f"{c}_{j}") for c in ("s0", "s1") for j in range(64)]
+    crowded = held.groupBy("k", "v").count().where(F.col("count") >= crowd)
+    held = written(held.join(crowded, ["k", "v"]), "crowded")
+    sums = held.groupBy("k", "v").agg(F.first("count").alias("n"), *(F.sum(F.shiftright(c, j).bitwiseAND(F.lit(1))).alias(name) for c, j, name in bits))
+    bit = lambda j, name: F.when(2 * F.col(name) > F.col("n"), F.lit(1 << j if j < 63 else -(1 << 63))).otherwise(F.lit(0).cast("long"))
+    middle = written(sums.select("k", "v", *(reduce(Column.bitwiseOR, [bit(j, name) for d, j, name in bits if d == c]).alias(f"m{c[1]}") for c in ("s0", "s1"))), "middle")
+    off = F.bit_count(F.expr("s0 ^ m0")) + F.bit_count(F.expr("s1 ^ m1"))
+    first = held.join(middle, ["k", "v"]).groupBy("k", "v").agg(F.min(F.struct(off.alias("off"), "class", "fp", "s0", "s1")).alias("l")).select("k", "v", "l.*")
+    leaders = small(written(first, "leaders")).alias("s")
+    met = _at_parts(classes, parts, lambda p: _flips(p.bits, p.most)).alias("p").join(leaders, ["k", "v"]).where((F.col("s.class") != F.col("p.class")) & _alike(most, apart))
+    between = F.bit_count(F.expr("s.s0 ^ p.s0")) + F.bit_count(F.expr("s.s1 ^ p.s1"))
+    met = met.groupBy(F.col("p.class").alias("b")).agg(F.min(F.struct(between.alias("between"), F.col("s.class").alias("a"))).alias("m"))
+    return met.select("m.a", "b")
+
+
+def _pairs_across(classes: DataFrame, parts: list[Part], most: int, apart: int) -> DataFrame:
+    """All candidates (a < b) with different ``root``."""
+    stored, probes = _at_parts(classes, parts, lambda p: [0]), _at_parts(classes, parts, lambda p: _flips(p.bits, p.most))
+    near = stored.alias("s").join(probes.alias("p"), ["k", "v"]).where((F.col("s.root") != F.col("p.root")) & (F.col("s.class") < F.col("p.class")) & _alike(most, apart))
     return near.select(F.col("s.class").alias("a"), F.col("p.class").alias("b")).distinct()
