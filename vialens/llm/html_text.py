@@ -79,6 +79,17 @@ LABELLED = """
  25 0.00   3 1.00  70 0.00  0 1 0
  10 0.00  60 0.00   0 0.00  0 1 0
  14 0.30  10 0.00   8 1.00  0 2 0
+ 16 0.00   0 0.00   0 0.00  0 0 1
+ 24 0.00   0 0.00   0 0.00  0 0 1
+ 60 0.00   0 0.00   0 0.00  0 0 1
+  2 0.00   0 0.00   0 0.00  0 0 0
+  4 0.00   0 0.00   0 0.00  0 0 0
+ 18 0.00   0 0.00  22 0.00  0 0 1
+ 15 0.00  20 0.00   0 0.00  0 0 1
+  6 0.00   0 0.00   0 0.00  1 0 1
+  2 0.00   2 1.00   3 1.00  1 0 1
+  4 1.00   5 1.00   2 1.00  1 0 1
+ 14 0.80  20 0.90   2 1.00  1 0 1
 """
 # Element names of HTML.
 INLINE = set("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
