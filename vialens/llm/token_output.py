@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,32 +22,72 @@ _tokenizers: dict[str, tuple] = {}
 
 
 def _tokenizer(path: str) -> tuple:
-    """The tokenizer of a file and its kept words; a worker loads it once."""
+    """The tokenizer of a file, its kept words, and which ids end a word (none if it doesn't say so); a worker loads it once."""
     if path not in _tokenizers:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task a core already
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True
-        _tokenizers[path] = (t, {})
+        suffix = getattr(t.model, "end_of_word_suffix", None)
+        closes = np.zeros(t.get_vocab_size() if suffix else 0, bool)
+        if suffix:
+            closes[[i for w, i in t.get_vocab().items() if w.endswith(suffix) and i < len(closes)]] = True
+        _tokenizers[path] = (t, {}, closes)
     return _tokenizers[path]
 
 
-def encode_texts(texts: list[str], path: str) -> list[bytes]:
-    """The ids of each text as little-endian 32-bit integers.
+def _encode_words(words: list[str], path: str, together: int = 2000) -> Iterator[tuple[str, bytes]]:
+    """Each word with its ids. Words of letters alone are encoded many at once and parted after the ids that end a word;
+    where these are not as many as the words, and for all other words, each is encoded by itself."""
+    tokenizer, _, closes = _tokenizer(path)
+    plain = [w for w in words if w.isalpha()] if len(closes) else []
+    alone = [w for w in words if not w.isalpha()] if len(closes) else words
+    groups = [plain[k : k + together] for k in range(0, len(plain), together)]
+    for group, e in zip(groups, tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+        ids = np.asarray(e.ids, "<i4")
+        cuts = ((np.flatnonzero(closes[ids]) + 1) * 4).tolist()
+        if len(cuts) != len(group):
+            alone += group
+            continue
+        data = ids.tobytes()
+        yield from zip(group, map(data.__getitem__, map(slice, [0, *cuts[:-1]], cuts)), strict=True)
+    for w, e in zip(alone, tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
+        yield w, np.asarray(e.ids, "<i4").tobytes()
+
+
+def encode_batch(texts: list[str] | pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts in turn, and each text's number of ids.
 
     The tokenizer drops white space and never joins characters across it, so a text's ids are those of its words in
-    turn; each word is encoded once by the library and kept. (A test holds this against encoding of whole texts.)
+    turn: the batch's distinct words are encoded by the library, and placed by numpy. (A test holds this against encoding
+    of whole texts.)
     """
-    tokenizer, kept = _tokenizer(path)
-    parts = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-    new = list({w for p in parts for w in p if w not in kept})
-    extra: dict[bytes, bytes] = {}
-    for k in range(0, len(new), 50_000):
-        some = new[k : k + 50_000]
-        coded = tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
-        for w, e in zip(some, coded, strict=True):
-            (kept if len(kept) < KEPT_WORDS else extra)[w] = np.asarray(e.ids, "<i4").tobytes()
-    return [b"".join([kept.get(w) or extra.get(w, b"") for w in p]) for p in parts]
+    kept = _tokenizer(path)[1]
+    words = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+    counts = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = words.flatten().dictionary_encode()
+    distinct = coded.dictionary.to_pylist()
+    found = list(map(kept.get, distinct))
+    coded_new = dict(_encode_words([w for w, x in zip(distinct, found, strict=True) if x is None], path))
+    found = [coded_new[w] if x is None else x for w, x in zip(distinct, found, strict=True)]
+    kept.update(itertools.islice(coded_new.items(), max(0, KEPT_WORDS - len(kept))))
+    size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+    start = np.cumsum(size) - size
+    pool = np.frombuffer(b"".join(found), "<i4")
+    at = coded.indices.to_numpy(zero_copy_only=False)
+    each = size[at]
+    ends = np.concatenate([[0], np.cumsum(each)])
+    ids = pool[np.repeat(start[at] - ends[:-1], each) + np.arange(ends[-1])]
+    last = np.concatenate([[0], np.cumsum(counts)])
+    return ids, np.diff(ends[last])
+
+
+def encode_texts(texts: list[str], path: str) -> list[bytes]:
+    """The ids of each text as little-endian 32-bit integers."""
+    ids, sizes = encode_batch(texts, path)
+    ends = np.cumsum(sizes)
+    return [ids[i:j].tobytes() for i, j in zip(ends - sizes, ends, strict=True)]
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, stripe_mb: int = 16, index_stride: int = 1000) -> None:
@@ -60,14 +103,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, stripe
     rows = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, at, end = TaskContext.get().partitionId(), 0, np.asarray([end_id], "<i4").tobytes()
+        part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                b = batch.slice(k, 1000)
-                coded = [x + end for x in encode_texts(b.column("text").to_pylist(), tokenizer)]
-                sizes = np.asarray([len(x) // 4 for x in coded], np.int64)
-                ends = np.concatenate([[0], np.cumsum(sizes)])
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(coded), "<i4"), pa.int32()))
+            for k in range(0, batch.num_rows, 2000):
+                b = batch.slice(k, 2000)
+                coded, sizes = encode_batch(b.column("text"), tokenizer)
+                coded = np.insert(coded, np.cumsum(sizes), end_id)
+                ends = np.concatenate([[0], np.cumsum(sizes + 1)])
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(coded, pa.int32()))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, part, np.int32)), b.column("doc_id"), pa.array(ends[:-1] + at), ids], names=["part", "doc_id", "part_start", "ids"])
                 at += int(ends[-1])
 
