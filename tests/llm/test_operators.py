@@ -320,6 +320,45 @@ def test_one_of_each_group(corpus):
     assert len({130, 131, 132} & set(ids)) == 1
 
 
+def test_one_of_each_group_against_all_pairs(spark):
+    """Copies with words appended, cut, a block replaced and scattered edits, near 0.8 on both sides, and a crowd of copies of one text."""
+    rng = random.Random(12)
+    new = lambda n: [f"w{int(rng.paretovariate(0.7)) % 3000}" for _ in range(n)]
+    texts, kinds = [], []
+    for n in (60, 200, 600):
+        for _ in range(8):
+            base = new(n)
+            cut, at = round(n * rng.uniform(0.1, 0.22)), rng.randrange(n // 2)
+            block = round(n * rng.uniform(0.04, 0.11))
+            copies = {"appended": base + new(round(n * rng.uniform(0.1, 0.27))), "cut": base[cut:], "block": base[:at] + new(block) + base[at + block :]}
+            copies["scattered"] = [x if rng.random() > 0.022 else "edit" + x for x in base]
+            for kind, copy in copies.items():  # each beside a base of its own, so that no other copy connects them
+                tag = [f"{kind}{len(texts)}x{x}" for x in base]
+                texts += [" ".join(tag), " ".join(dict(zip(base, tag, strict=True)).get(x, x) for x in copy)]
+                kinds += [kind, kind]
+    crowd = new(150)
+    texts += [" ".join(x if rng.random() > 0.02 else f"e{rng.random()}" for x in crowd) for _ in range(40)]
+    sets = [frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) for w in map(str.split, texts)]
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    near = collections.Counter()
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                near[kinds[i] if i < len(kinds) else "crowd"] += 1
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    assert min(near[k] for k in ("appended", "cut", "block", "scattered", "crowd")) >= 5
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.one_of_each_group(df).collect()} == {i for i in range(len(texts)) if root(i) == i}
+
+
 # 8. quality
 
 

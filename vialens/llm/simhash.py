@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vialens.llm.common import small, written
 from vialens.llm.components import components
@@ -225,41 +225,50 @@ def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-#: Odd multipliers of the 128 orders of shingles that a sketch takes the least of.
-_ORDERS = np.random.default_rng(128).integers(0, 1 << 31, 128, np.uint32) * np.uint32(2) + np.uint32(1)
+def least_overlap(similarity: float, n: Column | int, m: Column | int) -> Column:
+    """Shared elements that sets of ``n`` and ``m`` elements have at least if their Jaccard similarity is ``similarity`` or more."""
+    return F.ceil(similarity / (1 + similarity) * (n + m) - 1e-9)
 
 
-def sketch(hashes: np.ndarray) -> tuple[int, int]:
-    """128 bits, each from the least hash of a set in an order of its own: sets of Jaccard similarity J agree in (1 + J) / 2 of them."""
-    h, least = (hashes >> np.uint64(32)).astype(np.uint32), np.full(len(_ORDERS), 0xFFFFFFFF, np.uint32)
-    for k in range(0, len(h), 1024):
-        least = np.minimum(least, (h[k : k + 1024, None] * _ORDERS).min(0))
-    return tuple(np.packbits((least >> np.uint32(6)).astype(np.uint8) & 1).view(">i8").tolist())
+def _common(docs: DataFrame, shingle_words: int, sample: int = 20_000, least: int = 4, most_held: int = 65_536) -> np.ndarray:
+    """Hashes of shingles that ``least`` or more of about ``sample`` texts share, the rarest first, of the most frequent ones ``most_held``.
+    They only order the shingles; any order finds the same pairs."""
+    rate = max(1, docs.count() // sample)
 
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 1000):
+                h = [np.unique(shingle_hashes(t, shingle_words)) for t in b.column("text").slice(k, 1000).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64))], names=["h"])
 
-def most_apart(similarity: float, deviations: float = 3.5) -> int:
-    """Differing bits of two sketches at most, by their mean and ``deviations`` standard deviations at the least similarity."""
-    n, p = len(_ORDERS), (1 - similarity) / 2
-    return int(n * p + deviations * (n * p * (1 - p)) ** 0.5) + 1
+    some = docs.where(F.pmod("row_key", F.lit(rate)) == 0).select("text")
+    counts = some.mapInArrow(hashed, "h bigint").groupBy("h").count().where(F.col("count") >= least)
+    rows = counts.orderBy(F.desc("count"), "h").limit(most_held).collect()  # 65,536 numbers at most
+    return np.asarray([r["h"] for r in reversed(rows)], np.int64).view(np.uint64)
 
 
-def _marks(docs: DataFrame, shingle_words: int) -> DataFrame:
-    """``row_key, class, fp, s0, s1`` of each row: a hash of its lower-cased words in turn, the fingerprint of its distinct words
-    and the sketch of its shingles."""
+def _marks(docs: DataFrame, shingle_words: int, similarity: float, common: np.ndarray) -> DataFrame:
+    """``row_key, id, class, n, keys`` of each row: a hash of its lower-cased words in turn, the number of its distinct shingles, and the
+    rarest of them: so many that any two sets of the similarity share one, whichever is the larger."""
+    by_hash = np.argsort(common)
+    ordered = common[by_hash]
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
-                b, classes, fps, sketches = batch.slice(k, 1000), [], [], []
+                b, classes, sizes, keys = batch.slice(k, 1000), [], [], []
                 for t in b.column("text").to_pylist():
-                    words = (t or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-                    classes.append(xxhash.xxh64_intdigest(b" ".join(words), 7))
-                    fps.append(fingerprint(np.asarray([xxhash.xxh64_intdigest(w, 42) for w in set(words)], np.uint64)))
-                    sketches.append(sketch(shingle_hashes(t, shingle_words)))
-                columns = [pa.array(np.asarray(classes, np.uint64).view(np.int64)), pa.array(fps, pa.int64()), *(pa.array([x[j] for x in sketches], pa.int64()) for j in range(2))]
-                yield pa.RecordBatch.from_arrays([b.column("row_key"), *columns], names=["row_key", "class", "fp", "s0", "s1"])
+                    classes.append(xxhash.xxh64_intdigest(b" ".join((t or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()), 7))
+                    h = np.unique(shingle_hashes(t, shingle_words))
+                    sizes.append(len(h))
+                    if len(ordered):
+                        at = np.minimum(np.searchsorted(ordered, h), len(ordered) - 1)
+                        h = h[np.argsort(np.where(ordered[at] == h, by_hash[at] + 1, 0), kind="stable")]
+                    keys.append(h[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1].view(np.int64))
+                columns = [pa.array(np.asarray(classes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([b.column("row_key"), b.column("id"), *columns], names=["row_key", "id", "class", "n", "keys"])
 
-    return docs.select("row_key", "text").mapInArrow(marked, "row_key bigint, class bigint, fp bigint, s0 bigint, s1 bigint")
+    return docs.select("row_key", F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(marked, "row_key bigint, id bigint, class bigint, n int, keys array<bigint>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
@@ -281,74 +290,69 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle_words: int, similarity
     return wide.select("a", "b", "x", "y").mapInArrow(alike, "a bigint, b bigint")
 
 
-def one_of_each_group(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, most: int = 7) -> DataFrame:
+def one_of_each_group(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: that with the least doc_id (null last).
 
-    Candidates are texts whose fingerprints of distinct words differ in ``most`` bits at most, found by the generalised
-    pigeonhole, and whose sketches of shingles don't rule the similarity out; they are verified by the Jaccard similarity of
-    their sets of ``shingle_words``-word shingles. Texts with equal lower-cased words are one class from the start. First each
-    class is held against the closest leader of a crowded key, so that a large group becomes one component by a link a member;
-    then all candidates in different components are probed and verified. Groups are the components of verified links.
-    Null texts and texts without words form one group; of repeated rows one stays; all columns are kept; an empty table stays empty.
+    Near-duplicates are texts whose sets of ``shingle_words``-word shingles have a Jaccard similarity of ``similarity`` or more; all
+    pairs of them are found. Candidates share one of their rarest shingles, so many of each as the similarity allows to differ
+    (prefix filtering), and their sizes and the shared shingle's places allow the similarity; they are verified. Texts with
+    equal lower-cased words are one class from the start. First each class is held against a leader of a crowded shingle, so that a
+    large group becomes one component by a link a member; then all candidates in different components are verified. Groups are
+    the components of verified links. Null texts and texts without words form one group; of repeated rows one stays; all columns
+    are kept; an empty table stays empty.
     """
     names = docs.columns
     keyed = docs.withColumn("row_key", F.xxhash64(*names))
-    marks = written(_marks(keyed, shingle_words).join(keyed.select("row_key", F.col("doc_id").cast("long").alias("id")).distinct(), "row_key"), "marks")
-    classes = written(marks.groupBy("class").agg(F.min(F.struct("row_key", "fp", "s0", "s1")).alias("m")).select("class", "m.*"), "classes")
-    parts, apart = plan_parts(classes.select("fp"), most), most_apart(similarity)
+    common = _common(keyed, shingle_words)
+    marks = written(_marks(keyed, shingle_words, similarity, common), "marks")
+    classes = written(marks.groupBy("class").agg(F.min(F.struct("row_key", "n", "keys")).alias("m")).select("class", "m.*"), "classes")
+    held = written(_shared_keys(classes), "held")
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = written(pairs, "pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes, "class").select("class", "row_key")
-        texts = keyed.select("row_key", "text").dropDuplicates(["row_key"]).join(wanted, "row_key").select("class", "text")
+        wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes.select("class", "row_key"), "class"), "wanted")
+        texts = keyed.select("row_key", "text").join(small(wanted), "row_key").dropDuplicates(["class"]).select("class", "text")
         return written(_verified(pairs, texts, shingle_words, similarity), "links")
 
-    led = verified(_leader_pairs(classes, parts, most, apart))
+    led = verified(_leader_pairs(held, similarity))
     roots = components(led)
-    rooted = classes.join(roots, classes["class"] == roots["node"], "left").select("class", "fp", "s0", "s1", F.coalesce("root", "class").alias("root"))
-    nodes = components(led.union(verified(_pairs_across(written(rooted, "rooted"), parts, most, apart))))
+    rooted = held.join(roots, held["class"] == roots["node"], "left").select(*held.columns, F.coalesce("root", "class").alias("root"))
+    nodes = components(led.union(verified(_pairs_across(written(rooted, "rooted"), similarity))))
     named = marks.join(nodes, marks["class"] == nodes["node"], "left").withColumn("root", F.coalesce("root", "class"))
     best = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row_key")).alias("m"))
-    stay = written(best.select(F.col("m.row_key").alias("row_key")), "stay")
-    out = keyed.join(stay, "row_key", "left_semi")
+    gone = named.join(best, "root").where(F.col("row_key") != F.col("m.row_key")).select("row_key").distinct()
+    out = keyed.join(small(written(gone, "gone")), "row_key", "left_anti")
     if marks.groupBy("row_key").count().where("count > 1").limit(1).count():
         out = out.dropDuplicates(["row_key"])
     return out.select(*names)
 
 
-def _alike(most: int, apart: int) -> Column:
-    """Whether rows s and p are candidates, by their fingerprints and sketches."""
-    return (F.bit_count(F.expr("s.fp ^ p.fp")) <= most) & (F.bit_count(F.expr("s.s0 ^ p.s0")) + F.bit_count(F.expr("s.s1 ^ p.s1")) <= apart)
+def _shared_keys(classes: DataFrame) -> DataFrame:
+    """``key, class, n, at, sharers``: the keys that two classes or more have, with the key's place in the class and its classes."""
+    each = classes.select("class", "n", F.posexplode("keys").alias("at", "key"))
+    return each.withColumn("sharers", F.count("*").over(Window.partitionBy("key"))).where("sharers > 1")
 
 
-def _at_parts(classes: DataFrame, parts: list[Part], masks: Callable[[Part], list[int]]) -> DataFrame:
-    """``classes`` once for each part and each of its masks, with the key ``k, v``: the part's bits, flipped by the mask."""
-    keys = [F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseXOR(F.lit(m)).bitwiseAND(F.lit(p.mask)).alias("v")) for k, p in enumerate(parts) for m in masks(p)]
-    return classes.select("*", F.explode(F.array(*keys)).alias("x")).select(*classes.columns, "x.*")
+def _may_match(similarity: float) -> Column:
+    """Whether the sizes of rows s and p allow the similarity, and the places of the key that they share allow it to be their first one.
+    The first shared key of two sets of the similarity is always in both places."""
+    overlap = least_overlap(similarity, F.col("s.n"), F.col("p.n"))
+    return (F.least("s.n", "p.n") >= overlap) & (F.col("s.at") <= F.col("s.n") - overlap) & (F.col("p.at") <= F.col("p.n") - overlap)
 
 
-def _leader_pairs(classes: DataFrame, parts: list[Part], most: int, apart: int, crowd: int = 8) -> DataFrame:
-    """Pairs of a leader ``a`` and a class ``b``, one a class at most: of the leaders of all keys that it probes, the candidate with
-    the closest sketch. A key with ``crowd`` classes or more has a leader, the one closest to the majority of their sketches' bits,
-    so that of copies edited at random the text they stem from leads, if it is there."""
-    held = _at_parts(classes, parts, lambda p: [0])
-    bits = [(c, j, f"{c}_{j}") for c in ("s0", "s1") for j in range(64)]
-    crowded = held.groupBy("k", "v").count().where(F.col("count") >= crowd)
-    held = written(held.join(crowded, ["k", "v"]), "crowded")
-    sums = held.groupBy("k", "v").agg(F.first("count").alias("n"), *(F.sum(F.shiftright(c, j).bitwiseAND(F.lit(1))).alias(name) for c, j, name in bits))
-    bit = lambda j, name: F.when(2 * F.col(name) > F.col("n"), F.lit(1 << j if j < 63 else -(1 << 63))).otherwise(F.lit(0).cast("long"))
-    middle = written(sums.select("k", "v", *(reduce(Column.bitwiseOR, [bit(j, name) for d, j, name in bits if d == c]).alias(f"m{c[1]}") for c in ("s0", "s1"))), "middle")
-    off = F.bit_count(F.expr("s0 ^ m0")) + F.bit_count(F.expr("s1 ^ m1"))
-    first = held.join(middle, ["k", "v"]).groupBy("k", "v").agg(F.min(F.struct(off.alias("off"), "class", "fp", "s0", "s1")).alias("l")).select("k", "v", "l.*")
-    leaders = small(written(first, "leaders")).alias("s")
-    met = _at_parts(classes, parts, lambda p: _flips(p.bits, p.most)).alias("p").join(leaders, ["k", "v"]).where((F.col("s.class") != F.col("p.class")) & _alike(most, apart))
-    between = F.bit_count(F.expr("s.s0 ^ p.s0")) + F.bit_count(F.expr("s.s1 ^ p.s1"))
-    met = met.groupBy(F.col("p.class").alias("b")).agg(F.min(F.struct(between.alias("between"), F.col("s.class").alias("a"))).alias("m"))
-    return met.select("m.a", "b")
+def _leader_pairs(held: DataFrame, similarity: float, crowd: int = 8) -> DataFrame:
+    """Pairs of a leader ``a`` and a class ``b``, one a class at most: of the leaders of its keys, the one that leads most of them.
+    A key with ``crowd`` classes or more has a leader: the class whose keys are shared most, so that of copies edited at random
+    the text they stem from leads, if it is there."""
+    shared = held.groupBy("class").agg((F.sum("sharers") / F.first("n")).alias("shared"))
+    crowded = written(held.where(F.col("sharers") >= crowd).join(shared, "class"), "crowded")
+    first = crowded.groupBy("key").agg(F.max(F.struct("shared", "class", "n", "at")).alias("l")).select("key", "l.class", "l.n", "l.at")
+    met = crowded.alias("p").join(written(first, "leaders").alias("s"), "key").where((F.col("s.class") != F.col("p.class")) & _may_match(similarity))
+    met = met.groupBy(F.col("p.class").alias("b"), F.col("s.class").alias("a")).agg(F.count("*").alias("led"))
+    return met.groupBy("b").agg(F.max(F.struct("led", "a")).alias("m")).select("m.a", "b")
 
 
-def _pairs_across(classes: DataFrame, parts: list[Part], most: int, apart: int) -> DataFrame:
+def _pairs_across(rooted: DataFrame, similarity: float) -> DataFrame:
     """All candidates (a < b) with different ``root``."""
-    stored, probes = _at_parts(classes, parts, lambda p: [0]), _at_parts(classes, parts, lambda p: _flips(p.bits, p.most))
-    near = stored.alias("s").join(probes.alias("p"), ["k", "v"]).where((F.col("s.root") != F.col("p.root")) & (F.col("s.class") < F.col("p.class")) & _alike(most, apart))
+    near = rooted.alias("s").join(rooted.alias("p"), "key").where((F.col("s.root") != F.col("p.root")) & (F.col("s.class") < F.col("p.class")) & _may_match(similarity))
     return near.select(F.col("s.class").alias("a"), F.col("p.class").alias("b")).distinct()
