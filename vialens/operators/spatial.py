@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vialens.constants import TENTATIVE_M
+from vialens.constants import PARKED_M, PARKED_S, TENTATIVE_M
 from vialens.functions import geo
 
 
@@ -52,3 +52,15 @@ def nearest(rows: DataFrame, key: str, by: list[str], n: int) -> DataFrame:
     """The first ``n`` rows of each key in the order of ``by``."""
     rn = F.row_number().over(Window.partitionBy(key).orderBy(*by))
     return rows.withColumn("__rn", rn).where(F.col("__rn") <= n).drop("__rn")
+
+
+def standing(fixes: DataFrame, before: int = PARKED_S // 2, after: int = PARKED_S // 2) -> DataFrame:
+    """``fixes`` (``vehicle, t, x, y``) with ``standing``: whether over half of the vehicle's fixes from ``before`` to ``after`` seconds
+    around, three at least, lie within ``PARKED_M`` of their median place. A single far fix of a standing vehicle counts with the others."""
+    w = Window.partitionBy("vehicle").orderBy("t").rangeBetween(-before, after)
+    seen = fixes.withColumns({"__x": F.collect_list("x").over(w), "__y": F.collect_list("y").over(w)})
+    middle = lambda c: F.element_at(F.array_sort(c), ((F.size(c) + 1) / 2).cast("int"))
+    # the median is a lambda's variable, so that it is found once a row and not once an element
+    near = lambda m: F.size(F.filter(F.arrays_zip("__x", "__y"), lambda f: geo.distance(f["__x"], f["__y"], m["x"], m["y"]) <= PARKED_M))
+    close = F.transform(F.array(F.struct(middle("__x").alias("x"), middle("__y").alias("y"))), near)[0]
+    return seen.withColumn("standing", (F.size("__x") >= 3) & (2 * close > F.size("__x"))).drop("__x", "__y")

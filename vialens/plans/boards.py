@@ -107,7 +107,7 @@ def nearby_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(FX + "," + LATEST_SQL + ", " + "shown as (select *, case when seen_at - t > 180 then 'stale' when vehicle >= 'V032' then 'parked' else 'live' end as phase from latest), i as (select * from shown where phase = 'live') select vehicle, service, cast(row_number() over (partition by service order by t desc, vehicle) as int) as place from i qualify row_number() over (partition by service order by t desc, vehicle) <= 3")
 def incoming_vehicles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three newest moving vehicles of each line that a map shows; parked and stale ones are hidden."""
-    rows = fixture.latest(fixture.fixes(spark, sf_dir)).where("seen_at - t <= 180 and vehicle < 'V032'")
+    rows = fixture.latest_standing(fixture.fixes(spark, sf_dir)).where("seen_at - t <= 180 and not standing")
     place = F.row_number().over(Window.partitionBy("service").orderBy(F.desc("t"), "vehicle"))
     return rows.withColumn("place", place).where("place <= 3").select("vehicle", "service", "place")
 

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vialens.constants import PARKED_S
 from vialens.functions import codes, geo
+from vialens.operators import spatial
 
 FIXES_SQL = """
 with b as (select event_id, event_type, value, event_id % 40 as v, cast((event_id - event_id % 40) / 40 as bigint) as k from {events}),
@@ -95,3 +97,10 @@ def latest(fx: DataFrame) -> DataFrame:
     g = good_fixes(fx)
     best = g.groupBy("vehicle").agg(F.max_by(F.struct(*[c for c in g.columns if c != "vehicle"]), F.struct("t", "event_id")).alias("f"))
     return best.select("vehicle", "f.*")
+
+
+def latest_standing(fx: DataFrame) -> DataFrame:
+    """``latest`` with whether each vehicle has stood in the time up to then."""
+    stood = spatial.standing(good_fixes(fx), before=PARKED_S, after=0)
+    best = stood.groupBy("vehicle").agg(F.max_by(F.struct(*[c for c in stood.columns if c != "vehicle"]), F.struct("t", "event_id")).alias("f"))
+    return best.select("vehicle", "f.*")

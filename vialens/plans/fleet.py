@@ -221,8 +221,8 @@ def newest_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
   cast(case when count(*) filter (where route_ix is not null and not yard and not stale) = 0 then 0 else least(count(*) filter (where heading is not null), count(*) filter (where route_ix is not null and not yard and not stale)) * 100 // count(*) filter (where route_ix is not null and not yard and not stale) end as bigint) as rate_pct from s""")
 def in_service_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = table(spark, sf_dir, "events").agg((F.lit(1800000000) + 20 * F.expr("max(event_id) div 40")).alias("now"))
-    rows = on_road(spark, sf_dir).join(F.broadcast(now))
-    ok = F.col("route_ix").isNotNull() & (F.col("vehicle") < "V032") & (F.col("now") - F.col("t") <= 180)
+    rows = lookups.resolve_service(fixture.latest_standing(fixture.fixes(spark, sf_dir)), fixture.routes(spark), fixture.aliases(spark)).join(F.broadcast(now))
+    ok = F.col("route_ix").isNotNull() & ~F.col("standing") & (F.col("now") - F.col("t") <= 180)
     c = rows.agg(F.count("*").alias("tracked"), F.count("route_ix").alias("routed"), F.count_if(ok).alias("in_service"), F.count("heading").alias("seen"))
     return c.select("tracked", "routed", "in_service", F.expr("cast(case when in_service = 0 then 0 else least(seen, in_service) * 100 div in_service end as bigint)").alias("rate_pct"))
 

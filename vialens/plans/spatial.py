@@ -53,7 +53,7 @@ def haversine_nearest_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
   select cast(cx as bigint) as cx, cast(cy as bigint) as cy, buses from c where buses >= 1""")
 def garage_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct standing buses a 60 m cell."""
-    rows = fixture.good_fixes(fixture.fixes(spark, sf_dir)).where("vehicle >= 'V032'")
+    rows = spatial.standing(fixture.good_fixes(fixture.fixes(spark, sf_dir))).where("standing")
     return rows.groupBy(F.floor(F.col("x") / 60).alias("cx"), F.floor(F.col("y") / 60).alias("cy")).agg(F.countDistinct("vehicle").alias("buses"))
 
 
