@@ -214,6 +214,24 @@ def test_html(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_html_margins_are_no_wrappers_nor_parts_of_names():
+    body = " ".join(f"word{k}" for k in range(60))
+    tree = html_text.train_tree(*html_text.labelled_table())
+
+    def main(page):
+        found = html_text.blocks(page)
+        return [b[0] for b, ok in zip(found, html_text.judge(tree, html_text.block_features(found)), strict=True) if ok]
+
+    for name in ("content has-sidebar", "nav-closed", "sidebar", "search"):
+        assert main(f'<div class="{name}"><article><p>{body}</p></article></div>') == [body]
+        assert main(f'<div class="{name}"><p>{body}</p><p>{body}</p></div>') == [body, body]
+    assert main(f'<article><p>{body}</p><section id="related-work"><p>{body} x</p></section><p class="share-price">{body} y</p></article>') == [body, body + " x", body + " y"]
+    assert main(f'<article><p>a <span class="comment">note</span> {body}</p></article>') == [f"a note {body}"]
+    for name in ("sidebar", "site-nav", "post-comments", "related"):
+        assert main(f'<article><p>{body}</p></article><div class="{name}"><p>{body}</p></div>') == [body]
+        assert main(f'<article><p>{body}</p><p>{body}</p><div class="{name}"><p>{body}</p></div></article>') == [body, body]
+
+
 def test_html_tree_on_held_out_rows():
     x, y = html_text.labelled_table()
     right = [html_text.judge(html_text.train_tree(np.delete(x, k, 0), np.delete(y, k)), x[k : k + 1])[0] == y[k] for k in range(len(x))]

@@ -101,6 +101,8 @@ MARGIN_ROLES = set("navigation banner contentinfo complementary search dialog al
 ARTICLE_TAGS = set("article main".split())
 #: Words of class and id attributes, and the first letters of further ones, that mark margins.
 MARGIN_WORDS = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget comment comments commentlist reply replies respond disqus cookie cookies consent gdpr notice notification alert newsletter subscribe subscription share sharing social related recommended footer popup modal overlay login signup search pager pagination copyright skip toolbar tags".split())
+#: Further parts of hyphenated names that may stand beside margin words; any other part ("has-sidebar", "related-work") makes the name another.
+BESIDE = set("site main page post top bottom left right primary secondary global inner outer list bar box links link items item container wrapper wrap section area block panel widget form".split())
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[^>])*+)(?:>|\Z)|[!?/][^>]*(?:>|\Z))", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", re.I)
 _NOT_WORD = re.compile(r"[^a-z0-9]+")
@@ -117,18 +119,25 @@ def _marks(tag: str, attributes: str) -> tuple[bool, bool, bool]:
             article |= bool(words & {"main", "article"})
         elif name.lower() == "itemprop":
             article |= "articlebody" in words
-        elif tag not in ("body", "html"):
-            margin |= bool(words & MARGIN_WORDS)
-            header |= bool(words & {"header", "masthead"})
+        elif tag not in ("body", "html") and tag not in INLINE:
+            for parts in (set(_NOT_WORD.split(w)) - {""} for w in value.strip("\"'").lower().split()):
+                margin |= bool(parts & MARGIN_WORDS) and parts <= MARGIN_WORDS | BESIDE
+                header |= bool(parts & {"header", "masthead"}) and parts <= {"header", "masthead"} | BESIDE
     return margin and tag not in ARTICLE_TAGS, article, header
 
 
 def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
-    """The text blocks of a page in order: text, words, linked words, whether in an article, enclosing margins."""
-    out: list[tuple[str, int, int, int, int]] = []
-    open_tags: list[tuple[str, int, int]] = []  # name, margins so far, articles so far
+    """The text blocks of a page in order: text, words, linked words, whether in an article, enclosing margins.
+
+    An element outside articles that holds over half of the unlinked words of the page's articles, or of the page if it marks
+    none, is no margin.
+    """
+    out: list[tuple[str, int, int, int, tuple[int, ...]]] = []
+    open_tags: list[tuple[str, tuple[int, ...], int]] = []  # name, margins so far, articles so far
     pieces: list[str] = []
-    link = margins = articles = link_words = 0
+    margins: tuple[int, ...] = ()
+    outer: set[int] = set()  # margins outside articles
+    link = articles = link_words = count = 0
 
     def close() -> None:
         nonlocal link_words
@@ -192,9 +201,24 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
         if margin or article or (tag not in INLINE and tag not in IMPLIED):
             close()
             open_tags.append((tag, margins, articles))
-            margins, articles = margins + margin, articles + article
+            if margin:
+                count += 1
+                if not articles:
+                    outer.add(count)
+                margins = (*margins, count)
+            articles += article
     close()
-    return out
+    marked = any(b[3] for b in out)
+    held: dict[int, int] = dict.fromkeys(outer, 0)
+    total = 0
+    for _, words, linked, inside, around in out:
+        if inside or not marked:
+            total += max(words - linked, 0)
+            for k in around:
+                if k in outer:
+                    held[k] += max(words - linked, 0)
+    wrappers = {k for k, n in held.items() if 2 * n > total}
+    return [(*b[:4], sum(k not in wrappers for k in b[4])) for b in out]
 
 
 def block_features(found: list[tuple[str, int, int, int, int]]) -> np.ndarray:
