@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vialens.llm.common import written
+from vialens.llm.common import discard, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -28,9 +28,12 @@ def components(edges: DataFrame, tag: str = "components", most_rounds: int = 60)
     their count and the sum of their hashes show.
     """
     edges = written(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a != b").distinct(), tag)
+    if edges.isEmpty():
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     seen = None
     for _ in range(most_rounds):
-        edges = written(_star(_star(edges, large=True), large=False), tag)
+        before, edges = edges, written(_star(_star(edges, large=True), large=False), tag)
+        discard(before)
         now = edges.agg(F.count("*"), F.sum(F.shiftright(F.xxhash64("a", "b"), 20))).first()
         if seen == tuple(now):
             break
