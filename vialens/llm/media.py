@@ -19,7 +19,9 @@ ZIGZAG = [
 ]
 #: Frames a second and 8 x 8 blocks in a frame of stored payloads (64 x 64 samples).
 FPS, FRAME_BLOCKS = 10, 64
-CLIP = "clip int, first_frame int, n_frames int, start_s double, end_s double"
+CLIP = "clip int, first_frame int, n_frames int, start_s double, end_s double, error string"
+#: What a file that is not whole raises while it is read.
+DAMAGED = (ValueError, IndexError, KeyError, struct.error)
 
 
 def _idct_matrix() -> np.ndarray:
@@ -61,8 +63,8 @@ def _chunk(name: bytes, body: bytes) -> bytes:
     return name + struct.pack("<I", len(body)) + body + b"\0" * (len(body) % 2)
 
 
-def mux(frames: list[bytes], wide: int, high: int, fps: int = FPS) -> bytes:
-    """An AVI file of one video stream with an index of its frames."""
+def mux(frames: list[bytes], wide: int, high: int, fps: int = FPS, comment: bytes = b"") -> bytes:
+    """An AVI file of one video stream, all frames ``wide`` by ``high``, with an index of its frames and a comment."""
     n, most = len(frames), max(map(len, frames), default=0)
     avih = struct.pack("<14I", 1_000_000 // fps, most * fps, 0, 0x10, n, 0, 1, most, wide, high, 0, 0, 0, 0)
     strh = b"vidsMJPG" + struct.pack("<IHHIIIIIIIIhhhh", 0, 0, 0, 0, 1, fps, 0, n, most, 0xFFFFFFFF, 0, 0, 0, wide, high)
@@ -73,15 +75,21 @@ def mux(frames: list[bytes], wide: int, high: int, fps: int = FPS) -> bytes:
         movi.append(_chunk(b"00dc", f))
         index.append(struct.pack("<4sIII", b"00dc", 0x10, at, len(f)))
         at += len(movi[-1])
-    body = b"AVI " + _chunk(b"LIST", header) + _chunk(b"LIST", b"movi" + b"".join(movi)) + _chunk(b"idx1", b"".join(index))
+    info = _chunk(b"LIST", b"INFO" + _chunk(b"ICMT", comment)) if comment else b""
+    body = b"AVI " + _chunk(b"LIST", header) + info + _chunk(b"LIST", b"movi" + b"".join(movi)) + _chunk(b"idx1", b"".join(index))
     return _chunk(b"RIFF", body)
 
 
-def demux(avi: bytes) -> tuple[list[bytes], float]:
-    """The video frames that the index names (else those of the movi list, in turn) and the frames a second."""
+def demux(avi: bytes) -> tuple[list[bytes], float, bytes]:
+    """The video frames that the index names (else those of the movi list, in turn), the frames a second, and the comment.
+
+    ValueError if the file is no AVI file or is cut off.
+    """
     if avi[:4] != b"RIFF" or avi[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
-    fps, index, movi, at = 25.0, [], 0, 12
+    if struct.unpack_from("<I", avi, 4)[0] + 8 > len(avi):
+        raise ValueError("cut off")
+    fps, index, movi, at, comment = 25.0, [], 0, 12, b""
     walked: list[tuple[int, int]] = []
     while at + 8 <= len(avi):
         name, size = avi[at : at + 4], struct.unpack_from("<I", avi, at + 4)[0]
@@ -93,6 +101,8 @@ def demux(avi: bytes) -> tuple[list[bytes], float]:
         if name == b"strh" and avi[at + 8 : at + 12] == b"vids":
             scale, rate = struct.unpack_from("<II", avi, at + 28)
             fps = rate / scale if scale else fps
+        elif name == b"ICMT":
+            comment = avi[at + 8 : at + 8 + size]
         elif name == b"idx1":
             index = [x[2:] for x in struct.iter_unpack("<4sIII", avi[at + 8 : at + 8 + size - size % 16]) if x[0][2:] in (b"dc", b"db")]
         elif name[2:] in (b"dc", b"db"):
@@ -101,7 +111,9 @@ def demux(avi: bytes) -> tuple[list[bytes], float]:
     if index and movi:
         base = movi if index[0][0] < movi else 0  # offsets count from the list's name, or from the file's start
         walked = [(base + o + 8, n) for o, n in index]
-    return [avi[a : a + n] for a, n in walked], fps
+    if any(a + n > len(avi) for a, n in walked):
+        raise ValueError("a frame lies outside the file")
+    return [avi[a : a + n] for a, n in walked], fps, comment
 
 
 class _Huffman(dict):
@@ -156,15 +168,9 @@ def decode_frame(jpeg: bytes) -> tuple[np.ndarray, np.ndarray]:
 def _decode_flat(scan: bytes, n: int) -> np.ndarray:
     """Blocks whose every coefficient is one code of eight zero bits and eight amplitude bits, with a restart after each."""
     data = np.frombuffer(scan + b"\xff\xd0", np.uint8)
+    data = np.delete(data, np.flatnonzero((data[:-1] == 0xFF) & (data[1:] == 0)) + 1)  # stuffed zero bytes stand after each 0xFF of the data
     if len(data) != 130 * n:
-        pieces, k = [], 0
-        while k < len(scan):  # stuffed zero bytes stand after each 0xFF of the data
-            end = k + 128
-            while (stuffed := scan.count(b"\xff\x00", k, end)) != end - k - 128:
-                end = k + 128 + stuffed
-            pieces.append(scan[k:end].replace(b"\xff\x00", b"\xff") + b"\xff\xd0")
-            k = end + 2
-        data = np.frombuffer(b"".join(pieces), np.uint8)
+        raise ValueError("damaged scan")
     data = data.reshape(n, 130)
     if data[:, 0:128:2].any() or (data[:, 128] != 0xFF).any():
         raise ValueError("damaged scan")
@@ -246,8 +252,9 @@ def shots(hist: np.ndarray, back: int = 8, factor: float = 2.0, floor: float = 0
 
 
 def clips(avi: bytes) -> tuple[np.ndarray, list[tuple[int, int, int, float, float]]]:
-    """The coefficients of all frames (blocks x 64) and the timed clips (number, first frame, frames, start and end in seconds)."""
-    frames, fps = demux(avi)
+    """The coefficients of all blocks (x 64), without those that fill up the last frame, and the timed clips (number, first
+    frame, frames, start and end in seconds). One of DAMAGED if the file or a frame isn't whole."""
+    frames, fps, comment = demux(avi)
     decoded = [decode_frame(f) for f in frames]
     if not decoded:
         return np.zeros((0, 64), np.int16), []
@@ -256,14 +263,23 @@ def clips(avi: bytes) -> tuple[np.ndarray, list[tuple[int, int, int, float, floa
     scaled = np.concatenate([d[0] * d[1] for d in decoded])
     cuts = shots(histograms(scaled, frame_of, len(decoded)))
     ends = [*cuts[1:], len(decoded)]
-    return coded, [(k, a, b - a, a / fps, b / fps) for k, (a, b) in enumerate(zip(cuts, ends, strict=True))]
+    held = int(comment[7:]) if comment.startswith(b"blocks=") else len(coded)
+    return coded[:held], [(k, a, b - a, a / fps, b / fps) for k, (a, b) in enumerate(zip(cuts, ends, strict=True))]
 
 
 def pack_bytes(data: bytes) -> tuple[bytes, int]:
-    """An AVI file that carries ``data`` and zero bytes up to a positive multiple of 64, and the padded length."""
+    """An AVI file that carries ``data`` and zero bytes up to a positive multiple of 64, and the padded length.
+
+    All frames have one size, FRAME_BLOCKS blocks at most; zero blocks fill up the last one, and the comment says how many
+    blocks are the payload's.
+    """
     padded = data + b"\0" * (-len(data) % 64 if data else 64)
-    blocks = np.frombuffer(padded, np.uint8).reshape(-1, 64)
-    return mux([encode_frame(blocks[k : k + FRAME_BLOCKS]) for k in range(0, len(blocks), FRAME_BLOCKS)], 64, 64), len(padded)
+    n = len(padded) // 64
+    each = -(-n // -(-n // FRAME_BLOCKS))
+    blocks = np.frombuffer(padded + b"\0" * (64 * (-n % each)), np.uint8).reshape(-1, 64)
+    wide = 8 if each % 8 == 0 else 1
+    frames = [encode_frame(blocks[k : k + each]) for k in range(0, len(blocks), each)]
+    return mux(frames, 8 * wide, 8 * (each // wide), comment=b"blocks=%d" % n), len(padded)
 
 
 def to_media(docs: DataFrame) -> DataFrame:
@@ -280,31 +296,56 @@ def to_media(docs: DataFrame) -> DataFrame:
 
 
 def media_clips(media: DataFrame) -> DataFrame:
-    """A row for each timed clip of each AVI file: doc_id and the columns of CLIP. A file without frames has none; null media are skipped."""
+    """A row for each timed clip of each AVI file: doc_id and the columns of CLIP.
+
+    A whole file without frames has none; null media are skipped; a file that can't be read to its end has one row, whose
+    ``error`` says why and whose other columns are null.
+    """
+
+    def timed(m: bytes) -> list[tuple]:
+        try:
+            return [(*c, None) for c in clips(m)[1]]
+        except DAMAGED as e:
+            return [(None, None, None, None, None, str(e))]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(i, *c) for i, m in zip(b.column("doc_id").to_pylist(), b.column("media").to_pylist(), strict=True) if m is not None for c in clips(m)[1]]
-            names = ["doc_id", "clip", "first_frame", "n_frames", "start_s", "end_s"]
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64()]
+            rows = [(i, *c) for i, m in zip(b.column("doc_id").to_pylist(), b.column("media").to_pylist(), strict=True) if m is not None for c in timed(m)]
+            names = ["doc_id", "clip", "first_frame", "n_frames", "start_s", "end_s", "error"]
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
 
     return media.select("doc_id", "media").mapInArrow(cut, f"doc_id bigint, {CLIP}")
 
 
+def file_digest(m: bytes | None) -> tuple:
+    """payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature of one stored file.
+
+    All null for a null file. A file that can't be read to its end has no payload (nulls) and the feature "damaged"; a whole
+    file without frames has an empty payload.
+    """
+    if m is None:
+        return (None,) * 6
+    stored = len(m), hashlib.sha256(m).hexdigest()
+    try:
+        coded, found = clips(m)
+    except DAMAGED:
+        return None, None, None, *stored, "damaged"
+    payload = np.where(coded >= 0, coded, coded + 255).astype(np.uint8).tobytes()
+    frames = found[-1][1] + found[-1][2] if found else 0
+    feature = f"frames={frames};shots={len(found)};" + ",".join(f"{c[3]:.1f}-{c[4]:.1f}" for c in found)
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), *stored, feature
+
+
 def media_digests(media: DataFrame) -> DataFrame:
-    """What is read back from each stored file: payload and file digests, and the clips as one string."""
+    """What is read back from each stored file: payload and file digests, and the clips as one string (``file_digest``)."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
-                b, rows = batch.slice(k, 500), []
-                for m in b.column("media").to_pylist():
-                    coded, found = clips(m)
-                    payload = np.where(coded >= 0, coded, coded + 255).astype(np.uint8).tobytes()
-                    feature = f"frames={found[-1][1] + found[-1][2]};shots={len(found)};" + ",".join(f"{c[3]:.1f}-{c[4]:.1f}" for c in found)
-                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature))
+                b = batch.slice(k, 500)
+                rows = list(map(file_digest, b.column("media").to_pylist()))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     return media.mapInArrow(digest, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
