@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,13 +39,20 @@ def external_shuffle(docs: DataFrame, path: str | None = None, n_shards: int = 1
     rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "text"))
     rows = rows.withColumn("bucket", F.pmod(F.shiftright("h", 20), F.lit(n_buckets)).cast("long"))
 
-    def shuffle(bucket: pa.Table) -> pa.Table:
-        bucket = bucket.combine_chunks().sort_by([("h", "ascending"), ("doc_id", "ascending")])
-        bucket = bucket.take(pa.array(fisher_yates(bucket.num_rows, [seed, bucket.column("bucket")[0].as_py()])))
-        return bucket.select(["bucket", "doc_id", "text", "size"]).append_column("place", pa.array(np.arange(bucket.num_rows, dtype=np.int64)))
-
     schema = "bucket bigint, doc_id bigint, text string, size bigint, place bigint"
-    rows.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(shuffle, schema).write.option("compression", "zstd").parquet(path)
+    names = ["bucket", "doc_id", "text", "size"]
+
+    def shuffle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)  # one bucket a task
+        if held:
+            bucket = pa.Table.from_batches(held).combine_chunks().sort_by([("h", "ascending"), ("doc_id", "ascending")])
+            order = fisher_yates(bucket.num_rows, [seed, bucket.column("bucket")[0].as_py()])
+            for k in range(0, len(order), 4096):
+                part = bucket.select(names).take(pa.array(order[k : k + 4096])).combine_chunks()
+                yield pa.RecordBatch.from_arrays([*(c.chunk(0) for c in part.columns), pa.array(np.arange(k, k + part.num_rows))], names=[*names, "place"])
+
+    dealt = rows.repartitionById(n_buckets, F.col("bucket").cast("int"))
+    dealt.select(*names, "h").mapInArrow(shuffle, schema).write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(schema).parquet(path)
     starts = prefix_by_key(out.groupBy("bucket").agg(F.count("*").alias("n")), "bucket", "n", "first")
     n = out.count()
