@@ -44,10 +44,11 @@ def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int) ->
     return out
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS, source: str = "source") -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS, source: str = "source", clusters: DataFrame | None = None) -> DataFrame:
     """Packs every row of ``docs`` (``doc_id``, ``text``, ``source``; other columns are ignored) into bins of ``capacity`` words.
 
-    No bin holds two documents of one source or of one duplicate cluster (equal texts). A document longer than a bin is
+    No bin holds two documents of one source or of one duplicate cluster: that which ``clusters`` (``doc_id``, ``cluster``)
+    gives for the id, else the documents of equal text. A document longer than a bin is
     cut into full bins and a rest; the rest is packed like any other. Rows are dealt by a hash into groups of about
     ``group_rows``, whatever their source or cluster, and each group is packed largest first; so a hot source or a large
     cluster is spread evenly, and a task holds sizes and ids only.
@@ -56,6 +57,10 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS
     an empty table gives none. Reruns agree.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("cluster"))
+    if clusters is not None:
+        own = clusters.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("i")).agg(F.min("cluster").alias("given"))
+        rows = rows.join(own, F.col("doc_id") == F.col("i"), "left")
+        rows = rows.select("doc_id", "source", "size", F.when(F.col("given").isNull(), F.col("cluster")).otherwise(F.xxhash64("given")).alias("cluster"))
     rows = written(rows, "pieces")
     groups = max(1, math.ceil(rows.count() / group_rows))
     rows = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "cluster", "source"), F.lit(groups)).cast("long"))

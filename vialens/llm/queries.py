@@ -16,8 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document in bins of 2,048 words, no bin with two documents of one source or of one text."""
-    return packing.pack(table(spark, sf_dir, "documents"))
+    """Every document in bins of 2,048 words, no bin with two documents of one source or of one group of near-duplicates."""
+    docs = table(spark, sf_dir, "documents")
+    alike = simhash.near_duplicates(docs, shingle_words=3, most=2)
+    return packing.pack(docs, clusters=alike.select("doc_id", F.col("component_id").alias("cluster")))
 
 
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
