@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vialens.llm.common import ordered_prefix, small, word_count, written
+from vialens.llm.common import discard, ordered_prefix, small, word_count, written
 
 #: No document is taken more often than this, and no source gets more than this times its words.
 MOST = 3
 #: A rate of 1 in the fixed-point numbers whose prefix sums place the copies.
 UNIT = 1 << 20
-SPREAD = 2.0
+#: Newton's step is tried whole, then halved so many times at most, all in one pass.
+HALVINGS = 6
 
 
 def _tilted(lam: Column, size: Column, mean: Column) -> Column:
-    """The rate of a document: the exponential of its source's multiplier times its relative size (at most SPREAD), up to MOST."""
-    z = F.least(size / mean, F.lit(SPREAD)) / SPREAD + 0.5
-    return F.least(F.exp(lam * z), F.lit(float(MOST)))
+    """The rate of a document: the exponential of its source's multiplier times its relative size, up to MOST."""
+    return F.exp(F.least(lam * size / mean, F.lit(math.log(MOST))))
 
 
 def source_targets(sources: DataFrame, weights: tuple[int, ...]) -> DataFrame:
@@ -36,39 +38,62 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...]) -> DataFrame:
     return ranked.withColumn("target", F.least(F.col("words") * float(MOST), F.col("weight") * level))
 
 
-def balance(cells: DataFrame, sources: DataFrame, rounds: int = 40, close: float = 1e-6) -> DataFrame:
-    """``source, lam, mean``: the multiplier under which a source's tilted rates take its target of words.
+def dual_at(lam: Column, z: Column, n: Column) -> tuple[Column, Column, Column]:
+    """Sums of the dual, without its linear term, over documents of relative size ``z``, with its first and second derivative by
+    ``lam``: where the rate exp(lam z) is under MOST, n rate, n z rate and n z z rate; beyond, the tangent there."""
+    u, top = lam * z, math.log(MOST)
+    rate = F.exp(F.least(u, F.lit(top)))
+    return F.sum(n * rate * (1 + F.greatest(u - top, F.lit(0.0)))), F.sum(n * z * rate), F.sum(F.when(u < top, n * z * z * rate).otherwise(0.0))
+
 
-    The dual of entropy balancing has one constraint of words a source. Each round sums the words taken and their derivative
-    over all ``cells`` (source, size, n), and moves each multiplier by Newton's step on the logarithm of the sum, kept within
-    the bracket found so far. A source whose target is MOST times its words has all rates at MOST.
+def balance(cells: DataFrame, sources: DataFrame, rounds: int = 60, close: float = 1e-6) -> DataFrame:
+    """``source, target, mean, lam``: the multiplier under which a source's tilted rates take its target of words.
+
+    Of all rates between 0 and MOST that take a source's target, those nearest to 1 in relative entropy are exp(lam z), up to
+    MOST, with z the document's size over its source's mean; lam is the least point of the convex dual, sum of phi(lam z) - lam
+    target / mean, where phi' is the rate. Each round sums the dual, its gradient and its Hessian over all ``cells`` (source,
+    size, n) at Newton's step and at HALVINGS halves of it, takes the longest that lowers the dual enough (or halves the
+    gradient), and sets the next step. A source whose target is MOST times its words has all rates at MOST; RuntimeError if
+    others are not within ``close`` of their targets after ``rounds``.
     """
     mean = F.greatest(F.col("words") / F.col("docs"), F.lit(1e-9))
-    state = sources.select("source", "target", "words", mean.alias("mean"), F.lit(0.0).alias("lam"), F.lit(-200.0).alias("low"), F.lit(200.0).alias("high"), F.lit(1.0).alias("off"))
-    state = written(state, "dual")
+    full = F.col("target") >= F.col("words") * (MOST - 1e-6)
+    every = written(sources.select("source", "target", mean.alias("mean"), full.alias("full")), "sources")
+    nothing = F.lit(None).cast("double")
+    free = every.where(~F.col("full")).select("source", (F.col("target") / F.col("mean")).alias("goal"), "mean", F.lit(0.0).alias("lam"), F.lit(0.0).alias("step"), nothing.alias("f"), nothing.alias("g"))
+    state = written(free, "dual")
+    few = state.limit(200_001).count()
+    shared = F.broadcast if few <= 200_000 else lambda x: x  # a row a source
+    trials = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), (F.col("lam") + F.col("step") * 0.5**k).alias("at")) for k in range(HALVINGS + 1)))).alias("x")
+    settled = not few
     for _ in range(rounds):
-        held = cells.join(small(state), cells["source"].eqNullSafe(state["source"])).select(state["source"], "size", "n", "lam", "mean")
-        rate = _tilted(F.col("lam"), F.col("size"), F.col("mean"))
-        z = F.least(F.col("size") / F.col("mean"), F.lit(SPREAD)) / SPREAD + 0.5
-        taken = F.col("n") * F.col("size") * rate
-        sums = held.groupBy("source").agg(F.sum(taken).alias("g"), F.sum(F.when(rate < MOST, taken * z).otherwise(0.0)).alias("dg"))
-        joined = state.join(small(written(sums, "sums")).withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-        gap = F.log(F.col("g")) - F.log("target")
-        low = F.when(gap < 0, F.col("lam")).otherwise(F.col("low"))
-        high = F.when(gap > 0, F.col("lam")).otherwise(F.col("high"))
-        step = F.col("lam") - F.when(F.col("dg") > 0, F.greatest(F.lit(-8.0), F.least(F.lit(8.0), gap * F.col("g") / F.col("dg")))).otherwise(F.signum(gap) * 8.0)
-        inside = F.when((step > low) & (step < high), step).otherwise((low + high) / 2)
-        state = written(joined.select("source", "target", "words", "mean", F.when(gap == 0, F.col("lam")).otherwise(inside).alias("lam"), low.alias("low"), high.alias("high"), F.abs(gap).alias("off")), "dual")
-        # those at the bound of all copies can't come closer and are set below
-        if (state.where(F.col("target") < F.col("words") * (MOST - 1e-6)).agg(F.max("off")).first()[0] or 0.0) < close:
+        if settled:
             break
-    full = F.col("target") >= F.col("words") * (MOST - 1e-6)
-    return state.select("source", "target", "mean", F.when(full, F.lit(200.0)).otherwise(F.col("lam")).alias("lam"))
-
-
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+        tried = shared(state.select(F.col("source").alias("s"), "mean", trials).select("s", "mean", "x.*"))
+        held = cells.join(tried, F.col("source").eqNullSafe(F.col("s"))).select("s", "k", "at", (F.col("size") / F.col("mean")).alias("z"), "n")
+        f, g, h = dual_at(F.col("at"), F.col("z"), F.col("n"))
+        sums = held.groupBy("s", "k", "at").agg(f.alias("fs"), g.alias("gs"), h.alias("hs"))
+        met = shared(state).join(sums, F.col("source").eqNullSafe(F.col("s")))
+        met = met.withColumn("fs", F.col("fs") - F.col("at") * F.col("goal")).withColumn("gs", F.col("gs") - F.col("goal"))
+        fits = F.col("f").isNull() | (F.col("fs") <= F.col("f") + 1e-4 * (F.col("at") - F.col("lam")) * F.col("g")) | (F.abs("gs") <= F.abs("g") / 2)
+        one = met.groupBy("source", "goal", "mean").agg(F.min(F.when(fits, F.struct("k", "at", "fs", "gs", "hs"))).alias("x"), F.first("lam").alias("lam"), F.first("step").alias("step"), F.first("f").alias("f"), F.first("g").alias("g"))
+        newton = F.when(F.col("x.hs") > 0, -F.col("x.gs") / F.col("x.hs")).otherwise(-4.0 * F.signum("x.gs"))
+        newton = F.when(F.col("x").isNull(), F.col("step") * 0.5**HALVINGS).otherwise(F.greatest(F.lit(-4.0), F.least(F.lit(4.0), newton)))
+        moved = one.select("source", "goal", "mean", F.coalesce("x.at", "lam").alias("lam"), newton.alias("step"), F.coalesce("x.fs", "f").alias("f"), F.coalesce("x.gs", "g").alias("g"))
+        before, state = state, written(moved, "dual")
+        discard(before)
+        settled = (state.agg(F.max(F.abs("g") / F.col("goal"))).first()[0] or 0.0) < close
+    if not settled:
+        raise RuntimeError("the dual did not settle")
+    found = small(state.select(F.col("source").alias("s"), F.round("lam", 9).alias("lam")))
+    return every.join(found, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "target", "mean", F.when(F.col("full"), F.lit(1e6)).otherwise(F.col("lam")).alias("lam"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), key: Column | None = None) -> DataFrame:
     """How often the mix takes each row of ``docs`` (``doc_id``, ``text``, ``source``; other columns are ignored).
 
+    ``key``: a hash that tells rows apart, of these three columns if not given.
+
     Returns ``doc_id, row_key, ordinal, source, size`` (words), ``source_size, target, copies`` (0 to MOST), ``taken``.
     Rates are rounded along one order of all rows by source, size and a hash: a document gets the whole numbers that the
     prefix sum of rates passes, so that a source's copies differ from its rates by less than one document's, whatever its
@@ -76,7 +101,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     Null sources are one source, sorted last; null texts have size 0; rows of size 0 take no words (rate 1); repeated rows
     are told apart by ``ordinal``, their place in the order; an empty table gives none.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "source", "text").alias("row_key"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), (F.xxhash64("doc_id", "source", "text") if key is None else key).alias("row_key"))
     rows = written(rows, "sizes")
     cells = written(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "cells")
     sources = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("words"), F.sum("n").alias("docs"))
@@ -137,11 +162,11 @@ def _settle(placed: DataFrame, rounds: int = 4, close: float = 0.001) -> DataFra
 
 
 def apply_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """``docs`` as the mix takes it: each row as often as ``mix`` says, with all its columns; equal rows share their copies."""
+    """``docs`` as the mix takes it: each row as often as ``mix`` says, with all its columns; rows equal in all columns share their copies."""
     names = docs.columns
-    taken = mix(docs, weights).groupBy("row_key").agg(F.sum("copies").cast("int").alias("__n"), F.count("*").alias("__rows"))
+    taken = mix(docs, weights, F.xxhash64(*names)).groupBy("row_key").agg(F.sum("copies").cast("int").alias("__n"), F.count("*").alias("__rows"))
     taken = written(taken.where("__n > 0"), "taken")
-    keyed = docs.withColumn("row_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text"))
+    keyed = docs.withColumn("__row", F.xxhash64(*names))
     if taken.where("__rows > 1").limit(1).count():
-        keyed = keyed.dropDuplicates(["row_key"])
-    return keyed.join(taken, "row_key").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*names)
+        keyed = keyed.dropDuplicates(["__row"])
+    return keyed.join(taken.withColumnRenamed("row_key", "__row"), "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*names)
