@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -56,6 +57,18 @@ def test_packing(corpus, group_rows):
     assert sorted(map(tuple, out), key=str) == sorted(map(tuple, packing.pack(df.repartition(5), 256, group_rows).collect()), key=str)
 
 
+def test_packing_keeps_clusters_apart(spark):
+    rows = [(i, "w " * (5 + i % 7), f"s{i % 9}") for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    clusters = spark.createDataFrame([(i, i % 11) for i in range(100)], "doc_id long, cluster long")
+    held = collections.defaultdict(list)
+    out = packing.pack(df, 64, clusters=clusters).collect()
+    for r in out:
+        if r["doc_id"] < 100:
+            held[r["bin"]].append(r["doc_id"] % 11)
+    assert len(out) == 120 and all(len(x) == len(set(x)) for x in held.values())
+
+
 def test_best_fit_takes_the_tightest_compatible_bin():
     rng = random.Random(3)
     items = [(rng.randrange(0, 60), rng.randrange(5), rng.randrange(8)) for _ in range(300)]
@@ -159,6 +172,36 @@ def test_mixing_tilts_by_size(spark):
     assert low[low["size"] < 15].copies.mean() > low[low["size"] > 45].copies.mean()
 
 
+def test_dual_has_its_gradient_and_settles(spark):
+    """The derivatives summed are those of the dual by finite differences, and the solution is that of bisection on the gradient."""
+    z, n = np.asarray([0.1, 0.5, 1.0, 2.5, 9.0]), np.asarray([4.0, 3.0, 7.0, 2.0, 1.0])
+    phi = lambda u: np.where(u < np.log(3), np.exp(np.minimum(u, 2)), 3 * (1 + u - np.log(3)))
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(z, n, strict=True)], "z double, n double")
+    for lam in (-1.3, 0.0, 0.2, 0.9):
+        got = df.agg(*mixing.dual_at(F.lit(lam), F.col("z"), F.col("n"))).first()
+        value = lambda x: float((n * phi(x * z)).sum())
+        assert got[0] == pytest.approx(value(lam))
+        assert got[1] == pytest.approx((value(lam + 1e-6) - value(lam - 1e-6)) / 2e-6, rel=1e-5)
+        assert got[2] == pytest.approx((value(lam + 1e-4) - 2 * value(lam) + value(lam - 1e-4)) / 1e-8, rel=1e-3)
+    cells = spark.createDataFrame([(s, int(a * 100), int(b)) for s in ("a", "b", None) for a, b in zip(z, n, strict=True)], "source string, size long, n long")
+    words, docs = int((z * 100 * n).sum()), int(n.sum())
+    share = {"a": 0.05, "b": 2.9, None: 1.2}
+    sources = spark.createDataFrame([(s, words, docs, words * x) for s, x in share.items()], "source string, words long, docs long, target double")
+    for r in mixing.balance(cells, sources).collect():
+        taken = lambda lam: float((n * z * 100 * np.exp(np.minimum(lam * z * 100 * docs / words, np.log(3)))).sum())
+        low, high = -200.0, 200.0
+        for _ in range(200):
+            low, high = ((low + high) / 2, high) if taken((low + high) / 2) < words * share[r["source"]] else (low, (low + high) / 2)
+        assert r["lam"] == pytest.approx(low, abs=1e-4) and taken(r["lam"]) == pytest.approx(words * share[r["source"]], rel=1e-5)
+
+
+def test_rows_that_differ_in_one_more_column_are_mixed_apart(spark):
+    df = spark.createDataFrame([(1, "a b c d", "s0", k) for k in range(30)] + [(2, "e f g h i", "s1", 0)] * 9, "doc_id long, text string, source string, tag int")
+    got = mixing.apply_mix(df)
+    assert got.count() == sum(r["copies"] for r in mixing.mix(df).collect())
+    assert got.where("doc_id = 1").select("tag").distinct().count() > 10
+
+
 # 4. substrings
 
 
@@ -405,6 +448,17 @@ def test_quality_on_held_out_labels(spark):
     assert (~got[got.base_failed].kept).all()
 
 
+def test_quality_on_labels_it_has_not_seen(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    fold = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(3))
+    model = quality.fit(docs, labels.where(fold != 0))
+    held = docs.join(labels.where(fold == 0), "doc_id")
+    got = quality.judge(held, model, "doc_id", "quality").toPandas()
+    passed = got[~got.base_failed]
+    assert passed[passed.quality == 1].kept.mean() > 0.97 and got[got.quality == 0].kept.mean() < 0.3
+
+
 def test_quality_of_odd_rows(spark, corpus):
     df, rows = corpus
     got = quality.judge(df, None, "doc_id").collect()
@@ -457,6 +511,23 @@ def test_shots_and_clip_rows(spark):
         media.demux(b"RIFFxxxxWAVE")
 
 
+def test_media_that_is_null_or_not_whole(spark):
+    avi, n = media.pack_bytes(bytes(range(256)) * 60)
+    frames, _, comment = media.demux(avi)
+    assert len({struct.unpack_from(">HH", f, f.index(b"\xff\xc0") + 5) for f in frames}) == 1 and comment == b"blocks=240"
+    broken = avi[:-40]
+    hurt = avi.replace(frames[1][-20:], b"\x55" * 20)
+    none = media.mux([], 8, 8)
+    df = spark.createDataFrame([(1, 5, avi), (2, 5, None), (3, 5, broken), (4, 5, none), (5, 5, b""), (6, 5, hurt)], "doc_id long, n_bytes long, media binary")
+    got = {r["doc_id"]: r for r in media.media_digests(df).collect()}
+    assert got[1]["payload_bytes"] == n and got[2]["media_bytes"] is None and got[2]["feature"] is None
+    assert all(got[k]["feature"] == "damaged" and got[k]["payload_bytes"] is None and got[k]["media_sha256"] for k in (3, 5, 6))
+    assert got[4]["payload_bytes"] == 0 and got[4]["feature"] == "frames=0;shots=0;"
+    cut = media.media_clips(df).collect()
+    assert {r["doc_id"] for r in cut if r["error"]} == {3, 5, 6} and all(r["clip"] is None for r in cut if r["error"])
+    assert {r["doc_id"] for r in cut if not r["error"]} == {1}
+
+
 def test_media_digests(corpus):
     df, rows = corpus
     got = media.media_digests(media.to_media(df)).collect()

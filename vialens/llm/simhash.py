@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vialens.llm.common import small, written
+from vialens.llm.common import discard, small, written
 from vialens.llm.components import components
 
 BITS = 64
@@ -218,6 +218,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, most: int = 2, hot:
     named = classes.join(nodes, classes["fp"] == nodes["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = written(named.join(roots, "root").select("fp", "component_id"), "named")
+    discard(classes)
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -302,28 +303,35 @@ def one_of_each_group(docs: DataFrame, shingle_words: int = 5, similarity: float
     are kept; an empty table stays empty.
     """
     names = docs.columns
-    keyed = docs.withColumn("row_key", F.xxhash64(*names))
-    common = _common(keyed, shingle_words)
-    marks = written(_marks(keyed, shingle_words, similarity, common), "marks")
+    keyed = docs.withColumn("__row", F.xxhash64(*names))
+    plain = keyed.select(F.col("__row").alias("row_key"), "doc_id", "text")
+    common = _common(plain, shingle_words)
+    marks = written(_marks(plain, shingle_words, similarity, common), "marks")
     classes = written(marks.groupBy("class").agg(F.min(F.struct("row_key", "n", "keys")).alias("m")).select("class", "m.*"), "classes")
     held = written(_shared_keys(classes), "held")
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = written(pairs, "pairs")
         wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes.select("class", "row_key"), "class"), "wanted")
-        texts = keyed.select("row_key", "text").join(small(wanted), "row_key").dropDuplicates(["class"]).select("class", "text")
-        return written(_verified(pairs, texts, shingle_words, similarity), "links")
+        texts = plain.select("row_key", "text").join(small(wanted), "row_key").dropDuplicates(["class"]).select("class", "text")
+        found = written(_verified(pairs, texts, shingle_words, similarity), "links")
+        discard(pairs, wanted)
+        return found
 
     led = verified(_leader_pairs(held, similarity))
     roots = components(led)
     rooted = held.join(roots, held["class"] == roots["node"], "left").select(*held.columns, F.coalesce("root", "class").alias("root"))
-    nodes = components(led.union(verified(_pairs_across(written(rooted, "rooted"), similarity))))
+    rooted = written(rooted, "rooted")
+    discard(held)
+    nodes = components(led.union(verified(_pairs_across(rooted, similarity))))
     named = marks.join(nodes, marks["class"] == nodes["node"], "left").withColumn("root", F.coalesce("root", "class"))
     best = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row_key")).alias("m"))
     gone = named.join(best, "root").where(F.col("row_key") != F.col("m.row_key")).select("row_key").distinct()
-    out = keyed.join(small(written(gone, "gone")), "row_key", "left_anti")
+    gone = written(gone, "gone")
+    out = keyed.join(small(gone).withColumnRenamed("row_key", "__row"), "__row", "left_anti")
     if marks.groupBy("row_key").count().where("count > 1").limit(1).count():
-        out = out.dropDuplicates(["row_key"])
+        out = out.dropDuplicates(["__row"])
+    discard(marks, classes, rooted, led)
     return out.select(*names)
 
 
