@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,8 +12,6 @@ from vialens.llm.common import discard, ordered_prefix, small, word_count, writt
 
 #: No document is taken more often than this, and no source gets more than this times its words.
 MOST = 3
-#: A rate of 1 in the fixed-point numbers whose prefix sums place the copies.
-UNIT = 1 << 20
 #: Newton's step is tried whole, then halved so many times at most, all in one pass.
 HALVINGS = 6
 
@@ -89,84 +88,129 @@ def balance(cells: DataFrame, sources: DataFrame, rounds: int = 60, close: float
     return every.join(found, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "target", "mean", F.when(F.col("full"), F.lit(1e6)).otherwise(F.col("lam")).alias("lam"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), key: Column | None = None) -> DataFrame:
-    """How often the mix takes each row of ``docs`` (``doc_id``, ``text``, ``source``; other columns are ignored).
+def _copies(shift: Column) -> Column:
+    """How often a row is taken: its rate and its uniform number ``u``, moved by ``shift``, rounded down, 0 to MOST. Over all
+    rows the mean is the rate; the more the shift, the more copies of any row."""
+    rate = F.when(F.col("lam").isNull(), 1.0).otherwise(_tilted(F.col("lam"), F.col("size"), F.col("mean")))
+    return F.when(F.col("size") == 0, 1).otherwise(F.greatest(F.lit(0), F.least(F.lit(MOST), F.floor(rate + F.col("u") + F.when(F.col("size") > F.col("pin_size"), F.col("pin_shift")).otherwise(shift))))).cast("int")
 
-    ``key``: a hash that tells rows apart, of these three columns if not given.
 
-    Returns ``doc_id, row_key, ordinal, source, size`` (words), ``source_size, target, copies`` (0 to MOST), ``taken``.
-    Rates are rounded along one order of all rows by source, size and a hash: a document gets the whole numbers that the
-    prefix sum of rates passes, so that a source's copies differ from its rates by less than one document's, whatever its
-    size; then single documents are moved by a copy where that brings the words closer to the target. Reruns agree.
-    Null sources are one source, sorted last; null texts have size 0; rows of size 0 take no words (rate 1); repeated rows
-    are told apart by ``ordinal``, their place in the order; an empty table gives none.
+def _uniform(row_key: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(F.lit(3), row_key), 11) / float(1 << 53)
+
+
+def _with_sources(rows: DataFrame, sources: DataFrame, *names: str, mark: Callable[[DataFrame], DataFrame] = small) -> DataFrame:
+    """``rows`` and the columns ``names`` of their source."""
+    own = mark(sources).select(F.col("source").alias("__s"), *names)
+    return rows.join(own, rows["source"].eqNullSafe(F.col("__s"))).drop("__s")
+
+
+def shifts(rows: DataFrame, sources: DataFrame, ways: int = 16, rounds: int = 4, close: float = 0.0002) -> DataFrame:
+    """``sources`` with ``shift``, that of all shifts whose copies take the words nearest to the target.
+
+    The words taken grow with the shift, and the target lies between those at -1 and at 1. Each round sums them at ``ways`` - 1
+    shifts between the ends that are left, all sources in one pass, and goes on between the two around the target, until the
+    nearer end is ``close`` or the ends are 2^-15 apart: of a source's rows, one in 30,000 is left between them. Where that
+    leaves a source far off, because a long document lies between the ends, the documents longer than what is missed stay as
+    they are at the lower end (``pin_size, pin_shift``), and the search goes on with the others.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), (F.xxhash64("doc_id", "source", "text") if key is None else key).alias("row_key"))
-    rows = written(rows, "sizes")
-    cells = written(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "cells")
-    sources = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("words"), F.sum("n").alias("docs"))
-    targets = written(source_targets(sources, weights), "targets")
-    dual = small(written(balance(cells.where("size > 0"), targets.where("words > 0")), "dual")).withColumnRenamed("source", "s")
-    every = small(targets).select(F.col("source").alias("t"), F.col("words").alias("source_size"), F.col("target").alias("goal"))
-    placed = rows.join(every, F.col("source").eqNullSafe(F.col("t"))).join(dual.drop("target"), F.col("source").eqNullSafe(F.col("s")), "left")
-    rate = F.when((F.col("size") > 0) & F.col("lam").isNotNull(), _tilted(F.col("lam"), F.col("size"), F.col("mean"))).otherwise(1.0)
-    placed = placed.select("doc_id", "row_key", "source", "size", "source_size", F.col("goal").alias("target"), F.round(rate * UNIT).cast("long").alias("rate"), F.lit(1).cast("long").alias("ordinal"), F.col("source").isNull().cast("int").alias("last"))
-    placed = ordered_prefix(placed, ["last", "source", "size", "row_key"], ["rate", "ordinal"], "rates")
-    whole = lambda c: F.expr(f"({c} + {UNIT // 2}) div {UNIT}")
-    placed = placed.withColumn("copies", (whole("rate_before + rate") - whole("rate_before")).cast("int"))
-    placed = written(placed.select("doc_id", "row_key", F.col("ordinal_before").alias("ordinal"), "source", "size", "source_size", "target", "copies"), "placed")
-    return _settle(placed)
-
-
-def _misses(placed: DataFrame) -> tuple[DataFrame, float]:
-    """``m`` (source) and ``miss``, the words that the target has more than the mix takes; and the largest share of a target."""
-    over = placed.groupBy("source", "target").agg(F.sum(F.col("copies") * F.col("size")).alias("got"))
-    miss = written(over.select(F.col("source").alias("m"), (F.col("target") - F.col("got")).alias("miss"), "target"), "misses")
-    return small(miss.drop("target")), miss.where("target > 0").agg(F.max(F.abs("miss") / F.col("target"))).first()[0] or 0.0
-
-
-def _room() -> Column:
-    """Whether a document can be moved by a copy towards its source's target without passing it."""
-    free = F.when(F.col("miss") > 0, F.col("copies") < MOST).otherwise(F.col("copies") > 0)
-    return free & (F.col("size") > 0) & (F.col("size") <= F.abs("miss"))
-
-
-def _settle(placed: DataFrame, rounds: int = 4, close: float = 0.001) -> DataFrame:
-    """Brings each source's words closer to its target where one long document was rounded: first many documents move by a
-    copy at an equal rate, rounded along the order again; then single ones, those whose sizes come closest to what is missed."""
-    names = placed.columns
-    for _ in range(rounds):
-        miss, worst = _misses(placed)
-        if worst <= 10 * close:
+    names = [*sources.columns, "pin_size", "pin_shift"]
+    mark = F.broadcast if sources.limit(200_001).count() <= 200_000 else lambda x: x  # a row a source
+    ends = F.lit(-1.0).alias("low"), F.lit(1.0).alias("high"), F.lit(None).cast("long").alias("at_low"), F.lit(None).cast("long").alias("at_high")
+    state = written(sources.select("*", F.lit(float("inf")).alias("pin_size"), F.lit(0.0).alias("pin_shift"), *ends), "shifts")
+    pick = lambda xs, k: F.element_at(F.array(*xs), (k + 1).cast("int"))
+    off = F.least(F.abs(F.col("target") - F.col("at_low")), F.abs(F.col("at_high") - F.col("target"))) / F.col("target")
+    worst = 1.0
+    for k in range(2 * rounds):
+        at = [F.col("low") + (F.col("high") - F.col("low")) * (k / ways) for k in range(ways + 1)]
+        met = _with_sources(rows, state.where("words > 0"), "lam", "mean", "low", "high", "pin_size", "pin_shift", mark=mark)
+        sums = met.groupBy(F.col("source").alias("__m")).agg(*(F.sum(F.col("size") * _copies(x)).alias(f"t{k}") for k, x in enumerate(at)))
+        both = state.join(mark(sums), F.col("source").eqNullSafe(F.col("__m")), "left")
+        below = F.greatest(*(F.when((F.col(f"t{k}") <= F.col("target")) | F.lit(k == 0), k) for k in range(ways)))
+        taken = [F.col(f"t{k}") for k in range(ways + 1)]
+        moved = both.withColumn("k", below).select(*names, pick(at, F.col("k")).alias("low"), pick(at, F.col("k") + 1).alias("high"), pick(taken, F.col("k")).alias("at_low"), pick(taken, F.col("k") + 1).alias("at_high"))
+        if k == rounds - 1:
+            far = off > 5 * close
+            pinned = {"pin_size": F.when(far, F.col("target") - F.col("at_low")).otherwise(F.col("pin_size")), "pin_shift": F.when(far, F.col("low")).otherwise(F.col("pin_shift")), "high": F.when(far, F.lit(1.0)).otherwise(F.col("high"))}
+            moved = moved.select(*(pinned.get(c, F.col(c)).alias(c) for c in moved.columns), F.when(F.col("target") > 0, off).alias("off"))
+        else:
+            moved = moved.withColumn("off", F.when(F.col("target") > 0, off))
+        before, state = state, written(moved, "shifts")
+        discard(before)
+        worst = state.agg(F.max("off")).first()[0] or 0.0
+        if worst <= close or (k == rounds - 1 and worst <= 5 * close):
             break
-        met = placed.join(miss, F.col("source").eqNullSafe(F.col("m")))
-        able = small(written(met.where(_room()).groupBy("source").agg(F.sum("size").alias("able")), "able")).withColumnRenamed("source", "a")
-        met = met.join(able, F.col("source").eqNullSafe(F.col("a")), "left")
-        rate = F.when(_room(), F.least(F.lit(1.0), F.abs("miss") / F.col("able"))).otherwise(0.0)
-        met = met.select(*names, F.signum("miss").cast("int").alias("move"), F.floor(rate * UNIT).cast("long").alias("rate"))
-        met = ordered_prefix(met, ["ordinal"], ["rate"], "bulk")
-        moved = F.col("copies") + F.col("move") * F.expr(f"((rate_before + rate) div {UNIT} - rate_before div {UNIT})")
-        placed = written(met.select(*(moved.cast("int").alias(c) if c == "copies" else c for c in names)), "placed")
+    nearer = F.when(F.abs(F.col("at_high") - F.col("target")) < F.abs(F.col("target") - F.col("at_low")), F.col("high")).otherwise(F.col("low"))
+    return state.select(*names, nearer.alias("shift"))
+
+
+def _moves(rows: DataFrame, sources: DataFrame, rounds: int = 4, close: float = 0.001) -> DataFrame:
+    """``moved_key, move``: rows taken once more or less, a row a source and round at most, where a long document's rounding has
+    left a source off its target: the one whose words come closest to what is missed. Rows of one key move together."""
+    spark = rows.sparkSession
+    placed = _with_sources(rows, sources, "lam", "mean", "shift", "target", "pin_size", "pin_shift").withColumn("copies", _copies(F.col("shift")))
+    moves = written(spark.createDataFrame([], "moved_key long, move int"), "moves")
     for _ in range(rounds):
-        miss, worst = _misses(placed)
-        if worst <= close:
+        now = placed.join(small(moves), F.col("row_key") == F.col("moved_key"), "left").withColumn("copies", F.col("copies") + F.coalesce("move", F.lit(0)))
+        over = now.groupBy("source", "target").agg(F.sum(F.col("copies") * F.col("size")).alias("got"))
+        miss = written(over.select(F.col("source").alias("__m"), (F.col("target") - F.col("got")).alias("miss"), "target"), "misses")
+        off = miss.where((F.col("target") > 0) & (F.abs("miss") > F.col("target") * close)).select("__m", "miss")
+        if off.isEmpty():
             break
-        left = F.abs(F.abs("miss") - F.col("size"))
+        off = small(off)
         free = F.when(F.col("miss") > 0, F.col("copies") < MOST).otherwise(F.col("copies") > 0)
-        tried = placed.join(miss, F.col("source").eqNullSafe(F.col("m"))).where(free & (left < F.abs("miss")))
-        best = tried.groupBy("source").agg(F.min(F.struct(left.alias("left"), "ordinal", F.signum("miss").cast("int").alias("move"))).alias("b"))
-        best = small(written(best.select(F.col("b.ordinal").alias("o"), F.col("b.move").alias("move")), "moves"))
-        moved = placed.join(best, F.col("ordinal") == F.col("o"), "left")
-        placed = moved.select(*((F.col("copies") + F.coalesce("move", F.lit(0))).alias(c) if c == "copies" else c for c in names))
-    return placed.withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
+        tried = now.join(off, F.col("source").eqNullSafe(F.col("__m"))).where(free & (F.col("size") > 0) & (F.abs(F.abs("miss") - F.col("size")) < F.abs("miss")))
+        tried = tried.groupBy("source", "row_key", "miss").agg(F.sum("size").alias("size"))
+        left = F.abs(F.abs("miss") - F.col("size"))
+        best = tried.where(left < F.abs("miss")).groupBy("source").agg(F.min(F.struct(left.alias("left"), "row_key", F.signum("miss").cast("int").alias("move"))).alias("b"))
+        added = moves.union(best.select(F.col("b.row_key").alias("moved_key"), F.col("b.move").alias("move"))).groupBy("moved_key").agg(F.sum("move").cast("int").alias("move"))
+        before, moves = moves, written(added, "moves")
+        discard(before, miss)
+    return moves
+
+
+def _plan(docs: DataFrame, weights: tuple[int, ...], key: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The narrow rows, the sources with their multipliers and shifts, and the moves of single rows."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), key.alias("row_key"))
+    rows = written(rows.withColumn("u", _uniform(F.col("row_key"))), "sizes")
+    cells = written(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "cells")
+    sources = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("words"), F.sum("n").alias("docs"))
+    targets = written(source_targets(sources, weights), "targets")
+    dual = written(balance(cells.where("size > 0"), targets.where("words > 0")), "dual").select(F.col("source").alias("__d"), "mean", "lam")
+    found = shifts(rows, targets.select("source", "words", "target").join(small(dual), F.col("source").eqNullSafe(F.col("__d")), "left").drop("__d"))
+    found = written(found, "mixed")
+    discard(cells, targets)
+    return rows, found, _moves(rows, found)
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), key: Column | None = None) -> DataFrame:
+    """How often the mix takes each row of ``docs`` (``doc_id``, ``text``, ``source``; other columns are ignored).
+
+    ``key``: a hash that tells rows apart, of these three columns if not given.
+    Returns ``doc_id, row_key, source, size`` (words), ``source_size, target, copies`` (0 to MOST), ``taken``.
+    A row's rate is rounded by a uniform number hashed from its key, moved by a shift of its source that brings the words taken
+    nearest to the target; then up to four rows a source are moved by a copy where that comes closer. Each is found row by row
+    from a few numbers of its source, so texts are never shuffled. Reruns agree.
+    Null sources are one source, sorted last; null texts have size 0; rows of size 0 take no words (one copy); repeated rows
+    get the same number; an empty table gives none.
+    """
+    rows, sources, moves = _plan(docs, weights, F.xxhash64("doc_id", "source", "text") if key is None else key)
+    placed = _placed(rows, sources, moves)
+    return placed.select("doc_id", "row_key", "source", "size", F.col("words").alias("source_size"), "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+
+
+def _placed(rows: DataFrame, sources: DataFrame, moves: DataFrame) -> DataFrame:
+    """``rows`` with the numbers of their source and ``copies``."""
+    met = _with_sources(rows, sources, "words", "target", "lam", "mean", "shift", "pin_size", "pin_shift")
+    met = met.join(small(moves), F.col("row_key") == F.col("moved_key"), "left")
+    return met.withColumn("copies", (_copies(F.coalesce("shift", F.lit(0.0))) + F.coalesce("move", F.lit(0))).cast("int"))
 
 
 def apply_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """``docs`` as the mix takes it: each row as often as ``mix`` says, with all its columns; rows equal in all columns share their copies."""
+    """``docs`` as the mix takes it: each row as often as ``mix`` says, with all its columns."""
     names = docs.columns
-    taken = mix(docs, weights, F.xxhash64(*names)).groupBy("row_key").agg(F.sum("copies").cast("int").alias("__n"), F.count("*").alias("__rows"))
-    taken = written(taken.where("__n > 0"), "taken")
-    keyed = docs.withColumn("__row", F.xxhash64(*names))
-    if taken.where("__rows > 1").limit(1).count():
-        keyed = keyed.dropDuplicates(["__row"])
-    return keyed.join(taken.withColumnRenamed("row_key", "__row"), "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*names)
+    _, sources, moves = _plan(docs, weights, F.xxhash64(*names))
+    # the columns of docs go along in a struct, so that none of their names clashes
+    rows = docs.select(F.struct(*names).alias("row"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64(*names).alias("row_key"))
+    placed = _placed(rows.withColumn("u", _uniform(F.col("row_key"))), sources, moves).where("copies > 0")
+    return placed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
