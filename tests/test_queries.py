@@ -37,7 +37,7 @@ def test_greedy_places(spark):
 def test_standing_by_movement_not_by_id(spark, monkeypatch):
     """A bus of low number that stops moving stands from then on; one of high number that drives does not."""
     from vialens.functions import geo
-    from vialens.plans import fixture
+    from vialens.plans import fixture, spatial
 
     def fixes(spark, sf_dir):
         rows = [(k, "V001", 1800000000 + 20 * k, 150.0 * min(k, 40), 0.0) for k in range(120)]
@@ -46,7 +46,7 @@ def test_standing_by_movement_not_by_id(spark, monkeypatch):
         return df.select("event_id", "vehicle", "t", (F.col("t") + 5).alias("seen_at"), geo.lat_of(F.col("my") + 1).alias("lat"), geo.lon_of(F.col("mx") + 1).alias("lon"), F.lit("474").alias("service"), F.lit(90.0).alias("heading"), F.lit("ida").alias("sentido"))
 
     monkeypatch.setattr(fixture, "fixes", fixes)
-    cells = {(r["cx"], r["cy"]): r["buses"] for r in catalogue.QUERIES["garage_cells"](spark, SF).collect()}
+    cells = {(r["cx"], r["cy"]): r["buses"] for r in spatial.standing_cells(spark, SF).collect()}
     assert cells[(100, 0)] == 1 and all(cy == 0 and cx >= 75 for cx, cy in cells)
     assert [r["vehicle"] for r in catalogue.QUERIES["incoming_vehicles"](spark, SF).collect()] == ["V035"]
     last = fixture.latest_standing(fixes(spark, SF)).collect()

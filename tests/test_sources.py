@@ -64,16 +64,20 @@ def archive():
     return head + root + tile_bytes
 
 
+#: A rectangle: a move, three lines and a close.
+RING = [9, 2, 10, 26, 12, 0, 0, 8, 11, 0, 15]
+
+
 def layer():
-    feature = field(2, 2, varint(0) + varint(0) + varint(1) + varint(1)) + field(3, 0, 3) + field(4, 2, bytes([9, 4, 4, 18, 4, 0, 0, 4, 15]))
+    feature = field(2, 2, varint(0) + varint(0) + varint(1) + varint(1)) + field(3, 0, 3) + field(4, 2, bytes(RING))
     return field(3, 2, field(1, 2, b"water") + field(2, 2, feature) + field(3, 2, b"kind") + field(3, 2, b"n") + field(4, 2, field(1, 2, b"lake")) + field(4, 2, field(6, 0, 3)) + field(5, 0, 4096))
 
 
 def test_tiles(spark):
     assert [tiles.zxy(k) for k in range(5)] == [(0, 0, 0), (1, 0, 0), (1, 0, 1), (1, 1, 1), (1, 1, 0)] and tiles.zxy(5)[0] == 2
-    assert tiles.geometry([9, 4, 4, 18, 4, 0, 0, 4, 15]) == [[(2, 2), (4, 2), (4, 4), (2, 2)]]
+    assert tiles.geometry(RING) == [[(1, 5), (7, 5), (7, 9), (1, 9), (1, 5)]]
     got = tiles.tile_features(spark.createDataFrame([(archive(),)], "content binary")).orderBy("z", "x", "y").collect()
-    assert len(got) == 4 and got[0]["layer"] == "water" and got[0]["props"] == {"kind": "lake", "n": "-2"} and len(got[0]["parts"][0]) == 4
+    assert len(got) == 4 and got[0]["layer"] == "water" and got[0]["props"] == {"kind": "lake", "n": "-2"} and len(got[0]["parts"][0]) == 5
     with pytest.raises(ValueError):
         tiles.inflate(b"", 3)
     with pytest.raises(ValueError):

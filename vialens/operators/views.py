@@ -10,7 +10,7 @@ from vialens.functions import geo
 
 
 def snapshot(states: DataFrame, shapes: DataFrame, stops: DataFrame) -> DataFrame:
-    """A row for each vehicle with a line: direction, next stop, speed, confidence; by line and vehicle.
+    """A row for each vehicle with a line: direction, next stop, speed, confidence. Whoever publishes it sorts it.
 
     ``shapes``: shape_id, direction, circular; ``stops``: shape_id, dist, stop_id. Both are dimensions."""
     held = stops.groupBy("shape_id").agg(F.array_sort(F.collect_list(F.struct("dist", "stop_id"))).alias("stops"))
@@ -23,7 +23,7 @@ def snapshot(states: DataFrame, shapes: DataFrame, stops: DataFrame) -> DataFram
         F.col("vehicle").alias("id"), "line", "t", F.round("lat", 5).alias("lat"), F.round("lon", 5).alias("lon"), F.round("heading").cast("int").alias("bearing"), "phase", way.alias("dir"), "shape_id",
         F.round("along").cast("int").alias("along"), F.round(F.col("speed") * 3.6).cast("int").alias("speed_kmh"), F.try_element_at(ahead, F.lit(1))["stop_id"].alias("next_stop"), sure.alias("conf"), "vendor", "brt",
     )
-    return out.orderBy("line", "id")
+    return out
 
 
 def line_speeds(states: DataFrame) -> DataFrame:

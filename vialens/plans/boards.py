@@ -9,7 +9,8 @@ from pyspark.sql.window import Window
 from vialens.functions import display, geo
 from vialens.operators import schedule
 from vialens.plans import fixture
-from vialens.plans.fixture import FX, LATEST_SQL, ROUTES_SQL, SHAPES_SQL
+from vialens.plans.fixture import FX, LATEST_SQL, LATEST_STANDING_SQL, ROUTES_SQL, SHAPES_SQL
+from vialens.plans.fleet import ON_ROAD, on_road
 from vialens.plans.registry import query, table
 from vialens.plans.schedule import RATES_SQL, windows
 
@@ -104,7 +105,7 @@ def nearby_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vehicle", F.when(F.col("b.m") <= 250, F.col("b.stop_id")).when(F.col("b.m") < 3000, F.concat(F.lit("near "), "b.stop_id")).otherwise("somewhere").alias("name"))
 
 
-@query(FX + "," + LATEST_SQL + ", " + "shown as (select *, case when seen_at - t > 180 then 'stale' when vehicle >= 'V032' then 'parked' else 'live' end as phase from latest), i as (select * from shown where phase = 'live') select vehicle, service, cast(row_number() over (partition by service order by t desc, vehicle) as int) as place from i qualify row_number() over (partition by service order by t desc, vehicle) <= 3")
+@query(FX + "," + LATEST_STANDING_SQL + ", " + "shown as (select *, case when seen_at - t > 180 then 'stale' when standing then 'parked' else 'live' end as phase from latest), i as (select * from shown where phase = 'live') select vehicle, service, cast(row_number() over (partition by service order by t desc, vehicle) as int) as place from i qualify row_number() over (partition by service order by t desc, vehicle) <= 3")
 def incoming_vehicles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three newest moving vehicles of each line that a map shows; parked and stale ones are hidden."""
     rows = fixture.latest_standing(fixture.fixes(spark, sf_dir)).where("seen_at - t <= 180 and not standing")
@@ -112,11 +113,11 @@ def incoming_vehicles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("place", place).where("place <= 3").select("vehicle", "service", "place")
 
 
-@query(FX + "," + LATEST_SQL + "," + SHAPES_SQL + """, c as (select vehicle, sentido, case sentido when 'ida' then 0 when 'volta' then 1 end as want, cast(substr(vehicle, 2) as int) % 4 as road from latest),
+@query(ON_ROAD + "," + SHAPES_SQL + """, c as (select vehicle, sentido, case sentido when 'ida' then 0 when 'volta' then 1 end as want, route_ix as road from resolved),
   a as (select c.vehicle, s.shape_id, want is null or s.direction = want as preferred from c join shp s on s.route_ix = road) select vehicle, string_agg(shape_id, ',' order by shape_id) filter (where preferred) as preferred, string_agg(shape_id, ',' order by shape_id) as every from a group by vehicle""")
 def candidate_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shapes of a vehicle's route in the direction that it reports, and all of them to fall back on."""
-    rows = fixture.latest(fixture.fixes(spark, sf_dir)).withColumn("route_ix", F.substring("vehicle", 2, 9).cast("int") % 4).withColumn("want", F.expr("case sentido when 'ida' then 0 when 'volta' then 1 end"))
+    rows = on_road(spark, sf_dir).withColumn("want", F.expr("case sentido when 'ida' then 0 when 'volta' then 1 end"))
     held = fixture.shapes(spark).groupBy("route_ix").agg(F.array_sort(F.collect_list(F.struct("shape_id", "direction"))).alias("s"))
     j = rows.join(F.broadcast(held), "route_ix")
     some = F.filter("s", lambda s: F.col("want").isNull() | (s["direction"] == F.col("want")))
@@ -124,13 +125,13 @@ def candidate_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("vehicle", names(some).alias("preferred"), names(F.col("s")).alias("every"))
 
 
-@query(FX + "," + LATEST_SQL + "," + SHAPES_SQL + """, d as (select vehicle, direction, min(round(sqrt(power(s.x - l.x, 2) + power(s.y - l.y, 2)), 2)) as m from latest l join stp s on s.route_ix = cast(substr(vehicle, 2) as int) % 4 group by all)
+@query(ON_ROAD + "," + SHAPES_SQL + """, d as (select vehicle, direction, min(round(sqrt(power(s.x - l.x, 2) + power(s.y - l.y, 2)), 2)) as m from resolved l join stp s on s.route_ix = l.route_ix group by all)
   select vehicle, coalesce(max(case sentido when 'ida' then 0 when 'volta' then 1 end), cast(first(direction order by m, direction) as int)) as direction from d join latest using (vehicle) group by vehicle""")
 def current_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The direction chosen, else that with the nearest stop."""
-    rows = fixture.latest(fixture.fixes(spark, sf_dir)).withColumn("road", F.substring("vehicle", 2, 9).cast("int") % 4)
+    rows = on_road(spark, sf_dir)
     stops = fixture.stops(spark).select("route_ix", "direction", F.col("x").alias("sx"), F.col("y").alias("sy"))
-    j = rows.join(F.broadcast(stops), F.col("road") == F.col("route_ix"))
+    j = rows.join(F.broadcast(stops), "route_ix")
     m = F.round(geo.distance(F.col("x"), F.col("y"), F.col("sx"), F.col("sy")), 2)
     near = j.groupBy("vehicle", "sentido").agg(F.min(F.struct(m.alias("m"), "direction")).alias("b"))
     return near.select("vehicle", F.coalesce(F.expr("case sentido when 'ida' then 0 when 'volta' then 1 end"), F.col("b.direction")).alias("direction"))

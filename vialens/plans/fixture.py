@@ -49,6 +49,19 @@ good as (select *, (lon - -43.4) * 102431.14359791845 as x, (lat - -22.9) * 1111
 latest as (select * from (select *, row_number() over (partition by vehicle order by t desc, event_id desc) as rn from good) where rn = 1)"""
 
 
+def standing_sql(before: int, after: int) -> str:
+    """DuckDB's ``stood``: the good fixes with whether over half of the vehicle's fixes in the time around, three at least, lie within 100 m of their median place."""
+    return f"""
+around as (select *, list(x) over w as xs, list(y) over w as ys from good window w as (partition by vehicle order by t range between {before} preceding and {after} following)),
+middle as (select *, list_sort(xs)[(len(xs) + 1) // 2] as mx, list_sort(ys)[(len(ys) + 1) // 2] as my from around),
+stood as (select * exclude (xs, ys, mx, my), len(xs) >= 3 and 2 * len(list_filter(range(1, len(xs) + 1), lambda i: sqrt(power(xs[i] - mx, 2) + power(ys[i] - my, 2)) <= 100)) > len(xs) as standing from middle)"""
+
+
+#: Each vehicle's last good fix in DuckDB, with whether it has stood in the 600 s up to then.
+LATEST_STANDING_SQL = LATEST_SQL.split("latest as")[0] + standing_sql(600, 0).lstrip() + """,
+latest as (select * from (select *, row_number() over (partition by vehicle order by t desc, event_id desc) as rn from stood) where rn = 1)"""
+
+
 def fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(FIXES_SQL, events=spark.read.parquet(f"{sf_dir}/events.parquet"))
 

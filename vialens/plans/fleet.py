@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from vialens.functions import codes, geo, times
 from vialens.operators import hygiene, lookups
 from vialens.plans import fixture
-from vialens.plans.fixture import FX, LATEST_SQL, ROUTES_SQL
+from vialens.plans.fixture import FX, LATEST_SQL, LATEST_STANDING_SQL, ROUTES_SQL
 from vialens.plans.registry import query, table
 
 RESOLVED_SQL = """
@@ -21,6 +21,8 @@ STATE_SQL = """case when trim(coalesce(service, '')) = '' then 'unknown' when re
   or regexp_matches(trim(service), '(^|[^A-Z0-9])GAR($|[^A-Z0-9])') then 'out' else 'named' end"""
 ON_ROAD = FX + ", " + ROUTES_SQL + "," + LATEST_SQL + "," + RESOLVED_SQL.format(src="latest")
 
+STANDING = FX + ", " + ROUTES_SQL + "," + LATEST_STANDING_SQL + "," + RESOLVED_SQL.format(src="latest")
+
 
 def on_road(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vehicle's newest good fix with its route and the name shown for its line."""
@@ -40,13 +42,13 @@ def vehicles_per_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return on_road(spark, sf_dir).groupBy(F.col("shown").alias("line")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "line")
 
 
-@query(ON_ROAD + """, p as (select case when 1800000000 + 20 * (select max(event_id) // 40 from events) - t > 180 then 'stale' when road >= 32 then 'parked' else 'live' end as phase
-  from (select *, cast(substr(vehicle, 2) as int) as road from resolved)) select phase, count(*) as n from p group by phase""")
+@query(STANDING + """, p as (select case when 1800000000 + 20 * (select max(event_id) // 40 from events) - t > 180 then 'stale' when standing then 'parked' else 'live' end as phase
+  from resolved) select phase, count(*) as n from p group by phase""")
 def phase_like_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vehicles by a phase judged from age and yard alone."""
+    """Vehicles by a phase judged from age and movement alone."""
     now = table(spark, sf_dir, "events").agg((F.lit(1800000000) + 20 * F.expr("max(event_id) div 40")).alias("now"))
-    phase = F.when(F.col("now") - F.col("t") > 180, "stale").when(F.substring("vehicle", 2, 9).cast("int") >= 32, "parked").otherwise("live")
-    return on_road(spark, sf_dir).join(F.broadcast(now)).groupBy(phase.alias("phase")).agg(F.count("*").alias("n"))
+    phase = F.when(F.col("now") - F.col("t") > 180, "stale").when(F.col("standing"), "parked").otherwise("live")
+    return fixture.latest_standing(fixture.fixes(spark, sf_dir)).join(F.broadcast(now)).groupBy(phase.alias("phase")).agg(F.count("*").alias("n"))
 
 
 @query(FX + """ select outcome, count(*) as n from (select case when not (lat between -23.15 and -22.65 and lon between -43.9 and -43.0) then 'outside' when t > seen_at + 60 then 'future'
@@ -216,7 +218,7 @@ def newest_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixture.fixes(spark, sf_dir).agg(F.coalesce(F.max("t"), F.lit(0)).alias("newest"), F.count("*").alias("rows"))
 
 
-@query(ON_ROAD + """, s as (select *, (vehicle >= 'V032') as yard, 1800000000 + 20 * (select max(event_id) // 40 from events) - t > 180 as stale from resolved)
+@query(STANDING + """, s as (select *, standing as yard, 1800000000 + 20 * (select max(event_id) // 40 from events) - t > 180 as stale from resolved)
   select count(*) as tracked, count(*) filter (where route_ix is not null) as routed, count(*) filter (where route_ix is not null and not yard and not stale) as in_service,
   cast(case when count(*) filter (where route_ix is not null and not yard and not stale) = 0 then 0 else least(count(*) filter (where heading is not null), count(*) filter (where route_ix is not null and not yard and not stale)) * 100 // count(*) filter (where route_ix is not null and not yard and not stale) end as bigint) as rate_pct from s""")
 def in_service_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,3 +243,53 @@ def changed_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     fx = fixture.fixes(spark, sf_dir)
     old, new = body(fx.where("event_id % 3 = 0")).withColumnRenamed("h", "old"), body(fx)
     return new.join(old, "vehicle", "full").where("old is distinct from h").select("vehicle")
+
+
+@query(FX + ", " + ROUTES_SQL + "," + RESOLVED_SQL.format(src="fx") + " select service, count(*) as n, count(distinct vehicle) as buses from resolved where route_ix is null and service is not null group by service")
+def unknown_services(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes that name no route: their fixes and distinct buses."""
+    rows = lookups.resolve_service(fixture.fixes(spark, sf_dir), fixture.routes(spark), fixture.aliases(spark)).where("route_ix is null and service is not null")
+    return rows.groupBy("service").agg(F.count("*").alias("n"), F.countDistinct("vehicle").alias("buses"))
+
+
+@query(ON_ROAD + " select service as line, count(*) as buses from resolved where route_ix is null group by service")
+def live_only_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that are on the road and that the schedule does not have."""
+    return on_road(spark, sf_dir).where("route_ix is null").groupBy(F.col("service").alias("line")).agg(F.count("*").alias("buses"))
+
+
+@query(ON_ROAD + """, a as (select 1800000000 + 20 * (select max(event_id) // 40 from events) - t as age from latest), l as (select list_sort(list(age)) as s, count(*) as n from a)
+  select n, s[least(n, cast(floor(n * 0.5) as bigint) + 1)] as p50, s[least(n, cast(floor(n * 0.9) as bigint) + 1)] as p90 from l""")
+def age_p50_p90(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ages of the vehicles' newest fixes at floor ranks. Equal ages are counted first, so that no array of all rows is built."""
+    now = table(spark, sf_dir, "events").agg((F.lit(1800000000) + 20 * F.expr("max(event_id) div 40")).alias("now"))
+    ages = fixture.latest(fixture.fixes(spark, sf_dir)).join(F.broadcast(now)).groupBy((F.col("now") - F.col("t")).alias("age")).agg(F.count("*").alias("c"))
+    upto = Window.orderBy("age").rowsBetween(Window.unboundedPreceding, 0)  # a row an age in whole seconds
+    ranked = ages.withColumns({"upto": F.sum("c").over(upto), "n": F.sum("c").over(Window.partitionBy())})
+    at = lambda p: F.min(F.when(F.col("upto") > F.least(F.floor(F.col("n") * p), F.col("n") - 1), F.col("age")))
+    return ranked.agg(F.max("n").alias("n"), at(0.5).alias("p50"), at(0.9).alias("p90"))
+
+
+@query(FX + """, e as (select vehicle, to_json({'id': vehicle, 'n': count(*), 'newest': max(t)}) as body from fx group by vehicle) select vehicle, sha256(body) as hash from e""")
+def body_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A digest of each document, by which a later publication tells what has changed."""
+    return json_documents(spark, sf_dir).select("vehicle", F.sha2("body", 256).alias("hash"))
+
+
+@query(FX + """, o as (select distinct vehicle, service from fx where event_id % 2 = 0 and service is not null), n as (select distinct vehicle, service from fx where event_id % 2 = 1 and t % 3 > 0 and service is not null)
+  select * from o except select * from n""")
+def stale_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys written before that the present documents no longer have, and that are to be removed; here of two halves of the fixes."""
+    fx = fixture.fixes(spark, sf_dir).where("service is not null")
+    old, new = fx.where("event_id % 2 = 0"), fx.where("event_id % 2 = 1 and t % 3 > 0")
+    return old.select("vehicle", "service").distinct().join(new.select("vehicle", "service"), ["vehicle", "service"], "left_anti")
+
+
+@query(PREV + """ , m as (select event_id, heading, (degrees(atan2(x - lag(x) over w, y - lag(y) over w)) + 360) % 360 as bearing from good window w as (partition by vehicle order by t, event_id))
+  select event_id, round(bearing, 3) as bearing, round(least((bearing - heading + 720) % 360, 360 - (bearing - heading + 720) % 360), 3) as apart from m""")
+def bearing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bearing from the fix before, and how far it is from the heading that the vehicle reports (0 to 180)."""
+    rows = hygiene.with_previous(fixture.good_fixes(fixture.fixes(spark, sf_dir)), ["vehicle"], ["t", "event_id"])
+    b = geo.bearing(F.col("prev_x"), F.col("prev_y"), F.col("x"), F.col("y"))
+    turn = F.pmod(b - F.col("heading"), F.lit(360.0))
+    return rows.select("event_id", F.round(b, 3).alias("bearing"), F.round(F.when(turn > 180, 360 - turn).otherwise(turn), 3).alias("apart"))

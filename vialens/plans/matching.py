@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vialens.operators import processor, views
+from vialens.operators.stored import stored
 from vialens.plans import fixture
 from vialens.plans.registry import query, table
 
@@ -19,8 +20,9 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The replay's last states, written once: what is published reads them more than once."""
     now = table(spark, sf_dir, "events").agg(F.max(F.expr("1800000000 + 20 * (event_id div 40) + 10"))).first()[0]
-    return processor.replay(reports(spark, sf_dir), fleet_network(spark), "states", at_end=now)
+    return stored(processor.replay(reports(spark, sf_dir), fleet_network(spark), "states", at_end=now), "states")
 
 
 def dims(spark: SparkSession) -> tuple[DataFrame, DataFrame]:

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vialens.functions import geo
-from vialens.operators import graph, spatial
+from vialens.operators import evidence, graph, lookups, spatial
 from vialens.plans import fixture
-from vialens.plans.fixture import FX, LATEST_SQL, SHAPES_SQL
+from vialens.plans.fixture import FX, LATEST_SQL, SHAPES_SQL, standing_sql
+from vialens.plans.fleet import ON_ROAD, RESOLVED_SQL, on_road
 from vialens.plans.registry import ORACLES, query, table
 
 GOOD = LATEST_SQL.split("latest as")[0].rstrip().rstrip(",")
@@ -49,21 +50,27 @@ def haversine_nearest_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("vehicle").agg(F.min(F.struct(d.alias("d"), "stop_id")).alias("m")).select("vehicle", F.col("m.stop_id").alias("stop_id"), F.col("m.d").alias("metres"))
 
 
-@query(FX + "," + GOOD + """, c as (select floor(x / 60) as cx, floor(y / 60) as cy, count(distinct vehicle) as buses from good where vehicle >= 'V032' group by 1, 2)
-  select cast(cx as bigint) as cx, cast(cy as bigint) as cy, buses from c where buses >= 1""")
-def garage_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct standing buses a 60 m cell."""
+def standing_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spatial.standing(fixture.good_fixes(fixture.fixes(spark, sf_dir))).where("standing")
     return rows.groupBy(F.floor(F.col("x") / 60).alias("cx"), F.floor(F.col("y") / 60).alias("cy")).agg(F.countDistinct("vehicle").alias("buses"))
 
 
+@query(FX + "," + GOOD + "," + standing_sql(300, 300) + """, c as (select floor(x / 60) as cx, floor(y / 60) as cy, count(distinct vehicle) as buses from stood where standing group by 1, 2)
+  select cast(cx as bigint) as cx, cast(cy as bigint) as cy, buses from c where buses >= 6""")
+def garage_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """60 m cells with six standing buses or more, by movement."""
+    return standing_cells(spark, sf_dir).where("buses >= 6")
+
+
 @query("with recursive " + FX.removeprefix("with ") + "," + GOOD + """, c as (select cast(floor(x / 60) as bigint) as cx, cast(floor(y / 60) as bigint) as cy, vehicle from good group by all having count(*) >= 2),
   n as (select distinct cx, cy, (cx + 100000) * 1000000 + cy + 100000 as node from c), e as (select a.node as a, b.node as b from n a join n b on abs(a.cx - b.cx) <= 1 and abs(a.cy - b.cy) <= 1),
-  reach(node, root) as (select node, node from n union select e.b, reach.root from reach join e on e.a = reach.node), k as (select node, min(root) as root from reach group by node)
-  select root, count(distinct n.node) as cells, count(distinct vehicle) as buses, min(c.cx) as x0, max(c.cx) as x1, min(c.cy) as y0, max(c.cy) as y1, case when count(distinct vehicle) >= 40 then 'garage' when count(distinct vehicle) >= 8 and max(c.cx) - min(c.cx) <= 20 then 'yard' else 'road' end as verdict
-  from k join n using (node) join c on c.cx = n.cx and c.cy = n.cy group by root""")
+  reach(node, root) as (select node, node from n union select e.b, reach.root from reach join e on e.a = reach.node), k as (select node, min(root) as root from reach group by node),
+  g as (select root, count(distinct n.node) as cells, count(distinct vehicle) as buses, min(c.cx) as x0, max(c.cx) as x1, min(c.cy) as y0, max(c.cy) as y1 from k join n using (node) join c on c.cx = n.cx and c.cy = n.cy group by root),
+  m as (select g.root, min(sqrt(power((x0 + x1 + 1) * 30.0 - ex, 2) + power((y0 + y1 + 1) * 30.0 - ey, 2))) as away from g, (select a * 12000.0 as ex, r * 1500.0 as ey from range(2) t(a), range(3) u(r)) group by g.root)
+  select g.*, round(away, 2) as end_m, case when buses >= 40 or (buses >= 20 and away >= 150) then 'garage' else 'other' end as verdict from g join m using (root)""")
 def garage_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of touching cells where a bus was seen twice or more: cells, distinct buses, bounds and a verdict."""
+    """Groups of touching cells where a bus was seen twice or more: cells, distinct buses, bounds, the metres from the middle to
+    the nearest route end, and the verdict: a garage has 40 buses, or 20 and no route end within 150 m."""
     rows = fixture.good_fixes(fixture.fixes(spark, sf_dir)).groupBy(F.floor(F.col("x") / 60).alias("cx"), F.floor(F.col("y") / 60).alias("cy"), "vehicle").count().where("count >= 2")
     rows = rows.withColumn("node", (F.col("cx") + 100000) * 1000000 + F.col("cy") + 100000).select("node", "cx", "cy", "vehicle")
     cells = rows.select("node", "cx", "cy").distinct()
@@ -72,7 +79,11 @@ def garage_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = near.join(cells.select("node"), "node").select("a", F.col("node").alias("b"))
     named = rows.join(graph.components(cells.select("node"), edges), "node")
     out = named.groupBy("root").agg(F.countDistinct("node").alias("cells"), F.countDistinct("vehicle").alias("buses"), F.min("cx").alias("x0"), F.max("cx").alias("x1"), F.min("cy").alias("y0"), F.max("cy").alias("y1"))
-    return out.withColumn("verdict", F.when(F.col("buses") >= 40, "garage").when((F.col("buses") >= 8) & (F.col("x1") - F.col("x0") <= 20), "yard").otherwise("road"))
+    ends = fixture.points(spark).where("i in (0, 240)").agg(F.collect_set(F.struct("x", "y")).alias("ends"))  # the ends of all routes
+    away = F.array_min(F.transform("ends", lambda e: geo.distance((F.col("x0") + F.col("x1") + 1) * 30.0, (F.col("y0") + F.col("y1") + 1) * 30.0, e["x"], e["y"])))
+    out = out.join(F.broadcast(ends)).withColumn("away", away)
+    verdict = F.when((F.col("buses") >= 40) | ((F.col("buses") >= 20) & (F.col("away") >= 150)), "garage").otherwise("other")
+    return out.withColumns({"end_m": F.round("away", 2), "verdict": verdict}).drop("ends", "away")
 
 
 @query(FX + "," + GOOD + """, b as (select *, x between 5850 and 6150 and y between -30 and 270 as inside from good) select vehicle, count(*) filter (where inside) as inside, count(*) as n from b group by vehicle""")
@@ -110,7 +121,7 @@ def mercator_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixture.fixes(spark, sf_dir).select("event_id", F.round(F.degrees(F.atan(F.sinh(F.pi() * (1.0 - 2.0 * share)))), 6).alias("lat"))
 
 
-@query(FX + "," + LATEST_SQL + "," + SHAPES_SQL + """, o as (select vehicle, shape_id, s.direction, greatest(0.0, least(12000.0, case when direction = 0 then latest.x else 12000.0 - latest.x end)) as along from latest join shp s on s.route_ix = cast(substr(vehicle, 2) as int) % 4),
+@query(ON_ROAD + "," + SHAPES_SQL + """, o as (select vehicle, shape_id, s.direction, greatest(0.0, least(12000.0, case when direction = 0 then resolved.x else 12000.0 - resolved.x end)) as along from resolved join shp s on s.route_ix = resolved.route_ix),
   nxt as (select o.*, (select min(ord) from stp where stp.shape_id = o.shape_id and stp.dist > o.along - 5) as first_ord from o)
   select vehicle, shape_id, stop_id, cast(ord - first_ord as int) as stops_away, round(dist - along, 2) as metres, round(0.7 * greatest(dist - along, 0) / v, 2) as eta_lo, round(1.4 * greatest(dist - along, 0) / v + 30, 2) as eta_hi
   from (select nxt.*, ord, stop_id, dist, greatest(8.0 / 3.6, least(40.0 / 3.6, exp(-greatest(dist - along, 0) / 1500.0) * 7.5 + (1 - exp(-greatest(dist - along, 0) / 1500.0)) * 6.0)) as v from nxt join stp using (shape_id) where ord >= first_ord and ord < first_ord + 25 and dist - along <= 8000)""")
@@ -120,9 +131,9 @@ def arrivals_ahead(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ahead(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fixture.latest(fixture.fixes(spark, sf_dir)).withColumn("road", F.substring("vehicle", 2, 9).cast("int") % 4)
+    rows = on_road(spark, sf_dir).drop("line")
     shapes = fixture.stops(spark).groupBy("route_ix", "shape_id", "direction").agg(F.array_sort(F.collect_list(F.struct("ord", "dist", "stop_id"))).alias("stops"))
-    on = rows.join(F.broadcast(shapes), F.col("road") == F.col("route_ix"))
+    on = rows.join(F.broadcast(shapes), "route_ix")
     along = F.greatest(F.lit(0.0), F.least(F.lit(12000.0), F.when(F.col("direction") == 0, F.col("x")).otherwise(12000.0 - F.col("x"))))
     on = on.withColumn("along", along)
     nxt = F.slice(F.filter("stops", lambda s: s["dist"] > F.col("along") - 5), 1, 25)
@@ -195,3 +206,33 @@ def nearest_route_end(spark: SparkSession, sf_dir: str) -> DataFrame:
 def grid_rasterise(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fixture.points(spark).select("route_ix", F.floor(F.col("x") / 100).alias("cx"), F.floor(F.col("y") / 100).alias("cy")).distinct()
     return rows.groupBy("route_ix").agg(F.count("*").alias("cells"), F.min("cx").alias("x0"), F.max("cx").alias("x1"))
+
+
+@query("with t as (" + ORACLES["arrivals_ahead"] + """), p as (select distinct stop_id, x / 102431.14359791845 - 43.4 as lon, y / 111194.92664455873 - 22.9 as lat from (""" + FX + "," + LATEST_SQL + "," + SHAPES_SQL + """ select * from stp)),
+  q as (select stop_id, cast(floor((lon + 180) / 360 * 8192) as int) as tile_x, cast(floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 8192) as int) as tile_y from p)
+  select tile_x, tile_y, count(distinct stop_id) as stops, count(*) as arrivals, count(distinct vehicle) as buses, min(metres) as nearest_m from t join q using (stop_id) group by all""")
+def arrivals_by_tile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The arrivals of each map tile's stops: stops, arrivals, buses and the nearest one's metres."""
+    places = fixture.stops(spark).select("stop_id", geo.tile_x(geo.lon_of(F.col("x")), 13).alias("tile_x"), geo.tile_y(geo.lat_of(F.col("y")), 13).alias("tile_y")).distinct()
+    rows = _ahead(spark, sf_dir).join(F.broadcast(places), "stop_id")  # a network's stops
+    return rows.groupBy("tile_x", "tile_y").agg(F.countDistinct("stop_id").alias("stops"), F.count("*").alias("arrivals"), F.countDistinct("vehicle").alias("buses"), F.min("metres").alias("nearest_m"))
+
+
+@query(FX + "," + GOOD + ", routes(route_ix, short_name) as (values (0, '474'), (1, '007'), (2, 'LECD140')), aliases(alias, target) as (select * from (values ('', '')) v(a, b) where a <> '')," + RESOLVED_SQL.format(src="good") + """,
+  u as (select * from resolved where route_ix is null and trim(service) <> ''), c as (select service, count(*) as n, count(distinct vehicle) as buses, count(distinct vendor) as vendors, count(sentido) as dirs from u group by service),
+  met as (select service, r.short_name as route, count(*) as n from u join routes r on abs(u.y - r.route_ix * 1500) <= 60 and u.x between -60 and 12060 where (u.x between 0 and 12000 or sqrt(power(u.y - r.route_ix * 1500, 2) + power(greatest(-u.x, u.x - 12000), 2)) <= 60) group by all),
+  own as (select service, r.short_name as route, count(*) as n from u join routes r on r.route_ix = u.event_id % 4 where vendor = 'zirix' group by all),
+  a as (select service, first(route order by n desc, route) as route, max(n) as n from met group by service), b as (select service, first(route order by n desc, route) as route, max(n) as n from own group by service)
+  select c.service, c.buses, b.route as reported, cast(round(100.0 * b.n / c.n) as bigint) as reported_pct, a.route as covered, cast(round(100.0 * a.n / c.n) as bigint) as covered_pct,
+    case when a.route = b.route and round(100.0 * a.n / c.n) >= 85 then concat('alias -> ', a.route) when vendors = 1 and dirs < 0.1 * c.n then 'no line' else 'line without a route' end as verdict from c left join a using (service) left join b using (service)""")
+def alias_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each code without a route of its own: its buses, the route that its vendor's shape ids name most, the route within 60 m
+    of which it is seen most, and the verdict. Here one vendor sends shape ids, and no alias is known yet."""
+    fx = fixture.good_fixes(fixture.fixes(spark, sf_dir))
+    known = lookups.resolve_service(fx, fixture.routes(spark), fixture.aliases(spark).limit(0))
+    rows = known.where("route_ix is null and trim(service) <> ''").drop("route_ix", "line")
+    names = fixture.routes(spark).withColumnRenamed("short_name", "route")
+    segs = spatial.segments(fixture.points(spark), ["shape_id", "route_ix"])
+    met = spatial.near_segments(rows.select("event_id", "service", "x", "y"), segs, 60.0).select("event_id", "service", "route_ix").distinct().join(F.broadcast(names), "route_ix")
+    own = rows.where("vendor = 'zirix'").withColumn("route_ix", (F.col("event_id") % 4).cast("int")).join(F.broadcast(names), "route_ix")
+    return evidence.alias_verdicts(rows, met, own)
