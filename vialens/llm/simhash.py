@@ -276,7 +276,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle_words: int, similarity
     """Those of ``pairs`` (a, b: classes) whose sets of word shingles have a Jaccard similarity of ``similarity`` or more."""
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        slices = (batch.slice(k, 500) for batch in batches for k in range(0, batch.num_rows, 500))  # so many texts at once as Python objects
+        for b in slices:
             last, mine, ok = None, np.zeros(0), []
             for a, x, y in zip(b.column("a").to_pylist(), b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
                 if a != last:
