@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,10 +48,13 @@ def test_shapes(built):
 
 
 def test_save_and_documents(spark, built, tmp_path):
-    schedule.save({k: built[k] for k in ("routes", "shapes", "shape_stops")}, str(tmp_path / "t"))
-    again = schedule.load(spark, str(tmp_path / "t"), ["routes", "shapes", "shape_stops"])
+    schedule.save({k: built[k] for k in ("routes", "shapes", "shape_stops", "points")}, str(tmp_path / "t"))
+    again = schedule.load(spark, str(tmp_path / "t"), ["routes", "shapes", "shape_stops", "points"])
     doc = schedule.line_documents(again).first()
     assert doc["name"] == "474" and '"headsign":"B"' in doc["body"]
+    path = json.loads(doc["body"])["shapes"][0]["path"]
+    back = spark.createDataFrame([(path,)], "t string").select(folds.decode_polyline("t").alias("p")).first()["p"]
+    assert back == pytest.approx([v for r in built["points"].orderBy("i").collect() for v in (r["lat"], r["lon"])], abs=5.1e-6)
     spark.range(1).withColumn("format_version", F.lit(1)).write.parquet(str(tmp_path / "old/routes"))
     with pytest.raises(ValueError):
         schedule.load(spark, str(tmp_path / "old"), ["routes"])

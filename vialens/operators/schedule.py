@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vialens.functions import codes, geo, times
+from vialens.functions import codes, folds, geo, times
 
 
 def representative_trips(trips: DataFrame, stop_times: DataFrame) -> DataFrame:
@@ -135,9 +135,11 @@ def load(spark, path: str, names: list[str]) -> dict[str, DataFrame]:
 
 
 def line_documents(tables: dict[str, DataFrame]) -> DataFrame:
-    """A JSON document for each line: its shapes with stops; named by the sanitised line."""
+    """A JSON document for each line: its shapes with stops and their points as a polyline; named by the sanitised line."""
     stops = tables["shape_stops"].groupBy("shape_id").agg(F.array_sort(F.collect_list(F.struct(F.round("dist").cast("int").alias("at"), "stop_id"))).alias("stops"))
-    shapes = tables["shapes"].join(stops, "shape_id", "left").join(F.broadcast(tables["routes"]), "route_id")
-    shape = F.struct("shape_id", "direction", "headsign", "circular", F.round("length").cast("int").alias("length"), "stops")
+    path = tables["points"].groupBy("shape_id").agg(F.array_sort(F.collect_list(F.struct("i", "lat", "lon"))).alias("p"))
+    path = path.select("shape_id", folds.encode_polyline(F.flatten(F.transform("p", lambda q: F.array(q["lat"], q["lon"])))).alias("path"))
+    shapes = tables["shapes"].join(stops, "shape_id", "left").join(path, "shape_id", "left").join(F.broadcast(tables["routes"]), "route_id")
+    shape = F.struct("shape_id", "direction", "headsign", "circular", F.round("length").cast("int").alias("length"), "path", "stops")
     lines = shapes.groupBy("short_name", "long_name", "color").agg(F.array_sort(F.collect_list(F.struct("shape_id", shape.alias("s")))).alias("s"))
     return lines.select(codes.sanitize(F.col("short_name")).alias("name"), F.to_json(F.struct(F.col("short_name").alias("line"), "long_name", "color", F.col("s.s").alias("shapes"))).alias("body"))

@@ -65,3 +65,10 @@ def pending_reasons(states: DataFrame) -> DataFrame:
         .when(F.col("beam_fixes") < C.FIXES, "too_few_fixes").when(F.col("beam_progress") < C.PROGRESS_M, "not_enough_progress").otherwise("rival_pass_too_close")
     )
     return states.where(F.col("shape_id").isNull() & ~idle).groupBy(why.alias("reason")).agg(F.count("*").alias("n"))
+
+
+def pending_sample(states: DataFrame, limit: int) -> DataFrame:
+    """The first vehicles by id that move at 2 m/s or more on a known route and have no direction yet, with what is known of each."""
+    rows = states.where((F.col("phase") == "pending") & F.col("shape_id").isNull() & (F.col("speed") >= 2.0) & F.col("route_ix").isNotNull())
+    best = F.when(F.col("hypotheses") > 0, F.format_string("dist=%.0f prog=%.0f fixes=%d", "beam_dist", "beam_progress", "beam_fixes")).otherwise("no hypothesis")
+    return rows.orderBy("vehicle").limit(limit).select("vehicle", "service", "hypotheses", "accepted", "resets", F.round("speed", 1).alias("speed"), best.alias("best"))

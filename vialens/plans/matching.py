@@ -1,4 +1,4 @@
-"""Queries on vehicle states: outcomes, snapshot, arrivals, phases. They have no SQL form; tests hold them against scenarios."""
+"""Queries on vehicle states: outcomes, snapshot, arrivals, phases. The matched states have no SQL form; tests hold them against scenarios."""
 
 from __future__ import annotations
 
@@ -59,3 +59,9 @@ def phase_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.pending_reasons(states(spark, sf_dir))
+
+
+@query()
+def debug_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A few moving vehicles without a direction; the limit is the feature."""
+    return views.pending_sample(states(spark, sf_dir), 20)

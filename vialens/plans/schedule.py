@@ -65,7 +65,10 @@ def calendar_exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schedule.calendar_exceptions(_calendar(spark), _dates(spark, sf_dir))
 
 
-@query("select * from (values (0, 2), (1, 0), (2, 0), (3, 0), (4, 0), (5, 0), (6, 1)) t(weekday, svc)")
+CALENDAR_SQL = "c(service_id, monday, tuesday, wednesday, thursday, friday, saturday, sunday, start_date, end_date) as (values " + ", ".join(map(str, CALENDAR)) + ")"
+
+
+@query("with " + CALENDAR_SQL + ", d as (select case substr(service_id, 1, 2) when 'U_' then 0 when 'S_' then 1 when 'D_' then 2 end as svc, unnest([sunday, monday, tuesday, wednesday, thursday, friday, saturday]) as runs, unnest(range(7)) as weekday from c) select cast(weekday as int) as weekday, cast(min(svc) as int) as svc from d where runs = '1' and svc is not null group by weekday")
 def weekday_service(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schedule.weekday_services(_calendar(spark))
 

@@ -86,6 +86,13 @@ def garage_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"end_m": F.round("away", 2), "verdict": verdict}).drop("ends", "away")
 
 
+@query("select cast(row_number() over (order by buses desc, root) as int) as place, root, buses, verdict from (" + ORACLES["garage_components"] + ")")
+def garage_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups of cells, most buses first; a city has some hundred, so one task ranks them."""
+    place = F.row_number().over(Window.orderBy(F.desc("buses"), "root"))
+    return garage_components(spark, sf_dir).select(place.alias("place"), "root", "buses", "verdict")
+
+
 @query(FX + "," + GOOD + """, b as (select *, x between 5850 and 6150 and y between -30 and 270 as inside from good) select vehicle, count(*) filter (where inside) as inside, count(*) as n from b group by vehicle""")
 def in_garage(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = spark.createDataFrame([(5850.0, -30.0, 6150.0, 270.0)], "x0 double, y0 double, x1 double, y1 double").agg(F.collect_list(F.struct("x0", "y0", "x1", "y1")).alias("boxes"))
@@ -130,17 +137,22 @@ def arrivals_ahead(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ahead(spark, sf_dir)
 
 
-def _ahead(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = on_road(spark, sf_dir).drop("line")
+def ahead_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrivals ahead of every vehicle on a route, with its line and time."""
+    rows = on_road(spark, sf_dir)
     shapes = fixture.stops(spark).groupBy("route_ix", "shape_id", "direction").agg(F.array_sort(F.collect_list(F.struct("ord", "dist", "stop_id"))).alias("stops"))
     on = rows.join(F.broadcast(shapes), "route_ix")
     along = F.greatest(F.lit(0.0), F.least(F.lit(12000.0), F.when(F.col("direction") == 0, F.col("x")).otherwise(12000.0 - F.col("x"))))
     on = on.withColumn("along", along)
     nxt = F.slice(F.filter("stops", lambda s: s["dist"] > F.col("along") - 5), 1, 25)
-    out = on.select("vehicle", "shape_id", "direction", "route_ix", "along", F.posexplode(F.filter(nxt, lambda s: s["dist"] - F.col("along") <= 8000)).alias("stops_away", "s"))
+    out = on.select("vehicle", "line", "t", "shape_id", "direction", "along", F.posexplode(F.filter(nxt, lambda s: s["dist"] - F.col("along") <= 8000)).alias("stops_away", "s"))
     metres = F.col("s.dist") - F.col("along")
     lo, hi = geo.eta_bounds(metres, F.lit(7.5), F.lit(None).cast("double"), F.lit(6.0))
-    return out.select("vehicle", "shape_id", F.col("s.stop_id").alias("stop_id"), "stops_away", F.round(metres, 2).alias("metres"), F.round(lo, 2).alias("eta_lo"), F.round(hi, 2).alias("eta_hi"))
+    return out.select("vehicle", "line", "t", "direction", "shape_id", F.col("s.stop_id").alias("stop_id"), "stops_away", F.round(metres, 2).alias("metres"), F.round(lo, 2).alias("eta_lo"), F.round(hi, 2).alias("eta_hi"))
+
+
+def _ahead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ahead_rows(spark, sf_dir).drop("line", "t", "direction")
 
 
 @query("select stop_id, shape_id, vehicle, metres, cast(rn as int) as place from (select *, row_number() over (partition by stop_id, shape_id order by metres, vehicle) as rn from (" + ORACLES["arrivals_ahead"] + ")) where rn <= 3")

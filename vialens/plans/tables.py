@@ -71,13 +71,26 @@ def typical_rows_ewma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("day", F.round(folds.typical_rows(F.col("b")), 4).alias("typical"))
 
 
-@query()
+KEPT_SQL = """, g(service, k, kept) as (select distinct service, cast(0 as bigint), cast([] as struct(id bigint, x double, y double)[]) from p union all
+  select p.service, p.k, case when len(list_filter(g.kept, lambda c: sqrt(power(c.x - p.x, 2) + power(c.y - p.y, 2)) < {metres})) > 0 then g.kept else list_append(g.kept, {{'id': p.id, 'x': p.x, 'y': p.y}}) end from g join p on p.service = g.service and p.k = g.k + 1),
+  z as (select service, unnest(last(kept order by k)) as c from g group by service) """
+
+
+@query("with recursive " + FX.removeprefix("with ") + "," + LATEST_SQL + ", p as (select service, event_id as id, x, y, row_number() over (partition by service order by event_id) as k from latest)" + KEPT_SQL.format(metres=1000) + "select service, c.id as id, round(c.x, 3) as x, round(c.y, 3) as y from z")
 def greedy_place_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each line's newest places, those not within 1,000 m of one kept before; a test holds it against a plain loop."""
+    """Of each line's newest places, those not within 1,000 m of one kept before."""
     rows = fixture.latest(fixture.fixes(spark, sf_dir)).groupBy("service").agg(F.array_sort(F.collect_list(F.struct(F.col("event_id").alias("id"), "x", "y"))).alias("p"))
     return rows.select("service", F.explode(folds.keep_apart(F.col("p"), 1000.0)).alias("k")).select("service", "k.id", F.round("k.x", 3).alias("x"), F.round("k.y", 3).alias("y"))
 
 
+@query("""with recursive p as (select *, row_number() over (partition by service order by id) as k from (select lower(p_name) as service, p_partkey as id, cast(p_partkey * 7 % 1500 as double) as x, cast(p_partkey * 11 % 900 as double) as y from part))""" + KEPT_SQL.format(metres=600) + "select service as name, c.id as id from z")
+def one_per_street(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Found places without those that have the name, case aside, of one kept before within 600 m; a name's places fit in an array."""
+    place = F.struct(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 7 % 1500).cast("double").alias("x"), (F.col("p_partkey") * 11 % 900).cast("double").alias("y"))
+    rows = table(spark, sf_dir, "part").groupBy(F.lower("p_name").alias("name")).agg(F.array_sort(F.collect_list(place)).alias("p"))
+    return rows.select("name", F.explode(folds.keep_apart(F.col("p"), 600.0)).alias("k")).select("name", "k.id")
+
+
 @query(FX + "," + GOOD + """, h as (select vehicle, t // 3600 as hour, count(*) as n from good group by all) select vehicle, hour, n, true as same from h""")
 def polyline_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vehicle's hour as an encoded polyline, decoded again: equal to five decimals."""
