@@ -112,7 +112,7 @@ def shifts(rows: DataFrame, sources: DataFrame, ways: int = 16, rounds: int = 4,
     shifts between the ends that are left, all sources in one pass, and goes on between the two around the target, until the
     nearer end is ``close`` or the ends are 2^-15 apart: of a source's rows, one in 30,000 is left between them. Where that
     leaves a source far off, because a long document lies between the ends, the documents longer than what is missed stay as
-    they are at the lower end (``pin_size, pin_shift``), and the search goes on with the others.
+    they are at the lower end (``pin_size, pin_shift``), and the search goes on with the others, up to MOST copies of each.
     """
     names = [*sources.columns, "pin_size", "pin_shift"]
     mark = F.broadcast if sources.limit(200_001).count() <= 200_000 else lambda x: x  # a row a source
@@ -131,7 +131,7 @@ def shifts(rows: DataFrame, sources: DataFrame, ways: int = 16, rounds: int = 4,
         moved = both.withColumn("k", below).select(*names, pick(at, F.col("k")).alias("low"), pick(at, F.col("k") + 1).alias("high"), pick(taken, F.col("k")).alias("at_low"), pick(taken, F.col("k") + 1).alias("at_high"))
         if k == rounds - 1:
             far = off > 5 * close
-            pinned = {"pin_size": F.when(far, F.col("target") - F.col("at_low")).otherwise(F.col("pin_size")), "pin_shift": F.when(far, F.col("low")).otherwise(F.col("pin_shift")), "high": F.when(far, F.lit(1.0)).otherwise(F.col("high"))}
+            pinned = {"pin_size": F.when(far, F.col("target") - F.col("at_low")).otherwise(F.col("pin_size")), "pin_shift": F.when(far, F.col("low")).otherwise(F.col("pin_shift")), "high": F.when(far, F.lit(float(MOST))).otherwise(F.col("high"))}
             moved = moved.select(*(pinned.get(c, F.col(c)).alias(c) for c in moved.columns), F.when(F.col("target") > 0, off).alias("off"))
         else:
             moved = moved.withColumn("off", F.when(F.col("target") > 0, off))
