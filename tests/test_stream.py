@@ -1,11 +1,12 @@
-import os
 import time
 
 from pyspark.sql import functions as F
 
 from vialens.operators import processor
+from vialens.operators.processor import STATE
 from vialens.plans import fixture, matching
 from vialens.streaming import live
+from vialens.streaming.keyed import KeyedTable
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["vehicle", "vendor", "t", "seen_at", "lat", "lon", "service", "heading", "dir"]
@@ -25,10 +26,11 @@ def test_stream_equals_batch(spark, tmp_path):
     for k, part in enumerate((rows.where(F.col("seen_at") <= cut), rows.where(F.col("seen_at") > cut))):
         part.coalesce(1).write.parquet(str(tmp_path / f"all/{k}"))
         time.sleep(1.1)
-    net, states = matching.fleet_network(spark), {}
+    net, fleet = matching.fleet_network(spark), KeyedTable(spark, f"file://{tmp_path}/fleet", ["vehicle"], STATE)
     stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "all"))
-    run(live.track(stream, net), lambda df, _: live.upsert(states, df), "update", tmp_path)
+    run(live.track(stream, net), lambda df, k: fleet.merge(df, k), "update", tmp_path)
     want = {r["vehicle"]: r for r in processor.replay(rows, net, "states").collect()}
+    states = {r["vehicle"]: r for r in fleet.read().collect()}
     assert set(states) == set(want)
     for v, r in want.items():
         assert (states[v]["t"], states[v]["accepted"], states[v]["shape_id"]) == (r["t"], r["accepted"], r["shape_id"])
@@ -40,17 +42,3 @@ def test_stream_drops_repeats(spark, tmp_path):
     seen = []
     run(live.deduplicated(spark.readStream.schema(fx.schema).parquet(str(tmp_path / "in"))), lambda df, _: seen.append(df.count()), "append", tmp_path)
     assert sum(seen) == fx.select("vehicle", "vendor", "t").distinct().count()
-
-
-def test_only_changed_documents_are_written(spark, tmp_path):
-    p = live.Publisher(str(tmp_path))
-    docs = spark.createDataFrame([("a/1.json", "[]"), ("a/2.json", "[1]")], "path string, body string")
-    assert p.publish(docs)["files"] == 2 and p.publish(docs) == {"files": 0, "bytes": 0, "same": 2}
-    assert p.publish(docs.withColumn("body", F.when(F.col("path") == "a/1.json", "[2]").otherwise(F.col("body"))))["files"] == 1
-    assert sorted(os.listdir(tmp_path / "a")) == ["1.json", "1.json.gz", "2.json", "2.json.gz"]
-
-
-def test_line_documents_are_dense(spark):
-    snap = matching.snapshot(spark, SF)
-    docs = {r["path"]: r["body"] for r in live.line_documents(snap, spark.createDataFrame([("474",), ("88/A",)], "line string")).collect()}
-    assert docs["api/v1/lines/88_A.json"] == "[]" and docs["api/v1/lines/474.json"].startswith('[{"id":"V') and "api/v1/lines/959.json" in docs

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from vialens.functions import display, geo
 from vialens.operators import schedule
 from vialens.plans import fixture
-from vialens.plans.fixture import FX, LATEST_SQL, LATEST_STANDING_SQL, ROUTES_SQL, SHAPES_SQL
+from vialens.plans.fixture import FX, LATEST_SQL, LATEST_STANDING_SQL, SHAPES_SQL
 from vialens.plans.fleet import ON_ROAD, on_road
 from vialens.plans.registry import query, table
 from vialens.plans.schedule import RATES_SQL, windows
@@ -152,9 +152,3 @@ def colour_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many lines share a colour: over one, and a number has to tell them apart."""
     c = table(spark, sf_dir, "part").select("p_partkey", "p_brand", (F.col("p_size") % 8).alias("colour"))
     return c.join(F.broadcast(c.groupBy("colour").agg(F.countDistinct("p_brand").alias("over_"))), "colour").select("p_partkey", "over_")
-
-
-@query(FX + ", " + ROUTES_SQL + "," + LATEST_SQL + """, g as (select service, count(*) as n, string_agg(vehicle, ',' order by vehicle) as ids from latest group by service) select service as line, '[' || string_agg('"' || v || '"', ',' order by v) || ']' as body from (select service, unnest(string_split(ids, ',')) as v from g) group by service""")
-def fleet_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The vehicles of each line as a JSON array."""
-    return fixture.latest(fixture.fixes(spark, sf_dir)).groupBy(F.col("service").alias("line")).agg(F.to_json(F.array_sort(F.collect_list("vehicle"))).alias("body"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vialens.constants import AREA_LAT, AREA_LON, MAX_SPEED_MS, OFF_ROUTE_S, TENTATIVE_M
-from vialens.functions import geo
+from vialens.functions import geo, records
 from vialens.operators import lookups, schedule, spatial
 from vialens.plans import fixture
 from vialens.plans.fixture import FX, LATEST_SQL, ROUTES_SQL, SHAPES_SQL
@@ -66,7 +66,7 @@ def arrivals_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
 def arrival_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The arrivals of each stop as JSON arrays of ten: stop, line, headsign, direction, stops away, metres, time, vehicle, least and most seconds."""
     whole = lambda c: F.round(c).cast("long").cast("string")
-    quoted = lambda c: F.concat(F.lit('"'), F.regexp_replace(c, r'(["\\])', r"\\$1"), F.lit('"'))
+    quoted = lambda c: records.json_string(F.col(c))
     item = F.concat_ws(",", *map(quoted, ("stop_id", "line", "headsign", "dir")), F.col("stops_away").cast("string"), whole("metres"), F.col("t").cast("string"), quoted("vehicle"), whole("eta_lo"), whole("eta_hi"))
     rows = _arrivals(spark, sf_dir).groupBy("stop_id").agg(F.array_sort(F.collect_list(F.struct("metres", "shape_id", "vehicle", F.concat(F.lit("["), item, F.lit("]")).alias("item")))).alias("a"))
     return rows.select("stop_id", F.concat(F.lit("["), F.array_join(F.col("a.item"), ","), F.lit("]")).alias("body"))

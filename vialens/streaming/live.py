@@ -1,9 +1,7 @@
-"""The live engine: fixes in, vehicle states and changed documents out."""
+"""The live engine: fixes in, vehicle states out. ``cycle`` publishes them, ``timed`` adds timers."""
 
 from __future__ import annotations
 
-import gzip
-import os
 from collections.abc import Iterator
 
 import pandas as pd
@@ -46,50 +44,3 @@ def track(fixes: DataFrame, net: Network, timeouts: bool = False) -> DataFrame:
 def deduplicated(fixes: DataFrame) -> DataFrame:
     """Fixes of a stream without repeats of a report within ten minutes of arrival."""
     return fixes.withColumn("arrived", F.timestamp_seconds("seen_at")).withWatermark("arrived", f"{DEDUPE_S} seconds").dropDuplicatesWithinWatermark(["vehicle", "vendor", "t"]).drop("arrived")
-
-
-def write_atomic(path: str, body: str) -> int:
-    """Writes a file and its compressed twin so that a reader sees the old or the new one whole; the bytes written."""
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    raw = body.encode()
-    packed = gzip.compress(raw, 6, mtime=0)
-    for name, data in ((path, raw), (f"{path}.gz", packed)):
-        with open(f"{name}.part", "wb") as f:
-            f.write(data)
-        os.replace(f"{name}.part", name)
-    return len(raw) + len(packed)
-
-
-class Publisher:
-    """Writes documents (``path``, ``body``) of which the body has changed since the last time; holds a hash for each path."""
-
-    def __init__(self, root: str):
-        self.root, self.hashes = root, {}
-
-    def publish(self, documents: DataFrame) -> dict[str, int]:
-        """Documents are few (lines and tiles of a city) and small; they come to the driver one by one."""
-        stats = {"files": 0, "bytes": 0, "same": 0}
-        for r in documents.select("path", "body", F.xxhash64("body").alias("h")).toLocalIterator():
-            path = f"{self.root}/{r['path']}"
-            if self.hashes.get(path) == r["h"] and os.path.exists(path):
-                stats["same"] += 1
-                continue
-            stats["bytes"] += write_atomic(path, r["body"])
-            stats["files"] += 1
-            self.hashes[path] = r["h"]
-        return stats
-
-
-def line_documents(snapshot: DataFrame, lines: DataFrame) -> DataFrame:
-    """A document for each known line (``line``), empty ones included, and for each line seen that is not known."""
-    record = F.to_json(F.struct("id", "t", "lat", "lon", "phase", "dir", F.col("shape_id").alias("shp"), F.col("along").alias("alo"), F.col("speed_kmh").alias("spd"), F.col("next_stop").alias("ns"), "conf"))
-    held = snapshot.groupBy("line").agg(F.array_sort(F.collect_list(F.struct("id", record.alias("json")))).alias("v"))
-    every = lines.select("line").union(snapshot.select("line")).distinct().join(held, "line", "left")
-    body = F.concat(F.lit("["), F.array_join(F.coalesce(F.transform("v", lambda x: x["json"]), F.array().cast("array<string>")), ","), F.lit("]"))
-    return every.select(F.concat(F.lit("api/v1/lines/"), F.regexp_replace("line", r"[^A-Za-z0-9\-_.]", "_"), F.lit(".json")).alias("path"), body.alias("body"))
-
-
-def upsert(states: dict, batch: DataFrame) -> None:
-    """Takes a batch's states into a table held by the driver: a fleet has some thousand vehicles."""
-    for r in batch.toLocalIterator():
-        states[r["vehicle"]] = r
