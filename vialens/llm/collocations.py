@@ -9,6 +9,7 @@ phrases through that the count then drops, never the other way round, so results
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ MIN_COUNT, MAX_WORDS, TOP = 100, 5, 2000
 ENDS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes(ord(".") if c in ENDS else c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_TEXT_BYTES, _KEPT_WORDS = 1 << 24, 1 << 20
+_TEXT_BYTES, _KEPT_WORDS = 6 << 20, 200_000
 _CHUNK_BITS, _MOST_BITS = 16, 28
 
 
@@ -57,34 +58,32 @@ def probes(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return h >> shift, (h * _MIX) >> shift
 
 
-class _Words:
-    """Words as dense numbers, with their hashes; begun anew when there are too many."""
+class _Words(dict):
+    """Words of a language as dense numbers, with their hashes; -1 where a piece ends. Begun anew when there are too many."""
 
     def __init__(self, lang: str):
         self.seed = xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"))
+        self.begin()
+
+    def begin(self) -> None:
         self.clear()
+        self[b"."] = -1
+        self.words, self.hashes = [], array("Q")
 
-    def clear(self) -> None:
-        self.numbers, self.words, self.hashes = {b".": -1}, [], []
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self.words)
+        self.words.append(word)
+        self.hashes.append(xxhash.xxh64_intdigest(word, self.seed))
+        return number
 
     def encode(self, words: list[bytes]) -> np.ndarray:
-        """-1 where a piece ends."""
         if len(self.words) > _KEPT_WORDS:
-            self.clear()
-        out = np.fromiter((self.numbers.get(w, -2) for w in words), np.int64, len(words))
-        for k in np.flatnonzero(out == -2).tolist():
-            w = words[k]
-            if w in self.numbers:
-                out[k] = self.numbers[w]
-            else:
-                out[k] = self.numbers[w] = len(self.words)
-                self.words.append(w)
-                self.hashes.append(xxhash.xxh64_intdigest(w, self.seed))
-        return out
+            self.begin()
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
 def _ngram_rows(n: int, held: bytes | None, bits: int):
-    """A task's rows of n-grams, summed over some 16 MB of one language's texts at a time."""
+    """A task's rows of n-grams, summed over some 6 MB of one language's texts at a time."""
 
     def rows(lang: str, words: _Words, texts: list[bytes]) -> pa.RecordBatch:
         code = words.encode(tokens(b".".join(texts)))
@@ -96,7 +95,7 @@ def _ngram_rows(n: int, held: bytes | None, bits: int):
             good &= code[k : k + count] >= 0
         if held is not None and count:
             bitmap = np.frombuffer(held, np.uint8)
-            h = np.asarray([*words.hashes, 0], np.uint64)[code]
+            h = np.append(np.asarray(words.hashes, np.uint64), np.uint64(0))[code]
             part = phrase_hashes([h[k : k + count + 1] for k in range(n - 1)])
             seen = np.ones(count + 1, bool)
             for at in probes(part, bits):
