@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from vialens.functions import geo, records
 from vialens.operators import documents, processor
 from vialens.plans import fixture, matching
+from vialens.sources import files
 from vialens.streaming import cycle, timed
 from vialens.streaming.keyed import KeyedTable
 
@@ -76,9 +77,9 @@ def test_documents_no_longer_made_are_deleted(spark, tmp_path):
     t = KeyedTable(spark, f"file://{tmp_path}/t", ["path"], "path string, digest string, size long")
     docs = spark.createDataFrame([("a/1.json", "[]"), ("a/2.json", "[1]")], "path string, body string")
     root = f"file://{tmp_path}/out"
-    assert cycle.write_documents(docs, root, t, 0) == {"files": 2, "deleted": 0, "bytes": 5}
-    assert cycle.write_documents(docs, root, t, 1) == {"files": 0, "deleted": 0, "bytes": 0}
-    assert cycle.write_documents(docs.where("path = 'a/2.json'").withColumn("body", F.lit("[2,3]")), root, t, 2) == {"files": 1, "deleted": 1, "bytes": 5}
+    assert files.write_documents(docs, root, t, 0) == {"files": 2, "deleted": 0, "bytes": 5}
+    assert files.write_documents(docs, root, t, 1) == {"files": 0, "deleted": 0, "bytes": 0}
+    assert files.write_documents(docs.where("path = 'a/2.json'").withColumn("body", F.lit("[2,3]")), root, t, 2) == {"files": 1, "deleted": 1, "bytes": 5}
     assert {f for f in files_of(tmp_path / "out")} == {"a/2.json", "a/2.json.gz"}
 
 

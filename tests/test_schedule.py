@@ -12,7 +12,7 @@ FILES = {
     "trips": "trip_id,route_id,direction_id,shape_id,trip_headsign,service_id\nt1,r1,0,s1,B,U_REG\nt2,r1,0,s1,,U_REG\nt3,r9,0,s2,B,U_REG\n",
     "stops": "stop_id,stop_name,stop_lat,stop_lon\np0,Ponto Final: Praia,-22.9,-43.4\np1,BRS 1: Meio :: lado,-22.9,-43.39\np2,Fim,x,-43.38\n",
     "shapes": "shape_id,shape_pt_sequence,shape_pt_lat,shape_pt_lon,shape_dist_traveled\ns1,1,-22.9,-43.4,0\ns1,1,-22.9,-43.4,0\ns1,2,-22.9,-43.39,\ns1,3,-22.9,-43.38,\n",
-    "stop_times": "trip_id,stop_sequence,stop_id,shape_dist_traveled,arrival_time\nt1,1,p0,0,25:00:00\nt1,2,p1,1024,25:03:00\nt1,3,p2,2048,25:10:05\nt2,1,p0,0,1:00:00\n",
+    "stop_times": "trip_id,stop_sequence,stop_id,shape_dist_traveled,arrival_time\nt1,1,p0,0,25:00:00\nt1,2,p1,1024,25:03:00\nt1,3,p2,2048,25:06:00\nt2,1,p0,0,1:00:00\n",
     "frequencies": "trip_id,start_time,end_time,headway_secs\nt1,06:00:00,09:00:00,300\nt1,09:00:00,16:00:00,600\nt1,20:00:00,20:00:00,600\n",
     "calendar": "service_id,monday,tuesday,wednesday,thursday,friday,saturday,sunday,start_date,end_date\nD_REG,0,0,0,0,0,0,1,20240301,20300228\nU_REG,1,1,1,1,1,0,0,20240301,20300228\nS_REG,0,0,0,0,0,1,0,20240301,20300228\n",
     "calendar_dates": "service_id,date,exception_type\nU_REG,20250421,2\nD_REG,20250421,1\nS_REG,20250607,2\nU_REG,20250607,1\nU_REG,20250609,2\nD_REG,20250615,1\n",
@@ -61,8 +61,8 @@ def test_save_and_documents(spark, built, tmp_path):
 
 
 def test_times(spark):
-    rows = spark.createDataFrame([("25:10:05",), ("x",), ("1:2",)], "s string").select(times.schedule_seconds(F.col("s")).alias("v")).collect()
-    assert [r["v"] for r in rows] == [90605, None, None]
+    rows = spark.createDataFrame([("27:42:38",), ("x",), ("1:2",)], "s string").select(times.schedule_seconds(F.col("s")).alias("v")).collect()
+    assert [r["v"] for r in rows] == [99758, None, None]
     iso = ["2026-01-01T00:00:00Z", "2026-01-01T00:00:00.5-03:00", "2026-13-01T00:00:00Z", "", "2026-01-01 00:00:00"]
     got = spark.createDataFrame([(s,) for s in iso], "s string").select(times.parse_iso(F.col("s")).alias("v")).collect()
     assert [r["v"] for r in got] == [1767225600, 1767236400, None, None, 1767225600]
@@ -71,5 +71,5 @@ def test_times(spark):
 def test_polyline_and_simplify(spark):
     p = [38.5, -120.2, 40.7, -120.95, 43.252, -126.453]
     df = spark.createDataFrame([(p,)], "p array<double>").withColumn("t", folds.encode_polyline("p"))
-    row = df.select("t", folds.decode_polyline("t").alias("back"), folds.simplified(F.expr("array(0d, 0d, 5d, 0.5d, 10d, 0d, 10d, 9d)"), F.lit(1.0)).alias("s")).first()
-    assert row["t"] == "_p~iF~ps|U_ulLnnqC_mqNvxq`@" and row["back"] == pytest.approx(p) and row["s"] == [0, 0, 10, 0, 10, 9]
+    row = df.select("t", folds.decode_polyline("t").alias("back"), folds.simplified(F.expr("array(2d, 1d, 3d, 4d, 4d, 7.2d, 9d, 7d, 9d, 3d)"), F.lit(0.5)).alias("s")).first()
+    assert row["t"] == "_p~iF~ps|U_ulLnnqC_mqNvxq`@" and row["back"] == pytest.approx(p) and row["s"] == [2, 1, 4, 7.2, 9, 7, 9, 3]

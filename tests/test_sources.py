@@ -1,4 +1,3 @@
-import gzip
 import json
 import struct
 
@@ -55,15 +54,6 @@ def test_csv(spark, tmp_path):
     assert [tuple(r) for r in got] == [("1", "a, b", ""), ("2", 'say "hi"', ""), ("3", "São\nJoão", ""), ("4", "x", "")]
 
 
-def archive():
-    tile_bytes = gzip.compress(layer())
-    ids, runs, lengths, offsets = [0, 1, 5], [1, 2, 1], [len(tile_bytes)] * 3, [1, 1, 1]
-    root = gzip.compress(b"".join(map(varint, [3, ids[0], ids[1] - ids[0], ids[2] - ids[1], *runs, *lengths, *offsets])))
-    head = b"PMTiles\x03" + struct.pack("<8Q", 127, len(root), 0, 0, 0, 0, 127 + len(root), len(tile_bytes)) + bytes(24) + b"\x01\x02\x02\x01" + bytes(27)
-    assert len(head) == 127
-    return head + root + tile_bytes
-
-
 #: A rectangle: a move, three lines and a close.
 RING = [9, 2, 10, 26, 12, 0, 0, 8, 11, 0, 15]
 
@@ -73,15 +63,14 @@ def layer():
     return field(3, 2, field(1, 2, b"water") + field(2, 2, feature) + field(3, 2, b"kind") + field(3, 2, b"n") + field(4, 2, field(1, 2, b"lake")) + field(4, 2, field(6, 0, 3)) + field(5, 0, 4096))
 
 
-def test_tiles(spark):
-    assert [tiles.zxy(k) for k in range(5)] == [(0, 0, 0), (1, 0, 0), (1, 0, 1), (1, 1, 1), (1, 1, 0)] and tiles.zxy(5)[0] == 2
-    assert tiles.geometry(RING) == [[(1, 5), (7, 5), (7, 9), (1, 9), (1, 5)]]
-    got = tiles.tile_features(spark.createDataFrame([(archive(),)], "content binary")).orderBy("z", "x", "y").collect()
-    assert len(got) == 4 and got[0]["layer"] == "water" and got[0]["props"] == {"kind": "lake", "n": "-2"} and len(got[0]["parts"][0]) == 5
+def test_tiles():
+    assert tiles.geometry(RING) == [[(1, 5), (7, 5), (7, 9), (1, 9)]]
+    assert tiles.geometry([9, 2, 2, 10, 4, 0, 15, 10, 0, 2, 9, 1]) == [[(1, 1), (3, 1)], [(3, 2)]]
+    (f,) = tiles.features(layer())
+    assert f["layer"] == "water" and f["props"] == {"kind": "lake", "n": "-2"} and len(f["parts"][0]) == 4
+    assert tiles.inflate(b"x", 0) == tiles.inflate(b"x", 1) == b"x"
     with pytest.raises(ValueError):
         tiles.inflate(b"", 3)
-    with pytest.raises(ValueError):
-        list(tiles.archive_tiles(b"nothing of the kind"))
 
 
 def test_minutes(spark, tmp_path):

@@ -12,7 +12,12 @@ GREEN = [
 ]
 SAND = ["beach", "sand"]
 NO_WATER = ["fountain", "swimming_pool"]
-POLYGON, LINE = 3, 2
+POLYGON, LINE, POINT = 3, 2, 1
+# The zooms drawn, the grid of a tile, tolerances of simplification, and the least stretch that carries a name.
+ZOOMS, GRID, LABEL_ZOOM, LABEL_LEAST, ROAD_TOLERANCE = [11, 13, 15], 1024.0, 15, 90.0, 1.4
+# Kinds of named places in the order of their rank, and the metres within which a name is shown once.
+PLACES = {"locality": 0, "macrohood": 1, "neighbourhood": 2, "suburb": 2}
+PLACE_APART_M = 1000.0
 
 
 def drawn_as(layer: Column, geometry: Column, kind: Column, zoom: Column) -> Column:
@@ -38,3 +43,23 @@ def label_angle(dx: Column, dy: Column) -> Column:
     """Degrees of a stretch folded to -90..90, so that its name never stands on its head."""
     a = F.degrees(F.atan2(dy, dx))
     return F.when(a > 90, a - 180).when(a < -90, a + 180).otherwise(a)
+
+
+def tolerance(part: Column, zoom: Column) -> Column:
+    """How far a line of a part may be off after simplification, in grid steps."""
+    return F.when(part.startswith("road"), ROAD_TOLERANCE).when(zoom >= 15, 2.0).otherwise(1.4)
+
+
+def place_rank(kind: Column) -> Column:
+    """The rank of a named place, least first; null for kinds that are not named."""
+    return F.coalesce(*(F.when(kind == k, r) for k, r in PLACES.items()))
+
+
+def lon_of_tile(x: Column, zoom: Column) -> Column:
+    """The longitude of a place in tiles (with its share of a tile) of a zoom."""
+    return x / F.pow(F.lit(2.0), zoom) * 360.0 - 180.0
+
+
+def lat_of_tile(y: Column, zoom: Column) -> Column:
+    """The latitude of a place in tiles of a zoom: the inverse of the spherical Mercator projection."""
+    return F.degrees(F.atan(F.sinh(F.pi() * (1.0 - 2.0 * y / F.pow(F.lit(2.0), zoom)))))

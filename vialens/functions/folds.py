@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, DoubleType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType
 
 from vialens.constants import HALF_LIFE_S, MAX_SPEED_MS, MIN_GAP_S, PARKED_M
 
@@ -91,7 +91,7 @@ def decode_polyline(text: pd.Series) -> pd.Series:
 
 @pandas_udf(ArrayType(DoubleType()))
 def simplified(points: pd.Series, tolerance: pd.Series) -> pd.Series:
-    """Flat (x, y, ...) lines without the points that lie within a tolerance of the chord around them; the ends stay."""
+    """Flat (x, y, ...) lines without the points that lie within a tolerance of the line through the ends around them; the ends stay."""
 
     def one(p: np.ndarray, tol: float) -> np.ndarray:
         q = np.asarray(p, float).reshape(-1, 2)
@@ -102,9 +102,7 @@ def simplified(points: pd.Series, tolerance: pd.Series) -> pd.Series:
                 continue
             d = q[b] - q[a]
             rel = q[a + 1 : b] - q[a]
-            square = float(d @ d)
-            share = np.clip(rel @ d / square, 0, 1) if square else np.zeros(len(rel))
-            far = np.hypot(*(rel - share[:, None] * d).T)
+            far = np.abs(rel[:, 0] * d[1] - rel[:, 1] * d[0]) / max(float(np.hypot(*d)), 1e-9)
             k = int(far.argmax())
             if far[k] > tol:
                 keep.add(a + 1 + k)
@@ -112,3 +110,17 @@ def simplified(points: pd.Series, tolerance: pd.Series) -> pd.Series:
         return q[sorted(keep)].ravel()
 
     return pd.Series([one(p, t) for p, t in zip(points, tolerance, strict=True)])
+
+
+@pandas_udf(ArrayType(IntegerType()))
+def quantised(points: pd.Series) -> pd.Series:
+    """Flat (x, y, ...) lines on whole numbers, halves away from zero, without points that repeat the one before."""
+
+    def one(p: np.ndarray) -> np.ndarray:
+        q = np.asarray(p, float).reshape(-1, 2)
+        q = (np.sign(q) * np.floor(np.abs(q) + 0.5)).astype(np.int64)
+        fresh = np.ones(len(q), bool)
+        fresh[1:] = (q[1:] != q[:-1]).any(1)
+        return q[fresh].ravel()
+
+    return points.map(one)

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from vialens.functions import basemap, geo
 from vialens.operators import basemap as build
+from vialens.plans import fixture
 from vialens.plans.registry import query, table
 
 LAYERS = ["water", "landuse", "landcover", "roads", "places"]
@@ -54,3 +55,59 @@ def road_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "lineitem").select("l_orderkey", i.alias("i"), F.col("l_quantity").cast("double").alias("x"), (F.col("l_extendedprice").cast("double") / 1000).alias("y"))
     roads = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") % 50).alias("tile"), F.col("o_orderpriority").alias("name"))
     return build.road_labels(p.join(roads, "l_orderkey").withColumnRenamed("l_orderkey", "road"), 30.0)
+
+
+MAP_SQL = """with n as (select l_orderkey as o, case l_orderkey % 3 when 0 then 11 when 1 then 13 else 15 end as z, 700 + l_orderkey % 7 as x, 900 + l_orderkey % 5 as y, l_suppkey % 6 as kind, concat('Rua ', l_returnflag, l_linestatus) as name,
+    [l_partkey * 37 % 4096, l_partkey * 91 % 4096, (l_partkey * 37 + l_linenumber * 129) % 4096] as px, [l_suppkey * 53 % 4096, (l_suppkey * 53 + cast(l_quantity as bigint) * 40) % 4096, l_partkey * 17 % 4096] as py,
+    row_number() over (partition by l_orderkey % 105 order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 as ix from lineitem),
+  f as (select *, case kind when 0 then 'w' when 1 then 'g' when 2 then 's' when 3 then 'r0' when 4 then 'r1' when 5 then if(z >= 13, 'r2', null) end as part, list_transform(px, lambda v: v / 4.0) as a, list_transform(py, lambda v: v / 4.0) as b, z >= 15 as near from n),
+  m as (select *, (a[1] * b[2] - a[2] * b[1] + a[2] * b[3] - a[3] * b[2] + a[3] * b[1] - a[1] * b[3]) / 2 as area, abs((a[2] - a[1]) * (b[3] - b[1]) - (b[2] - b[1]) * (a[3] - a[1])) / greatest(sqrt(power(a[3] - a[1], 2) + power(b[3] - b[1], 2)), 1e-9) as off from f where part is not null),
+  q as (select *, [round(a[1]), round(a[2]), round(a[3])] as ra, [round(b[1]), round(b[2]), round(b[3])] as rb from m),
+  rings as (select z, x, y, part, ix, '[[' || ra[1]::int || ',' || rb[1]::int || ',' || ra[2]::int || ',' || rb[2]::int || ',' || ra[3]::int || ',' || rb[3]::int || ']]' as body from q
+    where kind < 3 and area >= case part when 'w' then 20 when 's' then 40 else if(near, 120, 60) end and off > if(near, 2.0, 1.4) and (ra[1], rb[1]) <> (ra[2], rb[2]) and (ra[2], rb[2]) <> (ra[3], rb[3])),
+  roads as (select z, x, y, part, ix, '[' || ra[1]::int || ',' || rb[1]::int || ',' || ra[2]::int || ',' || rb[2]::int || ']' as body from q where kind >= 3 and (ra[1], rb[1]) <> (ra[2], rb[2])),
+  lab as (select z, x, y, name, ix, kind - 3 as class, (a[1] + a[2]) / 2 as mx, (b[1] + b[2]) / 2 as my, degrees(atan2(b[2] - b[1], a[2] - a[1])) as t from q
+    where z = 15 and kind in (3, 4) and (ra[1], rb[1]) <> (ra[2], rb[2]) and sqrt(power(a[2] - a[1], 2) + power(b[2] - b[1], 2)) > 90 qualify row_number() over (partition by z, x, y, name order by ix) = 1),
+  part_ as (select z, x, y, part, '[' || string_agg(body, ',' order by ix) || ']' as body from (select * from rings union all select * from roads) group by all
+    union all select z, x, y, 'l', '[' || string_agg('[' || round(mx)::int || ',' || round(my)::int || ',' || round(case when t > 90 then t - 180 when t < -90 then t + 180 else t end)::int || ',' || to_json(name)::varchar || ',' || class || ']', ',' order by name) || ']' from lab group by all)
+  select z, cast(x as int) as x, cast(y as int) as y, '{' || string_agg('"' || part || '":' || body, ',' order by list_position(['w', 'g', 's', 'r0', 'r1', 'r2', 'l'], part)) || '}' as body from part_ group by all having bool_or(part <> 'l')"""
+
+
+@query(MAP_SQL)
+def map_tile_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a map draws of 105 tiles: order lines as triangles of water, green and sand and as named roads of two points."""
+    kinds = ["lake", "park", "beach", "highway", "medium_road", "minor_road"]
+    k, o = F.col("l_suppkey") % 6, F.col("l_orderkey")
+    order = Window.partitionBy(o % 105).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    at = lambda x, y: F.struct((x % 4096).cast("int").alias("x"), (y % 4096).cast("int").alias("y"))
+    a = at(F.col("l_partkey") * 37, F.col("l_suppkey") * 53)
+    b = at(F.col("l_partkey") * 91, F.col("l_suppkey") * 53 + F.col("l_quantity").cast("long") * 40)
+    c = at(F.col("l_partkey") * 37 + F.col("l_linenumber") * 129, F.col("l_partkey") * 17)
+    layer = F.when(k == 0, "water").when(k == 1, "landuse").when(k == 2, "landcover").otherwise("roads")
+    kind = F.get(F.array(*map(F.lit, kinds)), k.cast("int"))
+    features = table(spark, sf_dir, "lineitem").select(
+        F.lit(0).cast("long").alias("tile_id"), F.when(o % 3 == 0, 11).when(o % 3 == 1, 13).otherwise(15).alias("z"), (700 + o % 7).cast("int").alias("x"), (900 + o % 5).cast("int").alias("y"), (F.row_number().over(order) - 1).alias("ix"),
+        layer.alias("layer"), F.when(k < 3, basemap.POLYGON).otherwise(basemap.LINE).alias("geom_type"), F.lit(4096).alias("extent"), F.create_map(F.lit("kind"), kind, F.lit("name"), F.concat(F.lit("Rua "), "l_returnflag", "l_linestatus")).alias("props"), F.when(k < 3, F.array(F.array(a, b, c))).otherwise(F.array(F.array(a, b))).alias("parts"),
+    )
+    return build.map_tiles(features)
+
+
+@query("""with recursive s as (select p_brand as name, p_size % 3 as rank, p_partkey as id, -22.75 - (p_partkey * 7 % 1000) / 50000.0 as lat, -43.2 - (p_partkey * 13 % 1000) / 50000.0 as lon from part),
+  p as (select *, (lon - -43.4) * 102431.14359791845 as x, (lat - -22.9) * 111194.92664455873 as y, row_number() over (partition by name order by rank, id) as k from s),
+  g(name, k, kept) as (select distinct name, cast(0 as bigint), cast([] as struct(id bigint, rank int, x double, y double)[]) from p union all
+    select p.name, p.k, case when len(list_filter(g.kept, lambda c: sqrt(power(c.x - p.x, 2) + power(c.y - p.y, 2)) < 1000)) > 0 then g.kept else list_append(g.kept, {'id': p.id, 'rank': p.rank, 'x': p.x, 'y': p.y}) end from g join p on p.name = g.name and p.k = g.k + 1),
+  z as (select name, unnest(last(kept order by k)) as c from g group by name) select name, cast(c.rank as int) as rank, cast(c.id as bigint) as id from z""")
+def ranked_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named places, the most important of a name first, those within 1,000 m of one of the name left out: parts as places of their brand."""
+    k = F.col("p_partkey")
+    places = table(spark, sf_dir, "part").select(F.col("p_brand").alias("name"), (F.col("p_size") % 3).cast("int").alias("rank"), (-22.75 - (k * 7 % 1000) / 50000.0).alias("lat"), (-43.2 - (k * 13 % 1000) / 50000.0).alias("lon"), k.cast("long").alias("tile_id"), F.lit(0).alias("ix"))
+    return build.ranked_places(places).select("name", "rank", F.col("tile_id").alias("id"))
+
+
+@query("select event_id, round(-180 + 360 * ((lon + 180) / 360), 6) as lon, round(degrees(atan(sinh(pi() * (1 - 2 * ((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2))))), 6) as lat from (" + fixture.FX + " select event_id, lat, lon from fx)")
+def tile_place_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places to shares of tiles of zoom 15 and back, on both axes."""
+    n, r = 1 << 15, F.radians("lat")
+    x, y = (F.col("lon") + 180.0) / 360.0 * n, (1.0 - F.log(F.tan(r) + 1.0 / F.cos(r)) / F.pi()) / 2.0 * n
+    back = fixture.fixes(spark, sf_dir).withColumns({"tx": x, "ty": y})
+    return back.select("event_id", F.round(basemap.lon_of_tile(F.col("tx"), F.lit(15)), 6).alias("lon"), F.round(basemap.lat_of_tile(F.col("ty"), F.lit(15)), 6).alias("lat"))

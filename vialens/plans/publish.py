@@ -18,7 +18,7 @@ from vialens.plans import fixture
 from vialens.plans.fixture import FX, LATEST_SQL
 from vialens.plans.fleet import ON_ROAD, on_road
 from vialens.plans.registry import query, table
-from vialens.streaming.cycle import write_documents
+from vialens.sources.files import write_documents
 from vialens.streaming.keyed import KeyedTable
 
 ZOOM = 11

@@ -1,4 +1,4 @@
-"""Tile archives: directories and Hilbert ids of a single-file archive, vector tiles, and their features as rows."""
+"""The formats of tile archives: directories and Hilbert ids of a single-file archive, and the features of a vector tile."""
 
 from __future__ import annotations
 
@@ -6,28 +6,25 @@ import gzip
 import struct
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import numpy as np
 
 from vialens.sources.feeds import protobuf_fields
 
 
-def zxy(tile_id: int) -> tuple[int, int, int]:
-    """Zoom, column and row of a Hilbert tile id: the id counts all tiles of smaller zooms first."""
-    z, first = 0, 0
-    while tile_id >= first + (1 << 2 * z):
-        first += 1 << 2 * z
-        z += 1
-    t, x, y = tile_id - first, 0, 0
-    for k in range(z):
-        s = 1 << k
+def zxy(tile_id: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Zooms, columns and rows of Hilbert tile ids: an id counts all tiles of smaller zooms first."""
+    t = np.asarray(tile_id, np.int64)
+    firsts = np.cumsum([0, *(1 << 2 * z for z in range(30))])
+    z = np.searchsorted(firsts, t, "right") - 1
+    t, x, y = t - firsts[z], np.zeros_like(t), np.zeros_like(t)
+    for k in range(int(z.max(initial=0))):
+        s, live = 1 << k, k < z
         rx = t >> 1 & 1
         ry = (t ^ rx) & 1
-        if not ry:
-            if rx:
-                x, y = s - 1 - x, s - 1 - y
-            x, y = y, x
-        x, y, t = x + s * rx, y + s * ry, t >> 2
+        flip, swap = live & (ry == 0) & (rx == 1), live & (ry == 0)
+        x, y = np.where(flip, s - 1 - x, x), np.where(flip, s - 1 - y, y)
+        x, y = np.where(swap, y, x), np.where(swap, x, y)
+        x, y, t = np.where(live, x + s * rx, x), np.where(live, y + s * ry, y), np.where(live, t >> 2, t)
     return z, x, y
 
 
@@ -43,8 +40,8 @@ def varints(data: bytes) -> list[int]:
 
 
 def inflate(data: bytes, codec: int) -> bytes:
-    """Codec 1 is none, 2 is gzip; others are refused."""
-    if codec == 1:
+    """Codecs 0 and 1 are none, 2 is gzip; others are refused."""
+    if codec in (0, 1):
         return data
     if codec != 2:
         raise ValueError(f"compression {codec} is not read")
@@ -64,46 +61,31 @@ def directory(data: bytes) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def archive_tiles(data: bytes) -> Iterator[tuple[int, int, int, bytes]]:
-    """(z, x, y, tile) of an archive, leaf directories followed; tiles are inflated."""
-    if data[:7] != b"PMTiles" or data[7] != 3:
-        raise ValueError("not a version 3 tile archive")
-    root, root_n, _, _, leaves, _, tiles, _ = struct.unpack_from("<8Q", data, 8)
-    inner, outer = data[97], data[98]
-
-    def walk(block: bytes) -> Iterator[tuple[int, int, int, bytes]]:
-        for tile_id, run, at, n in directory(inflate(block, inner)):
-            if run == 0:
-                yield from walk(data[leaves + at : leaves + at + n])
-            for k in range(run):
-                yield *zxy(tile_id + k), inflate(data[tiles + at : tiles + at + n], outer)
-
-    yield from walk(data[root : root + root_n])
-
-
 def zigzag(v: int) -> int:
     return (v >> 1) ^ -(v & 1)
 
 
 def geometry(commands: list[int]) -> list[list[tuple[int, int]]]:
-    """The parts of a feature: each move starts one, a close repeats its first point."""
+    """The parts of a feature: each move starts one, and what follows a close; a closed part does not repeat its first point."""
     parts: list[list[tuple[int, int]]] = []
     x = y = k = 0
+    closed = True
     while k < len(commands):
         kind, n = commands[k] & 7, commands[k] >> 3
         k += 1
         if kind == 7:
-            if parts and parts[-1]:
-                parts[-1].append(parts[-1][0])
+            closed = True
             continue
+        if kind not in (1, 2):
+            break
         for _ in range(n):
             if k + 1 >= len(commands):
                 return parts
             x, y, k = x + zigzag(commands[k]), y + zigzag(commands[k + 1]), k + 2
-            if kind == 1:
+            if kind == 1 or closed:
                 parts.append([])
-            if parts:
-                parts[-1].append((x, y))
+                closed = False
+            parts[-1].append((x, y))
     return parts
 
 
@@ -147,21 +129,3 @@ def features(tile: bytes) -> Iterator[dict]:
                     commands = varints(v)
             props = {keys[a]: str(values[b]) for a, b in zip(tags[::2], tags[1::2], strict=False) if a < len(keys) and b < len(values)}
             yield {"layer": name, "geom_type": kind, "extent": extent, "props": props, "parts": geometry(commands)}
-
-
-FEATURE = "z int, x int, y int, layer string, geom_type int, extent int, props map<string,string>, parts array<array<struct<x:int,y:int>>>"
-
-
-def tile_features(archives: DataFrame) -> DataFrame:
-    """The features of all tiles of archives (``content`` binary), a row each."""
-
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for c in b["content"]:
-                rows = []
-                for z, x, y, tile in archive_tiles(bytes(c)):
-                    for f in features(tile):
-                        rows.append({"z": z, "x": x, "y": y, **f, "parts": [[{"x": a, "y": o} for a, o in p] for p in f["parts"]]})
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in ("z", "x", "y", "layer", "geom_type", "extent", "props", "parts")])
-
-    return archives.select("content").mapInPandas(decode, FEATURE)

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import gzip
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -15,8 +12,8 @@ from pyspark.sql.streaming import StreamingQuery
 from vialens import constants as C
 from vialens.operators import documents, views
 from vialens.operators.processor import STATE
-from vialens.operators.stored import stored
-from vialens.streaming.keyed import KeyedTable, write_whole
+from vialens.sources.files import write_documents
+from vialens.streaming.keyed import KeyedTable
 
 GONE = "gone"
 
@@ -27,41 +24,6 @@ def aged(states: DataFrame, now: int) -> DataFrame:
     return states.where(silent <= C.DROP_S).withColumn("phase", F.when(silent > C.STALE_S, "stale").otherwise(F.col("phase")))
 
 
-def write_documents(docs: DataFrame, root: str, published: KeyedTable, batch: int) -> dict[str, int]:
-    """Writes the documents (``path``, ``body``) of which the body has changed, and deletes those no longer made.
-
-    ``published`` holds the digest of each path as last written. Tasks write the files, each with its compressed twin, and each
-    whole; a cycle that dies between files and digests writes the same files again.
-    """
-
-    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        files, base = fs.FileSystem.from_uri(root)
-        for b in batches:
-            sizes = []
-            for path, body in zip(b["path"], b["body"], strict=True):
-                where = f"{base}/{path}"
-                if body is None:
-                    for name in (where, f"{where}.gz"):
-                        if files.get_file_info(name).type != fs.FileType.NotFound:
-                            files.delete_file(name)
-                    sizes.append(0)
-                    continue
-                raw = body.encode()
-                files.create_dir(where.rpartition("/")[0], recursive=True)
-                write_whole(files, where, raw)
-                write_whole(files, f"{where}.gz", gzip.compress(raw, 6, mtime=0))
-                sizes.append(len(raw))
-            yield pd.DataFrame({"path": b["path"], "digest": b["digest"], "size": sizes})
-
-    old = published.read().select("path", F.col("digest").alias("was"))
-    new = docs.select("path", "body", F.md5("body").alias("digest"))
-    changed = new.join(old, "path", "full").where(~F.col("was").eqNullSafe(F.col("digest")))
-    made = stored(changed.select("path", "body", "digest").mapInPandas(put, "path string, digest string, size long"), "published")
-    total = made.agg(F.count_if(F.col("digest").isNotNull()).alias("files"), F.count_if(F.col("digest").isNull()).alias("deleted"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
-    published.merge(made, batch, gone=F.col("digest").isNull())
-    return total.asDict()
-
-
 class Cycle:
     """A sink for ``foreachBatch``: states in, documents out. Both tables and the documents lie under ``root``.
 

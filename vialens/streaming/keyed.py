@@ -10,13 +10,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def write_whole(files: fs.FileSystem, path: str, body: bytes) -> None:
-    """Writes a file so that a reader sees the old one or the new one whole."""
-    part = f"{path}.{uuid.uuid4().hex}.part"
-    with files.open_output_stream(part) as out:
-        out.write(body)
-    files.move(part, path)
+from vialens.sources.files import write_whole
 
 
 class KeyedTable:
