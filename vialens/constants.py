@@ -23,3 +23,12 @@ OUT_OF_SERVICE = [
     "RECOLHE", "RECOLHIDO", "TREINAMENTO", "TREINO", "VISTORIA", "SEM LINHA", "MANUTENçãO", "FORA DE OPERAçãO",
 ]
 VENDORS = ["zirix", "conecta", "maxtrack", "sonda"]
+
+# The evidence jobs' own projection (metres per degree of latitude, and the latitude of its cosine), their cells,
+# the speed up to which a report counts as standing, the buses of a dense cell, and what tells a garage from a terminal.
+EVIDENCE_M_PER_DEGREE, EVIDENCE_LAT = 111320.0, -22.9
+NIGHT_CELL_M, NIGHT_MARGIN_M, SLOW_KMH, DENSE_BUSES = 60.0, 30.0, 3.0, 6
+GARAGE_BUSES, GARAGE_AWAY_BUSES, TERMINAL_END_M = 40, 20, 150.0
+NIGHT_TIMES = ("06:00", "07:00")
+# How near a route a fix covers it, the cells of routes, and how many fixes of a code are looked at.
+COVER_M, COVER_CELL_M, SAMPLED = 60.0, 100.0, 600

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from vialens.constants import PARKED_M, PARKED_S, TENTATIVE_M
 from vialens.functions import geo
+from vialens.operators.stored import stored
 
 
 def segments(points: DataFrame, keys: list[str]) -> DataFrame:
@@ -37,17 +38,74 @@ def near_segments(rows: DataFrame, segs: DataFrame, radius: float) -> DataFrame:
     return met.drop("cx", "cy", "__t", "ax", "ay", "bx", "by", "cum0", "cum1")
 
 
-def passes(rows: DataFrame, segs: DataFrame, key: str, shape: str, radius: float = TENTATIVE_M) -> DataFrame:
+def passes(rows: DataFrame, segs: DataFrame, key: str, shape: str, radius: float = TENTATIVE_M, loops: DataFrame | None = None) -> DataFrame:
     """Each distinct place of a shape within ``radius`` of a row: runs of neighbouring segments, the nearest point of each.
 
     Returns ``key, shape, first_seg, last_seg, along, dist``. The rows of one point and shape are few, so the window is small.
+    ``loops`` (``shape, last``: circular shapes and the number of their last segment) join the run at the end of a loop to that
+    at its beginning: such a run has a ``first_seg`` above its ``last_seg``. On a tie the nearest place is the one less far along.
     """
     met = near_segments(rows.select(key, "x", "y"), segs, radius)
-    island = F.col("seg") - F.row_number().over(Window.partitionBy(key, shape).orderBy("seg"))
-    best = met.withColumn("__run", island).groupBy(key, shape, "__run").agg(F.min("seg").alias("first_seg"), F.max("seg").alias("last_seg"), F.min(F.struct("dist", "seg", "along")).alias("b"))
+    of = Window.partitionBy(key, shape)
+    island = F.col("seg") - F.row_number().over(of.orderBy("seg"))
+    met = met.withColumn("__run", island)
+    if loops is None:
+        best = met.groupBy(key, shape, "__run").agg(F.min("seg").alias("first_seg"), F.max("seg").alias("last_seg"), F.min(F.struct("dist", "seg", "along")).alias("b"))
+        return best.select(key, shape, "first_seg", "last_seg", F.col("b.along").alias("along"), F.col("b.dist").alias("dist"))
+    met = met.join(loops.select(shape, F.col("last").alias("__last")), shape, "left")
+    opening, closing = F.max(F.when(F.col("seg") == 0, F.col("__run"))).over(of), F.max(F.when(F.col("seg") == F.col("__last"), F.col("__run"))).over(of)
+    met = met.withColumns({"__open": opening, "__close": closing})
+    joined = F.col("__close").isNotNull() & F.col("__open").isNotNull() & (F.col("__open") != F.col("__close"))
+    head, tail = joined & (F.col("__run") == F.col("__open")), joined & (F.col("__run") == F.col("__close"))
+    met = met.withColumn("__ring", F.when(head, F.col("__close")).otherwise(F.col("__run")))
+    best = met.groupBy(key, shape, "__ring").agg(
+        F.coalesce(F.min(F.when(tail, F.col("seg"))), F.min("seg")).alias("first_seg"), F.coalesce(F.max(F.when(head, F.col("seg"))), F.max("seg")).alias("last_seg"), F.min(F.struct("dist", "seg", "along")).alias("b"),
+    )
     return best.select(key, shape, "first_seg", "last_seg", F.col("b.along").alias("along"), F.col("b.dist").alias("dist"))
 
 
+_AROUND = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+
+
+def _spread(places: DataFrame, size: float) -> DataFrame:
+    """Places with the nine cells around them: a row looks only into its own cell."""
+    cells = F.array(*(F.struct((F.floor(F.col("px") / size) + i).alias("cx"), (F.floor(F.col("py") / size) + j).alias("cy")) for i, j in _AROUND))
+    return places.withColumn("__c", F.explode(cells)).select("*", "__c.cx", "__c.cy").drop("__c")
+
+
+def nearest_by_rings(rows: DataFrame, places: DataFrame, key: str, place: str, size: float) -> DataFrame:
+    """``key, place, metres``: the nearest of ``places`` (``place, x, y``) to each of ``rows`` (``key, x, y``), by name if equally near.
+
+    A grid of cells is searched around each row. What lies beyond the nine cells is at least a cell's side away, so a row is
+    settled if its nearest place is nearer; the others go on to a grid of twice the side. A grid in which all places lie in
+    nine cells settles the rest. Rows without coordinates, and all rows if there is no place, get none. Each round is an equi
+    join and is written; rows that lie near places, nearly all, take part in the first only.
+    """
+    left = rows.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(key, "x", "y")
+    at = places.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(place, F.col("x").alias("px"), F.col("y").alias("py"))
+    box = at.select("px", "py").union(left.select("x", "y")).agg(*(f(c).alias(f"{n}{c}") for c in ("px", "py") for n, f in (("lo", F.min), ("hi", F.max)))).first()
+    wide = 0.0 if box["lopx"] is None else max(box["hipx"] - box["lopx"], box["hipy"] - box["lopy"])
+    found: list[DataFrame] = []
+    while True:
+        cell = F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy")
+        met = left.select("*", *cell).join(_spread(at, size), ["cx", "cy"])
+        best = met.groupBy(key).agg(F.min(F.struct(geo.distance(F.col("x"), F.col("y"), F.col("px"), F.col("py")).alias("metres"), F.col(place))).alias("b"))
+        last = size >= wide
+        settled = best.select(key, f"b.{place}", "b.metres") if last else best.where(F.col("b.metres") <= size).select(key, f"b.{place}", "b.metres")
+        settled = stored(settled, "nearest")
+        found.append(settled)
+        if last:
+            break
+        left = stored(left.join(settled.select(key), key, "left_anti"), "unsettled")
+        if left.isEmpty():
+            break
+        size *= 2
+    out = found[0]
+    for f in found[1:]:
+        out = out.union(f)
+    return out
+
+
 def nearest(rows: DataFrame, key: str, by: list[str], n: int) -> DataFrame:
     """The first ``n`` rows of each key in the order of ``by``."""
     rn = F.row_number().over(Window.partitionBy(key).orderBy(*by))

@@ -26,3 +26,12 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/vialens-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by ``stored`` that nothing reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        for folder in {f.rpartition("/")[0] for f in t.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(folder))
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from vialens.plans import basemap, boards, feed, fleet, gate, matching, publish, rider, schedule, spatial, tables  # noqa: F401
+from vialens.plans import basemap, boards, evidence, feed, fleet, gate, matching, publish, rider, schedule, spatial, tables  # noqa: F401
 from vialens.plans.registry import ORACLES, QUERIES  # noqa: F401

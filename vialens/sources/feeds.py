@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from vialens.functions import codes, times
 
-ROW = "id_veiculo string, fornecedor string, modo string, servico string, sentido string, latitude double, longitude double, direcao double, shape_id string, trip_id string, datetime string, datetime_servidor string"
+ROW = "id_veiculo string, fornecedor string, modo string, servico string, sentido string, latitude double, longitude double, direcao double, velocidade double, shape_id string, trip_id string, datetime string, datetime_servidor string"
 PAGE = f"minuto_utc string, data array<struct<{', '.join(c.replace(' ', ':') for c in ROW.split(', '))}>>, next_cursor string, providers_status map<string, string>"
 
 
@@ -23,7 +23,7 @@ def fixes_of_pages(pages: DataFrame) -> DataFrame:
     out = rows.select(
         F.trim("id_veiculo").alias("vehicle"), codes.vendor(F.col("fornecedor")).alias("vendor"), times.parse_iso(F.col("datetime")).alias("t"), times.parse_iso(F.col("datetime_servidor")).alias("seen_at"),
         F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), F.when((F.col("direcao") > 0) & (F.col("direcao") <= 360), F.col("direcao")).alias("heading"), blank("servico").alias("service"),
-        codes.direction(F.col("sentido")).alias("dir"), blank("shape_id").alias("shape_id"), blank("trip_id").alias("trip_id"), (F.coalesce(F.lower("modo") == "brt", F.lit(False)) | F.coalesce(codes.vendor(F.col("fornecedor")) == "sonda", F.lit(False))).alias("brt"),
+        codes.direction(F.col("sentido")).alias("dir"), blank("shape_id").alias("shape_id"), blank("trip_id").alias("trip_id"), (F.coalesce(F.lower("modo") == "brt", F.lit(False)) | F.coalesce(codes.vendor(F.col("fornecedor")) == "sonda", F.lit(False))).alias("brt"), F.col("velocidade").alias("speed"),
     )
     return out.where("vehicle <> '' and lat is not null and lon is not null and t is not null")
 
