@@ -35,7 +35,7 @@ def shape_facts(geo_points: DataFrame) -> DataFrame:
     """Length, bounds, and whether a shape ends within 300 m of its start."""
     ends = [F.min_by(F.struct("x", "y"), "i").alias("a"), F.max_by(F.struct("x", "y"), "i").alias("b")]
     facts = geo_points.groupBy("shape_id").agg(F.max("cum").alias("length"), *ends, *(f(c).alias(f"{c}{k}") for c in ("x", "y") for k, f in ((0, F.min), (1, F.max))))
-    return facts.withColumn("circular", geo.distance(F.col("a.x"), F.col("a.y"), F.col("b.x"), F.col("b.y")) <= 300).drop("a", "b")
+    return facts.withColumn("circular", geo.distance(F.col("a.x"), F.col("a.y"), F.col("b.x"), F.col("b.y")) < 300).drop("a", "b")
 
 
 def planned_speed(stop_rows: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -73,13 +75,14 @@ def _spread(places: DataFrame, size: float) -> DataFrame:
     return places.withColumn("__c", F.explode(cells)).select("*", "__c.cx", "__c.cy").drop("__c")
 
 
-def nearest_by_rings(rows: DataFrame, places: DataFrame, key: str, place: str, size: float) -> DataFrame:
+def nearest_by_rings(rows: DataFrame, places: DataFrame, key: str, place: str, size: float, metric: Callable[..., Column] = geo.distance, slack: float = 1.0) -> DataFrame:
     """``key, place, metres``: the nearest of ``places`` (``place, x, y``) to each of ``rows`` (``key, x, y``), by name if equally near.
 
     A grid of cells is searched around each row. What lies beyond the nine cells is at least a cell's side away, so a row is
     settled if its nearest place is nearer; the others go on to a grid of twice the side. A grid in which all places lie in
     nine cells settles the rest. Rows without coordinates, and all rows if there is no place, get none. Each round is an equi
-    join and is written; rows that lie near places, nearly all, take part in the first only.
+    join and is written; rows that lie near places, nearly all, take part in the first only. ``metric`` takes the four coordinates
+    of a pair; where it is not the distance on the plane, ``slack`` times that distance must not exceed it.
     """
     left = rows.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(key, "x", "y")
     at = places.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(place, F.col("x").alias("px"), F.col("y").alias("py"))
@@ -89,9 +92,9 @@ def nearest_by_rings(rows: DataFrame, places: DataFrame, key: str, place: str, s
     while True:
         cell = F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy")
         met = left.select("*", *cell).join(_spread(at, size), ["cx", "cy"])
-        best = met.groupBy(key).agg(F.min(F.struct(geo.distance(F.col("x"), F.col("y"), F.col("px"), F.col("py")).alias("metres"), F.col(place))).alias("b"))
+        best = met.groupBy(key).agg(F.min(F.struct(metric(F.col("x"), F.col("y"), F.col("px"), F.col("py")).alias("metres"), F.col(place))).alias("b"))
         last = size >= wide
-        settled = best.select(key, f"b.{place}", "b.metres") if last else best.where(F.col("b.metres") <= size).select(key, f"b.{place}", "b.metres")
+        settled = best.select(key, f"b.{place}", "b.metres") if last else best.where(F.col("b.metres") <= size * slack).select(key, f"b.{place}", "b.metres")
         settled = stored(settled, "nearest")
         found.append(settled)
         if last:

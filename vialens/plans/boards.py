@@ -7,43 +7,46 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vialens.functions import display, geo
-from vialens.operators import schedule
+from vialens.operators import schedule, spatial
 from vialens.plans import fixture
 from vialens.plans.fixture import FX, LATEST_SQL, LATEST_STANDING_SQL, SHAPES_SQL
 from vialens.plans.fleet import ON_ROAD, on_road
 from vialens.plans.registry import query, table
+from vialens.plans.rider import STOPS_SQL, stops_with_lines
 from vialens.plans.schedule import RATES_SQL, windows
 
-HERE = (-22.8996, -43.34)
-LINES_SQL = "r(route_ix, line) as (values (0, '474'), (1, '007'), (2, 'LECD140'))"
-NEAR_SQL = "with " + SHAPES_SQL.strip() + "," + LINES_SQL + f""", d as (select line, 12742000.0 * asin(sqrt(power(sin(radians((y / 111194.92664455873 + -22.9) - {HERE[0]}) / 2), 2) + cos(radians({HERE[0]})) * cos(radians(y / 111194.92664455873 + -22.9)) * power(sin(radians((x / 102431.14359791845 + -43.4) - {HERE[1]}) / 2), 2))) as metres from stp join r using (route_ix)),
+HERE = (-22.922, -43.4)
+NEAR_SQL = "with " + STOPS_SQL + f""", d as (select lines as line, 12742000.0 * asin(sqrt(power(sin(radians(lat - {HERE[0]}) / 2), 2) + cos(radians({HERE[0]})) * cos(radians(lat)) * power(sin(radians(lon - {HERE[1]}) / 2), 2))) as metres from p),
 near as (select line, round(min(metres), 2) as metres from d where metres <= 2500 group by line)"""
 
 
-def _near(spark: SparkSession) -> DataFrame:
-    stops = fixture.stops(spark).join(F.broadcast(fixture.routes(spark)), "route_ix")
-    d = geo.haversine(F.lit(HERE[0]), F.lit(HERE[1]), geo.lat_of(F.col("y")), geo.lon_of(F.col("x")))
-    return stops.withColumn("metres", d).where("metres <= 2500").groupBy(F.col("short_name").alias("line")).agg(F.round(F.min("metres"), 2).alias("metres"))
+def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = geo.haversine(F.lit(HERE[0]), F.lit(HERE[1]), F.col("lat"), F.col("lon"))
+    return stops_with_lines(spark, sf_dir).withColumn("metres", d).where("metres <= 2500").groupBy(F.col("lines").alias("line")).agg(F.round(F.min("metres"), 2).alias("metres"))
 
 
 @query(NEAR_SQL + " select line, metres from near")
 def nearby_lines_min(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines with a stop near a point, and the least distance."""
-    return _near(spark)
+    return _near(spark, sf_dir)
 
 
-@query(RATES_SQL + "," + NEAR_SQL.removeprefix("with ") + """, h as (select line, min(minutes) as headway from mins where svc = 0 and hour = 8 group by line)
+@query(RATES_SQL + "," + NEAR_SQL.removeprefix("with ") + """, h as (select n_name as line, min(minutes) as headway from mins join customer on mins.line = concat('c', c_custkey) join nation on n_nationkey = c_nationkey where svc = 0 and hour = 8 group by 1)
   select line, metres, round(metres / 75.0 + coalesce(headway / 2.0, 1000.0), 3) as cost from near left join h using (line)""")
 def nearby_lines_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines near a point by the minutes to board one on a working day at eight."""
-    h = schedule.hourly_rates(windows(spark)).withColumn("minutes", schedule.headway_minutes(F.col("rate"))).where("svc = 0 and hour = 8").groupBy("line").agg(F.min("minutes").alias("headway"))
-    rows = _near(spark).join(F.broadcast(h), "line", "left")
+    """Lines near a point by the minutes to board one on a working day at eight; a line's customers are its shapes."""
+    of = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("line"), F.col("c_nationkey").alias("n_nationkey")).join(table(spark, sf_dir, "nation"), "n_nationkey")
+    h = schedule.hourly_rates(windows(spark, sf_dir)).withColumn("minutes", schedule.headway_minutes(F.col("rate"))).where("svc = 0 and hour = 8")
+    h = h.join(of, "line").groupBy(F.col("n_name").alias("line")).agg(F.min("minutes").alias("headway"))
+    rows = _near(spark, sf_dir).join(h, "line", "left")
     return rows.select("line", "metres", F.round(display.boarding_cost(F.col("metres"), F.col("headway")), 3).alias("cost")).orderBy("cost", "line")
 
 
-@query(NEAR_SQL + " select line from near where line not in ('007')")
+@query(NEAR_SQL + " select line from near where line not in (select n_name from nation where n_regionkey = 1)")
 def nearby_minus_followed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _near(spark).select("line").join(F.broadcast(spark.createDataFrame([("007",)], "line string")), "line", "left_anti")
+    """Lines near a point without those that are followed: here those of one region."""
+    followed = table(spark, sf_dir, "nation").where("n_regionkey = 1").select(F.col("n_name").alias("line"))
+    return _near(spark, sf_dir).select("line").join(followed, "line", "left_anti")
 
 
 @query("with t as (select p_partkey, p_name, p_brand, case when lower(p_brand) like 'brand#1%' then 0 when contains(lower(p_name), 'ring') then 1 end as kind from part) select p_partkey, p_name, kind from t where kind is not null order by kind, p_partkey limit 30")
@@ -95,14 +98,21 @@ def line_search_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", display.search_key(t).alias("key"), display.route_name(t).alias("shown"), display.url_encoded(F.concat(t, F.lit("~*é"))).alias("url"), display.house_number(F.concat(F.lit("Rua A "), "p_partkey")).alias("number"))
 
 
-@query(FX + "," + LATEST_SQL + "," + SHAPES_SQL + """, d as (select vehicle, stop_id, direction, sqrt(power(s.x - l.x, 2) + power(s.y - l.y, 2)) as m, row_number() over (partition by vehicle order by round(sqrt(power(s.x - l.x, 2) + power(s.y - l.y, 2)), 2), stop_id, direction) as rn from latest l, stp s)
-  select vehicle, case when m <= 250 then stop_id when m < 3000 then 'near ' || stop_id else 'somewhere' end as name from d where rn = 1""")
+@query(FX + "," + LATEST_SQL + "," + STOPS_SQL + """, st as (select stop_id, (lon - -43.4) * 102431.14359791845 as x, (lat - -22.9) * 111194.92664455873 as y from p),
+  pl as (select p_name as name, p_partkey as k, (p_partkey * 29 % 300) * 100.0 - 8000 as x, (p_partkey * 17 % 90) * 100.0 - 3000 as y from part),
+  a as (select vehicle, stop_id, sqrt(power(s.x - l.x, 2) + power(s.y - l.y, 2)) as m from latest l, st s qualify row_number() over (partition by vehicle order by m, stop_id) = 1),
+  b as (select vehicle, name, sqrt(power(s.x - l.x, 2) + power(s.y - l.y, 2)) as m from latest l, pl s qualify row_number() over (partition by vehicle order by m, name) = 1)
+  select a.vehicle, case when a.m <= 250 then stop_id when b.m < 3000 then name else 'somewhere' end as name from a join b using (vehicle)""")
 def nearby_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What to call a place: its stop within 250 m, else the nearest one within 3 km, else a default."""
-    stops = fixture.stops(spark).select("stop_id", "direction", F.col("x").alias("sx"), F.col("y").alias("sy"))
-    m = geo.distance(F.col("x"), F.col("y"), F.col("sx"), F.col("sy"))
-    rows = fixture.latest(fixture.fixes(spark, sf_dir)).join(F.broadcast(stops)).groupBy("vehicle").agg(F.min(F.struct(F.round(m, 2).alias("r"), "stop_id", "direction", m.alias("m"))).alias("b"))
-    return rows.select("vehicle", F.when(F.col("b.m") <= 250, F.col("b.stop_id")).when(F.col("b.m") < 3000, F.concat(F.lit("near "), "b.stop_id")).otherwise("somewhere").alias("name"))
+    """What to call a place: its nearest stop if within 250 m, else the nearest named place within 3 km, else a default."""
+    rows = fixture.latest(fixture.fixes(spark, sf_dir)).select("vehicle", "x", "y")
+    stops = stops_with_lines(spark, sf_dir).select("stop_id", geo.x_of(F.col("lon")).alias("x"), geo.y_of(F.col("lat")).alias("y"))
+    k = F.col("p_partkey")
+    places = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), ((k * 29 % 300) * 100.0 - 8000).alias("x"), ((k * 17 % 90) * 100.0 - 3000).alias("y"))
+    stop = spatial.nearest_by_rings(rows, stops, "vehicle", "stop_id", 250.0).withColumnRenamed("metres", "stop_m")
+    place = spatial.nearest_by_rings(rows, places, "vehicle", "name", 1000.0)
+    held = rows.select("vehicle").join(stop, "vehicle", "left").join(place, "vehicle", "left")
+    return held.select("vehicle", F.when(F.col("stop_m") <= 250, F.col("stop_id")).when(F.col("metres") < 3000, F.col("name")).otherwise("somewhere").alias("name"))
 
 
 @query(FX + "," + LATEST_STANDING_SQL + ", " + "shown as (select *, case when seen_at - t > 180 then 'stale' when standing then 'parked' else 'live' end as phase from latest), i as (select * from shown where phase = 'live') select vehicle, service, cast(row_number() over (partition by service order by t desc, vehicle) as int) as place from i qualify row_number() over (partition by service order by t desc, vehicle) <= 3")
@@ -137,14 +147,15 @@ def current_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("vehicle", F.coalesce(F.expr("case sentido when 'ida' then 0 when 'volta' then 1 end"), F.col("b.direction")).alias("direction"))
 
 
-@query(RATES_SQL + ", " + SHAPES_SQL.strip() + "," + LINES_SQL + " select stop_id, line, svc, string_agg(from_hour || '-' || to_hour || '/' || minutes, ' ' order by from_hour) as runs from runs join r using (line) join stp using (route_ix) where direction = 0 group by all")
+@query(RATES_SQL + """, k as (select distinct concat('s', l_suppkey) as stop_id, concat('c', o_custkey) as line from lineitem join orders on o_orderkey = l_orderkey)
+  select stop_id, line, svc, string_agg(from_hour || '-' || to_hour || '/' || minutes, ' ' order by from_hour) as runs from runs join k using (line) group by all""")
 def stop_timetable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The headways of each line at each stop by day type."""
-    h = schedule.runs(schedule.hourly_rates(windows(spark)).withColumn("minutes", schedule.headway_minutes(F.col("rate"))))
+    """The headways of each line at each stop by day type: suppliers as stops of the customers that order from them."""
+    h = schedule.runs(schedule.hourly_rates(windows(spark, sf_dir)).withColumn("minutes", schedule.headway_minutes(F.col("rate"))))
     text = F.concat("from_hour", F.lit("-"), "to_hour", F.lit("/"), "minutes")
     per = h.groupBy("line", "svc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("from_hour", text.alias("t")))), lambda x: x["t"]), " ").alias("runs"))
-    stops = fixture.stops(spark).where("direction = 0").join(F.broadcast(fixture.routes(spark)), "route_ix")
-    return stops.join(F.broadcast(per), F.col("short_name") == F.col("line")).select("stop_id", "line", "svc", "runs")
+    calls = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.concat(F.lit("s"), "l_suppkey").alias("stop_id")).join(table(spark, sf_dir, "orders"), "o_orderkey")
+    return calls.select("stop_id", F.concat(F.lit("c"), "o_custkey").alias("line")).distinct().join(per, "line").select("stop_id", "line", "svc", "runs")
 
 
 @query("with c as (select p_partkey, p_brand, p_size % 8 as colour from part) select p_partkey, n as over_ from c join (select colour, count(distinct p_brand) as n from c group by colour) using (colour)")

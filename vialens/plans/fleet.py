@@ -77,11 +77,12 @@ def vendor_direction_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 CODES = ["474", "0", "000", " ", "1 GAR", "GAR 2", "garagem", "GARAGE7", "MANGAR", "Manutenção", "recolhe", "treino", "SEM LINHA", "LECD140", "7", "Fora de Op", "3A", "GAR-9"]
 
 
-@query(f"""with c as (select unnest({CODES}) as code) select code, case when trim(code) = '' then 'unknown' when regexp_matches(trim(code), '^0+$') or upper(trim(code)) in ('GARAGEM', 'MANUTENÇÃO', 'RECOLHE', 'TREINO', 'SEM LINHA', 'FORA DE OP')
+@query(f"""with c as (select event_id, {CODES}[event_id % {len(CODES)} + 1] || case when event_id % 5 = 0 then ' ' || event_id % 7 else '' end as code from events) select event_id, code, case when trim(code) = '' then 'unknown' when regexp_matches(trim(code), '^0+$') or upper(trim(code)) in ('GARAGEM', 'MANUTENÇÃO', 'RECOLHE', 'TREINO', 'SEM LINHA', 'FORA DE OP')
   or len(list_filter(string_split_regex(upper(trim(code)), '[^A-Z0-9]'), lambda x: x = 'GAR' or starts_with(x, 'GARAG'))) > 0 then 'out' else 'named' end as state, starts_with(code, 'LECD') as provisional from c""")
 def service_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(c,) for c in CODES], "code string")
-    return rows.select("code", codes.service_state(F.col("code")).alias("state"), codes.is_provisional(F.col("code")).alias("provisional"))
+    k = F.col("event_id")
+    code = F.concat(F.get(F.array(*map(F.lit, CODES)), (k % len(CODES)).cast("int")), F.when(k % 5 == 0, F.concat(F.lit(" "), k % 7)).otherwise(""))
+    return table(spark, sf_dir, "events").select("event_id", code.alias("code")).select("event_id", "code", codes.service_state(F.col("code")).alias("state"), codes.is_provisional(F.col("code")).alias("provisional"))
 
 
 @query(FX + ", " + ROUTES_SQL + "," + RESOLVED_SQL.format(src="fx") + " select service, line, route_ix, count(*) as n from resolved group by all")

@@ -137,16 +137,16 @@ def shape_bearing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return at.select("event_id", "shape_id", F.round(geo.bearing(F.col("a_x"), F.col("a_y"), F.col("b_x"), F.col("b_y")), 6).alias("bearing"), (F.col("b") - F.col("a")).alias("chord"))
 
 
-@query(RATES_SQL + """, q as (select ['474', '007', 'LECD140', '999'][user_id % 4 + 1] as line, cast(case dayofweek(ts) when 0 then 2 when 6 then 1 else 0 end as int) as svc, cast(hour(ts) as int) as hour, count(*) as n from events group by all)
+@query(RATES_SQL + """, q as (select concat('c', user_id) as line, cast(case dayofweek(ts) when 0 then 2 when 6 then 1 else 0 end as int) as svc, cast(hour(ts) as int) as hour, count(*) as n from events group by all)
   select line, svc, hour, n, (select min(minutes) from runs r where r.line = q.line and r.svc = q.svc and hour >= from_hour and hour < to_hour) as headway, (select min(from_hour) from runs r where r.line = q.line and r.svc = q.svc and from_hour > hour) as starts from q""")
 def headway_now(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scheduled headway of a line at a moment, and the hour in which its next run starts; by line, day type and hour asked for."""
-    line = F.get(F.array(*map(F.lit, ("474", "007", "LECD140", "999"))), (F.col("user_id") % 4).cast("int"))
+    line = F.concat(F.lit("c"), "user_id")
     day = F.dayofweek("ts")
     asked = table(spark, sf_dir, "events").groupBy(line.alias("line"), F.when(day == 1, 2).when(day == 7, 1).otherwise(0).alias("svc"), F.hour("ts").alias("hour")).agg(F.count("*").alias("n"))
-    runs = schedule.runs(schedule.hourly_rates(windows(spark)).withColumn("minutes", schedule.headway_minutes(F.col("rate"))))
+    runs = schedule.runs(schedule.hourly_rates(windows(spark, sf_dir)).withColumn("minutes", schedule.headway_minutes(F.col("rate"))))
     held = runs.groupBy("line", "svc").agg(F.array_sort(F.collect_list(F.struct("from_hour", "to_hour", "minutes"))).alias("r"))  # 24 runs at most
-    rows = asked.join(F.broadcast(held), ["line", "svc"], "left")
+    rows = asked.join(held, ["line", "svc"], "left")
     now = F.filter("r", lambda r: (F.col("hour") >= r["from_hour"]) & (F.col("hour") < r["to_hour"]))
     later = F.filter("r", lambda r: r["from_hour"] > F.col("hour"))
     return rows.select("line", "svc", "hour", "n", F.get(now, F.lit(0))["minutes"].alias("headway"), F.get(later, F.lit(0))["from_hour"].alias("starts"))
@@ -169,34 +169,35 @@ def _rows_of_tiles() -> tuple[int, int, int, int]:
 
 X0, X1, Y0, Y1 = _rows_of_tiles()
 TILE_SQL = "cast(floor((lon + 180) / 360 * 8192) as int) as tile_x, cast(floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 8192) as int) as tile_y"
-STOPS_SQL = "p as (select stop_id, x / 102431.14359791845 - 43.4 as lon, y / 111194.92664455873 - 22.9 as lat, string_agg(distinct short_name, ' ' order by short_name) as lines from stp join routes using (route_ix) group by all), s as (select *, " + TILE_SQL + " from p)"
+STOPS_SQL = "p as (select concat('s', s_suppkey) as stop_id, -43.45 + (s_suppkey * 13 % 400) * 0.0005 as lon, -22.95 + (s_suppkey * 7 % 240) * 0.0005 as lat, n_name as lines from supplier join nation on n_nationkey = s_nationkey), s as (select *, " + TILE_SQL + " from p)"
 
 
-def _stops_with_lines(spark: SparkSession) -> DataFrame:
-    rows = fixture.stops(spark).join(F.broadcast(fixture.routes(spark)), "route_ix")
-    rows = rows.groupBy("stop_id", "x", "y").agg(F.array_join(F.array_sort(F.collect_set("short_name")), " ").alias("lines"))
-    lat, lon = geo.lat_of(F.col("y")), geo.lon_of(F.col("x"))
-    return rows.select("stop_id", "lines", lat.alias("lat"), lon.alias("lon"), geo.tile_x(lon, ZOOM).alias("tile_x"), geo.tile_y(lat, ZOOM).alias("tile_y"))
+def stops_with_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as stops, each with the line of its nation."""
+    lat, lon = -22.95 + (F.col("s_suppkey") * 7 % 240) * 0.0005, -43.45 + (F.col("s_suppkey") * 13 % 400) * 0.0005
+    lines = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("lines"))
+    rows = table(spark, sf_dir, "supplier").join(lines, "s_nationkey").select(F.concat(F.lit("s"), "s_suppkey").alias("stop_id"), "lines", lat.alias("lat"), lon.alias("lon"))
+    return rows.withColumns({"tile_x": geo.tile_x(F.col("lon"), ZOOM), "tile_y": geo.tile_y(F.col("lat"), ZOOM)})
 
 
-@query("with " + ROUTES_SQL + "," + SHAPES_SQL + "," + STOPS_SQL + f""", tiles as (select cast(a as int) as tile_x, cast(b as int) as tile_y from range({X0}, {X1} + 1) x(a), range({Y0}, {Y1} + 1) y(b))
+@query("with " + STOPS_SQL + f""", tiles as (select cast(a as int) as tile_x, cast(b as int) as tile_y from range({X0}, {X1} + 1) x(a), range({Y0}, {Y1} + 1) y(b))
   select tile_x, tile_y, count(stop_id) as n, coalesce('[' || string_agg(stop_id || ' ' || lines, '; ' order by stop_id) || ']', '[]') as body from tiles left join s using (tile_x, tile_y) group by all""")
 def stops_by_tile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stops that a line serves by map tile, for every tile of the served area."""
     tiles = spark.range(X0, X1 + 1).select(F.col("id").cast("int").alias("tile_x"), F.explode(F.sequence(F.lit(Y0), F.lit(Y1))).alias("tile_y"))
-    held = _stops_with_lines(spark).groupBy("tile_x", "tile_y").agg(F.array_sort(F.collect_list(F.struct("stop_id", "lines"))).alias("s"))  # a tile's stops, some hundred
+    held = stops_with_lines(spark, sf_dir).groupBy("tile_x", "tile_y").agg(F.array_sort(F.collect_list(F.struct("stop_id", "lines"))).alias("s"))  # a tile's stops, some hundred
     rows = tiles.join(held, ["tile_x", "tile_y"], "left").withColumn("s", F.coalesce("s", F.expr("cast(array() as array<struct<stop_id:string,lines:string>>)")))
     body = F.concat(F.lit("["), F.array_join(F.transform("s", lambda s: F.concat_ws(" ", s["stop_id"], s["lines"])), "; "), F.lit("]"))
     return rows.select("tile_x", "tile_y", F.size("s").cast("long").alias("n"), body.alias("body"))
 
 
-@query(ON_ROAD + "," + SHAPES_SQL + "," + STOPS_SQL + ", v as (select vehicle, " + TILE_SQL + " from latest) select vehicle, count(*) as stops, count(distinct lines) as lines, min(stop_id) as first_stop from v join s on abs(v.tile_x - s.tile_x) <= 1 and abs(v.tile_y - s.tile_y) <= 1 group by vehicle")
+@query(ON_ROAD + "," + STOPS_SQL + ", v as (select vehicle, " + TILE_SQL + " from latest) select vehicle, count(*) as stops, count(distinct lines) as lines, min(stop_id) as first_stop from v join s on abs(v.tile_x - s.tile_x) <= 1 and abs(v.tile_y - s.tile_y) <= 1 group by vehicle")
 def stops_around(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stops in the nine tiles around each vehicle: an equi join on the tile, each place sent to its neighbours' keys."""
     step = F.array(*map(F.lit, (-1, 0, 1)))
     v = fixture.latest(fixture.fixes(spark, sf_dir)).select("vehicle", geo.tile_x(F.col("lon"), ZOOM).alias("vx"), geo.tile_y(F.col("lat"), ZOOM).alias("vy"))
     v = v.withColumn("dx", F.explode(step)).withColumn("dy", F.explode(step)).select("vehicle", (F.col("vx") + F.col("dx")).alias("tile_x"), (F.col("vy") + F.col("dy")).alias("tile_y"))
-    rows = v.join(_stops_with_lines(spark), ["tile_x", "tile_y"])
+    rows = v.join(stops_with_lines(spark, sf_dir), ["tile_x", "tile_y"])
     return rows.groupBy("vehicle").agg(F.count("*").alias("stops"), F.countDistinct("lines").alias("lines"), F.min("stop_id").alias("first_stop"))
 
 

@@ -2,45 +2,47 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vialens.functions import codes, times
 from vialens.operators import schedule
-from vialens.plans import fixture
-from vialens.plans.fixture import SHAPES_SQL
 from vialens.plans.registry import query, table
 
-WINDOWS = [("474", 0, 21600, 32400, 300), ("474", 0, 32400, 57600, 600), ("474", 2, 36000, 39600, 3600), ("007", 0, 20000, 30000, 420), ("007", 0, 82800, 93600, 900), ("007", 1, 25000, 26000, 1200), ("007", 1, 30000, 30000, 600), ("LECD140", 0, 18000, 86400, 0), ("LECD140", 0, 18000, 90000, 1500)]
-WINDOWS_SQL = "f(line, svc, s, e, h) as (values " + ", ".join(map(str, WINDOWS)) + ")"
+#: Windows of service from the orders: a customer's are those of one line; some are empty, without a headway, or go past midnight.
+WINDOW_SQL = "concat('c', o_custkey) as line, cast(o_orderkey % 3 as int) as svc, cast(o_orderkey * 7919 % 86400 as int) as s, cast(o_orderkey * 7919 % 86400 + o_orderkey * 104729 % 30000 - 500 as int) as e, cast(o_orderkey % 25 * 60 as int) as h"
+WINDOWS_SQL = f"f as (select {WINDOW_SQL} from orders)"
 RATES_SQL = f"""with {WINDOWS_SQL}, x as (select line, svc, s, e, h, unnest(range(s // 3600, (e - 1) // 3600 + 1)) as hr from f where h > 0 and e > s),
 rates as (select line, svc, cast(hr % 24 as int) as hour, sum(3600.0 / h * (least(e, (hr + 1) * 3600) - greatest(s, hr * 3600)) / 3600.0) as rate from x group by all),
 mins as (select line, svc, hour, cast(case when rate > 0.05 then greatest(1, round(60.0 / rate)) end as int) as minutes from rates),
 runs as (select line, svc, minutes, min(hour) as from_hour, max(hour) + 1 as to_hour from (select *, hour - row_number() over (partition by line, svc, minutes order by hour) as g from mins where minutes is not null) group by line, svc, minutes, g)"""
 
 
-def windows(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(WINDOWS, "line string, svc int, start int, end int, headway int")
+def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").selectExpr(*re.split(r", (?=concat|cast)", WINDOW_SQL))
+    return rows.select("line", "svc", F.col("s").alias("start"), F.col("e").alias("end"), F.col("h").alias("headway"))
 
 
 @query(RATES_SQL + " select line, svc, hour, round(rate, 6) as rate from rates")
 def hourly_rate_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schedule.hourly_rates(windows(spark)).select("line", "svc", "hour", F.round("rate", 6).alias("rate"))
+    return schedule.hourly_rates(windows(spark, sf_dir)).select("line", "svc", "hour", F.round("rate", 6).alias("rate"))
 
 
 @query(RATES_SQL + " select line, svc, cast(minutes as int) as minutes, cast(from_hour as int) as from_hour, cast(to_hour as int) as to_hour from runs")
 def headway_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = schedule.hourly_rates(windows(spark)).withColumn("minutes", schedule.headway_minutes(F.col("rate")))
+    h = schedule.hourly_rates(windows(spark, sf_dir)).withColumn("minutes", schedule.headway_minutes(F.col("rate")))
     return schedule.runs(h).select("line", "svc", "minutes", "from_hour", "to_hour")
 
 
-@query(RATES_SQL + """, d as (select case when line = '007' then '474' else line end as line, svc, hour, min(minutes) as minutes from mins where minutes is not null group by all)
+@query(RATES_SQL + """, d as (select 'g' || cast(substr(line, 2) as bigint) // 2 as line, svc, hour, min(minutes) as minutes from mins where minutes is not null group by all)
   select line, svc, cast(minutes as int) as minutes, cast(min(hour) as int) as from_hour, cast(max(hour) + 1 as int) as to_hour from (select *, hour - row_number() over (partition by line, svc, minutes order by hour) as g from d) group by line, svc, minutes, g""")
 def best_headway(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The least headway of a line over its shapes, as runs; here two lines count as shapes of one."""
-    h = schedule.hourly_rates(windows(spark)).withColumn("minutes", schedule.headway_minutes(F.col("rate"))).where("minutes is not null")
-    best = h.groupBy(F.when(F.col("line") == "007", "474").otherwise(F.col("line")).alias("line"), "svc", "hour").agg(F.min("minutes").alias("minutes"))
+    """The least headway of a line over its shapes, as runs; here the lines of two neighbours count as shapes of one."""
+    h = schedule.hourly_rates(windows(spark, sf_dir)).withColumn("minutes", schedule.headway_minutes(F.col("rate"))).where("minutes is not null")
+    best = h.groupBy(F.concat(F.lit("g"), F.expr("cast(substr(line, 2) as bigint) div 2")).alias("line"), "svc", "hour").agg(F.min("minutes").alias("minutes"))
     return schedule.runs(best).select("line", "svc", "minutes", "from_hour", "to_hour")
 
 
@@ -65,12 +67,16 @@ def calendar_exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schedule.calendar_exceptions(_calendar(spark), _dates(spark, sf_dir))
 
 
-CALENDAR_SQL = "c(service_id, monday, tuesday, wednesday, thursday, friday, saturday, sunday, start_date, end_date) as (values " + ", ".join(map(str, CALENDAR)) + ")"
-
-
-@query("with " + CALENDAR_SQL + ", d as (select case substr(service_id, 1, 2) when 'U_' then 0 when 'S_' then 1 when 'D_' then 2 end as svc, unnest([sunday, monday, tuesday, wednesday, thursday, friday, saturday]) as runs, unnest(range(7)) as weekday from c) select cast(weekday as int) as weekday, cast(min(svc) as int) as svc from d where runs = '1' and svc is not null group by weekday")
+@query("""with c as (select ['U_REG', 'S_REG', 'D_REG', 'OTHER'][s_suppkey % 4 + 1] as service_id, s_suppkey * 37 // 8 as bits from supplier),
+  d as (select case substr(service_id, 1, 2) when 'U_' then 0 when 'S_' then 1 when 'D_' then 2 end as svc, weekday from c, range(7) w(weekday) where bits // cast(power(2, weekday) as bigint) % 2 = 1)
+  select cast(weekday as int) as weekday, cast(min(svc) as int) as svc from d where svc is not null group by weekday""")
 def weekday_service(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schedule.weekday_services(_calendar(spark))
+    """The least service that runs on each weekday: suppliers as rows of a calendar, the bits of their keys as its days."""
+    names = ["sunday", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday"]
+    k = F.col("s_suppkey")
+    kind = F.get(F.array(*map(F.lit, ("U_REG", "S_REG", "D_REG", "OTHER"))), (k % 4).cast("int"))
+    days = [F.expr(f"cast(s_suppkey * 37 div 8 div {1 << d} % 2 as string)").alias(n) for d, n in enumerate(names)]
+    return schedule.weekday_services(table(spark, sf_dir, "supplier").select(kind.alias("service_id"), *days))
 
 
 @query(f"""with x as ({EXCEPTIONS_SQL}), o as (select o_orderkey, strftime(o_orderdate, '%Y%m%d') as date, dayofweek(o_orderdate) as wd from orders)
@@ -125,19 +131,37 @@ def hex_color(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", codes.hex_color(c).alias("color"))
 
 
-@query("with " + SHAPES_SQL.strip() + ", r(route_ix, line) as (values (0, '474'), (1, '007'), (2, 'LECD140')) select stop_id, string_agg(distinct line, ',' order by line) as lines, count(distinct shape_id) as shapes from stp join r using (route_ix) group by stop_id")
+STOPS_SQL = "k as (select distinct concat('s', l_suppkey) as stop_id, o_custkey, n_nationkey, n_name, l_quantity as q from lineitem join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey)"
+
+
+def _served(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stops and the lines that serve them: suppliers of the orders of each nation's customers."""
+    home = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n_nationkey"))
+    held = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.concat(F.lit("s"), "l_suppkey").alias("stop_id"), F.col("l_quantity").alias("q"))
+    rows = held.join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey").join(home, "o_custkey")
+    return rows.select("stop_id", "o_custkey", "n_nationkey", "q").distinct().join(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_nationkey")
+
+
+@query(f"with {STOPS_SQL} select stop_id, string_agg(distinct n_name, ',' order by n_name) as lines, count(distinct o_custkey) as shapes from k group by stop_id")
 def stop_lines_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fixture.stops(spark).join(F.broadcast(fixture.routes(spark)), "route_ix")
-    return rows.groupBy("stop_id").agg(F.array_join(F.array_sort(F.collect_set("short_name")), ",").alias("lines"), F.countDistinct("shape_id").alias("shapes"))
+    """The lines of each stop, and by how many shapes they come there."""
+    return _served(spark, sf_dir).groupBy("stop_id").agg(F.array_join(F.array_sort(F.collect_set("n_name")), ",").alias("lines"), F.countDistinct("o_custkey").alias("shapes"))
 
 
-@query("with " + SHAPES_SQL.strip() + ", r(route_ix, line) as (values (0, '474'), (1, '007'), (2, 'LECD140')) select line, string_agg(distinct 'to ' || direction, ',' order by 'to ' || direction) as ends, cast(max(dist) as double) as length, starts_with(line, 'LECD') as provisional from stp join r using (route_ix) group by line")
+@query(f"""with {STOPS_SQL}, n as (select *, case when n_nationkey % 3 = 0 then 'LECD' || n_nationkey else n_name end as line, 'to ' || o_custkey % 3 as towards from k)
+  select line, string_agg(distinct towards, ',' order by towards) as ends, cast(max(q) as double) as length, starts_with(line, 'LECD') as provisional from n group by line""")
 def line_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fixture.stops(spark).join(F.broadcast(fixture.routes(spark)), "route_ix")
-    out = rows.groupBy(F.col("short_name").alias("line")).agg(F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("to "), "direction"))), ",").alias("ends"), F.max("dist").alias("length"))
+    """Each line's directions, length and whether its name is provisional."""
+    line = F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit("LECD"), "n_nationkey")).otherwise(F.col("n_name"))
+    out = _served(spark, sf_dir).groupBy(line.alias("line")).agg(F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("to "), F.col("o_custkey") % 3))), ",").alias("ends"), F.max("q").cast("double").alias("length"))
     return out.withColumn("provisional", codes.is_provisional(F.col("line")))
 
 
-@query("with " + SHAPES_SQL.strip() + " select shape_id, max(cum) as length, min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1, false as circular from pts group by shape_id")
+@query("""with p as (select l_orderkey as shape_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as i, cast(l_partkey * 13 % 700 as double) as x, cast(l_suppkey * 7 % 500 as double) as y from lineitem),
+  c as (select *, 100.0::double * (i - 1) as cum from p), e as (select shape_id, first(x order by i) as ax, first(y order by i) as ay, last(x order by i) as bx, last(y order by i) as by_ from p group by shape_id)
+  select shape_id, max(cum) as length, min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1, bool_or(sqrt(power(bx - ax, 2) + power(by_ - ay, 2)) < 300) as circular from c join e using (shape_id) group by shape_id""")
 def gtfs_shape_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schedule.shape_facts(fixture.points(spark)).select("shape_id", "length", "x0", "x1", "y0", "y1", "circular")
+    """Length, bounds and whether it closes of each shape: orders as shapes, their lines as points."""
+    i = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    points = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("shape_id"), i.alias("i"), (F.col("l_partkey") * 13 % 700).cast("double").alias("x"), (F.col("l_suppkey") * 7 % 500).cast("double").alias("y"))
+    return schedule.shape_facts(points.withColumn("cum", 100.0 * (F.col("i") - 1))).select("shape_id", "length", "x0", "x1", "y0", "y1", "circular")

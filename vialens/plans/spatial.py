@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vialens.functions import geo
-from vialens.operators import spatial
+from vialens.operators import evidence, spatial
 from vialens.plans import fixture
 from vialens.plans.fixture import FX, LATEST_SQL, SHAPES_SQL
 from vialens.plans.fleet import ON_ROAD, on_road
@@ -40,14 +40,36 @@ def nearest4_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("place", place).where("place <= 4").select("event_id", "shape_id", "dist", "place")
 
 
+LOOP_SQL = """lp as (select i, case when i < 30 then 50.0 * i when i < 60 then 1500.0 when i < 90 then 1500.0 - 50.0 * (i - 60) else 0.0 end as x, case when i < 30 then 0.0 when i < 60 then 50.0 * (i - 30) when i < 90 then 1500.0 when i < 120 then 1500.0 - 50.0 * (i - 90) else 0.0 end as y from range(121) t(i)),
+lg as (select i as seg, x as ax, y as ay, lead(x) over (order by i) as bx, lead(y) over (order by i) as by_ from lp),
+lt as (select event_id, seg, ax, ay, bx, by_, g.x, g.y, greatest(0.0, least(1.0, ((g.x - ax) * (bx - ax) + (g.y - ay) * (by_ - ay)) / 2500.0)) as tau from good g join lg on bx is not null and g.x between least(ax, bx) - 200 and greatest(ax, bx) + 200 and g.y between least(ay, by_) - 200 and greatest(ay, by_) + 200),
+ld as (select event_id, seg, 50.0 * (seg + tau) as along, sqrt(power(x - ax - tau * (bx - ax), 2) + power(y - ay - tau * (by_ - ay), 2)) as dist from lt),
+twice as (select *, lap, seg + 120 * lap as place from ld, range(2) l(lap) where dist <= 200),
+island as (select *, place - row_number() over (partition by event_id order by place) as run from twice),
+whole as (select event_id, min(place) as a, max(place) as z, first(along order by dist, seg) as along, min(dist) as dist from island group by event_id, run),
+seam as (select event_id, bool_or(seg = 119) as wraps from ld where dist <= 200 group by event_id)"""
+
+
+@query(FX + "," + GOOD + "," + LOOP_SQL + """ select event_id, cast(a as int) as first_seg, cast(z % 120 as int) as last_seg, round(along, 2) + 0 as along, round(dist, 2) + 0 as dist
+  from whole join seam using (event_id) where a < 120 and not (a = 0 and wraps)""")
+def loop_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place along a circular route of 6 km within 200 m of a fix; the SQL walks the route twice instead."""
+    i = F.col("id").cast("int")
+    side, along = F.floor(i / 30), (i % 30) * 50.0
+    x = F.when(side == 0, along).when(side == 1, 1500.0).when(side == 2, 1500.0 - along).otherwise(0.0)
+    y = F.when(side == 0, 0.0).when(side == 1, along).when(side == 2, 1500.0).when(side == 3, 1500.0 - along).otherwise(0.0)
+    segs = spatial.segments(spark.range(121).select(F.lit("loop").alias("shape_id"), i.alias("i"), x.alias("x"), y.alias("y"), (i * 50.0).alias("cum")), ["shape_id"])
+    loops = segs.groupBy("shape_id").agg(F.max("seg").alias("last"))
+    rows = spatial.passes(fixture.good_fixes(fixture.fixes(spark, sf_dir)), segs, "event_id", "shape_id", loops=loops)
+    return rows.select("event_id", "first_seg", "last_seg", (F.round("along", 2) + 0).alias("along"), (F.round("dist", 2) + 0).alias("dist"))
+
+
 @query(FX + "," + LATEST_SQL + "," + SHAPES_SQL + """ select vehicle, stop_id, round(d, 2) as metres from (select vehicle, stop_id, d, row_number() over (partition by vehicle order by round(d, 2), stop_id) as rn
-  from (select distinct vehicle, stop_id, 12742000.0 * asin(sqrt(power(sin(radians((s.y / 111194.92664455873 + -22.9) - lat) / 2), 2) + cos(radians(lat)) * cos(radians(s.y / 111194.92664455873 + -22.9)) * power(sin(radians((s.x / 102431.14359791845 + -43.4) - lon) / 2), 2))) as d from latest, stp s where direction = 0)) where rn = 1""")
+  from (select distinct vehicle, stop_id, 12742000.0 * asin(sqrt(power(sin(radians((s.y / 111194.92664455873 + -22.9) - lat) / 2), 2) + cos(radians(lat)) * cos(radians(s.y / 111194.92664455873 + -22.9)) * power(sin(radians((s.x / 102431.14359791845 + -43.4) - lon) / 2), 2))) as d from latest, stp s)) where rn = 1""")
 def haversine_nearest_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest stop of each vehicle; stops are a dimension of some thousand rows, so they are broadcast and minima taken."""
-    stops = fixture.stops(spark).where("direction = 0").select("stop_id", geo.lat_of(F.col("y")).alias("slat"), geo.lon_of(F.col("x")).alias("slon"))
-    d = F.round(geo.haversine(F.col("lat"), F.col("lon"), F.col("slat"), F.col("slon")), 2)
-    rows = fixture.latest(fixture.fixes(spark, sf_dir)).join(F.broadcast(stops))
-    return rows.groupBy("vehicle").agg(F.min(F.struct(d.alias("d"), "stop_id")).alias("m")).select("vehicle", F.col("m.stop_id").alias("stop_id"), F.col("m.d").alias("metres"))
+    """The nearest stop of each vehicle on the sphere, searched for in rings of cells on the plane."""
+    sphere = lambda x, y, px, py: F.round(geo.haversine(geo.lat_of(y), geo.lon_of(x), geo.lat_of(py), geo.lon_of(px)), 2)
+    return spatial.nearest_by_rings(fixture.latest(fixture.fixes(spark, sf_dir)), fixture.stops(spark), "vehicle", "stop_id", 500.0, sphere, slack=0.99)
 
 
 def standing_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,12 +179,12 @@ def loop_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("with " + SHAPES_SQL.strip() + """, e as (select event_id, (event_id * 53) % 12300 - 100 as raw from events), a as (select *, greatest(0, least(12000, raw)) as along from e)
-  select event_id, shape_id, round(cast(case when direction = 0 then along else 12000 - along end as double), 3) as x, case when direction = 0 then 90.0 else 270.0 end as bearing from a, shp where route_ix = 0""")
+  select event_id, shape_id, round(cast(case when direction = 0 then along else 12000 - along end as double), 3) as x, case when direction = 0 then 90.0 else 270.0 end as bearing from a, shp""")
 def shape_point_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The point and bearing at a distance along a shape: an equi join on the 50 m segment that holds it."""
     at = table(spark, sf_dir, "events").select("event_id", F.greatest(F.lit(0), F.least(F.lit(12000), F.col("event_id") * 53 % 12300 - 100)).cast("double").alias("along"))
     at = at.withColumn("seg", F.least(F.lit(239), F.floor(F.col("along") / 50)).cast("int"))
-    segs = spatial.segments(fixture.points(spark).where("route_ix = 0"), ["shape_id"])
+    segs = spatial.segments(fixture.points(spark), ["shape_id"])
     rows = at.join(F.broadcast(segs), "seg")
     share = (F.col("along") - F.col("cum0")) / (F.col("cum1") - F.col("cum0"))
     return rows.select("event_id", "shape_id", F.round(F.col("ax") + share * (F.col("bx") - F.col("ax")), 3).alias("x"), geo.bearing(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")).alias("bearing"))
@@ -171,15 +193,24 @@ def shape_point_at(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("with " + SHAPES_SQL.strip() + ", " + FX.removeprefix("with ") + "," + LATEST_SQL + """ , ends as (select shape_id, x, y from pts where i in (0, 240))
   select vehicle, round(min(sqrt(power(e.x - l.x, 2) + power(e.y - l.y, 2))), 2) as metres from latest l, ends e group by vehicle""")
 def nearest_route_end(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ends = fixture.points(spark).where("i in (0, 240)").select(F.col("x").alias("ex"), F.col("y").alias("ey"))
-    rows = fixture.latest(fixture.fixes(spark, sf_dir)).join(F.broadcast(ends))
-    return rows.groupBy("vehicle").agg(F.round(F.min(geo.distance(F.col("x"), F.col("y"), F.col("ex"), F.col("ey"))), 2).alias("metres"))
-
-
-@query("with " + SHAPES_SQL.strip() + """ , g as (select distinct route_ix, cast(floor(x / 100) as bigint) as cx, cast(floor(y / 100) as bigint) as cy from pts) select route_ix, count(*) as cells, min(cx) as x0, max(cx) as x1 from g group by route_ix""")
+    """How far each vehicle is from the nearest end of any route, searched for in rings of cells."""
+    ends = fixture.points(spark).where("i in (0, 240)").select(F.concat_ws("-", "shape_id", "i").alias("end_id"), "x", "y")
+    found = spatial.nearest_by_rings(fixture.latest(fixture.fixes(spark, sf_dir)), ends, "vehicle", "end_id", 500.0)
+    return found.select("vehicle", F.round("metres", 2).alias("metres"))
+
+
+@query("""with p as (select l_orderkey as o, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as i, cast(l_partkey * 13 % 1700 as double) as x, cast(l_suppkey * 71 % 1300 as double) as y from lineitem),
+  s as (select *, lead(x) over w as bx, lead(y) over w as by_ from p window w as (partition by o order by i)),
+  n as (select *, greatest(1, cast(floor(sqrt(power(bx - x, 2) + power(by_ - y, 2)) / 100) as bigint) + 1) as n from s where bx is not null),
+  k as (select *, unnest(range(n + 1)) as k from n),
+  c as (select distinct o, cast(floor((x + (bx - x) * k / n) / 100) as bigint) as cx, cast(floor((y + (by_ - y) * k / n) / 100) as bigint) as cy from k)
+  select o as route, count(*) as cells, min(cx) as x0, max(cx) as x1, min(cy) as y0, max(cy) as y1 from c group by o""")
 def grid_rasterise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fixture.points(spark).select("route_ix", F.floor(F.col("x") / 100).alias("cx"), F.floor(F.col("y") / 100).alias("cy")).distinct()
-    return rows.groupBy("route_ix").agg(F.count("*").alias("cells"), F.min("cx").alias("x0"), F.max("cx").alias("x1"))
+    """The 100 m cells that each route crosses, slanted segments walked in steps: orders as routes, their lines as points."""
+    i = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    points = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("route"), i.alias("i"), (F.col("l_partkey") * 13 % 1700).cast("double").alias("x"), (F.col("l_suppkey") * 71 % 1300).cast("double").alias("y"))
+    cells = evidence.rasterised(spatial.segments(points.withColumn("cum", F.lit(0.0)), ["route"]), 100.0).select("route", "cx", "cy").distinct()
+    return cells.groupBy("route").agg(F.count("*").alias("cells"), *(f(c).alias(f"{c[1]}{k}") for c in ("cx", "cy") for k, f in ((0, F.min), (1, F.max))))
 
 
 @query("with t as (" + ORACLES["arrivals_ahead"] + """), p as (select distinct stop_id, x / 102431.14359791845 - 43.4 as lon, y / 111194.92664455873 - 22.9 as lat from (""" + FX + "," + LATEST_SQL + "," + SHAPES_SQL + """ select * from stp)),
