@@ -28,7 +28,6 @@ def _tokenizer(path: str) -> tuple:
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
         suffix = getattr(t.model, "end_of_word_suffix", None)
         closes = np.zeros(t.get_vocab_size() if suffix else 0, bool)
         if suffix:
