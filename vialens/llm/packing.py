@@ -48,7 +48,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS
     """Packs every row of ``docs`` (``doc_id``, ``text``, ``source``; other columns are ignored) into bins of ``capacity`` words.
 
     No bin holds two documents of one source or of one duplicate cluster: that which ``clusters`` (``doc_id``, ``cluster``)
-    gives for the id, else the documents of equal text. A document longer than a bin is
+    gives for the id, or for that of a document of equal text, else the documents of equal text. A document longer than a bin is
     cut into full bins and a rest; the rest is packed like any other. Rows are dealt by a hash into groups of about
     ``group_rows``, whatever their source or cluster, and each group is packed largest first; so a hot source or a large
     cluster is spread evenly, and a task holds sizes and ids only.
@@ -60,6 +60,9 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS
     if clusters is not None:
         own = clusters.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("i")).agg(F.min("cluster").alias("given"))
         rows = rows.join(own, F.col("doc_id") == F.col("i"), "left")
+        # a row whose id has no cluster, or that has no id, is in the cluster of a row with its text
+        of_text = rows.where("given is not null").groupBy(F.col("cluster").alias("text_key")).agg(F.min("given").alias("shared"))
+        rows = rows.join(of_text, F.col("cluster") == F.col("text_key"), "left").withColumn("given", F.coalesce("given", "shared"))
         rows = rows.select("doc_id", "source", "size", F.when(F.col("given").isNull(), F.col("cluster")).otherwise(F.xxhash64("given")).alias("cluster"))
     rows = written(rows, "pieces")
     groups = max(1, math.ceil(rows.count() / group_rows))
