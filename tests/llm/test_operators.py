@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from vialens.llm import html_text, lines, media, mixing, packing, quality, queries, sharding, simhash, substrings, token_output
-from vialens.llm.common import fresh_path, ordered_prefix, prefix_by_key
+from vialens.llm.common import fresh_path, ordered_prefix, prefix_by_key, row_key
 from vialens.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -69,6 +69,13 @@ def test_packing_keeps_clusters_apart(spark):
     assert len(out) == 120 and all(len(x) == len(set(x)) for x in held.values())
 
 
+def test_copies_without_an_id_are_in_their_twins_cluster(spark):
+    df = spark.createDataFrame([(1, "t u v", "a"), (None, "t u v", "b"), (2, "t u w", "c"), (None, "z", "d")], "doc_id long, text string, source string")
+    clusters = spark.createDataFrame([(1, 7), (2, 7)], "doc_id long, cluster long")
+    bins = [(r["source"], r["bin"]) for r in packing.pack(df, clusters=clusters).collect()]
+    assert len({b for s, b in bins if s in "abc"}) == 3
+
+
 def test_best_fit_takes_the_tightest_compatible_bin():
     rng = random.Random(3)
     items = [(rng.randrange(0, 60), rng.randrange(5), rng.randrange(8)) for _ in range(300)]
@@ -102,7 +109,6 @@ def test_tokens(spark, corpus):
     token_output.write_tokens(df, path, file, end_id=2)
     got = token_output.token_digests(token_output.read_tokens(spark, path)).orderBy("start").collect()
     t = Tokenizer.from_file(file)
-    t.encode_special_tokens = True
     ids = {(i, x): [*t.encode(x or "", add_special_tokens=False).ids, 2] for i, x, _, _ in rows}
     assert [r["doc_id"] for r in got] == sorted((r[0] for r in rows), key=lambda i: -1 if i is None else i)
     at = 0
@@ -119,7 +125,6 @@ def test_tokens_of_words_are_those_of_whole_texts():
 
     file = public_tokenizers.path("word_bpe_49k.json")
     t = Tokenizer.from_file(file)
-    t.encode_special_tokens = True
     docs = [r for r in pd.read_parquet("/root/testdata/sf0.001/documents.parquet")["text"]] + ["don't we'LL 123 <|endoftext|> á ́b ΑΣ ΑΣ x 5% ​ \x00 \x1f  z 漢字かな", ""]
     got = token_output.encode_texts(docs, file)
     assert got == [np.asarray(t.encode(d, add_special_tokens=False).ids, "<i4").tobytes() for d in docs]
@@ -203,7 +208,7 @@ def test_dual_has_its_gradient_and_settles(spark):
 def test_rows_that_differ_in_one_more_column_are_mixed_apart(spark):
     df = spark.createDataFrame([(1, "a b c d", "s0", k) for k in range(30)] + [(2, "e f g h i", "s1", 0)] * 9, "doc_id long, text string, source string, tag int")
     got = mixing.apply_mix(df)
-    assert got.count() == sum(r["copies"] for r in mixing.mix(df, key=F.xxhash64(*df.columns)).collect())
+    assert got.count() == sum(r["copies"] for r in mixing.mix(df, key=row_key(df.columns)).collect())
     assert got.where("doc_id = 1").select("tag").distinct().count() > 10
 
 

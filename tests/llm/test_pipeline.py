@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 from test_operators import check_bins, targets, words  # noqa: E402
 
-from vialens.llm import quality  # noqa: E402
+from vialens.llm import lines, mixing, quality, simhash  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -51,7 +51,7 @@ def test_lines_that_a_source_repeats_go(steps):
     pages, total = collections.Counter(), collections.Counter(r["source"] for r in rows)
     for r in rows:
         pages.update({(r["source"], x.strip(" \t\n\v\f\r")) for x in (r["text"] or "").split("\n") if words(x)})
-    drop = {k for k, n in pages.items() if n >= 5 and n / total[k[0]] > 0.01}
+    drop = {k for k, n in pages.items() if n >= 2 and n / total[k[0]] > 0.05}
     assert drop
     want = collections.Counter((r["doc_id"], "\n".join(x for x in r["text"].split("\n") if (r["source"], x.strip(" \t\n\v\f\r")) not in drop)) for r in rows)
     assert collections.Counter((r["doc_id"], r["text"]) for r in got) == want
@@ -97,7 +97,9 @@ def test_sources_are_mixed_to_their_targets(steps):
         taken[r["source"]] += size(r)
     assert set(copies) <= set(map(key, rows)) and max(copies.values()) <= 3
     for s, t in targets(sizes).items():
-        assert abs(taken[s] - t) <= sorted(size(r) for r in rows if r["source"] == s)[-2:][0]
+        miss, mine = t - taken[s], [r for r in rows if r["source"] == s]
+        nearer = [r for r in mine if abs(abs(miss) - size(r)) < abs(miss) and (copies[key(r)] < 3 if miss > 0 else copies[key(r)] > 0)]
+        assert abs(miss) <= sorted(map(size, mine))[-2:][0] or not nearer  # as near as one document more or less can bring it
 
 
 def test_bins_hold_no_source_twice(steps):
@@ -106,6 +108,35 @@ def test_bins_hold_no_source_twice(steps):
     check_bins(rows, at[5].collect(), 2048)
 
 
+def test_rows_told_apart_by_nulls_and_odd_columns(spark):
+    """Rows that differ in where a null stands, names that the stages might use themselves, a map, a struct, dots in a name."""
+    rng = __import__("random").Random(21)
+    base = [" ".join(f"w{rng.randrange(3000)}" for _ in range(120)) for _ in range(12)]
+    rows = [(k, t, "en", "s0", None, {"k": k}, (k, None)) for k, t in enumerate(base)]
+    rows += [(1, None, "en", "x y z", "s0", {"k": 1}, (None, 1)), (1, "x y z", "en", None, "s0", {"k": 1}, (1, None)), (1, "x y z", "en", None, None, None, None), (20, base[3], None, "en", "s0", {}, (3, 3))]
+    schema = "doc_id long, text string, lang string, source string, `a.b` string, m map<string,int>, st struct<x:int,y:int>"
+    odd = ("__row", "__site", "__drop", "row", "row_key", "class", "words", "site", "drop", "own", "root", "copies", "copy", "host", "__k0", "moved_key", "k`q")
+    df = spark.createDataFrame(rows, schema).withColumns({c: F.lit("mine") for c in odd})
+    plain = lambda r: tuple(str(r[c]) for c in df.columns)
+    mine = list(map(plain, df.collect()))
+    near = simhash.one_of_each_group(df)
+    kept = collections.Counter(map(plain, near.collect()))
+    assert near.columns == df.columns and set(kept) <= set(mine) and set(kept.values()) == {1}
+    texts = [r["text"] for r in near.collect()]
+    assert sorted(map(str, texts)) == sorted(map(str, {*base, None, "x y z"}))
+    cut = lines.drop_boilerplate(df, ratio=0.4)
+    assert cut.columns == df.columns and cut.count() == len(rows) and all(r["__row"] == r["drop"] == "mine" for r in cut.collect())
+    mixed = mixing.apply_mix(df)
+    assert mixed.columns == df.columns and set(map(plain, mixed.collect())) <= set(mine)
+    assert quality.accept(df, None).columns == df.columns
+
+
+def test_lines_by_host(spark):
+    rows = [(k, f"https://A.example/{k}", f"own {k}\nshared foot") for k in range(6)] + [(10 + k, f"http://b.example/{k}", f"shared foot\nb {k}" if k == 0 else f"b {k}") for k in range(30)] + [(50, "no url", "shared foot"), (51, None, "shared foot")]
+    got = {r["id"]: r["text"] for r in lines.by_host(spark.createDataFrame(rows, "id int, url string, text string")).collect()}
+    assert got[0] == "own 0" and got[10] == "shared foot\nb 0" and got[11] == "b 1" and got[50] == got[51] == ""
+
+
 def test_run_gives_what_the_stages_give(spark, steps):
     sf, at = steps
     assert collections.Counter(map(key, corpus_pipeline.run(spark, sf).collect())) == collections.Counter(map(key, at[5].collect()))

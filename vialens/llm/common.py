@@ -55,6 +55,21 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def column(name: str) -> Column:
+    """A column by its exact name, dots and back quotes included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole_row(names: list[str]) -> Column:
+    """All columns of a row as a struct, so that what is added beside it cannot clash with their names."""
+    return F.struct(*map(column, names))
+
+
+def row_key(names: list[str]) -> Column:
+    """128 bits that tell rows apart by these columns, whatever their types; a null is not as if it were missing."""
+    return F.unhex(F.md5(F.to_json(whole_row(names), {"ignoreNullFields": "false"})))
+
+
 def word_count(text: Column) -> Column:
     """Words of a text as a long; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

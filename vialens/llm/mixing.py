@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vialens.llm.common import discard, ordered_prefix, small, word_count, written
+from vialens.llm.common import discard, ordered_prefix, row_key, small, whole_row, word_count, written
 
 #: No document is taken more often than this, and no source gets more than this times its words.
 MOST = 3
@@ -95,8 +95,8 @@ def _copies(shift: Column) -> Column:
     return F.when(F.col("size") == 0, 1).otherwise(F.greatest(F.lit(0), F.least(F.lit(MOST), F.floor(rate + F.col("u") + F.when(F.col("size") > F.col("pin_size"), F.col("pin_shift")).otherwise(shift))))).cast("int")
 
 
-def _uniform(row_key: Column) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(F.lit(3), row_key), 11) / float(1 << 53)
+def _uniform(key: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(F.lit(3), key), 11) / float(1 << 53)
 
 
 def _with_sources(rows: DataFrame, sources: DataFrame, *names: str, mark: Callable[[DataFrame], DataFrame] = small) -> DataFrame:
@@ -144,12 +144,13 @@ def shifts(rows: DataFrame, sources: DataFrame, ways: int = 16, rounds: int = 4,
     return state.select(*names, nearer.alias("shift"))
 
 
-def _moves(rows: DataFrame, sources: DataFrame, rounds: int = 4, close: float = 0.001) -> DataFrame:
+def _moves(rows: DataFrame, sources: DataFrame, rounds: int = 16, close: float = 0.001) -> DataFrame:
     """``moved_key, move``: rows taken once more or less, a row a source and round at most, where a long document's rounding has
-    left a source off its target: the one whose words come closest to what is missed. Rows of one key move together."""
+    left a source off its target: the one whose words come closest to what is missed. Rows of one key move together. The rounds end
+    when all sources are close, or no move brings one closer; only sources of few documents need more than one or two."""
     spark = rows.sparkSession
     placed = _with_sources(rows, sources, "lam", "mean", "shift", "target", "pin_size", "pin_shift").withColumn("copies", _copies(F.col("shift")))
-    moves = written(spark.createDataFrame([], "moved_key long, move int"), "moves")
+    moves = written(spark.createDataFrame([], "moved_key binary, move int"), "moves")
     for _ in range(rounds):
         now = placed.join(small(moves), F.col("row_key") == F.col("moved_key"), "left").withColumn("copies", F.col("copies") + F.coalesce("move", F.lit(0)))
         over = now.groupBy("source", "target").agg(F.sum(F.col("copies") * F.col("size")).alias("got"))
@@ -163,9 +164,13 @@ def _moves(rows: DataFrame, sources: DataFrame, rounds: int = 4, close: float =
         tried = tried.groupBy("source", "row_key", "miss").agg(F.sum("size").alias("size"))
         left = F.abs(F.abs("miss") - F.col("size"))
         best = tried.where(left < F.abs("miss")).groupBy("source").agg(F.min(F.struct(left.alias("left"), "row_key", F.signum("miss").cast("int").alias("move"))).alias("b"))
+        best = written(best, "best")
+        if best.isEmpty():
+            discard(best, miss)
+            break
         added = moves.union(best.select(F.col("b.row_key").alias("moved_key"), F.col("b.move").alias("move"))).groupBy("moved_key").agg(F.sum("move").cast("int").alias("move"))
         before, moves = moves, written(added, "moves")
-        discard(before, miss)
+        discard(before, miss, best)
     return moves
 
 
@@ -186,15 +191,15 @@ def _plan(docs: DataFrame, weights: tuple[int, ...], key: Column) -> tuple[DataF
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), key: Column | None = None) -> DataFrame:
     """How often the mix takes each row of ``docs`` (``doc_id``, ``text``, ``source``; other columns are ignored).
 
-    ``key``: a hash that tells rows apart, of these three columns if not given.
+    ``key``: what tells rows apart (``common.row_key``), of these three columns if not given.
     Returns ``doc_id, row_key, source, size`` (words), ``source_size, target, copies`` (0 to MOST), ``taken``.
     A row's rate is rounded by a uniform number hashed from its key, moved by a shift of its source that brings the words taken
-    nearest to the target; then up to four rows a source are moved by a copy where that comes closer. Each is found row by row
+    nearest to the target; then up to 16 rows a source are moved by a copy where that comes closer. Each is found row by row
     from a few numbers of its source, so texts are never shuffled. Reruns agree.
     Null sources are one source, sorted last; null texts have size 0; rows of size 0 take no words (one copy); repeated rows
     get the same number; an empty table gives none.
     """
-    rows, sources, moves = _plan(docs, weights, F.xxhash64("doc_id", "source", "text") if key is None else key)
+    rows, sources, moves = _plan(docs, weights, row_key(["doc_id", "source", "text"]) if key is None else key)
     placed = _placed(rows, sources, moves)
     return placed.select("doc_id", "row_key", "source", "size", F.col("words").alias("source_size"), "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
@@ -209,8 +214,8 @@ def _placed(rows: DataFrame, sources: DataFrame, moves: DataFrame) -> DataFrame:
 def apply_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """``docs`` as the mix takes it: each row as often as ``mix`` says, with all its columns."""
     names = docs.columns
-    _, sources, moves = _plan(docs, weights, F.xxhash64(*names))
+    _, sources, moves = _plan(docs, weights, row_key(names))
     # the columns of docs go along in a struct, so that none of their names clashes
-    rows = docs.select(F.struct(*names).alias("row"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64(*names).alias("row_key"))
+    rows = docs.select(whole_row(names).alias("row"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), row_key(names).alias("row_key"))
     placed = _placed(rows.withColumn("u", _uniform(F.col("row_key"))), sources, moves).where("copies > 0")
     return placed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

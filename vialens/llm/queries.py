@@ -49,7 +49,7 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the lines that over 1% of its source's documents, and 5 at least, contain."""
+    """Every document without the lines that over 5% of its source's documents, and 2 at least, contain."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text", F.length("text").alias("chars_before"))
     return lines.drop_boilerplate(docs).select("doc_id", "source", "text", (F.col("chars_before") - F.length("text")).cast("long").alias("chars_dropped"))
 
@@ -104,7 +104,7 @@ with l as (
         from documents where text is not null)),
 t as (select source, count(*) as total from documents group by source),
 c as (select source, k, count(distinct doc_id) as pages from l where k <> '' group by source, k),
-b as (select c.source, k from c join t on c.source is not distinct from t.source where pages >= 5 and pages / total > 0.01),
+b as (select c.source, k from c join t on c.source is not distinct from t.source where pages >= 2 and pages / total > 0.05),
 kept as (
   select l.doc_id, string_agg(line, chr(10) order by i) filter (where b.k is null) as text
   from l left join b on l.source is not distinct from b.source and l.k = b.k group by l.doc_id)

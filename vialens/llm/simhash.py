@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vialens.llm.common import discard, small, written
+from vialens.llm.common import discard, row_key, small, whole_row, written
 from vialens.llm.components import components
 
 BITS = 64
@@ -242,14 +242,14 @@ def _common(docs: DataFrame, shingle_words: int, sample: int = 20_000, least: in
                 h = [np.unique(shingle_hashes(t, shingle_words)) for t in b.column("text").slice(k, 1000).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64))], names=["h"])
 
-    some = docs.where(F.pmod("row_key", F.lit(rate)) == 0).select("text")
+    some = docs.where(F.pmod(F.xxhash64("row_key"), F.lit(rate)) == 0).select("text")
     counts = some.mapInArrow(hashed, "h bigint").groupBy("h").count().where(F.col("count") >= least)
     rows = counts.orderBy(F.desc("count"), "h").limit(most_held).collect()  # 65,536 numbers at most
     return np.asarray([r["h"] for r in reversed(rows)], np.int64).view(np.uint64)
 
 
 def _marks(docs: DataFrame, shingle_words: int, similarity: float, common: np.ndarray) -> DataFrame:
-    """``row_key, id, class, n, keys`` of each row: a hash of its lower-cased words in turn, the number of its distinct shingles, and the
+    """``row_key, id, words, n, keys`` of each row: 128 bits of its lower-cased words in turn, the number of its distinct shingles, and the
     rarest of them: so many that any two sets of the similarity share one, whichever is the larger."""
     by_hash = np.argsort(common)
     ordered = common[by_hash]
@@ -259,17 +259,17 @@ def _marks(docs: DataFrame, shingle_words: int, similarity: float, common: np.nd
             for k in range(0, batch.num_rows, 1000):
                 b, classes, sizes, keys = batch.slice(k, 1000), [], [], []
                 for t in b.column("text").to_pylist():
-                    classes.append(xxhash.xxh64_intdigest(b" ".join((t or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()), 7))
+                    classes.append(xxhash.xxh128_digest(b" ".join((t or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()), 7))
                     h = np.unique(shingle_hashes(t, shingle_words))
                     sizes.append(len(h))
                     if len(ordered):
                         at = np.minimum(np.searchsorted(ordered, h), len(ordered) - 1)
                         h = h[np.argsort(np.where(ordered[at] == h, by_hash[at] + 1, 0), kind="stable")]
                     keys.append(h[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1].view(np.int64))
-                columns = [pa.array(np.asarray(classes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([b.column("row_key"), b.column("id"), *columns], names=["row_key", "id", "class", "n", "keys"])
+                columns = [pa.array(classes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([b.column("row_key"), b.column("id"), *columns], names=["row_key", "id", "words", "n", "keys"])
 
-    return docs.select("row_key", F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(marked, "row_key bigint, id bigint, class bigint, n int, keys array<bigint>")
+    return docs.select("row_key", F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(marked, "row_key binary, id bigint, words binary, n int, keys array<bigint>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
@@ -304,11 +304,13 @@ def one_of_each_group(docs: DataFrame, shingle_words: int = 5, similarity: float
     are kept; an empty table stays empty.
     """
     names = docs.columns
-    keyed = docs.withColumn("__row", F.xxhash64(*names))
-    plain = keyed.select(F.col("__row").alias("row_key"), "doc_id", "text")
+    # the columns of docs go along in a struct, so that none of their names clashes
+    keyed = docs.select(whole_row(names).alias("row"), row_key(names).alias("row_key"))
+    plain = docs.select(row_key(names).alias("row_key"), "doc_id", "text")
     common = _common(plain, shingle_words)
     marks = written(_marks(plain, shingle_words, similarity, common), "marks")
-    classes = written(marks.groupBy("class").agg(F.min(F.struct("row_key", "n", "keys")).alias("m")).select("class", "m.*"), "classes")
+    classes = marks.groupBy("words").agg(F.min(F.struct("row_key", "n", "keys")).alias("m")).select("words", "m.*")
+    classes = written(classes.withColumn("class", F.monotonically_increasing_id()), "classes")  # written, so that the numbers stay
     held = written(_shared_keys(classes), "held")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -325,15 +327,16 @@ def one_of_each_group(docs: DataFrame, shingle_words: int = 5, similarity: float
     rooted = written(rooted, "rooted")
     discard(held)
     nodes = components(led.union(verified(_pairs_across(rooted, similarity))))
-    named = marks.join(nodes, marks["class"] == nodes["node"], "left").withColumn("root", F.coalesce("root", "class"))
+    roots = classes.select("words", "class").join(nodes, classes["class"] == nodes["node"], "left").select("words", F.coalesce("root", "class").alias("root"))
+    named = marks.select("row_key", "id", "words").join(roots, "words")
     best = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row_key")).alias("m"))
     gone = named.join(best, "root").where(F.col("row_key") != F.col("m.row_key")).select("row_key").distinct()
     gone = written(gone, "gone")
-    out = keyed.join(small(gone).withColumnRenamed("row_key", "__row"), "__row", "left_anti")
-    if marks.groupBy("row_key").count().where("count > 1").limit(1).count():
-        out = out.dropDuplicates(["__row"])
+    out = keyed.join(small(gone), "row_key", "left_anti")
+    if marks.groupBy("row_key").count().where("count > 1").limit(1).count():  # equal rows
+        out = out.groupBy("row_key").agg(F.first("row").alias("row"))
     discard(marks, classes, rooted, led)
-    return out.select(*names)
+    return out.select("row.*")
 
 
 def _shared_keys(classes: DataFrame) -> DataFrame:
