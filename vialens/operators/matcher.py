@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from dataclasses import dataclass, field
+from functools import cached_property
 from typing import NamedTuple
 
 import numpy as np
@@ -28,12 +30,24 @@ class Shape:
     planned: float = 6.0
     stops: list[tuple[float, str]] = field(default_factory=list)
 
-    @property
+    @cached_property
     def length(self) -> float:
         return float(self.cum[-1])
 
+    @cached_property
+    def _columns(self) -> tuple[list[float], list[float], list[float]]:
+        return self.x.tolist(), self.y.tolist(), self.cum.tolist()
+
     def at(self, along: float) -> tuple[float, float]:
-        return float(np.interp(along, self.cum, self.x)), float(np.interp(along, self.cum, self.y))
+        """The point at a distance along the shape, its ends beyond them."""
+        x, y, cum = self._columns
+        if along <= cum[0]:
+            return x[0], y[0]
+        if along >= cum[-1]:
+            return x[-1], y[-1]
+        k = bisect_right(cum, along) - 1
+        share = (along - cum[k]) / (cum[k + 1] - cum[k])
+        return x[k] + share * (x[k + 1] - x[k]), y[k] + share * (y[k + 1] - y[k])
 
     def bearing(self, along: float) -> float:
         (ax, ay), (bx, by) = self.at(along - 15.0), self.at(along + 15.0)
@@ -50,21 +64,58 @@ class Shape:
         d = math.fmod(d, n)
         return d - n if d > n / 2 else d + n if d < -n / 2 else d
 
-    def passes(self, px: float, py: float, radius: float = C.TENTATIVE_M) -> list[tuple[float, float]]:
-        """(distance, along) of the nearest point of each run of segments within ``radius``, nearest first, at most four."""
+    @cached_property
+    def _segments(self) -> tuple[np.ndarray, ...]:
+        """Number, start, steps, squared length (1 for none), and distance along of each segment."""
         dx, dy = np.diff(self.x), np.diff(self.y)
         square = dx * dx + dy * dy
-        share = np.clip(np.divide((px - self.x[:-1]) * dx + (py - self.y[:-1]) * dy, square, out=np.zeros_like(square), where=square > 0), 0, 1)
-        dist = np.hypot(px - self.x[:-1] - share * dx, py - self.y[:-1] - share * dy)
-        along = self.cum[:-1] + share * np.diff(self.cum)
+        return np.arange(len(dx)), self.x[:-1], self.y[:-1], dx, dy, np.where(square > 0, square, 1.0), self.cum[:-1], np.diff(self.cum)
+
+    @cached_property
+    def _box(self) -> tuple[float, float, float, float]:
+        return float(self.x.min()), float(self.y.min()), float(self.x.max()), float(self.y.max())
+
+    @cached_property
+    def _cells(self) -> dict[tuple[int, int], tuple[np.ndarray, ...]]:
+        return {}
+
+    def _near_cell(self, px: float, py: float, radius: float) -> tuple[np.ndarray, ...]:
+        """The segments whose box, ``radius`` wider, touches the point's grid cell; found once a cell and radius."""
+        size = 2 * radius
+        cell = (math.floor(px / size), math.floor(py / size), radius)
+        if cell not in self._cells:
+            number, ax, ay, dx, dy, *_ = self._segments
+            x0, y0 = cell[0] * size - radius, cell[1] * size - radius
+            x1, y1 = x0 + size + 2 * radius, y0 + size + 2 * radius
+            met = (np.minimum(ax, ax + dx) <= x1) & (np.maximum(ax, ax + dx) >= x0) & (np.minimum(ay, ay + dy) <= y1) & (np.maximum(ay, ay + dy) >= y0)
+            self._cells[cell] = tuple(c[met] for c in self._segments)
+        return self._cells[cell]
+
+    def passes(self, px: float, py: float, radius: float = C.TENTATIVE_M) -> list[tuple[float, float]]:
+        """(distance, along) of the nearest point of each run of segments within ``radius``, nearest first, at most four."""
+        x0, y0, x1, y1 = self._box
+        if not (x0 - radius <= px <= x1 + radius and y0 - radius <= py <= y1 + radius):
+            return []
+        number, ax, ay, dx, dy, square, cum, step = self._near_cell(px, py, radius)
+        rx, ry = px - ax, py - ay
+        share = np.minimum(np.maximum((rx * dx + ry * dy) / square, 0.0), 1.0)
+        dist = np.hypot(rx - share * dx, ry - share * dy)
         near = np.flatnonzero(dist <= radius)
         if not len(near):
             return []
-        runs = np.split(near, np.flatnonzero(np.diff(near) > 1) + 1)
-        if self.circular and len(runs) > 1 and runs[0][0] == 0 and runs[-1][-1] == len(dist) - 1:
-            runs = [np.concatenate([runs[0], runs[-1]]), *runs[1:-1]]  # one pass over the place where the loop closes
-        best = [r[np.argmin(dist[r])] for r in runs]
-        return sorted((float(dist[k]), float(along[k])) for k in best)[: C.PER_SHAPE]
+        runs: list[list] = []  # first and last segment, least distance and where
+        for k, d, a in zip(number[near].tolist(), dist[near].tolist(), (cum[near] + share[near] * step[near]).tolist(), strict=True):
+            if runs and runs[-1][1] == k - 1:
+                runs[-1][1] = k
+                if d < runs[-1][2]:
+                    runs[-1][2:] = d, a
+            else:
+                runs.append([k, k, d, a])
+        if self.circular and len(runs) > 1 and runs[0][0] == 0 and runs[-1][1] == len(self.x) - 2:
+            last = runs.pop()  # one pass over the place where the loop closes
+            if last[2] < runs[0][2]:
+                runs[0][2:] = last[2:]
+        return sorted((d, a) for _, _, d, a in runs)[: C.PER_SHAPE]
 
 
 class Hyp(NamedTuple):

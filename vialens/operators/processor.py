@@ -7,6 +7,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,18 +31,27 @@ class Network:
     not_service: frozenset[str] = frozenset()
     garages: list[tuple[float, float, float, float]] = field(default_factory=list)
 
+    @cached_property
+    def by_route(self) -> dict[int, list[Shape]]:
+        """The shapes of each route, in their order."""
+        out: dict[int, list[Shape]] = {}
+        for s in self.shapes.values():
+            out.setdefault(s.route_ix, []).append(s)
+        return out
+
     def route_of(self, code: str) -> int | None:
         code = code.strip()
         bare = code.lstrip("0")
         return next((self.lines[k] for k in (code, bare, bare.rjust(3, "0")) if k in self.lines), None)
 
     def of_route(self, route: int | None) -> list[Shape]:
-        return [s for s in self.shapes.values() if s.route_ix == route]
+        return self.by_route.get(route, [])
 
     def yard(self, x: float, y: float) -> bool:
         return any(a <= x <= c and b <= y <= d for a, b, c, d in self.garages)
 
 
+@lru_cache(100_000)
 def service_kind(code: str | None) -> str:
     s = (code or "").strip()
     if not s:
@@ -248,7 +258,7 @@ def state_row(vehicle: str, k: Tracker) -> dict | None:
     }
 
 
-def _frame(rows: list[dict], schema: str) -> pd.DataFrame:
+def _frame(rows: list[dict] | list[tuple], schema: str) -> pd.DataFrame:
     kinds = {"string": object, "long": "Int64", "int": "Int32", "double": "float64", "boolean": object}
     cols = [c.split() for c in schema.split(", ")]
     return pd.DataFrame(rows, columns=[n for n, _ in cols]).astype({n: kinds[k] for n, k in cols})
@@ -279,8 +289,8 @@ def replay(fixes: DataFrame, net: Network, emit: str = "states", at_end: int | N
 
         for b in batches:
             out = []
-            for row in b.to_dict("records"):
-                fix = _clean(row)
+            for values in zip(*(b[c].astype(object).where(b[c].notna(), None).tolist() for c in names), strict=True):
+                fix = dict(zip(names, values, strict=True))
                 if fix["vehicle"] != who:
                     out += end()
                     who, k = fix["vehicle"], Tracker(net)
@@ -289,7 +299,7 @@ def replay(fixes: DataFrame, net: Network, emit: str = "states", at_end: int | N
                 outcome = k.step(fix, fix["seen_at"])
                 if emit == "outcomes":
                     v = k.vehicle
-                    out.append({"event_id": fix["event_id"], "vehicle": who, "outcome": outcome, "phase": v.phase if v else None, "shape_id": v.fixed.shape if v and v.fixed else None, "along": v.fixed.along if v and v.fixed else None})
+                    out.append((fix["event_id"], who, outcome, v.phase if v else None, v.fixed.shape if v and v.fixed else None, v.fixed.along if v and v.fixed else None))
             yield _frame(out, schema)
         yield _frame(end(), schema)
 
