@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from vialens.functions import folds, times
-from vialens.operators import schedule
-from vialens.sources import schedule_files
+from vialens.operators import bundles, documents, schedule
+from vialens.sources import files, schedule_files
+from vialens.streaming.keyed import KeyedTable
 
 FILES = {
     "routes": "route_id,route_short_name,route_long_name,route_type,route_color,route_text_color\nr1,474,A - B,3,ff0000,zz\n",
@@ -60,6 +61,28 @@ def test_save_and_documents(spark, built, tmp_path):
         schedule.load(spark, str(tmp_path / "old"), ["routes"])
 
 
+def test_static_documents(spark, built, tmp_path):
+    """All documents of a small feed; a line that is renamed leaves no file behind."""
+    table = KeyedTable(spark, f"file://{tmp_path}/t", ["path"], "path string, digest string, size long")
+    aka = spark.createDataFrame([("474", ["9"])], "short_name string, aka array<string>")
+    docs = {r["path"]: json.loads(r["body"]) for r in bundles.static_documents(built, 11, aka).collect()}
+    assert len(docs) == 6 + documents.cells(spark, 11).count()
+    line = docs["lines/474.json"]
+    assert {k: line[k] for k in ("line", "name", "type", "color", "text")} == {"line": "474", "name": "A - B", "type": 3, "color": "#FF0000", "text": ""}
+    (way,) = line["dirs"]
+    assert (way["shape"], way["dir"], way["circular"], way["headsign"], way["len"], way["planned"]) == ("s1", 0, False, "B", 2049, 5.7)
+    assert way["freq"] == [[0, 6, 9, 5], [0, 9, 16, 10]] and way["stops"] == [["p0", -22.9, -43.4, "Praia", 0, "Ponto final"], ["p1", -22.9, -43.39, "Meio", 1024, "BRS 1 · lado"]]
+    assert docs["lines.json"] == [["474", "A - B", 3, ["B"], ["9"], "#FF0000", ""]] and docs["freq.json"] == {"474": [[0, 6, 9, 5], [0, 9, 16, 10]]}
+    assert docs["calendar.json"] == {"weekdays": [2, 0, 0, 0, 0, 0, 1], "exceptions": {"20250421": 2, "20250607": 0, "20250609": None}}
+    assert docs["stops.json"] == [["p0", -22.9, -43.4, "Praia", "Ponto final"], ["p1", -22.9, -43.39, "Meio", "BRS 1 · lado"]] and docs["stop-lines.json"] == {"p0": ["474"], "p1": ["474"]}
+    assert sorted(s[0] for p, d in docs.items() if p.startswith("cells/") for s in d) == ["p0", "p1"] and docs["cells/11/774/1156/stops.json"] == []
+    root = f"file://{tmp_path}/public"
+    assert files.write_documents(bundles.line_bundles(built), root, table, 0)["files"] == 1
+    renamed = built | {"routes": built["routes"].withColumn("short_name", F.lit("475/A"))}
+    assert files.write_documents(bundles.line_bundles(renamed), root, table, 1) | {"bytes": 0} == {"files": 1, "deleted": 1, "bytes": 0}
+    assert sorted(p.name for p in (tmp_path / "public/lines").iterdir() if not p.name.endswith(".crc")) == ["475_A.json", "475_A.json.gz"]
+
+
 def test_times(spark):
     rows = spark.createDataFrame([("27:42:38",), ("x",), ("1:2",)], "s string").select(times.schedule_seconds(F.col("s")).alias("v")).collect()
     assert [r["v"] for r in rows] == [99758, None, None]

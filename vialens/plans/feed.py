@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vialens.operators import schedule
-from vialens.plans.registry import query, table
+from vialens.operators import bundles, schedule
+from vialens.plans.registry import ORACLES, query, table
 from vialens.plans.schedule import _calendar, _dates
 
 FREQUENCIES = [("1", "06:00:00", "09:00:00", "300"), ("2", "09:00:00", "25:00:00", "600")]
@@ -60,3 +60,21 @@ def feed_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
         n = df.agg(F.count("*").alias(name))
         one = n if one is None else one.join(F.broadcast(n))  # one row each
     return one
+
+
+@query("with " + TRIPS_SQL + """, sh as (select shape_id, min(route) as route from tr where shape_id in (select shape_id from best) group by shape_id),
+  held as (select distinct stop_id, n_name from (select *, lag(dist) over (partition by shape_id order by dist, ord) as before from best join st using (trip_id)) join sh using (shape_id) join nation on n_nationkey = route where before is null or dist - before >= 1),
+  w as (select trip_id, hour, minutes from (values ('1', [6, 7, 8], 5), ('2', [9, 10, 11, 12, 13, 14, 15, 16, 17, 18, 19, 20, 21, 22, 23, 0], 10)) f(trip_id, hours, minutes), unnest(hours) h(hour)),
+  b as (select n_name as line, hour, min(minutes) as minutes from w join tr using (trip_id) join nation on n_nationkey = route where tr.shape_id in (select shape_id from sh) group by all),
+  r as (select line, minutes, min(hour) as a, max(hour) + 1 as z from (select *, hour - row_number() over (partition by line, minutes order by hour) as g from b) group by line, minutes, g),
+  fq as (select line, '[' || string_agg('[0,' || a || ',' || z || ',' || minutes || ']', ',' order by a) || ']' as runs from r group by line),
+  sl as (select stop_id, string_agg('"' || n_name || '"', ',' order by n_name) as lines from held group by stop_id),
+  x as (select date, svc from (""" + ORACLES["calendar_exceptions"] + """))
+  select 'lines.json' as path, '[' || string_agg('["' || n_name || '","Line ' || n_name || '",3,[],[],"#0000FF",""]', ',' order by n_name) || ']' as body from nation
+  union all select 'freq.json', '{' || coalesce(string_agg('"' || line || '":' || runs, ',' order by line), '') || '}' from fq
+  union all select 'calendar.json', '{"weekdays":[2,0,0,0,0,0,1],"exceptions":{' || string_agg('"' || date || '":' || coalesce(svc::varchar, 'null'), ',' order by date) || '}}' from x
+  union all select 'stops.json', '[' || string_agg('["s' || s_suppkey || '",' || round(cast(s_suppkey as double) / 100000 - 22.9::double, 5) || ',-43.4,"' || s_name || '",""]', ',' order by 's' || s_suppkey) || ']' from supplier
+  union all select 'stop-lines.json', '{' || string_agg('"' || stop_id || '":[' || lines || ']', ',' order by stop_id) || '}' from sl""")
+def directory_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The directory of a prepared schedule: its lines, their headways, the calendar, the stops and which lines serve each."""
+    return bundles.directory_documents(schedule.build(tables(spark, sf_dir)))
