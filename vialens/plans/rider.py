@@ -72,6 +72,18 @@ def arrival_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("stop_id", F.concat(F.lit("["), F.array_join(F.col("a.item"), ","), F.lit("]")).alias("body"))
 
 
+@query(AHEAD_SQL + "," + SHAPES_SQL.strip() + """, mine as (select shape_id, stop_id from stp qualify row_number() over (partition by route_ix order by round(sqrt(power(x - 6100, 2) + power(y - 700, 2)), 3), direction, ord) = 1),
+  c as (select ar.*, row_number() over (partition by ar.shape_id order by (eta_lo + eta_hi) / 2, vehicle) as place from ar join mine using (shape_id, stop_id))
+  select line, stop_id, cast(place as int) as place, vehicle, t, stops_away, metres from c where place <= 3""")
+def coming_to_my_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each line, the three next vehicles to the stop that one would walk to, each as the fleet has it."""
+    stops = fixture.stops(spark).select("route_ix", "shape_id", "stop_id", "direction", "ord", F.round(geo.distance(F.col("x"), F.col("y"), F.lit(6100.0), F.lit(700.0)), 3).alias("m"))
+    mine = stops.groupBy("route_ix").agg(F.min(F.struct("m", "direction", "ord", "shape_id", "stop_id")).alias("s")).select("s.shape_id", "s.stop_id")
+    place = F.row_number().over(Window.partitionBy("shape_id").orderBy((F.col("eta_lo") + F.col("eta_hi")) / 2, "vehicle"))
+    rows = _arrivals(spark, sf_dir).join(mine, ["shape_id", "stop_id"]).withColumn("place", place)
+    return rows.where("place <= 3").select("line", "stop_id", "place", "vehicle", "t", "stops_away", "metres")
+
+
 SPEEDS_SQL = """m as (select vehicle, service, sqrt(power(x - lag(x) over w, 2) + power(y - lag(y) over w, 2)) / (t - lag(t) over w) as v from good window w as (partition by vehicle order by t, event_id)),
   lv as (select vehicle, round(avg(v), 3) as v from m where v <= 27 group by vehicle), sp as (select line, list_sort(list(v))[count(*) // 2 + 1] as line_speed from resolved join lv using (vehicle) where line is not null group by line having count(*) >= 3)"""
 

@@ -91,14 +91,19 @@ def one_per_street(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("name", F.explode(folds.keep_apart(F.col("p"), 600.0)).alias("k")).select("name", "k.id")
 
 
-@query(FX + "," + GOOD + """, h as (select vehicle, t // 3600 as hour, count(*) as n from good group by all) select vehicle, hour, n, true as same from h""")
+@query(FX + "," + GOOD + """, g as (select vehicle, t // 3600 as hour, row_number() over (partition by vehicle, t // 3600 order by t, event_id, lat, lon) as i, cast(round_even(lat * 100000, 0) as bigint) as a, cast(round_even(lon * 100000, 0) as bigint) as o from good),
+  d as (select vehicle, hour, i, a - lag(a, 1, 0) over w as da, o - lag(o, 1, 0) over w as do_ from g window w as (partition by vehicle, hour order by i)),
+  v as (select vehicle, hour, i, unnest([1, 2]) as k, unnest([if(da < 0, -2 * da - 1, 2 * da), if(do_ < 0, -2 * do_ - 1, 2 * do_)]) as v from d),
+  c as (select *, unnest(list_filter(range(0, 8), lambda j: j = 0 or v >= (1::bigint << (5 * j)::int))) as j from v),
+  x as (select vehicle, hour, string_agg(chr(cast(63 + (v >> (5 * j)::int) % 32 + if(v >= (1::bigint << (5 * j + 5)::int), 32, 0) as int)), '' order by i, k, j) as line from c group by all)
+  select vehicle, hour, count(*) as n, md5(any_value(line)) as digest, any_value(length(line)) as length from g join x using (vehicle, hour) group by all""")
 def polyline_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each vehicle's hour as an encoded polyline, decoded again: equal to five decimals."""
+    """Each vehicle's hour as an encoded polyline, decoded and encoded again: the digest and length of its text."""
     good = fixture.good_fixes(fixture.fixes(spark, sf_dir))
     rows = good.groupBy("vehicle", F.expr("t div 3600").alias("hour")).agg(F.array_sort(F.collect_list(F.struct("t", "event_id", "lat", "lon"))).alias("f"))
-    flat = rows.withColumn("p", F.flatten(F.transform("f", lambda f: F.array(f["lat"], f["lon"])))).withColumn("back", folds.decode_polyline(folds.encode_polyline("p")))
-    same = F.forall(F.zip_with("p", "back", lambda a, b: F.abs(a - b) < 0.0000051), lambda ok: ok)
-    return flat.select("vehicle", "hour", F.size("f").cast("long").alias("n"), same.alias("same"))
+    once = rows.withColumn("line", folds.encode_polyline(F.flatten(F.transform("f", lambda f: F.array(f["lat"], f["lon"])))))
+    again = once.withColumn("line", folds.encode_polyline(folds.decode_polyline("line")))
+    return again.select("vehicle", "hour", F.size("f").cast("long").alias("n"), F.md5("line").alias("digest"), F.length("line").cast("long").alias("length"))
 
 
 @query("select c_custkey, c_mktsegment from customer where c_custkey in (select o_custkey from orders where o_orderstatus = 'F')")
@@ -138,3 +143,14 @@ def ingest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = fx.groupBy(F.expr("event_id div 500").alias("page")).agg(F.to_json(F.struct(F.lit("2027-01-15T08:00:00Z").alias("minuto_utc"), F.collect_list(row).alias("data"))).alias("value"))
     rows = feeds.fixes_of_pages(page.select("value"))
     return rows.select("vehicle", "vendor", "t", "lat", "lon", "heading", "service", "dir", "brt")
+
+
+@query(FX + """, p as (select vendor, event_id // 500 as page, last(case when value < 30 then 'late' when value < 60 then 'ok' else event_id::varchar end order by event_id) as status from fx join events using (event_id) where event_id % 7 <> 0 or vendor <> 'sonda' group by all)
+  select vendor as provider, last(status order by page) as status from p group by vendor""")
+def provider_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The status of each provider as the feed's pages in order state it: the last page that names one wins."""
+    fx = fixture.fixes(spark, sf_dir).join(table(spark, sf_dir, "events").select("event_id", "value"), "event_id").where("event_id % 7 <> 0 or vendor <> 'sonda'")
+    said = F.when(F.col("value") < 30, "late").when(F.col("value") < 60, "ok").otherwise(F.col("event_id").cast("string"))
+    last = fx.groupBy(F.expr("event_id div 500").alias("page"), "vendor").agg(F.max_by(said, "event_id").alias("status"))
+    pages = last.groupBy("page").agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("vendor", "status"))).alias("providers_status"))).alias("value"))
+    return feeds.provider_status(pages)
