@@ -46,3 +46,14 @@ def house_number(text: Column) -> Column:
 def line_state(live: Column, headway_min: Column, next_hour: Column) -> Column:
     """What a rider is told about a line now."""
     return F.when(live > 0, F.format_string("%d buses live", live)).when(headway_min.isNotNull(), F.format_string("every %d min, none live", headway_min)).when(next_hour.isNotNull(), F.format_string("starts at %02d:00", next_hour)).otherwise("no service today")
+
+
+def search_lookup(typed: Column) -> Column:
+    """The key under which the answer to a typed search is kept; null for what is too short to be searched for."""
+    q = search_key(typed)
+    return F.when(F.length(q) >= 3, F.concat(F.lit("s:"), q))
+
+
+def reverse_lookup(lat: Column, lon: Column) -> Column:
+    """The key under which the address of a place is kept: places some 11 m apart share it."""
+    return F.concat(F.lit("r:"), F.format_string("%.4f", lat), F.lit(","), F.format_string("%.4f", lon))

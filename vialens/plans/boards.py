@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vialens.functions import display, geo
-from vialens.operators import schedule, spatial
+from vialens.operators import addresses, schedule, spatial
 from vialens.plans import fixture
 from vialens.plans.fixture import FX, LATEST_SQL, LATEST_STANDING_SQL, SHAPES_SQL
 from vialens.plans.fleet import ON_ROAD, on_road
@@ -163,3 +163,29 @@ def colour_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many lines share a colour: over one, and a number has to tell them apart."""
     c = table(spark, sf_dir, "part").select("p_partkey", "p_brand", (F.col("p_size") % 8).alias("colour"))
     return c.join(F.broadcast(c.groupBy("colour").agg(F.countDistinct("p_brand").alias("over_"))), "colour").select("p_partkey", "over_")
+
+
+@query(FX + """, a as (select 'r:' || printf('%.4f', lat) || ',' || printf('%.4f', lon) as key, t as told, vehicle || '-' || event_id as place from fx where event_id % 3 = 0),
+  n as (select key, max(told) as told, last(place order by told, place) as place from a group by key), c as (select max(t) - 3600 + 86400 as now from fx),
+  q as (select event_id, 'r:' || printf('%.4f', lat) || ',' || printf('%.4f', lon) as key from fx where event_id % 3 <> 0)
+  select event_id, key, case when now - told < 86400 then place end as place, not coalesce(now - told < 86400, false) as asked from q left join n using (key), c""")
+def reverse_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places whose address was asked for, by the key that places 11 m apart share: answers younger than a day, and what is to be fetched."""
+    fx = fixture.fixes(spark, sf_dir).withColumn("key", display.reverse_lookup(F.col("lat"), F.col("lon")))
+    kept = fx.where("event_id % 3 = 0").select("key", F.col("t").alias("at"), F.concat_ws("-", "vehicle", "event_id").alias("place"))
+    answers = kept.groupBy("key", "at").agg(F.max("place").alias("places"))
+    now = (fx.agg(F.max("t")).first()[0] or 0) - 3600 + addresses.TTL_S
+    return addresses.looked_up(fx.where("event_id % 3 <> 0").select("event_id", "key"), answers, now).select("event_id", "key", F.col("places").alias("place"), "asked")
+
+
+@query("""with w as (select p_partkey, string_split(p_name, ' ')[1] as word, p_partkey * 7 % 1500 as x from part), a as (select 's:' || lower(word) as key, count(*) as n, min(p_partkey) as first from w where p_partkey % 2 = 0 and length(word) >= 3 group by 1),
+  q as (select p_partkey, case when length(word) >= 3 then 's:' || lower(word) end as key from (select p_partkey, case when p_partkey % 11 = 0 then substr(word, 1, 2) else word end as word from w))
+  select p_partkey, key, n, first, key is not null and n is null as asked from q left join a using (key)""")
+def address_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed searches by their normalised key: kept answers, here of parts by the first word of their name, and what is to be fetched."""
+    word = F.get(F.split("p_name", " "), F.lit(0))
+    rows = table(spark, sf_dir, "part").withColumn("word", word)
+    answers = rows.where("p_partkey % 2 = 0").groupBy(display.search_lookup(F.col("word")).alias("key")).agg(F.struct(F.count("*").alias("n"), F.min("p_partkey").alias("first")).alias("places")).where("key is not null").withColumn("at", F.lit(0))
+    typed = F.concat(F.lit("  "), F.upper(F.when(F.col("p_partkey") % 11 == 0, F.substring("word", 1, 2)).otherwise(F.col("word"))), F.lit(" "))
+    got = addresses.looked_up(rows.select("p_partkey", display.search_lookup(typed).alias("key")), answers, 60)
+    return got.select("p_partkey", "key", F.col("places.n").alias("n"), F.col("places.first").alias("first"), "asked")
