@@ -102,7 +102,7 @@ def build(feed: dict[str, DataFrame]) -> dict[str, DataFrame]:
     stops = feed["stops"].select("stop_id", codes.stop_name(F.col("stop_name")).alias("name"), codes.stop_note(F.col("stop_name")).alias("note"), num("stop_lat").alias("lat"), num("stop_lon").alias("lon")).where("lat is not null and lon is not null")
     rows = feed["stop_times"].join(F.broadcast(chosen.select("shape_id", "trip_id")), "trip_id").join(F.broadcast(stops.select("stop_id")), "stop_id")
     rows = rows.select("shape_id", "stop_id", F.col("stop_sequence").try_cast("int").alias("ord"), num("shape_dist_traveled").alias("dist"), times.schedule_seconds(F.col("arrival_time")).alias("at")).where("ord is not null and dist is not null")
-    before = F.lag("dist").over(Window.partitionBy("shape_id").orderBy("dist", "ord"))
+    before = F.lag("dist").over(Window.partitionBy("shape_id").orderBy("dist", "ord", "stop_id"))
     held = rows.withColumn("__b", before).where("__b is null or dist - __b >= 1").drop("__b")
     about = trips.groupBy("shape_id").agg(F.min_by(F.struct("route_id", "direction_id"), "trip_id").alias("t"), F.min_by("trip_headsign", F.when(F.col("trip_headsign") != "", F.col("trip_id"))).alias("headsign"))
     shapes = about.select("shape_id", F.col("t.route_id").alias("route_id"), F.coalesce(F.col("t.direction_id").try_cast("int"), F.lit(0)).alias("direction"), F.coalesce("headsign", F.lit("")).alias("headsign")).join(facts, "shape_id").join(planned_speed(rows), "shape_id", "left").withColumn("planned", F.coalesce("planned", F.lit(6.0)))

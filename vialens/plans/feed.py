@@ -13,7 +13,7 @@ FREQUENCIES = [("1", "06:00:00", "09:00:00", "300"), ("2", "09:00:00", "25:00:00
 TRIPS_SQL = """tr as (select cast(o_orderkey as varchar) as trip_id, c_nationkey as route, concat('c', o_custkey) as shape_id, o_custkey from orders join customer on c_custkey = o_custkey),
 st as (select cast(l_orderkey as varchar) as trip_id, concat('s', l_suppkey) as stop_id, l_linenumber as ord, floor(l_quantity) / 2 as dist from lineitem),
 best as (select shape_id, trip_id, n from (select shape_id, trip_id, count(*) as n from tr join st using (trip_id) group by all) qualify row_number() over (partition by shape_id order by n desc, trip_id desc) = 1),
-kept as (select shape_id, trip_id, dist from (select *, lag(dist) over (partition by shape_id order by dist, ord) as before from best join st using (trip_id)) where before is null or dist - before >= 1)"""
+kept as (select shape_id, trip_id, dist from (select *, lag(dist) over (partition by shape_id order by dist, ord, stop_id) as before from best join st using (trip_id)) where before is null or dist - before >= 1)"""
 
 
 def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -63,7 +63,7 @@ def feed_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("with " + TRIPS_SQL + """, sh as (select shape_id, min(route) as route from tr where shape_id in (select shape_id from best) group by shape_id),
-  held as (select distinct stop_id, n_name from (select *, lag(dist) over (partition by shape_id order by dist, ord) as before from best join st using (trip_id)) join sh using (shape_id) join nation on n_nationkey = route where before is null or dist - before >= 1),
+  held as (select distinct stop_id, n_name from (select *, lag(dist) over (partition by shape_id order by dist, ord, stop_id) as before from best join st using (trip_id)) join sh using (shape_id) join nation on n_nationkey = route where before is null or dist - before >= 1),
   w as (select trip_id, hour, minutes from (values ('1', [6, 7, 8], 5), ('2', [9, 10, 11, 12, 13, 14, 15, 16, 17, 18, 19, 20, 21, 22, 23, 0], 10)) f(trip_id, hours, minutes), unnest(hours) h(hour)),
   b as (select n_name as line, hour, min(minutes) as minutes from w join tr using (trip_id) join nation on n_nationkey = route where tr.shape_id in (select shape_id from sh) group by all),
   r as (select line, minutes, min(hour) as a, max(hour) + 1 as z from (select *, hour - row_number() over (partition by line, minutes order by hour) as g from b) group by line, minutes, g),
