@@ -66,3 +66,18 @@ def test_passes_of_loops(spark):
             mine = {(r["first_seg"], r["last_seg"], round(r["along"], 6), round(r["dist"], 6)) for r in got if r["k"] == k and r["shape"] == s}
             assert mine == plain_passes(x, y, line, 200.0, s != "open")
     assert any(r["first_seg"] > r["last_seg"] for r in got)
+
+
+def test_loop_passes_where_the_loop_closes(spark, tmp_path):
+    """The first and the last segment of the loop are equally near this fix but for the last bit."""
+    from compare import TABLES, same_rows
+
+    from vialens.plans import catalogue
+
+    for t in TABLES:
+        if t != "events":
+            (tmp_path / f"{t}.parquet").symlink_to(f"/root/testdata/sf0.001/{t}.parquet")
+    spark.read.parquet("/root/testdata/sf0.1/events.parquet").where("event_id between 57590 and 57610").write.parquet(str(tmp_path / "part"))
+    next((tmp_path / "part").glob("*.parquet")).rename(tmp_path / "events.parquet")
+    assert spark.read.parquet(str(tmp_path / "events.parquet")).where("event_id = 57600").count() == 1
+    same_rows(catalogue.QUERIES["loop_passes"](spark, str(tmp_path)), str(tmp_path), catalogue.ORACLES["loop_passes"])

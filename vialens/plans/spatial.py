@@ -60,7 +60,7 @@ def loop_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     y = F.when(side == 0, 0.0).when(side == 1, along).when(side == 2, 1500.0).when(side == 3, 1500.0 - along).otherwise(0.0)
     segs = spatial.segments(spark.range(121).select(F.lit("loop").alias("shape_id"), i.alias("i"), x.alias("x"), y.alias("y"), (i * 50.0).alias("cum")), ["shape_id"])
     loops = segs.groupBy("shape_id").agg(F.max("seg").alias("last"))
-    rows = spatial.passes(fixture.good_fixes(fixture.fixes(spark, sf_dir)), segs, "event_id", "shape_id", loops=loops)
+    rows = spatial.passes(fixture.good_fixes(fixture.fixes(spark, sf_dir)), segs, "event_id", "shape_id", loops=loops, from_start=True)
     return rows.select("event_id", "first_seg", "last_seg", (F.round("along", 2) + 0).alias("along"), (F.round("dist", 2) + 0).alias("dist"))
 
 
