@@ -35,6 +35,15 @@ def test_reads_named_minutes_only(spark, tmp_path):
     assert {r["f"].split("minute=")[1][:13] for r in scanned} == {m[:13] for m in minutes[:2]}
 
 
+def test_lists_named_minutes_only(spark, tmp_path):
+    """The folders of other minutes are not listed: of 40 only the two that are asked for and there."""
+    root = str(tmp_path / "pages")
+    landed.land(spark.range(40).selectExpr("concat('2027-03-01T', lpad(id div 2, 2, '0'), if(id % 2 = 0, ':00:00Z', ':30:00Z')) as minute", "0 as page", "'{}' as value"), root)
+    asked = ["2027-03-01T01:00:00Z", "2027-03-01T02:30:00Z", "2027-03-01T23:00:00Z", "2027-03-01T01:00:00Z"]
+    assert len(landed.pages_of(spark, root, asked).inputFiles()) == 2
+    assert landed.pages_of(spark, root, asked[2:3]).count() == 0 and landed.pages_of(spark, root, []).count() == 0
+
+
 def test_ranks_and_strides(spark):
     """A key of most rows lies over many tasks; ties, a null key, a key of one row."""
     rng = random.Random(4)

@@ -14,8 +14,10 @@ PAGES = "page int, value string, minute string"
 
 
 def land(pages: DataFrame, root: str) -> None:
-    """Adds pages (``minute, page, value``) to a folder for each minute."""
-    pages.select("page", "value", "minute").repartition("minute").write.mode("append").partitionBy("minute").parquet(root)
+    """Adds pages (``minute, page, value``) to a folder for each minute. Tasks put their files in place themselves: a driver that moves
+    them takes longer with every minute."""
+    tasks_commit = "mapreduce.fileoutputcommitter.algorithm.version"
+    pages.select("page", "value", "minute").repartition("minute").write.mode("append").option(tasks_commit, "2").partitionBy("minute").parquet(root)
 
 
 def _name(at: datetime.datetime) -> str:
@@ -37,8 +39,14 @@ def sampled_nights(now: int, nights: int) -> list[str]:
 
 
 def pages_of(spark: SparkSession, root: str, minutes: list[str]) -> DataFrame:
-    """The pages of named minutes; folders of other minutes are not opened."""
-    return spark.read.schema(PAGES).parquet(root).where(F.col("minute").isin(minutes))
+    """The pages of named minutes; folders of other minutes are neither opened nor listed, so that the time doesn't grow with them."""
+    jvm = spark._jvm
+    name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    folders = [f"{root}/minute={name(m)}" for m in dict.fromkeys(minutes)]
+    at = [jvm.org.apache.hadoop.fs.Path(f) for f in folders]
+    there = [f for f, p in zip(folders, at, strict=True) if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)]
+    read = spark.read.schema(PAGES)
+    return (read.option("basePath", root).parquet(*there) if there else spark.createDataFrame([], PAGES)).where(F.col("minute").isin(minutes))
 
 
 def read_minutes(spark: SparkSession, root: str, minutes: list[str]) -> tuple[DataFrame, DataFrame]:
