@@ -81,3 +81,17 @@ def test_loop_passes_where_the_loop_closes(spark, tmp_path):
     next((tmp_path / "part").glob("*.parquet")).rename(tmp_path / "events.parquet")
     assert spark.read.parquet(str(tmp_path / "events.parquet")).where("event_id = 57600").count() == 1
     same_rows(catalogue.QUERIES["loop_passes"](spark, str(tmp_path)), str(tmp_path), catalogue.ORACLES["loop_passes"])
+
+
+def test_places_at_one_point_and_no_broadcast(spark):
+    """Places that share a point are one row, and none is broadcast: the plan of the search deals both sides by cell."""
+    rows = spark.createDataFrame([(1, 0.0, 0.0), (2, 90.0, 3.0)], "k int, x double, y double")
+    places = spark.range(3000).selectExpr("concat('p', id) as p", "cast(id % 3 * 50 as double) as x", "0d as y")
+    spread = []
+    kept, spatial._spread = spatial._spread, lambda at, size: spread.append(at.count()) or kept(at, size)
+    try:
+        got = {r["k"]: (r["p"], r["metres"]) for r in spatial.nearest_by_rings(rows, places, "k", "p", 100.0).collect()}
+    finally:
+        spatial._spread = kept
+    assert got == {1: ("p0", 0.0), 2: (min(f"p{k}" for k in range(2, 3000, 3)), pytest.approx(math.hypot(10, 3)))}
+    assert set(spread) == {3}

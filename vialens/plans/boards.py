@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from vialens.functions import display, geo
 from vialens.operators import addresses, schedule, spatial
+from vialens.operators.stored import stored
 from vialens.plans import fixture
 from vialens.plans.fixture import FX, LATEST_SQL, LATEST_STANDING_SQL, SHAPES_SQL
 from vialens.plans.fleet import ON_ROAD, on_road
@@ -105,7 +106,7 @@ def line_search_text(spark: SparkSession, sf_dir: str) -> DataFrame:
   select a.vehicle, case when a.m <= 250 then stop_id when b.m < 3000 then name else 'somewhere' end as name from a join b using (vehicle)""")
 def nearby_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What to call a place: its nearest stop if within 250 m, else the nearest named place within 3 km, else a default."""
-    rows = fixture.latest(fixture.fixes(spark, sf_dir)).select("vehicle", "x", "y")
+    rows = stored(fixture.latest(fixture.fixes(spark, sf_dir)).select("vehicle", "x", "y"), "latest")
     stops = stops_with_lines(spark, sf_dir).select("stop_id", geo.x_of(F.col("lon")).alias("x"), geo.y_of(F.col("lat")).alias("y"))
     k = F.col("p_partkey")
     places = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), ((k * 29 % 300) * 100.0 - 8000).alias("x"), ((k * 17 % 90) * 100.0 - 3000).alias("y"))
