@@ -95,3 +95,18 @@ def test_places_at_one_point_and_no_broadcast(spark):
         spatial._spread = kept
     assert got == {1: ("p0", 0.0), 2: (min(f"p{k}" for k in range(2, 3000, 3)), pytest.approx(math.hypot(10, 3)))}
     assert set(spread) == {3}
+
+
+def test_cells_of_a_path(spark):
+    """The cells of a route as the segments give them, for routes of one point, of repeated points and of long slants."""
+    from pyspark.sql import functions as F
+
+    from vialens.operators import evidence
+
+    rng = random.Random(2)
+    paths = {1: [(5.0, 5.0)], 2: [(5.0, 5.0), (5.0, 5.0)], 3: [(rng.uniform(-900, 900), rng.uniform(-900, 900)) for _ in range(9)]}
+    pts = spark.createDataFrame([(r, i, x, y, 0.0) for r, p in paths.items() for i, (x, y) in enumerate(p)], "route int, i int, x double, y double, cum double")
+    want = {tuple(r) for r in evidence.rasterised(spatial.segments(pts, ["route"]), 100.0).select("route", "cx", "cy").distinct().collect()}
+    held = pts.groupBy("route").agg(F.array_sort(F.collect_list(F.struct("i", "x", "y"))).alias("p"))
+    got = [tuple(r) for r in held.select("route", F.explode(evidence.cells_of_path(F.col("p"), 100.0)).alias("c")).select("route", "c.cx", "c.cy").collect()]
+    assert len(got) == len(want) and set(got) == want

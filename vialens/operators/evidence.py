@@ -58,6 +58,14 @@ def crossed_cells(ax: Column, ay: Column, bx: Column, by: Column, size: float) -
     return F.array_distinct(F.transform(F.sequence(F.lit(0).cast("long"), steps), lambda k: F.struct(cell(ax, bx, k).alias("cx"), cell(ay, by, k).alias("cy"))))
 
 
+def cells_of_path(points: Column, size: float) -> Column:
+    """The grid cells that a path crosses, each once: an array of structs cx, cy from an array of structs x, y in order. A point
+    without x ends no segment."""
+    following = F.slice(points, F.lit(2), F.greatest(F.size(points) - 1, F.lit(0)))
+    steps = F.filter(F.arrays_zip(points.alias("a"), following.alias("b")), lambda s: s["b"]["x"].isNotNull())
+    return F.array_distinct(F.flatten(F.transform(steps, lambda s: crossed_cells(s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"], size))))
+
+
 def rasterised(segs: DataFrame, size: float) -> DataFrame:
     """``segs`` (``ax, ay, bx, by``), a row for each cell (``cx, cy``) that a segment crosses."""
     cells = crossed_cells(*map(F.col, ("ax", "ay", "bx", "by")), size)

@@ -206,11 +206,16 @@ def nearest_route_end(spark: SparkSession, sf_dir: str) -> DataFrame:
   c as (select distinct o, cast(floor((x + (bx - x) * k / n) / 100) as bigint) as cx, cast(floor((y + (by_ - y) * k / n) / 100) as bigint) as cy from k)
   select o as route, count(*) as cells, min(cx) as x0, max(cx) as x1, min(cy) as y0, max(cy) as y1 from c group by o""")
 def grid_rasterise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 100 m cells that each route crosses, slanted segments walked in steps: orders as routes, their lines as points."""
-    i = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
-    points = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("route"), i.alias("i"), (F.col("l_partkey") * 13 % 1700).cast("double").alias("x"), (F.col("l_suppkey") * 71 % 1300).cast("double").alias("y"))
-    cells = evidence.rasterised(spatial.segments(points.withColumn("cum", F.lit(0.0)), ["route"]), 100.0).select("route", "cx", "cy").distinct()
-    return cells.groupBy("route").agg(F.count("*").alias("cells"), *(f(c).alias(f"{c[1]}{k}") for c in ("cx", "cy") for k, f in ((0, F.min), (1, F.max))))
+    """The 100 m cells that each route crosses, slanted segments walked in steps: orders as routes, their lines as points.
+
+    A route's points and cells are arrays of one row, so that a task holds a route's cells and not those of all its routes.
+    """
+    at = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", (F.col("l_partkey") * 13 % 1700).cast("double").alias("x"), (F.col("l_suppkey") * 71 % 1300).cast("double").alias("y"))
+    routes = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("route")).agg(F.array_sort(F.collect_list(at)).alias("p"))
+    cells = evidence.cells_of_path(F.transform("p", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))), 100.0)
+    rows = routes.select("route", cells.alias("c")).where(F.size("c") > 0)
+    ends = (f(F.col(f"c.{n}")).alias(f"{n[1]}{k}") for n in ("cx", "cy") for k, f in ((0, F.array_min), (1, F.array_max)))
+    return rows.select("route", F.size("c").cast("long").alias("cells"), *ends)
 
 
 @query("with t as (" + ORACLES["arrivals_ahead"] + """), p as (select distinct stop_id, x / 102431.14359791845 - 43.4 as lon, y / 111194.92664455873 - 22.9 as lat from (""" + FX + "," + LATEST_SQL + "," + SHAPES_SQL + """ select * from stp)),
