@@ -602,3 +602,25 @@ def test_empty_tables(spark):
         simhash.near_duplicates(e), simhash.one_of_each_group(e), quality.judge(e, None, "doc_id"), media.media_digests(media.to_media(e)), sharding.external_shuffle(e),
     ):
         assert out.count() == 0
+
+
+def test_parity_maps_lose_no_pair_and_fingerprints_link_first(spark):
+    """Pairs at and around the similarity all stay; unlike ones go without their texts; copies but for a word in 400 are linked by SimHash."""
+    rng = np.random.default_rng(9)
+    rows, pairs, alike = [], [], set()
+    for k in range(60):
+        n, gone = int(rng.integers(1, 400)), float(rng.uniform(0, 0.3))
+        x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        y = np.unique(np.concatenate([x[rng.random(len(x)) >= gone], rng.integers(0, 1 << 63, 3, dtype=np.uint64)]))
+        rows += [(2 * k, len(x), simhash.parity_map(x)), (2 * k + 1, len(y), simhash.parity_map(y))]
+        pairs.append((2 * k, 2 * k + 1))
+        both = len(np.intersect1d(x, y))
+        alike |= {pairs[-1]} if both >= 0.8 * (len(x) + len(y) - both) else set()
+    far = [(a, b) for a in range(0, 120, 2) for b in range(a + 2, 120, 2)]
+    classes = spark.createDataFrame(rows, "class long, n int, parity binary")
+    got = {tuple(r) for r in simhash._possible(spark.createDataFrame(pairs + far, "a long, b long"), classes, 0.8).collect()}
+    assert 10 < len(alike) and alike <= got and len(got & set(far)) < 0.02 * len(far)
+    text = [f"w{rng.integers(5000)}" for _ in range(400)]
+    hashed = [simhash.fingerprint(simhash.shingle_hashes(" ".join(t), 5)) for t in (text, [*text[:-1], "other"], text[::-1])]
+    found = simhash._fingerprint_pairs(spark.createDataFrame([(k, f) for k, f in enumerate([*hashed, hashed[0]])], "class long, fp long"), 6).collect()
+    assert (0, 3) in found and any({r["a"], r["b"]} <= {0, 1} for r in found) and all(2 not in r for r in found)

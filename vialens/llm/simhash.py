@@ -248,28 +248,74 @@ def _common(docs: DataFrame, shingle_words: int, sample: int = 20_000, least: in
     return np.asarray([r["h"] for r in reversed(rows)], np.int64).view(np.uint64)
 
 
+#: Bits of a set's parity map.
+PARITY = 1024
+
+
+def parity_map(hashes: np.ndarray) -> bytes:
+    """Of each of PARITY bits, whether an odd number of the distinct ``hashes`` fall on it. The maps of two sets differ in at most as
+    many bits as there are elements in only one of the sets."""
+    return np.packbits(np.bincount((hashes % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1).tobytes()
+
+
 def _marks(docs: DataFrame, shingle_words: int, similarity: float, common: np.ndarray) -> DataFrame:
-    """``row_key, id, words, n, keys`` of each row: 128 bits of its lower-cased words in turn, the number of its distinct shingles, and the
-    rarest of them: so many that any two sets of the similarity share one, whichever is the larger."""
+    """``row_key, id, words, n, fp, parity, keys`` of each row: 128 bits of its lower-cased words in turn, the number of its distinct
+    shingles, the fingerprint of all and the parity map of the distinct ones, and the rarest of them: so many that any two sets of the
+    similarity share one, whichever is the larger."""
     by_hash = np.argsort(common)
     ordered = common[by_hash]
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
-                b, classes, sizes, keys = batch.slice(k, 1000), [], [], []
+                b, classes, sizes, fps, parity, keys = batch.slice(k, 1000), [], [], [], [], []
                 for t in b.column("text").to_pylist():
                     classes.append(xxhash.xxh128_digest(b" ".join((t or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()), 7))
-                    h = np.unique(shingle_hashes(t, shingle_words))
+                    h = shingle_hashes(t, shingle_words)
+                    fps.append(fingerprint(h))
+                    h = np.unique(h)
                     sizes.append(len(h))
+                    parity.append(parity_map(h))
                     if len(ordered):
                         at = np.minimum(np.searchsorted(ordered, h), len(ordered) - 1)
                         h = h[np.argsort(np.where(ordered[at] == h, by_hash[at] + 1, 0), kind="stable")]
                     keys.append(h[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1].view(np.int64))
-                columns = [pa.array(classes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([b.column("row_key"), b.column("id"), *columns], names=["row_key", "id", "words", "n", "keys"])
+                columns = [pa.array(classes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(fps, pa.int64()), pa.array(parity, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([b.column("row_key"), b.column("id"), *columns], names=["row_key", "id", "words", "n", "fp", "parity", "keys"])
+
+    return docs.select("row_key", F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(marked, "row_key binary, id bigint, words binary, n int, fp bigint, parity binary, keys array<bigint>")
+
+
+def _possible(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b: classes) whose parity maps differ in no more bits than sets of their sizes and the similarity can. No
+    pair of the similarity is lost, and nearly all others are told without their texts."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, m = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("na", "nb"))
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u8").reshape(-1, PARITY // 64) for c in ("pa", "pb"))
+            most = n + m - 2 * np.ceil(similarity / (1 + similarity) * (n + m) - 1e-9)
+            ok = pa.array(np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= most)
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], names=["a", "b"])
+
+    of = lambda c: classes.select(F.col("class").alias(c), F.col("n").alias(f"n{c}"), F.col("parity").alias(f"p{c}"))
+    return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(near, "a bigint, b bigint")
+
+
+def _fingerprint_pairs(classes: DataFrame, most: int) -> DataFrame:
+    """Pairs of classes that SimHash links: each with the first class of its fingerprint, and the first ones of fingerprints within ``most`` bits."""
+    heads = written(classes.groupBy("fp").agg(F.min("class").alias("head")), "heads")
+    same = classes.select("fp", "class").join(heads, "fp").where("class != head").select(F.col("head").alias("a"), F.col("class").alias("b"))
+    near = links(heads.select("fp"), most)
+    of = lambda c: heads.select(F.col("fp").alias(c), F.col("head").alias(f"head_{c}"))
+    return same.union(near.join(of("a"), "a").join(of("b"), "b").select(F.least("head_a", "head_b"), F.greatest("head_a", "head_b"))).distinct()
+
 
-    return docs.select("row_key", F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(marked, "row_key binary, id bigint, words binary, n int, keys array<bigint>")
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b and more) that are not in one component by ``roots`` (node, root)."""
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    met = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return met.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select(*pairs.columns)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
@@ -292,14 +338,16 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle_words: int, similarity
     return wide.select("a", "b", "x", "y").mapInArrow(alike, "a bigint, b bigint")
 
 
-def one_of_each_group(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
+def one_of_each_group(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, most: int = 2) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: that with the least doc_id (null last).
 
     Near-duplicates are texts whose sets of ``shingle_words``-word shingles have a Jaccard similarity of ``similarity`` or more; all
-    pairs of them are found. Candidates share one of their rarest shingles, so many of each as the similarity allows to differ
-    (prefix filtering), and their sizes and the shared shingle's places allow the similarity; they are verified. Texts with
-    equal lower-cased words are one class from the start. First each class is held against a leader of a crowded shingle, so that a
-    large group becomes one component by a link a member; then all candidates in different components are verified. Groups are
+    pairs of them are found. Texts with equal lower-cased words are one class from the start. First come the pairs that SimHash links:
+    fingerprints within ``most`` bits by the generalised pigeonhole. Fingerprints of texts at the similarity are often farther away, so the
+    rest are candidates that share one of their rarest shingles, so many of each as the similarity allows to differ (prefix filtering),
+    if their sizes, the shared shingle's places and their parity maps allow the similarity. Of these each class is first held against a
+    leader of a crowded shingle, so that a large group becomes one component by a link a member; then all candidates in different
+    components are taken. Every pair is verified by its texts, those of the fingerprints too. Groups are
     the components of verified links. Null texts and texts without words form one group; of repeated rows one stays; all columns
     are kept; an empty table stays empty.
     """
@@ -309,19 +357,22 @@ def one_of_each_group(docs: DataFrame, shingle_words: int = 5, similarity: float
     plain = docs.select(row_key(names).alias("row_key"), "doc_id", "text")
     common = _common(plain, shingle_words)
     marks = written(_marks(plain, shingle_words, similarity, common), "marks")
-    classes = marks.groupBy("words").agg(F.min(F.struct("row_key", "n", "keys")).alias("m")).select("words", "m.*")
+    classes = marks.groupBy("words").agg(F.min(F.struct("row_key", "n", "fp", "parity", "keys")).alias("m")).select("words", "m.*")
     classes = written(classes.withColumn("class", F.monotonically_increasing_id()), "classes")  # written, so that the numbers stay
     held = written(_shared_keys(classes), "held")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs, "pairs")
+        candidates = written(pairs, "candidates")
+        pairs = written(_possible(candidates, classes, similarity), "pairs")
+        discard(candidates)
         wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes.select("class", "row_key"), "class"), "wanted")
         texts = plain.select("row_key", "text").join(small(wanted), "row_key").dropDuplicates(["class"]).select("class", "text")
         found = written(_verified(pairs, texts, shingle_words, similarity), "links")
         discard(pairs, wanted)
         return found
 
-    led = verified(_leader_pairs(held, similarity))
+    led = verified(_fingerprint_pairs(classes, most))
+    led = led.union(verified(_leader_pairs(held, similarity, components(led))))
     roots = components(led)
     rooted = held.join(roots, held["class"] == roots["node"], "left").select(*held.columns, F.coalesce("root", "class").alias("root"))
     rooted = written(rooted, "rooted")
@@ -352,8 +403,8 @@ def _may_match(similarity: float) -> Column:
     return (F.least("s.n", "p.n") >= overlap) & (F.col("s.at") <= F.col("s.n") - overlap) & (F.col("p.at") <= F.col("p.n") - overlap)
 
 
-def _leader_pairs(held: DataFrame, similarity: float, crowd: int = 8) -> DataFrame:
-    """Pairs of a leader ``a`` and a class ``b``, one a class at most: of the leaders of its keys, the one that leads most of them.
+def _leader_pairs(held: DataFrame, similarity: float, roots: DataFrame, crowd: int = 8) -> DataFrame:
+    """Pairs, in different components by ``roots``, of a leader ``a`` and a class ``b``, one a class at most: of the leaders of its keys, the one that leads most of them.
     A key with ``crowd`` classes or more has a leader: the class whose keys are shared most, so that of copies edited at random
     the text they stem from leads, if it is there."""
     shared = held.groupBy("class").agg((F.sum("sharers") / F.first("n")).alias("shared"))
@@ -361,7 +412,7 @@ def _leader_pairs(held: DataFrame, similarity: float, crowd: int = 8) -> DataFra
     first = crowded.groupBy("key").agg(F.max(F.struct("shared", "class", "n", "at")).alias("l")).select("key", "l.class", "l.n", "l.at")
     met = crowded.alias("p").join(written(first, "leaders").alias("s"), "key").where((F.col("s.class") != F.col("p.class")) & _may_match(similarity))
     met = met.groupBy(F.col("p.class").alias("b"), F.col("s.class").alias("a")).agg(F.count("*").alias("led"))
-    return met.groupBy("b").agg(F.max(F.struct("led", "a")).alias("m")).select("m.a", "b")
+    return _apart(met, roots).groupBy("b").agg(F.max(F.struct("led", "a")).alias("m")).select("m.a", "b")
 
 
 def _pairs_across(rooted: DataFrame, similarity: float) -> DataFrame:
