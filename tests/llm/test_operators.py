@@ -477,6 +477,30 @@ def test_quality_of_odd_rows(spark, corpus):
     assert quality.fit(df, spark.createDataFrame([], "doc_id long, quality int, toxic int")) is None
 
 
+def test_quality_fits_on_every_labelled_row(spark):
+    """Of 20,000 labelled rows only those with the largest hashes are bad: all rows count, not the first 16,000 by hash."""
+    order = [r["id"] for r in spark.range(20_000).orderBy(F.xxhash64("id"), "id").collect()]
+    bad = set(order[16_000:])
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(12)) + (" # # #" if i in bad else ""), int(i not in bad)) for i in order]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int").repartition(6)
+    model = quality.fit(df.select("doc_id", "text"), df.select("doc_id", "quality"))
+    got = quality.judge(df, model, "doc_id", "quality").toPandas()
+    assert got[got.quality == 1].kept.all() and not got[got.quality == 0].kept.any()
+    again = quality.fit(df.repartition(3).select("doc_id", "text"), df.select("doc_id", "quality"))
+    assert [m[2] for m in model] == [m[2] for m in again] and all((a[1].value == b[1].value).all() for a, b in zip(model, again, strict=True))
+
+
+def test_thresholds_are_the_best_of_all_cuts(spark):
+    rng = random.Random(9)
+    for rows in ([(rng.randrange(12) / 8, rng.randrange(3), rng.randrange(4)) for _ in range(60)], [(0.5, 3, 0), (0.7, 1, 4)], [(0.5, 0, 3), (0.7, 0, 1)], [(0.1, 1, 0), (0.2, 0, 9), (0.3, 1, 0)]):
+        cuts = sorted({s for s, _, _ in rows})
+        errors = [5 * sum(g for s, g, _ in rows if s > c) + sum(b for s, _, b in rows if s <= c) for c in [-1.0, *cuts]]
+        k = errors.index(min(errors))
+        want = float("inf") if k == len(cuts) else (cuts[k] + cuts[k - 1]) / 2 if k else cuts[0] - 1e-9
+        assert quality.calibrate(spark.createDataFrame(rows, "score double, good long, bad long")) == want
+    assert quality.calibrate(spark.createDataFrame([], "score double, good long, bad long")) == float("inf")
+
+
 def test_forest_finds_outliers():
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(size=(500, 3)), rng.normal(8, 1, (10, 3))])
