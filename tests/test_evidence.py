@@ -44,6 +44,29 @@ def test_lists_named_minutes_only(spark, tmp_path):
     assert landed.pages_of(spark, root, asked[2:3]).count() == 0 and landed.pages_of(spark, root, []).count() == 0
 
 
+def test_a_history_makes_no_folder_a_minute(spark, tmp_path):
+    """Fixes of 600 minutes lie in a few files; named minutes are read from them and from folders by minute, damaged pages told."""
+    from vialens.plans.evidence import _MINUTE, land_fixes
+
+    rows = spark.range(1200).selectExpr("concat('v', id) as vehicle", "1800000000 + 30 * id as t", "-22.9d as lat", "-43.4d as lon", "2.5d as speed")
+    spark.conf.set("spark.sql.shuffle.partitions", "5")
+    try:
+        root = land_fixes(spark, rows, F.date_format(F.timestamp_seconds("t"), _MINUTE), F.lit(0))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    name = lambda k: landed._name(datetime.datetime.fromtimestamp(1800000000 + 60 * k, datetime.UTC))
+    assert len(spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/{landed.HISTORY}").inputFiles()) <= 5
+    asked = [name(3), name(599), name(700)]
+    fixes, failures = landed.read_minutes(spark, root, asked)
+    assert {r["vehicle"] for r in fixes.collect()} == {"v6", "v7", "v1198", "v1199"}
+    assert [tuple(r) for r in failures.collect()] == [(name(700), "missing", 1)]
+    landed.land(spark.createDataFrame([(name(700), 0, "{cut off"), (name(3), 9, '{"data": [{"id_veiculo": "late"}]}')], "minute string, page int, value string"), root)
+    fixes, failures = landed.read_minutes(spark, root, asked)
+    assert {r["vehicle"] for r in fixes.where("vehicle is not null").collect()} >= {"v6", "v7", "v1198", "v1199"} and landed.pages_of(spark, root, asked).count() == 4
+    assert [tuple(r) for r in failures.collect()] == [(name(700), "damaged", 1)]
+    assert landed.pages_of(spark, root, []).count() == 0
+
+
 def test_ranks_and_strides(spark):
     """A key of most rows lies over many tasks; ties, a null key, a key of one row."""
     rng = random.Random(4)

@@ -30,13 +30,14 @@ select concat('N', lpad(cast(v as string), 3, '0')) as vehicle, cast(1799989200
 
 
 def land_fixes(spark: SparkSession, rows: DataFrame, minute: F.Column, number: F.Column) -> str:
-    """Lands fixes as the feed's pages of 500 rows, by minute; the folder."""
+    """Lands fixes as the feed's pages of 500 rows, a history of many minutes; the folder. Rows are dealt by range of minute and page
+    once, and each task makes its pages and their file."""
     root = f"{shared_folder(spark)}/vialens-pages-{uuid.uuid4().hex}"
     iso = lambda c: F.date_format(F.timestamp_seconds(c), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     of = {"vehicle": "id_veiculo", "vendor": "fornecedor", "service": "servico", "sentido": "sentido", "lat": "latitude", "lon": "longitude", "speed": "velocidade", "shape_id": "shape_id"}
     row = F.struct(*(F.col(c).alias(n) for c, n in of.items() if c in rows.columns), iso("t").alias("datetime"))
-    pages = rows.groupBy(minute.alias("minute"), number.cast("int").alias("page")).agg(F.to_json(F.struct(F.collect_list(row).alias("data"))).alias("value"))
-    landed.land(pages, root)
+    dealt = rows.select(minute.alias("minute"), number.cast("int").alias("page"), row.alias("row")).repartitionByRange("minute", "page")
+    landed.land_history(dealt.groupBy("minute", "page").agg(F.to_json(F.struct(F.collect_list("row").alias("data"))).alias("value")), root)
     return root
 
 

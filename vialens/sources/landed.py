@@ -11,6 +11,8 @@ from vialens import constants as C
 from vialens.sources.feeds import PAGE, fixes_of_pages
 
 PAGES = "page int, value string, minute string"
+#: The folder of pages that were landed as a history; hidden from a reader of the folders by minute.
+HISTORY = "_history"
 
 
 def land(pages: DataFrame, root: str) -> None:
@@ -20,6 +22,12 @@ def land(pages: DataFrame, root: str) -> None:
     pages.select("page", "value", "minute").repartition("minute").write.mode("append").option(tasks_commit, "2").partitionBy("minute").parquet(root)
 
 
+def land_history(pages: DataFrame, root: str) -> None:
+    """Adds the pages of many minutes at once, dealt by range of ``minute``, as files of neighbouring minutes: a folder for each of some
+    hundred thousand minutes takes longer to make than its few pages to write. ``pages_of`` finds both."""
+    pages.select("page", "value", "minute").sortWithinPartitions("minute", "page").write.mode("append").parquet(f"{root}/{HISTORY}")
+
+
 def _name(at: datetime.datetime) -> str:
     return at.strftime("%Y-%m-%dT%H:%M:00Z")
 
@@ -39,14 +47,18 @@ def sampled_nights(now: int, nights: int) -> list[str]:
 
 
 def pages_of(spark: SparkSession, root: str, minutes: list[str]) -> DataFrame:
-    """The pages of named minutes; folders of other minutes are neither opened nor listed, so that the time doesn't grow with them."""
+    """The pages of named minutes; folders of other minutes are neither opened nor listed, so that the time doesn't grow with them, and
+    of a history only the ranges of rows that may hold one are read, by what its files say of theirs."""
     jvm = spark._jvm
     name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
-    folders = [f"{root}/minute={name(m)}" for m in dict.fromkeys(minutes)]
-    at = [jvm.org.apache.hadoop.fs.Path(f) for f in folders]
-    there = [f for f, p in zip(folders, at, strict=True) if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)]
+    there = lambda f: (p := jvm.org.apache.hadoop.fs.Path(f)).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    folders = [f for f in (f"{root}/minute={name(m)}" for m in dict.fromkeys(minutes)) if there(f)]
     read = spark.read.schema(PAGES)
-    return (read.option("basePath", root).parquet(*there) if there else spark.createDataFrame([], PAGES)).where(F.col("minute").isin(minutes))
+    pages = read.option("basePath", root).parquet(*folders) if folders else spark.createDataFrame([], PAGES)
+    if there(f"{root}/{HISTORY}"):
+        history = spark.read.schema(PAGES).parquet(f"{root}/{HISTORY}")
+        pages = pages.union(history) if folders else history
+    return pages.where(F.col("minute").isin(minutes))
 
 
 def read_minutes(spark: SparkSession, root: str, minutes: list[str]) -> tuple[DataFrame, DataFrame]:
