@@ -32,3 +32,37 @@ def test_pending_sample(spark):
     states = spark.createDataFrame(rows, cols)
     assert [(r["vehicle"], r["best"]) for r in views.pending_sample(states, 20).collect()] == [("a", "no hypothesis"), ("b", "dist=12 prog=40 fixes=2")]
     assert views.pending_sample(states, 1).count() == 1
+
+
+def test_lines_on_the_grid_in_one_pass(spark):
+    """The one pass gives the lines and whole points that simplifying line by line does; long lines, ties, empty and null ones."""
+    import random
+
+    import numpy as np
+
+    from vialens.functions import folds
+
+    def kept(q, tol):
+        keep, todo = {0, len(q) - 1}, [(0, len(q) - 1)]
+        while todo:
+            a, b = todo.pop()
+            if b - a > 1:
+                d, rel = q[b] - q[a], q[a + 1 : b] - q[a]
+                far = np.abs(rel[:, 0] * d[1] - rel[:, 1] * d[0]) / max(float(np.hypot(*d)), 1e-9)
+                k = a + 1 + int(far.argmax())
+                if far.max() > tol:
+                    keep.add(k)
+                    todo += [(a, k), (k, b)]
+        return q[sorted(keep)]
+
+    rng = random.Random(3)
+    paths = [[(rng.randrange(-90, 90), rng.randrange(-90, 90)) for _ in range(rng.choice([1, 2, 3, 3, 30]))] for _ in range(300)] + [[(0, 0), (4, 8), (8, 8), (12, 0)], [(5, 5), (5, 5), (5, 5)]]
+    rows = [(k, p, rng.choice([64, 4096]), rng.choice([1.4, 2.0])) for k, p in enumerate(paths)] + [(-1, [], 64, 1.4), (-2, None, 64, 1.4)]
+    df = spark.createDataFrame(rows, "k int, p array<struct<x:int,y:int>>, extent int, tol double")
+    got = {r["k"]: r["g"] for r in df.select("k", folds.on_grid("p", F.lit(1024.0), "extent", "tol").alias("g")).collect()}
+    for k, p, extent, tol in rows[:-2]:
+        line = kept(np.asarray(p, float) * 1024.0 / extent, tol)
+        whole = [tuple(int(np.sign(v) * np.floor(abs(v) + 0.5)) for v in xy) for xy in line]
+        whole = [w for i, w in enumerate(whole) if i == 0 or w != whole[i - 1]]
+        assert got[k]["line"] == line.ravel().tolist() and got[k]["flat"] == [v for w in whole for v in w]
+    assert got[-1]["flat"] == [] and got[-2]["flat"] is None

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType
+from pyspark.sql.functions import arrow_udf, pandas_udf
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from vialens.constants import HALF_LIFE_S, MAX_SPEED_MS, MIN_GAP_S, PARKED_M
 
@@ -89,38 +90,75 @@ def decode_polyline(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-@pandas_udf(ArrayType(DoubleType()))
-def simplified(points: pd.Series, tolerance: pd.Series) -> pd.Series:
+def _flat(lines: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The points (x, y) of all lines of a batch, where each line begins and, last, the last one ends, and which lines are null."""
+    lines = lines.cast(pa.list_(pa.float64()))
+    ends = np.concatenate([[0], np.cumsum(lines.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]) // 2
+    return lines.flatten().to_numpy(zero_copy_only=False).reshape(-1, 2), ends, lines.is_null().to_numpy(zero_copy_only=False)
+
+
+def _lines(points: np.ndarray, keep: np.ndarray, ends: np.ndarray, null: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    """The kept points of each line as flat lists."""
+    before = np.concatenate([[0], np.cumsum(keep)])[ends] * 2
+    return pa.ListArray.from_arrays(pa.array(before, pa.int32()), pa.array(points[keep].ravel(), kind), mask=pa.array(null))
+
+
+def _needed(q: np.ndarray, ends: np.ndarray, tol: np.ndarray) -> np.ndarray:
+    """Whether each point is kept by its line's tolerance. All lines are split at once, a level a round: at each stretch's farthest
+    point, the first of equals."""
+    size = np.diff(ends)
+    keep = np.zeros(len(q), bool)
+    keep[ends[:-1][size > 0]] = keep[ends[1:][size > 0] - 1] = True
+    a, b = ends[:-1], ends[1:] - 1
+    while (wide := b - a >= 2).any():
+        a, b, tol = a[wide], b[wide], tol[wide]
+        inner = b - a - 1
+        first = np.cumsum(inner) - inner
+        of = np.repeat(np.arange(len(a)), inner)
+        at = np.arange(len(of)) - first[of] + a[of] + 1
+        d = q[b] - q[a]
+        rel = q[at] - q[a][of]
+        far = np.abs(rel[:, 0] * d[of, 1] - rel[:, 1] * d[of, 0]) / np.maximum(np.hypot(d[:, 0], d[:, 1]), 1e-9)[of]
+        most = np.maximum.reduceat(far, first)
+        split = most > tol
+        hits = np.flatnonzero((far == most[of]) & split[of])
+        k = at[hits[np.diff(of[hits], prepend=-1) > 0]]
+        keep[k] = True
+        a, b, tol = np.concatenate([a[split], k]), np.concatenate([k, b[split]]), np.concatenate([tol[split], tol[split]])
+    return keep
+
+
+def _whole(q: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Points on whole numbers, halves away from zero, and whether each differs from the one before in its line."""
+    q = (np.sign(q) * np.floor(np.abs(q) + 0.5)).astype(np.int32)
+    fresh = np.ones(len(q), bool)
+    fresh[1:] = (q[1:] != q[:-1]).any(1)
+    fresh[ends[:-1][np.diff(ends) > 0]] = True
+    return q, fresh
+
+
+@arrow_udf(ArrayType(DoubleType()))
+def simplified(points: pa.Array, tolerance: pa.Array) -> pa.Array:
     """Flat (x, y, ...) lines without the points that lie within a tolerance of the line through the ends around them; the ends stay."""
+    q, ends, null = _flat(points)
+    return _lines(q, _needed(q, ends, tolerance.to_numpy(zero_copy_only=False)), ends, null, pa.float64())
 
-    def one(p: np.ndarray, tol: float) -> np.ndarray:
-        q = np.asarray(p, float).reshape(-1, 2)
-        keep, todo = {0, len(q) - 1}, [(0, len(q) - 1)]
-        while todo:
-            a, b = todo.pop()
-            if b - a < 2:
-                continue
-            d = q[b] - q[a]
-            rel = q[a + 1 : b] - q[a]
-            far = np.abs(rel[:, 0] * d[1] - rel[:, 1] * d[0]) / max(float(np.hypot(*d)), 1e-9)
-            k = int(far.argmax())
-            if far[k] > tol:
-                keep.add(a + 1 + k)
-                todo += [(a, a + 1 + k), (a + 1 + k, b)]
-        return q[sorted(keep)].ravel()
-
-    return pd.Series([one(p, t) for p, t in zip(points, tolerance, strict=True)])
-
-
-@pandas_udf(ArrayType(IntegerType()))
-def quantised(points: pd.Series) -> pd.Series:
-    """Flat (x, y, ...) lines on whole numbers, halves away from zero, without points that repeat the one before."""
-
-    def one(p: np.ndarray) -> np.ndarray:
-        q = np.asarray(p, float).reshape(-1, 2)
-        q = (np.sign(q) * np.floor(np.abs(q) + 0.5)).astype(np.int64)
-        fresh = np.ones(len(q), bool)
-        fresh[1:] = (q[1:] != q[:-1]).any(1)
-        return q[fresh].ravel()
 
-    return points.map(one)
+@arrow_udf(ArrayType(IntegerType()))
+def quantised(points: pa.Array) -> pa.Array:
+    """Flat (x, y, ...) lines on whole numbers, halves away from zero, without points that repeat the one before."""
+    q, ends, null = _flat(points)
+    return _lines(*_whole(q, ends), ends, null, pa.int32())
+
+
+@arrow_udf(StructType([StructField("line", ArrayType(DoubleType())), StructField("flat", ArrayType(IntegerType()))]))
+def on_grid(points: pa.Array, scale: pa.Array, extent: pa.Array, tolerance: pa.Array) -> pa.Array:
+    """Lines of whole x and y times ``scale`` over ``extent``: flat and ``simplified`` as ``line``, and that ``quantised`` as ``flat``, in one pass."""
+    size = points.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    ends, null = np.concatenate([[0], np.cumsum(size)]), points.is_null().to_numpy(zero_copy_only=False)
+    at = points.flatten()
+    q = np.column_stack([at.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("x", "y")])
+    q = q * np.repeat(scale.to_numpy(zero_copy_only=False), size)[:, None] / np.repeat(extent.to_numpy(zero_copy_only=False).astype(float), size)[:, None]
+    keep = _needed(q, ends, tolerance.to_numpy(zero_copy_only=False))
+    left, fewer = q[keep], np.concatenate([[0], np.cumsum(keep)])[ends]
+    return pa.StructArray.from_arrays([_lines(q, keep, ends, null, pa.float64()), _lines(*_whole(left, fewer), fewer, null, pa.int32())], names=["line", "flat"])

@@ -47,8 +47,8 @@ def _sorted(rows: DataFrame, order: list[str], body: str) -> DataFrame:
 
 
 def _polygons(lines: DataFrame) -> DataFrame:
-    ring = F.transform("points", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
-    rings = lines.where(~F.col("part").startswith("road")).withColumn("area", geo.ring_area(ring)).withColumn("points", F.floor(F.size("flat") / 2))
+    ring = F.transform("p", lambda q: F.struct((q["x"] * basemap.GRID / F.col("extent")).alias("x"), (q["y"] * basemap.GRID / F.col("extent")).alias("y")))
+    rings = lines.where(~F.col("part").startswith("road")).select(*_TILE, "ix", "part", "k", "flat", geo.ring_area(ring).alias("area"), F.floor(F.size("flat") / 2).alias("points"))
     kept = kept_rings(rings, [*_TILE, "ix"], "k", basemap.least_area(F.col("part"), F.col("z")))
     whole = kept.groupBy(*_TILE, "part", "ix").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("k", "flat"))), lambda r: r["flat"])).alias("rings"))
     return _sorted(whole, ["ix"], "rings")
@@ -85,11 +85,11 @@ def map_tiles(features: DataFrame) -> DataFrame:
     """
     kind = F.coalesce(F.col("props")["kind"], F.lit(""))
     drawn = features.withColumn("part", basemap.drawn_as(F.col("layer"), F.col("geom_type"), kind, F.col("z"))).where("part is not null")
-    scaled = F.transform("p", lambda q: F.struct((q["x"] * basemap.GRID / F.col("extent")).alias("x"), (q["y"] * basemap.GRID / F.col("extent")).alias("y")))
-    lines = drawn.select(*_TILE, "ix", "part", F.col("props")["name"].alias("name"), "extent", F.posexplode("parts").alias("k", "p")).withColumn("points", scaled).drop("p", "extent")
-    flat = F.flatten(F.transform("points", lambda q: F.array(q["x"], q["y"])))
-    lines = lines.withColumn("line", folds.simplified(flat, basemap.tolerance(F.col("part"), F.col("z"))))
-    lines = stored(lines.withColumn("flat", folds.quantised("line")), "lines")  # rings, roads and labels read it
+    lines = drawn.select(*_TILE, "ix", "part", F.col("props")["name"].alias("name"), "extent", F.posexplode("parts").alias("k", "p"))
+    lines = lines.withColumn("g", folds.on_grid("p", F.lit(basemap.GRID), "extent", basemap.tolerance(F.col("part"), F.col("z"))))
+    road = F.col("part").startswith("road")  # only roads are named along their line, and only rings have an area
+    lines = lines.select(*_TILE, "ix", "part", "name", "extent", "k", F.when(~road, F.col("p")).alias("p"), F.when(road, F.col("g.line")).alias("line"), "g.flat")
+    lines = stored(lines, "lines")  # rings, roads and labels read it
     every = _polygons(lines).union(_roads(lines)).union(_labels(lines))
     names = {"water": "w", "green": "g", "sand": "s", "road0": "r0", "road1": "r1", "road2": "r2", "label": "l"}
     of = {p: F.max(F.when(F.col("part") == p, F.col("body"))).alias(p) for p in names}
