@@ -110,3 +110,41 @@ def test_cells_of_a_path(spark):
     held = pts.groupBy("route").agg(F.array_sort(F.collect_list(F.struct("i", "x", "y"))).alias("p"))
     got = [tuple(r) for r in held.select("route", F.explode(evidence.cells_of_path(F.col("p"), 100.0)).alias("c")).select("route", "c.cx", "c.cy").collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_cells_are_found_once_a_route(spark):
+    """No lambda of the plan walks a route's steps, and one pass over a batch gives all that is read of the cells."""
+    from vialens.plans import catalogue
+
+    plan = catalogue.QUERIES["grid_rasterise"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "transform(" not in plan
+
+
+def test_cells_of_many_paths():
+    """A batch with null and empty paths, points without a coordinate, and cells too far apart for one number."""
+    import pyarrow as pa
+
+    from vialens.operators import evidence
+
+    rng = random.Random(4)
+    some = lambda far: rng.choice([None, rng.uniform(-far, far), 0.0, far])
+    for far in (900.0, 1e15):
+        paths = [None, [], [None], [{"x": far, "y": 1.0}, {"x": far, "y": 1.0}]]
+        paths += [[{"x": some(900.0) if far < 1e9 else far, "y": some(900.0) if far < 1e9 else -far} for _ in range(rng.randrange(7))] for _ in range(200)]
+        paths += [[{"x": 0.0, "y": -far}] * 2] if far > 1e9 else []
+        got = evidence._cells_of_paths(pa.array(paths, pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))), 100.0).to_pylist()
+        for path, cells in zip(paths, got, strict=True):
+            if path is None:
+                assert cells is None
+                continue
+            want = set()
+            for a, b in zip(path, path[1:]):
+                if b is None or b["x"] is None:
+                    continue
+                a = a or {"x": None, "y": None}
+                whole = None not in (a["x"], a["y"], b["y"])
+                steps = math.floor(math.sqrt((b["x"] - a["x"]) ** 2 + (b["y"] - a["y"]) ** 2) / 100) + 1 if whole else 1
+                cell = lambda c, k: None if a[c] is None or b[c] is None else math.floor((a[c] + (b[c] - a[c]) * k / steps) / 100)  # noqa: B023, E731
+                want |= {(cell("x", k), cell("y", k)) for k in range(steps + 1)}
+            found = [(c["cx"], c["cy"]) for c in cells]
+            assert len(found) == len(want) and set(found) == want

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -58,12 +61,53 @@ def crossed_cells(ax: Column, ay: Column, bx: Column, by: Column, size: float) -
     return F.array_distinct(F.transform(F.sequence(F.lit(0).cast("long"), steps), lambda k: F.struct(cell(ax, bx, k).alias("cx"), cell(ay, by, k).alias("cy"))))
 
 
+def _order(keys: list[np.ndarray]) -> np.ndarray:
+    """``lexsort``, by one number for all keys where their ranges allow it."""
+    one, most = np.zeros(len(keys[0]), np.int64), 1
+    for c in reversed(keys) if len(one) else ():
+        least = int(c.min())
+        span = int(c.max()) - least + 1
+        most *= span
+        if most > 1 << 62:
+            return np.lexsort(keys)
+        one = one * span + (c.astype(np.int64) - least)
+    return np.argsort(one)
+
+
+def _cells_of_paths(points: pa.Array, size: float) -> pa.Array:
+    """The cells of each of many paths, by numpy over all steps of all their segments."""
+    count = pc.fill_null(pc.list_value_length(points), 0).to_numpy()
+    flat = points.flatten()
+    at = [pc.struct_field(flat, n) for n in ("x", "y")]
+    no = [c.is_null().to_numpy(zero_copy_only=False) for c in at]
+    xy = [pc.fill_null(c, 0.0).to_numpy() for c in at]
+    path = np.repeat(np.arange(len(points)), count)
+    a = np.flatnonzero((path[1:] == path[:-1]) & ~no[0][1:])  # segments by their first point
+    across, void = [c[a + 1] - c[a] for c in xy], [n[a] | n[a + 1] for n in no]
+    steps = np.where(void[0] | void[1], 0, np.floor(np.sqrt(across[0] * across[0] + across[1] * across[1]) / size)).astype(np.int64) + 1
+    seg = np.repeat(np.arange(len(a)), steps + 1)
+    k = np.arange(len(seg)) - np.repeat(np.cumsum(steps + 1) - steps - 1, steps + 1)
+    cell = [np.where(n[seg], 0, np.floor((c[a][seg] + d[seg] * k / steps[seg]) / size)).astype(np.int64) for c, d, n in zip(xy, across, void, strict=True)]
+    keys = [void[1][seg], cell[1], void[0][seg], cell[0], path[a][seg]]
+    order = _order(keys)
+    keys = [c[order] for c in keys]
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in keys])
+    no_y, cy, no_x, cx, path = (c[new] for c in keys)
+    structs = pa.StructArray.from_arrays([pa.array(cx, mask=no_x), pa.array(cy, mask=no_y)], ["cx", "cy"])
+    offsets = np.searchsorted(path, np.arange(len(points) + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), structs, mask=points.is_null())
+
+
 def cells_of_path(points: Column, size: float) -> Column:
     """The grid cells that a path crosses, each once: an array of structs cx, cy from an array of structs x, y in order. A point
-    without x ends no segment."""
-    following = F.slice(points, F.lit(2), F.greatest(F.size(points) - 1, F.lit(0)))
-    steps = F.filter(F.arrays_zip(points.alias("a"), following.alias("b")), lambda s: s["b"]["x"].isNotNull())
-    return F.array_distinct(F.flatten(F.transform(steps, lambda s: crossed_cells(s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"], size))))
+    without x ends no segment. The paths of an Arrow batch are walked together: lambdas in the plan take each step by itself."""
+
+    @F.arrow_udf("array<struct<cx: bigint, cy: bigint>>")
+    def cells(points: pa.Array) -> pa.Array:
+        return _cells_of_paths(points, size)
+
+    return cells(points)
 
 
 def rasterised(segs: DataFrame, size: float) -> DataFrame:

@@ -211,9 +211,10 @@ def grid_rasterise(spark: SparkSession, sf_dir: str) -> DataFrame:
     A route's points and cells are arrays of one row, so that a task holds a route's cells and not those of all its routes.
     """
     at = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", (F.col("l_partkey") * 13 % 1700).cast("double").alias("x"), (F.col("l_suppkey") * 71 % 1300).cast("double").alias("y"))
-    routes = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("route")).agg(F.array_sort(F.collect_list(at)).alias("p"))
-    cells = evidence.cells_of_path(F.transform("p", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))), 100.0)
-    rows = routes.select("route", cells.alias("c")).where(F.size("c") > 0)
+    routes = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("route")).agg(F.sort_array(F.collect_list(at)).alias("p"))
+    # told by the points and not by the cells, which would be found once more for it
+    routes = routes.where(F.exists(F.slice("p.x", F.lit(2), F.size("p")), lambda x: x.isNotNull()))
+    rows = routes.select("route", evidence.cells_of_path(F.arrays_zip(F.col("p.x").alias("x"), F.col("p.y").alias("y")), 100.0).alias("c"))
     ends = (f(F.col(f"c.{n}")).alias(f"{n[1]}{k}") for n in ("cx", "cy") for k, f in ((0, F.array_min), (1, F.array_max)))
     return rows.select("route", F.size("c").cast("long").alias("cells"), *ends)
 
