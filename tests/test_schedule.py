@@ -38,6 +38,16 @@ def test_headways(built):
     assert sorted((r["svc"], r["from_hour"], r["to_hour"], r["minutes"]) for r in built["headways"].collect()) == [(0, 6, 9, 5), (0, 9, 16, 10)]
 
 
+def test_rates_are_added_in_order(spark):
+    """60 / rate is 12.5: rounded up if windows are added in order, down if the third comes before the second, as in the rows here."""
+    ends = {1: 330, 2: 3260, 3: 2170}
+    rows = spark.createDataFrame([("a", 0, k, 0, ends[k], 1200) for k in (1, 3, 2)], "line string, svc int, k long, start int, end int, headway int").coalesce(1)
+    rate = schedule.hourly_rates(rows, ["k"])
+    one, two, three = (3600.0 / 1200 * e / 3600.0 for e in ends.values())
+    assert one + two + three == 4.8 < one + three + two
+    assert [tuple(r) for r in rate.withColumn("minutes", schedule.headway_minutes(F.col("rate"))).collect()] == [("a", 0, 0, one + two + three, 13)]
+
+
 def test_shapes(built):
     s = built["shapes"].collect()
     assert len(s) == 1 and s[0]["headsign"] == "B" and s[0]["length"] == pytest.approx(2048.6, abs=1) and not s[0]["circular"]

@@ -45,13 +45,19 @@ def planned_speed(stop_rows: DataFrame) -> DataFrame:
     return e.select("shape_id", F.when((dt > 60) & (d > 0), d / dt).otherwise(6.0).alias("planned"))
 
 
-def hourly_rates(frequencies: DataFrame) -> DataFrame:
+def hourly_rates(frequencies: DataFrame, order: list[str]) -> DataFrame:
     """Departures an hour of each key (line, svc) and hour of the day from windows (start, end, headway in seconds), each spread
-    over the hours it touches by overlap; hours past midnight fold into the day."""
-    f = frequencies.where("headway > 0 and end > start")
+    over the hours it touches by overlap; hours past midnight fold into the day.
+
+    Rates are added in ``order``, which tells the windows of a key apart: a sum of doubles in whatever order a shuffle brings them
+    may miss a half of a minute by its last bit. No part is negative, so the last running sum is the greatest.
+    """
+    f = frequencies.where("headway > 0 and end > start").repartition("line", "svc")
     h = f.withColumn("h", F.explode(F.sequence(F.expr("start div 3600"), F.expr("(end - 1) div 3600"))))
     overlap = F.least(F.col("end"), (F.col("h") + 1) * 3600) - F.greatest(F.col("start"), F.col("h") * 3600)
-    return h.groupBy("line", "svc", (F.col("h") % 24).cast("int").alias("hour")).agg(F.sum(3600.0 / F.col("headway") * overlap / 3600.0).alias("rate"))
+    parts = h.select("line", "svc", (F.col("h") % 24).cast("int").alias("hour"), "h", *order, (3600.0 / F.col("headway") * overlap / 3600.0).alias("part"))
+    so_far = Window.partitionBy("line", "svc", "hour").orderBy(*order, "h").rowsBetween(Window.unboundedPreceding, 0)
+    return parts.withColumn("part", F.sum("part").over(so_far)).groupBy("line", "svc", "hour").agg(F.max("part").alias("rate"))
 
 
 def headway_minutes(rate: Column) -> Column:
@@ -107,8 +113,8 @@ def build(feed: dict[str, DataFrame]) -> dict[str, DataFrame]:
     about = trips.groupBy("shape_id").agg(F.min_by(F.struct("route_id", "direction_id"), "trip_id").alias("t"), F.min_by("trip_headsign", F.when(F.col("trip_headsign") != "", F.col("trip_id"))).alias("headsign"))
     shapes = about.select("shape_id", F.col("t.route_id").alias("route_id"), F.coalesce(F.col("t.direction_id").try_cast("int"), F.lit(0)).alias("direction"), F.coalesce("headsign", F.lit("")).alias("headsign")).join(facts, "shape_id").join(planned_speed(rows), "shape_id", "left").withColumn("planned", F.coalesce("planned", F.lit(6.0)))
     windows = feed["frequencies"].join(trips.select("trip_id", "shape_id", times.service_code(F.col("service_id")).alias("svc")), "trip_id").where("svc is not null")
-    windows = windows.select(F.col("shape_id").alias("line"), "svc", times.schedule_seconds(F.col("start_time")).alias("start"), times.schedule_seconds(F.col("end_time")).alias("end"), F.col("headway_secs").try_cast("int").alias("headway"))
-    headways = runs(hourly_rates(windows).withColumn("minutes", headway_minutes(F.col("rate")))).withColumnRenamed("line", "shape_id")
+    windows = windows.select(F.col("shape_id").alias("line"), "svc", "trip_id", times.schedule_seconds(F.col("start_time")).alias("start"), times.schedule_seconds(F.col("end_time")).alias("end"), F.col("headway_secs").try_cast("int").alias("headway"))
+    headways = runs(hourly_rates(windows, ["trip_id", "start", "end", "headway"]).withColumn("minutes", headway_minutes(F.col("rate")))).withColumnRenamed("line", "shape_id")
     return {
         "routes": routes, "shapes": shapes, "points": points, "stops": stops, "shape_stops": held.select("shape_id", "stop_id", "ord", "dist"), "trips": trips.join(points.select("shape_id").distinct(), "shape_id", "left_semi").select("trip_id", "shape_id"),
         "headways": headways, "weekdays": weekday_services(feed["calendar"]), "exceptions": calendar_exceptions(feed["calendar"], feed["calendar_dates"]),

@@ -14,7 +14,7 @@ from vialens.plans.fixture import FX, LATEST_SQL, LATEST_STANDING_SQL, SHAPES_SQ
 from vialens.plans.fleet import ON_ROAD, on_road
 from vialens.plans.registry import query, table
 from vialens.plans.rider import STOPS_SQL, stops_with_lines
-from vialens.plans.schedule import RATES_SQL, windows
+from vialens.plans.schedule import RATES_SQL, hourly_rates
 
 HERE = (-22.922, -43.4)
 NEAR_SQL = "with " + STOPS_SQL + f""", d as (select lines as line, 12742000.0 * asin(sqrt(power(sin(radians(lat - {HERE[0]}) / 2), 2) + cos(radians({HERE[0]})) * cos(radians(lat)) * power(sin(radians(lon - {HERE[1]}) / 2), 2))) as metres from p),
@@ -37,7 +37,7 @@ def nearby_lines_min(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nearby_lines_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines near a point by the minutes to board one on a working day at eight; a line's customers are its shapes."""
     of = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("line"), F.col("c_nationkey").alias("n_nationkey")).join(table(spark, sf_dir, "nation"), "n_nationkey")
-    h = schedule.hourly_rates(windows(spark, sf_dir)).withColumn("minutes", schedule.headway_minutes(F.col("rate"))).where("svc = 0 and hour = 8")
+    h = hourly_rates(spark, sf_dir).withColumn("minutes", schedule.headway_minutes(F.col("rate"))).where("svc = 0 and hour = 8")
     h = h.join(of, "line").groupBy(F.col("n_name").alias("line")).agg(F.min("minutes").alias("headway"))
     rows = _near(spark, sf_dir).join(h, "line", "left")
     return rows.select("line", "metres", F.round(display.boarding_cost(F.col("metres"), F.col("headway")), 3).alias("cost")).orderBy("cost", "line")
@@ -152,7 +152,7 @@ def current_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
   select stop_id, line, svc, string_agg(from_hour || '-' || to_hour || '/' || minutes, ' ' order by from_hour) as runs from runs join k using (line) group by all""")
 def stop_timetable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The headways of each line at each stop by day type: suppliers as stops of the customers that order from them."""
-    h = schedule.runs(schedule.hourly_rates(windows(spark, sf_dir)).withColumn("minutes", schedule.headway_minutes(F.col("rate"))))
+    h = schedule.runs(hourly_rates(spark, sf_dir).withColumn("minutes", schedule.headway_minutes(F.col("rate"))))
     text = F.concat("from_hour", F.lit("-"), "to_hour", F.lit("/"), "minutes")
     per = h.groupBy("line", "svc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("from_hour", text.alias("t")))), lambda x: x["t"]), " ").alias("runs"))
     calls = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.concat(F.lit("s"), "l_suppkey").alias("stop_id")).join(table(spark, sf_dir, "orders"), "o_orderkey")

@@ -15,7 +15,7 @@ from vialens.plans import fixture
 from vialens.plans.fixture import FX, LATEST_SQL, ROUTES_SQL, SHAPES_SQL
 from vialens.plans.fleet import ON_ROAD, RESOLVED_SQL, on_road
 from vialens.plans.registry import ORACLES, query, table
-from vialens.plans.schedule import RATES_SQL, windows
+from vialens.plans.schedule import RATES_SQL, hourly_rates
 from vialens.plans.spatial import ahead_rows
 
 GOOD = LATEST_SQL.split("latest as")[0].rstrip().rstrip(",")
@@ -156,7 +156,7 @@ def headway_now(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat(F.lit("c"), "user_id")
     day = F.dayofweek("ts")
     asked = table(spark, sf_dir, "events").groupBy(line.alias("line"), F.when(day == 1, 2).when(day == 7, 1).otherwise(0).alias("svc"), F.hour("ts").alias("hour")).agg(F.count("*").alias("n"))
-    runs = schedule.runs(schedule.hourly_rates(windows(spark, sf_dir)).withColumn("minutes", schedule.headway_minutes(F.col("rate"))))
+    runs = schedule.runs(hourly_rates(spark, sf_dir).withColumn("minutes", schedule.headway_minutes(F.col("rate"))))
     held = runs.groupBy("line", "svc").agg(F.array_sort(F.collect_list(F.struct("from_hour", "to_hour", "minutes"))).alias("r"))  # 24 runs at most
     rows = asked.join(held, ["line", "svc"], "left")
     now = F.filter("r", lambda r: (F.col("hour") >= r["from_hour"]) & (F.col("hour") < r["to_hour"]))

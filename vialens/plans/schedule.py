@@ -21,19 +21,20 @@ mins as (select line, svc, hour, cast(case when rate > 0.05 then greatest(1, rou
 runs as (select line, svc, minutes, min(hour) as from_hour, max(hour) + 1 as to_hour from (select *, hour - row_number() over (partition by line, svc, minutes order by hour) as g from mins where minutes is not null) group by line, svc, minutes, g)"""
 
 
-def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").selectExpr(*re.split(r", (?=concat|cast)", WINDOW_SQL))
-    return rows.select("line", "svc", F.col("s").alias("start"), F.col("e").alias("end"), F.col("h").alias("headway"))
+def hourly_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rates of the orders' windows, added in the order of their keys, which is that of the table."""
+    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey", *re.split(r", (?=concat|cast)", WINDOW_SQL))
+    return schedule.hourly_rates(rows.select("o_orderkey", "line", "svc", F.col("s").alias("start"), F.col("e").alias("end"), F.col("h").alias("headway")), ["o_orderkey"])
 
 
 @query(RATES_SQL + " select line, svc, hour, round(rate, 6) as rate from rates")
 def hourly_rate_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schedule.hourly_rates(windows(spark, sf_dir)).select("line", "svc", "hour", F.round("rate", 6).alias("rate"))
+    return hourly_rates(spark, sf_dir).select("line", "svc", "hour", F.round("rate", 6).alias("rate"))
 
 
 @query(RATES_SQL + " select line, svc, cast(minutes as int) as minutes, cast(from_hour as int) as from_hour, cast(to_hour as int) as to_hour from runs")
 def headway_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = schedule.hourly_rates(windows(spark, sf_dir)).withColumn("minutes", schedule.headway_minutes(F.col("rate")))
+    h = hourly_rates(spark, sf_dir).withColumn("minutes", schedule.headway_minutes(F.col("rate")))
     return schedule.runs(h).select("line", "svc", "minutes", "from_hour", "to_hour")
 
 
@@ -41,7 +42,7 @@ def headway_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
   select line, svc, cast(minutes as int) as minutes, cast(min(hour) as int) as from_hour, cast(max(hour) + 1 as int) as to_hour from (select *, hour - row_number() over (partition by line, svc, minutes order by hour) as g from d) group by line, svc, minutes, g""")
 def best_headway(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The least headway of a line over its shapes, as runs; here the lines of two neighbours count as shapes of one."""
-    h = schedule.hourly_rates(windows(spark, sf_dir)).withColumn("minutes", schedule.headway_minutes(F.col("rate"))).where("minutes is not null")
+    h = hourly_rates(spark, sf_dir).withColumn("minutes", schedule.headway_minutes(F.col("rate"))).where("minutes is not null")
     best = h.groupBy(F.concat(F.lit("g"), F.expr("cast(substr(line, 2) as bigint) div 2")).alias("line"), "svc", "hour").agg(F.min("minutes").alias("minutes"))
     return schedule.runs(best).select("line", "svc", "minutes", "from_hour", "to_hour")
 
