@@ -67,6 +67,31 @@ def test_a_history_makes_no_folder_a_minute(spark, tmp_path):
     assert landed.pages_of(spark, root, []).count() == 0
 
 
+def test_all_pages(spark, tmp_path):
+    """Pages of folders by minute and of a history, and of either alone."""
+    page = lambda m: spark.createDataFrame([(f"2027-03-01T0{m}:00:00Z", m, str(m))], "minute string, page int, value string")
+    got = lambda root: {(r["minute"], r["page"], r["value"]) for r in landed.all_pages(spark, root).collect()}
+    row = lambda m: (f"2027-03-01T0{m}:00:00Z", m, str(m))
+    both, folders = str(tmp_path / "both"), str(tmp_path / "folders")
+    landed.land_history(page(1), both)
+    assert got(both) == {row(1)}
+    landed.land(page(2), both)
+    landed.land(page(3), both)
+    landed.land(page(4), folders)
+    assert got(both) == {row(1), row(2), row(3)} and got(folders) == {row(4)}
+
+
+def test_evidence_of_all_pages(spark):
+    """Every fix under a code without a route counts, in whatever minute it was seen."""
+    from compare import duck
+
+    from vialens.plans import catalogue, fixture
+
+    sf = "/root/testdata/sf0.01"
+    _, rows = duck(sf, fixture.FX + " select service, count(*), count(distinct vehicle) from fx where service not in ('474', '7') group by service")
+    assert {(r["service"], r["sampled"], r["buses"]) for r in catalogue.QUERIES["alias_evidence"](spark, sf).collect()} == set(rows) and sum(n for _, n, _ in rows) > 3000
+
+
 def test_ranks_and_strides(spark):
     """A key of most rows lies over many tasks; ties, a null key, a key of one row."""
     rng = random.Random(4)

@@ -1,4 +1,4 @@
-"""Queries on evidence from sampled minutes of landed pages: codes without a route, and the garages where buses sleep."""
+"""Queries on evidence from landed pages: codes without a route, from all of them, and the garages where buses sleep, from sampled minutes."""
 
 from __future__ import annotations
 
@@ -10,13 +10,12 @@ from pyspark.sql.window import Window
 
 from vialens.functions import geo
 from vialens.operators import evidence, lookups, spatial
-from vialens.operators.stored import shared_folder
+from vialens.operators.stored import shared_folder, stored
 from vialens.plans import fixture
 from vialens.plans.fixture import FX, SHAPES_SQL
 from vialens.plans.registry import ORACLES, query, table
-from vialens.sources import landed
+from vialens.sources import feeds, landed
 
-SAMPLE = 150
 #: What zirix units report as their shape: mostly that of the road they are on, at times the next road's, at times none.
 SHAPE_SQL = """case when vendor = 'zirix' and event_id % 7 <> 0 then concat('s', case when event_id % 11 = 0 then (event_id % 40 % 4 + 1) % 4 else event_id % 40 % 4 end, '_',
   case when (event_id % 40 * 617 + (event_id - event_id % 40) / 40 * 150) % 24000 < 12000 then 0 else 1 end) end"""
@@ -44,38 +43,33 @@ def land_fixes(spark: SparkSession, rows: DataFrame, minute: F.Column, number: F
 _MINUTE = "yyyy-MM-dd'T'HH:mm:00'Z'"
 
 
-@query(FX + "," + SHAPES_SQL.lstrip() + f""", w as (select *, {SHAPE_SQL} as shape_id, seen_at // 60 as minute from fx), c as (select max(seen_at) // 60 as now from fx),
-  s as (select w.* from w, c where (now - 5 - minute) % 5 = 0 and now - 5 - minute >= 0 and now - 5 - minute < 5 * 48),
-  u as (select *, lon * 111320.0 * cos(radians(-22.9)) as ex, lat * 111320.0 as ey from s where service is not null and trim(service) not in ('', '474', '7')),
+@query(FX + "," + SHAPES_SQL.lstrip() + f""", w as (select *, {SHAPE_SQL} as shape_id from fx),
+  u as (select *, lon * 111320.0 * cos(radians(-22.9)) as ex, lat * 111320.0 as ey from w where service is not null and trim(service) not in ('', '474', '7')),
   names(route_ix, route) as (values (0, '474'), (1, '007'), (2, 'LECD140')),
   road as (select route_ix, route, (-22.9 + route_ix * 1500 / 111194.92664455873) * 111320.0 as y0, -43.4 * 111320.0 * cos(radians(-22.9)) as x0, (-43.4 + 12000 / 102431.14359791845) * 111320.0 * cos(radians(-22.9)) as x1 from names),
-  k as (select *, row_number() over (partition by service order by t, vehicle, lat, lon) - 1 as rank, count(*) over (partition by service) as n from u),
-  smp as (select * from k where rank % greatest(1, n // {SAMPLE}) = 0),
-  a as (select service, count(*) as n, count(distinct vehicle) as buses, count(distinct vendor) as vendors, count(sentido) as dirs from u group by service), sn as (select service, count(*) as n from smp group by service),
+  a as (select service, count(*) as n, count(distinct vehicle) as buses, count(distinct vendor) as vendors, count(sentido) as dirs from u group by service),
   rep as (select service, route, count(*) as c from u join shp using (shape_id) join names using (route_ix) group by all),
-  cov as (select service, route, count(*) as c from smp join road on sqrt(power(ey - y0, 2) + power(greatest(0, x0 - ex, ex - x1), 2)) <= 60 group by all),
+  cov as (select service, route, count(*) as c from u join road on sqrt(power(ey - y0, 2) + power(greatest(0, x0 - ex, ex - x1), 2)) <= 60 group by all),
   rr as (select rep.*, cast(round_even(100.0 * c / n, 0) as bigint) as pct, row_number() over (partition by service order by c desc, route) as rn from rep join a using (service)),
-  cc as (select cov.*, cast(round_even(100.0 * c / n, 0) as bigint) as pct, row_number() over (partition by service order by c desc, route) as rn from cov join sn using (service)),
+  cc as (select cov.*, cast(round_even(100.0 * c / n, 0) as bigint) as pct, row_number() over (partition by service order by c desc, route) as rn from cov join a using (service)),
   rt as (select service, string_agg(route || ' ' || pct || '%', ', ' order by rn) as reported, first(route order by rn) as route from rr where rn <= 2 group by service),
   ct as (select service, string_agg(route || ' ' || pct || '%', ', ' order by rn) as covered, first(route order by rn) as route, first(pct order by rn) as pct from cc where rn <= 2 group by service)
-  select service, buses, sn.n as sampled, coalesce(reported, '-') as reported, coalesce(covered, '-') as covered,
+  select service, buses, a.n as sampled, coalesce(reported, '-') as reported, coalesce(covered, '-') as covered,
     case when rt.route = ct.route and ct.pct >= 85 then 'alias -> ' || ct.route when vendors = 1 and dirs < 0.1 * a.n then 'no line' else 'line without a route' end as verdict
-  from a join sn using (service) left join rt using (service) left join ct using (service)""")
+  from a left join rt using (service) left join ct using (service)""")
 def alias_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each code without a route of its own, from one minute in five of landed pages: its buses, the routes that its vendors'
-    shape ids name, those within 60 m of which a sample of its fixes lies, and the verdict."""
+    """For each code without a route of its own, from all landed pages: its buses, the routes that its vendors' shape ids name, those
+    within 60 m of which its fixes lie, and the verdict."""
     fx = fixture.fixes(spark, sf_dir).withColumn("shape_id", F.expr(SHAPE_SQL.replace("concat('s', case", "concat('s', cast(case").replace("% 4 end, '_'", "% 4 end as string), '_'")))
     root = land_fixes(spark, fx, F.date_format(F.timestamp_seconds("seen_at"), _MINUTE), F.expr("event_id div 500"))
-    now = fx.agg(F.max("seen_at")).first()[0] or 0
-    fixes, _ = landed.read_minutes(spark, root, landed.sampled_hours(now, 48, every_s=300))
+    fixes = feeds.fixes_of_pages(landed.all_pages(spark, root))
     known = lookups.resolve_service(fixes.where("trim(service) <> ''"), fixture.routes(spark), fixture.aliases(spark).limit(0))
-    rows = known.where("route_ix is null").drop("route_ix", "line").withColumns({"x": evidence.x_of(F.col("lon")), "y": evidence.y_of(F.col("lat"))})
+    rows = known.where("route_ix is null").withColumns({"x": evidence.x_of(F.col("lon")), "y": evidence.y_of(F.col("lat")), "fix": F.monotonically_increasing_id()})
+    rows = stored(rows.select("service", "vehicle", "vendor", "dir", "shape_id", "x", "y", "fix"), "unrouted")
     names = fixture.shapes(spark).join(fixture.routes(spark), "route_ix").select("shape_id", F.col("short_name").alias("route")).distinct()
     places = fixture.points(spark).withColumns({"x": evidence.x_of(geo.lon_of(F.col("x"))), "y": evidence.y_of(geo.lat_of(F.col("y")))})
-    sample = evidence.stride_sample(rows, "service", ["t", "vehicle", "lat", "lon"], SAMPLE)
-    sample = sample.withColumn("fix", F.monotonically_increasing_id())
-    covered = evidence.shapes_near(sample, spatial.segments(places, ["shape_id"]), ["service", "fix"], "shape_id").join(names, "shape_id").select("service", "fix", "route").distinct()
-    return evidence.alias_verdicts(rows, sample, covered, rows.join(names, "shape_id"))
+    covered = evidence.shapes_near(rows, spatial.segments(places, ["shape_id"]).join(names, "shape_id"), ["service", "fix"], "route")
+    return evidence.alias_verdicts(rows, rows, covered, rows.join(names, "shape_id"))
 
 
 def night_cells(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Landed pages by minute, and reads of named minutes only."""
+"""Landed pages by minute, and reads of all of them or of named minutes only."""
 
 from __future__ import annotations
 
@@ -46,16 +46,27 @@ def sampled_nights(now: int, nights: int) -> list[str]:
     return [m for m in every if m <= today.strftime("%Y-%m-%dT%H:%M:%SZ")]
 
 
+def _there(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
+def all_pages(spark: SparkSession, root: str) -> DataFrame:
+    """The pages of all minutes, of folders by minute and of histories."""
+    pages = spark.read.schema(PAGES).option("basePath", root).parquet(root)
+    if _there(spark, f"{root}/{HISTORY}"):
+        pages = pages.unionByName(spark.read.schema(PAGES).parquet(f"{root}/{HISTORY}"))
+    return pages
+
+
 def pages_of(spark: SparkSession, root: str, minutes: list[str]) -> DataFrame:
     """The pages of named minutes; folders of other minutes are neither opened nor listed, so that the time doesn't grow with them, and
     of a history only the ranges of rows that may hold one are read, by what its files say of theirs."""
-    jvm = spark._jvm
-    name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
-    there = lambda f: (p := jvm.org.apache.hadoop.fs.Path(f)).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-    folders = [f for f in (f"{root}/minute={name(m)}" for m in dict.fromkeys(minutes)) if there(f)]
+    name = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    folders = [f for f in (f"{root}/minute={name(m)}" for m in dict.fromkeys(minutes)) if _there(spark, f)]
     read = spark.read.schema(PAGES)
     pages = read.option("basePath", root).parquet(*folders) if folders else spark.createDataFrame([], PAGES)
-    if there(f"{root}/{HISTORY}"):
+    if _there(spark, f"{root}/{HISTORY}"):
         history = spark.read.schema(PAGES).parquet(f"{root}/{HISTORY}")
         pages = pages.union(history) if folders else history
     return pages.where(F.col("minute").isin(minutes))
